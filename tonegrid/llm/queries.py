@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .decontaminate import contamination
+from .quality import assess
 from .sharding import assign_shards
 from .simhash import near_duplicates
 from .token_counts import count_tokens
@@ -40,9 +42,48 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = assess(read_table(spark, sf_dir, "documents"))
+    return graded.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS body FROM documents),
+w AS (SELECT rid, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+n AS (SELECT rid, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars FROM w),
+p AS (SELECT rid, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w),
+t AS (SELECT rid, i, word AS a, lead(word, 1) OVER q AS b, lead(word, 2) OVER q AS c FROM p WINDOW q AS (PARTITION BY rid ORDER BY i)),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS k FROM t WHERE c IS NOT NULL),
+r AS (SELECT rid, count(DISTINCT i + o)::BIGINT AS n_repeat_words FROM g, range(3) AS s(o) WHERE k > 1 GROUP BY rid),
+l AS (SELECT rid, host, body, unnest(string_split(body, chr(10))) AS line FROM d),
+u AS (SELECT rid, host, body, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM l),
+v AS (SELECT * FROM u WHERE norm <> ''),
+dup AS (SELECT rid, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM v GROUP BY rid),
+hosts AS (SELECT host, count(DISTINCT body) AS docs FROM d GROUP BY host),
+freq AS (SELECT host, norm, count(DISTINCT body) AS k FROM v GROUP BY host, norm),
+above AS (SELECT f.host, f.norm FROM freq f JOIN hosts h ON f.host IS NOT DISTINCT FROM h.host WHERE k > 10 AND k * 100 > docs * 10),
+gone AS (SELECT v.rid, sum(len(string_split(v.norm, ' ')))::BIGINT AS removed FROM v JOIN above a ON v.host IS NOT DISTINCT FROM a.host AND v.norm = a.norm GROUP BY v.rid),
+j AS (
+  SELECT d.doc_id, n.n_words, n.word_chars,
+    (length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(dup.n_dup_lines, 0) AS n_dup_lines, coalesce(r.n_repeat_words, 0) AS n_repeat_words,
+    n.n_words - coalesce(gone.removed, 0) AS left_words
+  FROM d JOIN n USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN r USING (rid) LEFT JOIN gone USING (rid)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND left_words >= 50 AND 100 * left_words >= 30 * n_words AS kept
+FROM j
+"""
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_toxicity, op6_sharding, op8_simhash)}
+    return {f.__name__: f for f in (op1_token_counts, op3_toxicity, op6_sharding, op8_simhash, op9_quality_rules, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_quality_rules": OP9_SQL}
