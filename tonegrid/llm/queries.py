@@ -12,10 +12,12 @@ from .common import read_table
 from .decontaminate import contamination
 from .html_text import extract_text
 from .quality import assess
+from .sentencepiece_codec import encode_and_check
 from .sharding import assign_shards
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .toxicity import score_toxicity, train
+from .warc import captures, parse, resolve_revisits
 
 FOLDS = 5
 
@@ -29,6 +31,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_check(read_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, read_table(spark, sf_dir, "labels"), usable=lambda k: fold(k) != 0)
@@ -43,6 +49,46 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_windows(conversations.unionByName(probe)))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = parse(captures(read_table(spark, sf_dir, "pages")))
+    found = resolve_revisits(records)
+    lines = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "\n")
+    page = lambda name, kind: F.regexp_extract(name, f"^urn:{kind}:(.*)$", 1).cast("long")
+    return found.select(page("record_id", "revisit").alias("page_id"), F.col("canonical").alias("canonical_url"), "verdict", page("response_id", "page").alias("response_page_id"), "body_bytes", "body_md5", lines.alias("headers"))
+
+
+OP5_SQL = r"""
+WITH p AS (
+  SELECT page_id, regexp_replace(url, '#.*$', '') AS bare, coalesce(html, '') AS body FROM pages WHERE page_id IS NOT NULL
+), h AS (
+  SELECT page_id, body,
+    regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '') AS host,
+    regexp_replace(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda q: q <> '' AND string_split(q, '=')[1] NOT IN
+      ('utm_source','utm_medium','utm_campaign','utm_term','utm_content','ref','fbclid','gclid','sessionid'))) AS q
+  FROM p
+), c AS (
+  SELECT page_id, body, md5(body) AS tag, CASE WHEN host <> '' THEN host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS canonical,
+    page_id AS at, CASE WHEN page_id % 11 = 5 THEN -1 - page_id ELSE 10000000 + page_id END AS again
+  FROM h
+), m AS (
+  SELECT v.page_id, v.canonical, v.again, v.tag, max(r.page_id) AS response_page_id
+  FROM c v LEFT JOIN c r ON v.canonical = r.canonical AND r.at < v.again GROUP BY v.page_id, v.canonical, v.again, v.tag
+), j AS (
+  SELECT m.*, c.tag AS r_tag, strlen(c.body) AS size,
+    CASE WHEN m.response_page_id IS NULL THEN 'no_response' WHEN m.page_id % 7 = 3 OR m.tag <> c.tag THEN 'mismatch' ELSE 'resolved' END AS verdict
+  FROM m LEFT JOIN c ON m.response_page_id = c.page_id
+)
+SELECT page_id, canonical AS canonical_url, verdict, response_page_id,
+  CASE WHEN verdict = 'resolved' THEN size::BIGINT END AS body_bytes,
+  CASE WHEN verdict = 'resolved' THEN r_tag END AS body_md5,
+  CASE WHEN verdict = 'resolved' THEN
+    'cache-control: max-age=' || (page_id % 100) || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html; charset=utf-8' || chr(10) ||
+    'date: ' || strftime(TIMESTAMP '2024-01-01' + to_seconds(again), '%Y-%m-%dT%H:%M:%SZ') || chr(10) || 'etag: W/"' || tag || '"' || chr(10) || 'server: crawl' END AS headers
+FROM j
+"""
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(read_table(spark, sf_dir, "documents"), n_shards=40)
 
@@ -95,8 +141,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_chat_formatting, op6_sharding, op7_html_extraction, op8_simhash, op9_quality_rules, op10_decontamination)}
+    import corpus_pipeline
+
+    own = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_toxicity, op4_chat_formatting, op5_warc, op6_sharding, op7_html_extraction, op8_simhash, op9_quality_rules, op10_decontamination)}
+    return own | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": OP9_SQL}
+    return {"op5_warc": OP5_SQL, "op9_quality_rules": OP9_SQL}

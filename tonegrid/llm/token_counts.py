@@ -5,16 +5,15 @@ pieces per pre-token. Every distinct pre-token of the corpus is encoded once;
 no id list of a document ever exists.
 
 Plan
-    1. One pass over the texts makes *posting blocks*: up to ``BLOCK_DOCS``
-       documents share a block, which holds a row per distinct pre-token with
-       the packed (document slot, frequency) pairs, and one header row with the
-       keys. The blocks are written to the shared folder, so the pass over the
-       texts runs once and survives lost executors.
-    2. The distinct pre-tokens are encoded by the tokenizers library.
-    3. Postings join the piece counts (equi-join on the pre-token, both sides
-       without duplicates per block; adaptive execution splits a hot word).
-    4. Pre-tokens of one piece are already in the header's base count; the
-       others return to their block, where the pairs are summed.
+    1. One pass over the texts packs up to ``BLOCK_DOCS`` documents into a
+       *block*: a compressed matrix of (word of the block, document slot,
+       frequency), and one small row (pre-token, block, word number) for every
+       distinct pre-token of the block.
+    2. The rows are dealt by pre-token, so all rows of one meet in one task,
+       which encodes it once. Only pre-tokens of more than one piece answer
+       (block, word number, extra pieces); the others are in the base count.
+    3. Answers and matrices meet by block, where frequencies times pieces are
+       summed per document.
 
 Blocks bound every group: a word in a third of all documents has one row a
 block, and a block has at most ``BLOCK_DOCS`` documents.
@@ -26,26 +25,30 @@ columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, once, partition_number, texts, tokenizer_path
+from .common import once, partition_number, texts, tokenizer_path
 
 BLOCK_DOCS = 8192
 BLOCK_CHARS = 1 << 25
 OVER_LIMIT = 2048
 
-_POSTINGS = "block long, pretoken string, refs binary"
-#: Letters below this point have had their classes since early Unicode versions, so any library agrees on them.
-_STABLE = regex.compile(r"[^\x00-ɏ‐-‧€]")
-#: The split pattern of word_bpe_49k.json; after its normaliser the only white space is the blank.
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^ \p{L}\p{N}]+")
+_ROWS = "key string, block long, word int, body binary"
+#: Below this point letters and digits have had their classes since early Unicode, and every text is its own NFC.
+_STABLE = re.compile("[^\x00-\u024f]")
+_KIND = {k: re.escape("".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == k)) for k in "LN"}
+#: The split pattern of word_bpe_49k.json, its classes written out for the range above.
+_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_KIND['L']}]+|[{_KIND['N']}]|[^\\t-\\r \x85\xa0{_KIND['L']}{_KIND['N']}]+")
 
 
 @once
@@ -57,108 +60,120 @@ def _tokenizer(path: str):
 
 def _special_pattern(tokenizer):
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.special]
-    return regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
+    return re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
 
 
 def pretokens(text: str, tokenizer) -> list[str]:
     """Pre-tokens of a text without special strings, in order, as characters (not byte symbols)."""
+    if _STABLE.search(text) is None:
+        return _SPLIT.findall(text.lower())
     clean = tokenizer.normalizer.normalize_str(text)
-    if _STABLE.search(clean) is None:
-        return _SPLIT.findall(clean)
     return [clean[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(clean)]
 
 
-def _pack(ids: np.ndarray, slots: np.ndarray, n_words: int) -> tuple[pa.Array, np.ndarray]:
-    """Distinct (word, slot) pairs with counts as one binary value a word: uint16 slot, uint16 count."""
-    keys, counts = np.unique(ids.astype(np.int64) << 16 | slots, return_counts=True)
-    if len(counts) and counts.max() > 65535:
-        parts = (counts + 65534) // 65535
-        last = np.cumsum(parts) - 1
-        keys = np.repeat(keys, parts)
-        whole = np.full(len(keys), 65535, dtype=np.int64)
-        whole[last] = counts - (parts - 1) * 65535
-        counts = whole
-    pairs = (keys & 0xFFFF).astype(np.uint32) | counts.astype(np.uint32) << 16
-    lengths = np.bincount(keys >> 16, minlength=n_words) * 4
-    offsets = np.zeros(n_words + 1, dtype=np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    return pa.Array.from_buffers(pa.binary(), n_words, [None, pa.py_buffer(offsets), pa.py_buffer(pairs)]), pairs
-
-
-def _postings(path: str):
+def _bytes(arrays: list[np.ndarray]) -> bytes:
+    """Arrays as one compressed value; ``_arrays`` reads it."""
+    head = np.array([[len(a), a.dtype.itemsize] for a in arrays], dtype=np.int64)
+    return zstandard.compress(b"".join([np.int64(len(arrays)).tobytes(), head.tobytes(), *(a.tobytes() for a in arrays)]), 3)
+
+
+def _arrays(body: bytes) -> list[np.ndarray]:
+    raw = zstandard.decompress(body)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    at, out = 8 + 16 * n, []
+    for length, width in np.frombuffer(raw, np.int64, 2 * n, 8).reshape(n, 2):
+        out.append(np.frombuffer(raw, f"<i{width}" if width == 8 else f"<u{width}", length, at))
+        at += int(length * width)
+    return out
+
+
+class _Block:
+    """Documents gathered so far, and the words they hold."""
+
+    def __init__(self):
+        self.keys, self.sizes, self.base, self.ids, self.chars = [], [], [], [], 0
+        self.words: defaultdict = defaultdict()
+        self.words.default_factory = self.words.__len__
+
+    def add(self, key, text: str, found: list[str], n_special: int) -> None:
+        self.ids.append(np.fromiter(map(self.words.__getitem__, found), dtype=np.int64, count=len(found)))
+        self.keys.append(key)
+        self.sizes.append(len(text.encode("utf-8", "surrogatepass")))
+        self.base.append(len(found) + n_special)
+        self.chars += len(text)
+
+    def rows(self, block: int) -> pa.RecordBatch:
+        slots = np.repeat(np.arange(len(self.ids)), [len(x) for x in self.ids])
+        pairs, counts = np.unique(np.concatenate(self.ids) << 16 | slots, return_counts=True)
+        n = len(self.words)
+        width = np.uint8 if not len(counts) or counts.max() < 256 else np.uint32
+        known = np.array([k is not None for k in self.keys], dtype=np.int64)
+        whole = [np.array([k or 0 for k in self.keys], dtype=np.int64), known, np.array(self.sizes, dtype=np.int64), np.array(self.base, dtype=np.int64)]
+        body = _bytes([*whole, np.bincount(pairs >> 16, minlength=n).astype(np.uint32), (pairs & 0xFFFF).astype(np.uint16), counts.astype(width)])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([*self.words, f" {block}"], pa.string()),
+                pa.array(np.full(n + 1, block)),
+                pa.array(np.append(np.arange(n, dtype=np.int32), np.int32(-1))),
+                pa.array([*[None] * n, body], pa.binary()),
+            ],
+            names=["key", "block", "word", "body"],
+        )
+
+
+def _pack(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
         special = _special_pattern(tokenizer)
-        number = 0
-
-        def flush(block_keys, sizes, base, words, ids, slots):
-            nonlocal number
-            block = partition_number() << 24 | number
-            number += 1
-            refs, _ = _pack(np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(slots) if slots else np.zeros(0, np.int64), len(words))
-            known = np.array([k is not None for k in block_keys], dtype=np.int64)
-            head = np.stack([np.array([k or 0 for k in block_keys], dtype=np.int64), known, np.array(sizes, dtype=np.int64), np.array(base, dtype=np.int64)])
-            n = len(words) + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block)), pa.array([*words, None], pa.string()), pa.concat_arrays([refs, pa.array([head.tobytes()], pa.binary())])],
-                names=["block", "pretoken", "refs"],
-            )
-
+        first = partition_number() << 24
+        block, number = _Block(), 0
         for batch in batches:
-            state: tuple = ([], [], [], defaultdict(), [], [])
-            state[3].default_factory = state[3].__len__
-            chars = 0
             for key, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                keys, sizes, base, words, ids, slots = state
-                found: list[str] = []
-                n_special = 0
-                if special is not None and (parts := special.split(text)) and len(parts) > 1:
-                    n_special = len(parts) - 1
-                    for part in parts:
-                        found += pretokens(part, tokenizer)
-                else:
-                    found = pretokens(text, tokenizer)
-                slots.append(np.full(len(found), len(keys), dtype=np.int64))
-                ids.append(np.fromiter(map(words.__getitem__, found), dtype=np.int64, count=len(found)))
-                keys.append(key)
-                sizes.append(len(text.encode("utf-8", "surrogatepass")))
-                base.append(len(found) + n_special)
-                chars += len(text)
-                if len(keys) >= BLOCK_DOCS or chars >= BLOCK_CHARS:
-                    yield from flush(*state)
-                    state = ([], [], [], defaultdict(), [], [])
-                    state[3].default_factory = state[3].__len__
-                    chars = 0
-            if state[0]:
-                yield from flush(*state)
+                parts = special.split(text) if special else [text]
+                found = pretokens(parts[0], tokenizer)
+                for part in parts[1:]:
+                    found += pretokens(part, tokenizer)
+                block.add(key, text, found, len(parts) - 1)
+                if len(block.keys) >= BLOCK_DOCS or block.chars >= BLOCK_CHARS:
+                    yield block.rows(first | number)
+                    block, number = _Block(), number + 1
+        if block.keys:
+            yield block.rows(first | number)
 
     return run
 
 
-def _count_pieces(path: str):
+def _answer(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
+        held: dict[str, int] = {}
         for batch in batches:
-            words = batch.column(0)
-            encoded = tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([words, pa.array([len(e) for e in encoded], pa.int64())], names=["pretoken", "n_pieces"])
+            is_word = pc.greater_equal(batch.column(2), 0)
+            rest, words = batch.filter(pc.invert(is_word)), batch.filter(is_word)
+            coded = words.column(0).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            fresh = [w for w in distinct if w not in held]
+            held.update(zip(fresh, (len(e) for e in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
+            extra = np.array([held[w] for w in distinct], dtype=np.int64)[coded.indices.to_numpy()] - 1 if len(words) else np.zeros(0, np.int64)
+            told = pa.RecordBatch.from_arrays([words.column(1), words.column(2), pa.array(extra), words.column(3)], names=_ANSWER)
+            yield told.filter(pa.array(extra > 0))
+            if len(rest):
+                yield pa.RecordBatch.from_arrays([rest.column(1), rest.column(2), pa.array(np.zeros(len(rest), np.int64)), rest.column(3)], names=_ANSWER)
 
     return run
 
 
+_ANSWER = ["block", "word", "extra", "body"]
+
+
 def _sum_block(table: pa.Table) -> pa.Table:
-    refs = table.column("refs").combine_chunks()
-    extra = table.column("extra").to_numpy()
-    is_head = extra < 0
-    head = np.frombuffer(refs.filter(pa.array(is_head))[0].as_py(), dtype=np.int64).reshape(4, -1)
-    body = refs.filter(pa.array(~is_head))
-    total = head[3].copy()
-    if len(body):
-        offsets = np.frombuffer(body.buffers()[1], dtype=np.int32)[body.offset : body.offset + len(body) + 1]
-        pairs = np.frombuffer(body.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].view(np.uint32)
-        extra_each = np.repeat(extra[~is_head], np.diff(offsets) // 4)
-        total += np.bincount(pairs & 0xFFFF, weights=(pairs >> 16) * extra_each.astype(np.float64), minlength=len(total)).astype(np.int64)
-    return pa.table({"doc_id": pa.array(head[0], mask=head[1] == 0), "n_bytes": head[2], "n_tokens": total})
+    word = table.column("word").to_numpy()
+    body = next(b for b in table.column("body").to_pylist() if b is not None)
+    keys, known, sizes, base, lengths, slots, counts = _arrays(body)
+    extra = np.zeros(len(lengths), dtype=np.float64)
+    extra[word[word >= 0]] = table.column("extra").to_numpy()[word >= 0]
+    more = np.bincount(slots, weights=np.repeat(extra, lengths) * counts, minlength=len(keys))
+    return pa.table({"doc_id": pa.array(keys, mask=known == 0), "n_bytes": sizes, "n_tokens": base + more.astype(np.int64)})
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", key: str = "doc_id", text: str = "text", over: int = OVER_LIMIT) -> DataFrame:
@@ -170,10 +185,6 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", key: str
     """
     path = tokenizer_path(tokenizer)
     source = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    blocks = cut(source.mapInArrow(_postings(path), _POSTINGS), "token-postings")
-    postings = blocks.where("pretoken is not null")
-    pieces = postings.select("pretoken").distinct().mapInArrow(_count_pieces(path), "pretoken string, n_pieces long")
-    more = postings.join(pieces, "pretoken").where("n_pieces > 1").select("block", "refs", (F.col("n_pieces") - 1).alias("extra"))
-    heads = blocks.where("pretoken is null").select("block", "refs", F.lit(-1).cast("long").alias("extra"))
-    sums = heads.unionByName(more).groupBy("block").applyInArrow(_sum_block, "doc_id long, n_bytes long, n_tokens long")
+    answers = source.mapInArrow(_pack(path), _ROWS).repartition("key").mapInArrow(_answer(path), "block long, word int, extra long, body binary")
+    sums = answers.groupBy("block").applyInArrow(_sum_block, "doc_id long, n_bytes long, n_tokens long")
     return sums.withColumn("over_limit", F.col("n_tokens") > over)

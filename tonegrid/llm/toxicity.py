@@ -33,14 +33,15 @@ from .common import texts, with_field
 
 _WORD = re.compile(r"\w+")
 _MEMO_WORDS = 1_000_000
+_PART = 20_000
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
     """Bounds of the sample, and of the training."""
 
-    max_positive: int = 2000
-    max_negative: int = 4000
+    max_positive: int = 1500
+    max_negative: int = 3000
     buckets: int = 1 << 18
     dims: int = 4
     min_docs: int = 30  # subwords in fewer sampled documents carry no weight
@@ -84,6 +85,11 @@ def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(found)
 
 
+def _in_parts(words: list[str], buckets: int):
+    for start in range(0, len(words), _PART):
+        yield start, *subwords(words[start : start + _PART], buckets)
+
+
 def fit(sample: list[str], labels: list[int], params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """Joint training of embeddings and softmax by Adam over the whole sample."""
     p = params
@@ -93,20 +99,28 @@ def fit(sample: list[str], labels: list[int], params: ToxicityParams = ToxicityP
         return ToxicityModel(np.zeros(p.buckets), -745.0, False)
     ids: defaultdict = defaultdict()
     ids.default_factory = ids.__len__
-    rows, cols = [], []
+    rows, cols, counts = [], [], []
     for k, text in enumerate(sample):
         found = _WORD.findall(text.lower())
-        rows.append(np.full(len(found), k, dtype=np.int64))
-        cols.append(np.fromiter(map(ids.__getitem__, found), dtype=np.int64, count=len(found)))
-    pairs, counts = np.unique(np.concatenate(rows) << 32 | np.concatenate(cols), return_counts=True)
-    row, col = pairs >> 32, pairs & 0xFFFFFFFF
-    n_words = len(ids)
-    word, bucket = subwords(list(ids), p.buckets)
-    features = np.bincount(word, minlength=n_words)
-    seen = np.bincount(bucket, weights=np.bincount(col, minlength=n_words)[word], minlength=p.buckets)
-    held = seen[bucket] >= min(p.min_docs, max(2, n // 50))
-    used, at = np.unique(bucket[held], return_inverse=True)
-    word = word[held]
+        distinct, times = np.unique(np.fromiter(map(ids.__getitem__, found), dtype=np.int32, count=len(found)), return_counts=True)
+        rows.append(np.full(len(distinct), k, dtype=np.int32))
+        cols.append(distinct)
+        counts.append(times)
+    row, col, counts = np.concatenate(rows), np.concatenate(cols), np.concatenate(counts)
+    vocabulary, n_words = list(ids), len(ids)
+    docs_of = np.bincount(col, minlength=n_words)
+    features, seen = np.zeros(n_words), np.zeros(p.buckets)
+    for start, word, bucket in _in_parts(vocabulary, p.buckets):
+        features[start : start + _PART] += np.bincount(word, minlength=len(vocabulary[start : start + _PART]))
+        seen += np.bincount(bucket, weights=docs_of[word + start], minlength=p.buckets)
+    wanted = seen >= min(p.min_docs, max(2, n // 50))
+    kept = [((word + start)[wanted[bucket]].astype(np.int32), bucket[wanted[bucket]].astype(np.int32)) for start, word, bucket in _in_parts(vocabulary, p.buckets)]
+    word = np.concatenate([w for w, _ in kept]) if kept else np.zeros(0, np.int32)
+    used = np.flatnonzero(wanted)
+    number = np.zeros(p.buckets, dtype=np.int32)
+    number[used] = np.arange(len(used))
+    at = number[np.concatenate([b for _, b in kept])] if kept else np.zeros(0, np.int32)
+    del kept
     share = counts / np.maximum(np.bincount(row, weights=counts * features[col], minlength=n), 1)[row]
     rng = np.random.default_rng(p.seed)
     emb = rng.normal(0, 0.1, (len(used), p.dims))
@@ -115,18 +129,19 @@ def fit(sample: list[str], labels: list[int], params: ToxicityParams = ToxicityP
     weight = np.where(y == 1, p.prior / max(1, (y == 1).sum()), (1 - p.prior) / max(1, (y == 0).sum()))[:, None]
     target = np.eye(2)[y]
 
-    def spread(values, to, size):
-        return np.stack([np.bincount(to, weights=values[:, j], minlength=size) for j in range(values.shape[1])], axis=1)
+    def spread(values, source, to, size, by=1.0):
+        """Rows ``source`` of ``values``, times ``by``, summed into rows ``to``; a column at a time for memory."""
+        return np.stack([np.bincount(to, weights=np.ascontiguousarray(values[:, j])[source] * by, minlength=size) for j in range(values.shape[1])], axis=1)
 
     moments = [[np.zeros_like(v), np.zeros_like(v)] for v in (emb, soft, bias)]
     for step in range(1, p.steps + 1):
-        words = spread(emb[at], word, n_words)
-        docs = spread(share[:, None] * words[col], row, n) * p.scale
+        words = spread(emb, at, word, n_words)
+        docs = spread(words, col, row, n, share) * p.scale
         z = docs @ soft + bias
         z = np.exp(z - z.max(axis=1, keepdims=True))
         off = (z / z.sum(axis=1, keepdims=True) - target) * weight
-        to_words = spread(share[:, None] * (off @ soft.T * p.scale)[row], col, n_words)
-        grads = (spread(to_words[word], at, len(used)) + p.decay * emb, docs.T @ off, off.sum(axis=0))
+        to_words = spread(off @ soft.T * p.scale, row, col, n_words, share)
+        grads = (spread(to_words, word, at, len(used)) + p.decay * emb, docs.T @ off, off.sum(axis=0))
         for value, grad, (m, v) in zip((emb, soft, bias), grads, moments, strict=True):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
@@ -187,7 +202,7 @@ class _Scorer:
         logit = sums / np.maximum(counts, 1) + self.model.bias
         return 1 / (1 + np.exp(-np.clip(logit, -700, 700))) if self.model.fitted else np.zeros(len(many))
 
-    def learn(self, step: int = 50_000):
+    def learn(self, step: int = _PART):
         fresh = list(self.ids)[self.n :] if self.n < len(self.ids) else []
         if len(self.ids) > len(self.sums):
             room = 2 * len(self.ids)
