@@ -42,11 +42,14 @@ from .common import ascii_lower_words, cut, texts, with_field
 
 SEED = 42
 RADIUS = 3
-#: Variants aimed at in a bucket (16 bytes each).
+#: Variants aimed at in a bucket (nine bytes each).
 BUCKET_VARIANTS = 1 << 18
 
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
-_FIRST, _SECOND = np.triu_indices(64, 1)
+_PAIRS = (lambda i: _BITS[i[0]] | _BITS[i[1]])(np.triu_indices(64, 1))
+_CHANGES = np.concatenate([np.zeros(1, np.uint64), _BITS, _PAIRS])
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_GATHER = np.uint64(pow(int(_SPREAD), -1, 1 << 64))
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -80,71 +83,88 @@ def add_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, name
     return source.mapInArrow(run, with_field(source.drop("_text"), name, "long"))
 
 
-def variants(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(variant, index of its fingerprint, level) of the half-radius emission of unsigned fingerprints."""
-    n = len(points)
-    index = np.arange(n, dtype=np.uint32)
-    near = points[:, None] ^ _BITS
-    pairs = _BITS[_FIRST] | _BITS[_SECOND]
-    both = (points[:, None] & pairs) == pairs
+def variants(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(variant, code) of the half-radius emission of unsigned fingerprints; ``origins`` inverts it.
+
+    Code 0 is the fingerprint itself, 1 to 64 a flipped bit, 65 and more a pair of cleared bits.
+    """
+    both = (points[:, None] & _PAIRS) == _PAIRS
     owner, pair = np.nonzero(both)
     return (
-        np.concatenate([points, near.ravel(), points[owner] & ~pairs[pair]]),
-        np.concatenate([index, np.repeat(index, 64), owner.astype(np.uint32)]),
-        np.concatenate([np.zeros(n, np.uint8), np.ones(64 * n, np.uint8), np.full(len(owner), 2, np.uint8)]),
+        np.concatenate([points, (points[:, None] ^ _BITS).ravel(), points[owner] & ~_PAIRS[pair]]),
+        np.concatenate([np.zeros(len(points), np.uint16), np.tile(np.arange(1, 65, dtype=np.uint16), len(points)), (65 + pair).astype(np.uint16)]),
     )
 
 
-def _emit(n_buckets: int, step: int = 2000):
+def origins(value: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The fingerprints that emitted variants: every code's change is undone by an exclusive or."""
+    return value ^ _CHANGES[code]
+
+
+def _emit(bits: int, step: int = 2000):
+    """Blobs by bucket. A variant times an odd constant is a bijection whose top ``bits`` (8 or more) are the bucket; the low seven bytes and the code say the rest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = batch.column(0).to_numpy().view(np.uint64)
             for start in range(0, len(every), step):
-                points = every[start : start + step]
-                value, owner, level = variants(points)
-                bucket = ((value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n_buckets)
-                bucket = bucket.astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bucket, value, owner, level = bucket[order], value[order], owner[order], level[order]
+                value, code = variants(every[start : start + step])
+                mixed = value * _SPREAD
+                order = np.argsort(mixed)
+                mixed, code = mixed[order], code[order]
+                bucket = (mixed >> np.uint64(64 - bits)).astype(np.int64)
                 edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+                low = np.ascontiguousarray(mixed.view(np.uint8).reshape(-1, 8)[:, :7])
                 parts = list(zip(edges[:-1], edges[1:], strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(bucket[edges[:-1]]),
-                        pa.array([value[a:b].tobytes() for a, b in parts], pa.binary()),
-                        pa.array([points[owner[a:b]].tobytes() for a, b in parts], pa.binary()),
-                        pa.array([level[a:b].tobytes() for a, b in parts], pa.binary()),
-                    ],
-                    names=["bucket", "variant", "fp", "level"],
+                    [pa.array(bucket[edges[:-1]]), pa.array([low[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([code[a:b].tobytes() for a, b in parts], pa.binary())],
+                    names=["bucket", "low", "code"],
                 )
 
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Star links of one bucket."""
-    value, fp, level = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("variant", np.uint64), ("fp", np.uint64), ("level", np.uint8)))
-    order = np.lexsort((fp, level > 1, value))
-    value, fp, level = value[order], fp[order], level[order]
-    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(first, len(value)))
-    centre = np.repeat(fp[first], sizes)  # smallest fingerprint of level 0 or 1, if there is one
-    light = np.repeat(level[first] <= 1, sizes)
-    links = light & (fp != centre)
-    a, b = centre[links], fp[links]
-    if len(a):
-        a, b = np.unique(np.stack([a, b], axis=1), axis=0).T
-        near = np.bitwise_count(a ^ b) <= RADIUS
-        a, b = a[near], b[near]
-    return pa.table({"a": np.ascontiguousarray(a).view(np.int64), "b": np.ascontiguousarray(b).view(np.int64)})
+def _meet(bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Star links of one bucket."""
+        low = np.frombuffer(b"".join(table.column("low").to_pylist()), dtype=np.uint8).reshape(-1, 7)
+        code = np.frombuffer(b"".join(table.column("code").to_pylist()), dtype=np.uint16)
+        whole = np.zeros((len(low), 8), dtype=np.uint8)
+        whole[:, :7] = low
+        mixed = whole.view(np.uint64).ravel()
+        mixed &= np.uint64((1 << (64 - bits)) - 1)
+        mixed |= np.uint64(table.column("bucket")[0].as_py() << (64 - bits))
+        order = np.argsort(mixed)
+        mixed, code = mixed[order], code[order]
+        same = mixed[1:] == mixed[:-1]
+        met = np.zeros(len(mixed), dtype=bool)
+        met[1:] |= same
+        met[:-1] |= same
+        mixed, code = mixed[met], code[met]
+        fp = origins(mixed * _GATHER, code)
+        order = np.lexsort((fp, code > 64, mixed))
+        mixed, code, fp = mixed[order], code[order], fp[order]
+        first = np.flatnonzero(np.concatenate([[True], mixed[1:] != mixed[:-1]])) if len(mixed) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(first, len(mixed)))
+        centre = np.repeat(fp[first], sizes)  # smallest fingerprint of level 0 or 1, if there is one
+        light = np.repeat(code[first] <= 64, sizes)
+        links = light & (fp != centre)
+        a, b = centre[links], fp[links]
+        if len(a):
+            a, b = np.unique(np.stack([a, b], axis=1), axis=0).T
+            near = np.bitwise_count(a ^ b) <= RADIUS
+            a, b = a[near], b[near]
+        return pa.table({"a": np.ascontiguousarray(a).view(np.int64), "b": np.ascontiguousarray(b).view(np.int64)})
+
+    return run
 
 
 def links(prints: DataFrame, name: str = "fp") -> DataFrame:
     """Links (a, b) between distinct fingerprints of ``prints``; every pair within three bits is connected by them."""
     distinct = cut(prints.select(prints[name].alias("fp")).where("fp is not null").distinct(), "fingerprints")
-    n_buckets = max(256, distinct.count() * 600 // BUCKET_VARIANTS)
-    emitted = distinct.mapInArrow(_emit(n_buckets), "bucket long, variant binary, fp binary, level binary")
-    return cut(emitted.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct(), "links")
+    bits = max(8, (distinct.count() * 600 // BUCKET_VARIANTS).bit_length())
+    emitted = distinct.mapInArrow(_emit(bits), "bucket long, low binary, code binary")
+    return cut(emitted.groupBy("bucket").applyInArrow(_meet(bits), "a long, b long").distinct(), "links")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
