@@ -38,7 +38,7 @@ def peak_envelope(df: DataFrame, value: str, order: str, bins: int = 1500, key:
     # sample i lies in the bin b with trunc(b·n/bins) ≤ i, that is b = ((i + 1)·bins - 1) div n
     placed = df.join(sizes, key).withColumn("bin", F.expr(f"((`{order}` + 1) * {bins} - 1) div _n"))
     peaks = placed.groupBy(key, "bin").agg(F.max(F.abs(value)).alias("_p"), F.first("_peak").alias("_peak"))
-    return peaks.select(key, F.col("bin").cast("int").alias("bin"), F.round(F.round(F.coalesce(F.try_divide("_p", "_peak"), F.lit(0.0)), 9), digits).alias("peak"))
+    return peaks.select(key, F.col("bin").cast("int").alias("bin"), F.round(F.coalesce(F.try_divide("_p", "_peak"), F.lit(0.0)), digits).alias("peak"))
 
 
 def head_rows(df: DataFrame, order: str, n: int = 2000) -> DataFrame:

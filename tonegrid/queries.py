@@ -331,11 +331,11 @@ def hop_inference(spark, sf_dir):
 
 @query(f"""WITH {_EV}, e AS (SELECT stimulus_id, coalesce(value, 0) - 100 AS v, row_number() OVER (PARTITION BY stimulus_id ORDER BY t, event_id) - 1 AS i, count(*) OVER (PARTITION BY stimulus_id) AS n FROM ev),
 p AS (SELECT stimulus_id, max(abs(v)) AS peak FROM e GROUP BY 1), b AS (SELECT stimulus_id, (((i + 1) * 20 - 1) // n)::INTEGER AS bin, max(abs(v)) AS v FROM e GROUP BY ALL)
-SELECT b.stimulus_id, bin, round(round(coalesce(v / nullif(peak, 0), 0), 9), 3) AS peak FROM b JOIN p USING (stimulus_id)""")
+SELECT b.stimulus_id, bin, round(coalesce(v / nullif(peak, 0), 0), 6) AS peak FROM b JOIN p USING (stimulus_id)""")
 def envelope_peaks(spark, sf_dir):
     order = F.row_number().over(Window.partitionBy("stimulus_id").orderBy("t", "event_id")) - 1
     samples = events(spark, sf_dir).select("stimulus_id", (F.coalesce("value", F.lit(0.0)) - 100).alias("v"), order.alias("i"))
-    return M.peak_envelope(samples, "v", "i", 20)
+    return M.peak_envelope(samples, "v", "i", 20, digits=6)
 
 
 @query(f"WITH {_EV} SELECT event_id, round(least(greatest((value - min(value) OVER q) / nullif(max(value) OVER q - min(value) OVER q, 0), 0), 1), 6) AS scaled, round((value - avg(value) OVER q) / greatest(stddev_pop(value) OVER q, 1e-12), 6) AS z FROM ev WINDOW q AS (PARTITION BY stimulus_id)")
