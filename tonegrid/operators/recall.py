@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.scalars import normalise_word
 from .grid import KEY
@@ -14,7 +15,7 @@ from .grid import KEY
 FUZZY_THRESHOLD = 0.8
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fuzzy_ratio(spoken: pd.Series, item: pd.Series) -> pd.Series:
     """SCL4: Ratcliff-Obershelp similarity; the spoken word is the first sequence."""
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(spoken, item, strict=True)], dtype="float64")
