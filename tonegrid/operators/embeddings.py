@@ -121,7 +121,7 @@ def ridge_fit(rows: DataFrame, features: str, target: str, alphas: list[float],
             scores[alpha] = error(whole, *solve(whole, alpha)) / whole[-1, -1]
     alpha = min(alphas, key=lambda a: (scores[a], a))
     coef, b = solve(whole, alpha)
-    return {"alpha": alpha, "coef": coef.tolist(), "intercept": float(b), "cv_rmse": scores[alpha] ** 0.5, "n": int(whole[-1, -1])}
+    return {"alpha": alpha, "coef": coef.tolist(), "intercept": float(b), "cv_rmse": float(scores[alpha]) ** 0.5, "n": int(whole[-1, -1])}
 
 
 def evaluation(rows: DataFrame, truth: str, guess: str, group: str, min_rows: int = 3, min_std: float = 1e-9) -> DataFrame:

@@ -57,7 +57,7 @@ def fixed_durations(native: DataFrame, seconds: float = SPAN) -> DataFrame:
 _EV = """ev AS (SELECT user_id AS stimulus_id, event_id, event_type, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01'))::DOUBLE / 1e6 AS t,
   CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events)"""
 _GRID = f"""{_EV},
-sp AS (SELECT stimulus_id, k::INTEGER AS k, (k + 0.5) * {HOP} AS time FROM (SELECT DISTINCT stimulus_id FROM ev) s, range({int(SPAN / HOP)}) g(k)),
+sp AS (SELECT stimulus_id, k::INTEGER AS k, (k + 0.5)::DOUBLE * {HOP} AS time FROM (SELECT DISTINCT stimulus_id FROM ev) s, range({int(SPAN / HOP)}) g(k)),
 bn AS (SELECT stimulus_id, least(greatest(trunc(t / {HOP})::INTEGER, 0), {int(SPAN / HOP) - 1}) AS k, t, value FROM ev)"""
 
 
@@ -84,7 +84,7 @@ def grid_rate(spark, sf_dir):
 
 
 @query(f"""WITH {_EV}, d AS (SELECT stimulus_id, max(t) AS duration FROM ev GROUP BY 1), n AS (SELECT stimulus_id, greatest(1, ceil(round(duration / {HOP}, 9))::INTEGER) AS n FROM d)
-SELECT stimulus_id, n, k::INTEGER AS k, (k + 0.5) * {HOP} AS time FROM n, range({int(SPAN / HOP) + 2}) g(k) WHERE k < n""")
+SELECT stimulus_id, n, k::INTEGER AS k, (k + 0.5)::DOUBLE * {HOP} AS time FROM n, range({int(SPAN / HOP) + 2}) g(k) WHERE k < n""")
 def grid_duration_windows(spark, sf_dir):
     durations = events(spark, sf_dir).groupBy("stimulus_id").agg(F.max("t").alias("duration"))
     return G.spine(durations, HOP)
@@ -440,6 +440,207 @@ def topk_variance(spark, sf_dir):
     return M.top_variance(table(spark, sf_dir, "lineitem"), list(_NUMERIC), 2).withColumn("variance", F.round("variance", 4))
 
 
+# --- generated signals ------------------------------------------------------------------------------------------------
+
+
+def _samples(spark, n: int, rows: str, sample: str) -> DataFrame:
+    """(signal, i, x): ``rows`` numbers of signals, samples 0 … n-1 of an SQL formula in signal and i."""
+    return spark.sql(f"select signal, i, {sample} as x from (select explode(array({rows})) as signal) lateral view explode(sequence(0, {n - 1})) e as i")
+
+
+@query("""WITH x AS (SELECT signal, i, 0.5 * sin(2 * pi() * signal * i / 22050.0) AS x FROM (SELECT unnest([110, 220, 440, 1000]) AS signal) s, range(22050) r(i))
+SELECT signal, (i // 512)::INTEGER AS frame_idx, round(sqrt(avg(x * x)), 6) AS rms FROM x GROUP BY ALL""")
+def synth_sine_rms(spark, sf_dir):
+    x = _samples(spark, 22050, "110, 220, 440, 1000", "0.5D * sin(2 * pi() * signal * i / 22050D)")
+    return x.groupBy("signal", F.expr("int(i div 512)").alias("frame_idx")).agg(F.round(F.sqrt(F.avg(F.col("x") * F.col("x"))), 6).alias("rms"))
+
+
+@query("SELECT i::INTEGER AS i, round(20 * log10(greatest(i * i / 1e7, 1e-5)), 6) AS db, round(10 ^ (-i / 20.0), 9) AS amplitude, round(i * 2e-5 * 10 ^ (94 / 20.0), 6) AS pascal FROM range(200) r(i)")
+def synth_db(spark, sf_dir):
+    i = F.col("id").cast("double")
+    return spark.range(200).select(F.col("id").cast("int").alias("i"), F.round(S.amplitude_to_db(i * i / 1e7), 6).alias("db"), F.round(S.db_to_amplitude(-i), 9).alias("amplitude"), F.round(S.pascals(i), 6).alias("pascal"))
+
+
+@query("SELECT i::INTEGER AS i, round(least(i / 100.0 / 0.25, 1) * exp(-(i / 100.0) / 0.8), 6) AS envelope FROM range(500) r(i)")
+def am_envelope(spark, sf_dir):
+    return spark.range(500).select(F.col("id").cast("int").alias("i"), F.round(S.attack_decay(F.col("id") / 100.0, 0.25, 0.8), 6).alias("envelope"))
+
+
+@query("SELECT i::INTEGER AS i, round(CASE WHEN i > 0 THEN 2 / (i / 10.0 / 4 + 4 / (i / 10.0)) ELSE 0.0 END, 6) AS weight FROM range(400) r(i)")
+def fluctuation_weight(spark, sf_dir):
+    return spark.range(400).select(F.col("id").cast("int").alias("i"), F.round(S.modulation_weight(F.col("id") / 10.0), 6).alias("weight"))
+
+
+_DFT = """x AS (SELECT signal, (i // 64)::INTEGER AS frame_idx, i % 64 AS n, sin(2 * pi() * signal * i / 64.0) + 0.3 * sin(2 * pi() * (signal + 7) * i * i / 65536.0) AS x FROM (SELECT unnest([3, 5, 11]) AS signal) s, range(512) r(i)),
+m AS (SELECT signal, frame_idx, b::INTEGER AS bin, sqrt(sum(x * cos(2 * pi() * b * n / 64)) ^ 2 + sum(x * sin(2 * pi() * b * n / 64)) ^ 2) AS mag FROM x, range(33) g(b) GROUP BY ALL)"""
+
+
+def _dft(spark) -> DataFrame:
+    """(signal, frame_idx, mag): 33-bin magnitudes of eight 64-sample frames."""
+    x = _samples(spark, 512, "3, 5, 11", "sin(2 * pi() * signal * i / 64D) + 0.3D * sin(2 * pi() * (signal + 7) * i * i / 65536D)")
+    bins = x.select("signal", F.expr("int(i div 64)").alias("frame_idx"), F.expr("i % 64").alias("n"), "x", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("bin"))
+    angle = 2 * F.pi() * F.col("bin") * F.col("n") / 64
+    mags = bins.groupBy("signal", "frame_idx", "bin").agg(F.sqrt(F.pow(F.sum(F.col("x") * F.cos(angle)), F.lit(2)) + F.pow(F.sum(F.col("x") * F.sin(angle)), F.lit(2))).alias("mag"))
+    return mags.groupBy("signal", "frame_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "mag"))), lambda s: s["mag"]).alias("mag"))
+
+
+@query(f"WITH {_DFT} SELECT signal, frame_idx, round(sum(bin * mag) / sum(mag), 6) AS centroid FROM m GROUP BY ALL")
+def synth_dft_centroid(spark, sf_dir):
+    weighted = F.aggregate(F.transform("mag", lambda v, i: v * i), F.lit(0.0), lambda s, v: s + v)
+    return _dft(spark).select("signal", "frame_idx", F.round(weighted / V.total(F.col("mag")), 6).alias("centroid"))
+
+
+@query(f"WITH {_DFT}, d AS (SELECT signal, frame_idx, bin, greatest(mag - lag(mag) OVER (PARTITION BY signal, bin ORDER BY frame_idx), 0) AS d FROM m) SELECT signal, frame_idx, round(sqrt(coalesce(sum(d * d), 0)), 6) AS flux FROM d GROUP BY ALL")
+def synth_dft_flux(spark, sf_dir):
+    """WIN5: half-wave-rectified first difference; 0 for the first frame."""
+    before = F.lag("mag").over(Window.partitionBy("signal").orderBy("frame_idx"))
+    rise = F.aggregate(F.zip_with("mag", "_b", lambda a, b: F.pow(F.greatest(a - b, F.lit(0.0)), F.lit(2))), F.lit(0.0), lambda s, v: s + v)
+    return _dft(spark).withColumn("_b", before).select("signal", "frame_idx", F.round(F.coalesce(F.sqrt(rise), F.lit(0.0)), 6).alias("flux"))
+
+
+@query(f"WITH {_DFT}, c AS (SELECT signal, frame_idx, bin % 12 AS pc, sum(mag) AS e FROM m GROUP BY ALL), p AS (SELECT *, e / sum(e) OVER (PARTITION BY signal, frame_idx) AS p FROM c) SELECT signal, frame_idx, round(-sum(p * log2(p)) / log2(12), 6) AS entropy FROM p GROUP BY ALL")
+def synth_entropy(spark, sf_dir):
+    folded = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda c: V.total(F.filter("mag", lambda v, i: i % 12 == c)))
+    return _dft(spark).select("signal", "frame_idx", F.round(V.normalised_entropy(folded), 6).alias("entropy"))
+
+
+_MAJ, _MIN = "[6.35,2.23,3.48,2.33,4.38,4.09,2.52,5.19,2.39,3.66,2.29,2.88]", "[6.33,2.68,3.52,5.38,2.60,3.53,2.54,4.75,3.98,2.69,3.34,3.17]"
+
+
+@query(f"""WITH v AS (SELECT vec::INTEGER AS vec, b AS bin, ((vec * 7 + b * b * 5) % 11 + 1)::DOUBLE AS x FROM range(40) a(vec), range(12) c(b)),
+k AS (SELECT mode, rot::INTEGER AS rot, b AS bin, CASE WHEN mode = 'major' THEN ({_MAJ})[(b - rot + 12) % 12 + 1] ELSE ({_MIN})[(b - rot + 12) % 12 + 1] END::DOUBLE AS y FROM (SELECT unnest(['major', 'minor']) AS mode) m, range(12) r(rot), range(12) c(b))
+SELECT vec, mode, rot, round(corr(x, y), 6) AS r FROM v JOIN k USING (bin) GROUP BY ALL""")
+def key_profile_corr(spark, sf_dir):
+    """SCL13: every vector against the 24 rotated key profiles, kept as literals of the plan."""
+    from .kernels.dsp import MAJOR, MINOR
+
+    vectors = spark.range(40).select(F.col("id").cast("int").alias("vec"), F.expr("transform(sequence(0, 11), b -> double((id * 7 + b * b * 5) % 11 + 1))").alias("x"))
+    bank = F.array(*[F.struct(F.lit(mode).alias("mode"), F.lit(rot).alias("rot"), F.array(*[F.lit(float(p[(b - rot) % 12])) for b in range(12)]).alias("y")) for mode, p in (("major", MAJOR), ("minor", MINOR)) for rot in range(12)])
+    return vectors.withColumn("_k", F.explode(bank)).select("vec", "_k.mode", "_k.rot", F.round(V.pearson(F.col("x"), F.col("_k.y")), 6).alias("r"))
+
+
+_HALF = 4
+
+
+@query(f"""WITH e AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n, embedding FROM embeddings),
+x AS (SELECT i, n, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS p FROM e),
+b AS (SELECT c.i, o AS o, least(greatest(c.i + o, 0), c.n - 1) AS j FROM e c, range(-{_HALF}, {_HALF}) g(o)),
+w AS (SELECT o, exp(-0.5 * ((o + 0.5) / {_HALF / 2}) ^ 2) * sign(o + 0.5) AS w FROM range(-{_HALF}, {_HALF}) g(o)),
+s AS (SELECT b.i, x.p, sum(w.w * x.x) AS s FROM b JOIN w USING (o) JOIN x ON x.i = b.j GROUP BY ALL)
+SELECT i::INTEGER AS i, round(greatest(sum(s * s), 0), 6) AS novelty FROM s GROUP BY 1""")
+def novelty_checkerboard(spark, sf_dir):
+    """FRM8, WIN11: the checkerboard kernel is an outer product g·gᵀ, so novelty is |Σ g(o)·v(i+o)|²: a banded window, never a matrix.
+
+    The sequence is one clip; its frames are numbered once and edges repeat.
+    """
+    order = Window.orderBy("vec_id")
+    e = table(spark, sf_dir, "embeddings").select("embedding", (F.row_number().over(order) - 1).alias("i"))
+    last = e.agg(F.max("i").alias("last"))
+    offsets = [o + 0.5 for o in range(-_HALF, _HALF)]
+    import math
+
+    taps = F.array(*[F.struct(F.lit(int(o - 0.5)).alias("o"), F.lit(math.exp(-0.5 * (o / (_HALF / 2)) ** 2) * (1.0 if o > 0 else -1.0)).alias("w")) for o in offsets])
+    reached = e.join(F.broadcast(last)).select("embedding", "i", "last", F.explode(taps).alias("t"))
+    # frame j serves every i with clamp(i + o) = j: itself, and at the edges all i beyond
+    low = F.when(F.col("i") == 0, 0).otherwise(F.col("i") - F.col("t.o"))
+    high = F.when(F.col("i") == F.col("last"), F.col("last")).otherwise(F.when(F.col("i") == 0, -F.col("t.o")).otherwise(F.col("i") - F.col("t.o")))
+    low = F.when(F.col("i") == F.col("last"), F.col("last") - F.col("t.o")).otherwise(low)
+    spread = reached.where((low <= high) & (high >= 0) & (low <= F.col("last"))).select(F.explode(F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.col("last")))).alias("i"), F.col("t.w").alias("w"), "embedding")
+    sums = spread.select("i", F.posexplode(F.transform("embedding", lambda x: x.cast("double") * F.col("w"))).alias("p", "x")).groupBy("i", "p").agg(F.sum("x").alias("s"))
+    return sums.groupBy("i").agg(F.round(F.greatest(F.sum(F.col("s") * F.col("s")), F.lit(0.0)), 6).alias("novelty"))
+
+
+# --- beyond SQL -------------------------------------------------------------------------------------------------------
+
+
+@query()
+def fluctuation_estimate(spark, sf_dir):
+    """FRM11 over generated envelopes of several modulation rates."""
+    import numpy as np
+    import pyarrow as pa
+
+    from .kernels.dsp import fluctuation
+
+    def run(batches):
+        for batch in batches:
+            rates = batch.column(0).to_pylist()
+            t = np.arange(0, 4, 0.002)
+            out = []
+            for r in rates:
+                specific = np.zeros((240, len(t)))
+                specific[40:60] = 1 + np.sin(2 * np.pi * r * t)
+                out.append(float(fluctuation(specific, t)[len(t) // 2]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["modulation", "fluctuation"])
+
+    return spark.range(1, 17).select(F.col("id").cast("double").alias("modulation")).mapInArrow(run, "modulation double, fluctuation double")
+
+
+@query()
+def scene_frames(spark, sf_dir):
+    """FRM1-9 over synthetic scenes: decode-free path from samples to frames."""
+    from .plans.score import kernel_frames
+    from .sources.synthetic import scenes
+
+    return kernel_frames(scenes(spark, seconds=4.0, sr=22_050), ["loudness", "pitch", "spectral", "onsets", "tonal", "rhythm", "timbre"])
+
+
+@query()
+def stub_embeddings(spark, sf_dir):
+    """EMB5, FRM13: provider path with the stub model."""
+    from .providers.base import StubProvider, embed
+    from .sources.synthetic import scenes
+
+    return embed(scenes(spark, ("rain", "tone", "silence"), 5.0, 16_000), StubProvider(), 0.5)
+
+
+@query()
+def pca_projection(spark, sf_dir):
+    from .explore.projection import pca
+
+    wide = table(spark, sf_dir, "embeddings").select("vec_id", *V.flatten_columns("embedding", "e", 64))
+    return pca(wide, [c for c in wide.columns if c != "vec_id"], 3)[0].select("vec_id", "projection")
+
+
+@query()
+def ppca_missing(spark, sf_dir):
+    from .explore.projection import ppca
+
+    wide = table(spark, sf_dir, "embeddings").select("vec_id", *V.flatten_columns("embedding", "e", 64))
+    columns = [c for c in wide.columns if c != "vec_id"][:12]
+    holes = wide.select("vec_id", *[F.when((F.col("vec_id") + i) % 9 != 0, F.col(c)).alias(c) for i, c in enumerate(columns)])
+    return ppca(holes, columns, 2, 15)[0].select("vec_id", "projection")
+
+
+@query()
+def ridge_probe(spark, sf_dir):
+    """EMB7-8: penalty by grouped cross-validation."""
+    rows = table(spark, sf_dir, "embeddings").select("embedding", "label", (F.col("label") / 10.0).alias("y"), (F.col("vec_id") % 37).alias("song"))
+    fit = E.ridge_fit(rows, "embedding", "y", [10.0 ** (-2 + 0.5 * i) for i in range(13)], "song")
+    return spark.createDataFrame([(fit["alpha"], fit["intercept"], fit["cv_rmse"], fit["n"], fit["coef"])], "alpha double, intercept double, cv_rmse double, n long, coef array<double>")
+
+
+@query("SELECT n_regionkey AS stimulus_id, count(*) AS rows, to_json(struct_pack(rows := count(*))) AS document FROM nation GROUP BY 1")
+def sidecar_json(spark, sf_dir):
+    """SNK5: one provenance document per stimulus."""
+    counted = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("stimulus_id")).agg(F.count("*").alias("rows"))
+    return counted.select("stimulus_id", "rows", F.to_json(F.struct("rows")).cast("string").alias("document"))
+
+
+@query()
+def online_grid_replay(spark, sf_dir):
+    """§2.15: the events replayed as a stream; equals the batch windows."""
+    import uuid
+
+    from .streaming.online_grid import online_grid
+
+    source = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    name = f"online_{uuid.uuid4().hex}"
+    q = online_grid(stream.withColumnRenamed("user_id", "stimulus_id"), HOP).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
