@@ -46,6 +46,11 @@ def _word_hashes(text):
     return F.when(bare == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(bare, WORD_SPLIT), lambda w: F.xxhash64(w)))
 
 
+def _once(value):
+    """``value`` computed once a row: as a generator's output it is not copied into the expressions that read it."""
+    return F.explode_outer(F.array(value))
+
+
 def _shingle_at(words: str, at: str) -> str:
     return f"xxhash64({', '.join(f'{words}[{at} + {k}]' for k in range(SHINGLE))})"
 
@@ -77,10 +82,10 @@ _COMMON = "aggregate(array_intersect(w_shingles, i_shingles), 0, (s, x) -> s + l
 def benchmark_items(benchmark: DataFrame, key: str = "item_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per item of five words or more: shingles, fingerprint, blocks."""
     return (
-        benchmark.select(benchmark[key].alias("item_id"), _word_hashes(benchmark[text]).alias("words"))
+        benchmark.select(benchmark[key].alias("item_id"), _once(_word_hashes(benchmark[text])).alias("words"))
         .where(F.size("words") >= SHINGLE)
-        .select("item_id", F.size("words").alias("n"), F.expr(_shingles("words")).alias("i_shingles"))
-        .withColumn("i_fp", F.expr(_simhash("i_shingles")))
+        .select("item_id", F.size("words").alias("n"), _once(F.expr(_shingles("words"))).alias("i_shingles"))
+        .select("item_id", "n", "i_shingles", _once(F.expr(_simhash("i_shingles"))).alias("i_fp"))
         .withColumn("i_blocks", _blocks("i_fp", radius))
     )
 
@@ -101,16 +106,18 @@ def leaks(
     total = items.agg(F.coalesce(F.sum(F.size("i_shingles")), F.lit(0))).first()[0]
     parts = max(1, -(-int(total) // block_shingles))
     body = F.coalesce(docs[text].cast("string"), F.lit(""))
-    words = docs.select(docs[key].alias("doc_id"), F.xxhash64(body).alias("text_hash"), _word_hashes(docs[text]).alias("w")).where(F.size("w") >= SHINGLE)
-    probes = words.select("doc_id", "text_hash", "w", F.explode(F.sequence(F.lit(0), F.size("w") - SHINGLE)).alias("pos")).withColumn("shingle", F.expr(_shingle_at("w", "pos")))
+    words = docs.select(docs[key].alias("doc_id"), F.xxhash64(body).alias("text_hash"), _once(_word_hashes(docs[text])).alias("w"))
+    places = F.when(F.size("w") >= SHINGLE, F.sequence(F.lit(0), F.size("w") - SHINGLE))
+    probes = words.select("doc_id", "text_hash", "w", F.explode_outer(places).alias("pos")).withColumn("shingle", F.expr(f"if(pos is null, null, {_shingle_at('w', 'pos')})"))
     miss = (1 - similarity) / (1 + similarity)  # the share of shingles that a similar set of the same size may lack
     found = None
     for part in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item_id", "i_fp"), F.lit(parts)) == part)
         index = mine.select("n", "i_shingles", F.size("i_shingles").alias("m"), F.explode(F.array_distinct("i_shingles")).alias("shingle"))
         hits = probes.join(F.broadcast(index), "shingle")
-        windows = hits.withColumn("start", F.greatest(F.lit(0), F.least("pos", F.size("w") - F.col("n"))))
-        windows = windows.withColumn("window", F.expr("slice(w, start + 1, n)")).withColumn("w_shingles", F.expr(_shingles("window")))
+        placed = hits.select("doc_id", "text_hash", "w", "n", "m", "i_shingles", F.greatest(F.lit(0), F.least("pos", F.size("w") - F.col("n"))).alias("start"))
+        inside = F.expr(f"transform(sequence(start, start + least(n, size(w)) - {SHINGLE}), i -> {_shingle_at('w', 'i')})")
+        windows = placed.select("doc_id", "text_hash", "start", "n", "m", "i_shingles", _once(inside).alias("w_shingles"))
         # a document shorter than the item is one short window, which may lack a larger share
         lacking = F.floor(F.col("m") * F.when(F.size("w_shingles") < F.col("m"), 1 - similarity).otherwise(miss) + 1e-9)
         enough = F.size(F.array_intersect("w_shingles", "i_shingles")) >= F.size(F.array_distinct("i_shingles")) - lacking
@@ -118,14 +125,14 @@ def leaks(
         kept = windows.where(close & enough).select("doc_id", "text_hash", "start", "n", "w_shingles")
         found = kept if found is None else found.unionAll(kept)
     candidates = found.groupBy("doc_id", "text_hash", "start", "n").agg(F.first("w_shingles").alias("w_shingles"))
-    hashed = candidates.withColumn("w_fp", F.expr(_simhash("w_shingles")))
+    hashed = candidates.select("*", _once(F.expr(_simhash("w_shingles"))).alias("w_fp"))
     left = hashed.select("doc_id", "text_hash", "start", "n", "w_shingles", "w_fp", F.explode(_blocks("w_fp", radius)).alias("b")).select("*", "b.block", "b.value").drop("b")
     right = items.select("item_id", "n", "i_shingles", "i_fp", F.explode("i_blocks").alias("b")).select("item_id", "n", "i_shingles", "i_fp", F.col("b.block").alias("block"), F.col("b.value").alias("value"))
     near = left.join(right, ["n", "block", "value"]).where(F.bit_count(F.col("w_fp").bitwiseXOR(F.col("i_fp"))) <= radius)
     # the first block on which a pair agrees speaks for it, so a pair is verified once
     differ = [f"(shiftrightunsigned(w_fp ^ i_fp, {64 * k // (radius + 1)}) & {(1 << (64 * (k + 1) // (radius + 1) - 64 * k // (radius + 1))) - 1}L) <> 0" for k in range(radius + 1)]
     first = F.expr("case " + " ".join(f"when not ({d}) then {k}" for k, d in enumerate(differ)) + " end")
-    verified = near.where(F.col("block") == first).withColumn("common", F.expr(_COMMON))
+    verified = near.where(F.col("block") == first).select("*", _once(F.expr(_COMMON)).alias("common"))
     scored = verified.withColumn("similarity", F.col("common") / (F.size("w_shingles") + F.size("i_shingles") - F.col("common"))).where(F.col("similarity") >= similarity - 1e-12)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s")))
     return scored.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("b")).select("doc_id", "text_hash", "item_id", (-F.col("b.s")).alias("start"), F.col("b.similarity").alias("similarity"))
@@ -139,14 +146,14 @@ def by_text(found: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.withColumn("_own_hash", F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))))
+    return docs.withColumn("__leak_hash", F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(doc_id, contaminated, n_items, item_id, similarity) of every row of ``docs``."""
     marks = by_text(leaks(docs, benchmark, key, text, **options))
-    rows = docs.select(docs[key].alias("doc_id"), F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("_own_hash"))
-    joined = rows.join(marks, rows["doc_id"].eqNullSafe(marks["_doc"]) & (rows["_own_hash"] == marks["_hash"]), "left")
+    rows = docs.select(docs[key].alias("doc_id"), F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("__leak_hash"))
+    joined = rows.join(marks, rows["doc_id"].eqNullSafe(marks["_doc"]) & (rows["__leak_hash"] == marks["_hash"]), "left")
     return joined.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), "item_id", "similarity")
 
 
@@ -154,4 +161,4 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """The rows of ``docs`` whose texts hold no benchmark item."""
     marks = by_text(leaks(docs, benchmark, key, text, **options)).select("_doc", "_hash")
     rows = _keyed(docs, key, text)
-    return rows.join(marks, rows[key].eqNullSafe(marks["_doc"]) & (rows["_own_hash"] == marks["_hash"]), "left_anti").drop("_own_hash")
+    return rows.join(marks, rows[key].eqNullSafe(marks["_doc"]) & (rows["__leak_hash"] == marks["_hash"]), "left_anti").drop("__leak_hash")
