@@ -26,7 +26,7 @@ the chunks, and piece ids meet per text at the end.
 Cases: null texts count as empty and have no ids; the marker U+2581 in a text
 reads back as a blank, as the library has it (``round_trip`` compares with that);
 repeated rows are encoded row by row, giant ones once per distinct text; other
-columns are kept by ``encode``.
+columns are kept by ``encode``, but for one named ``ids``, which is replaced.
 """
 
 from __future__ import annotations
@@ -325,6 +325,7 @@ def _giant_ids(giants: DataFrame, path: str, chunk_chars: int) -> DataFrame:
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", text: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """``docs`` with the column ``ids`` (array of int) added, equal to the library's ``encode``."""
     path = tokenizer_path(model)
+    docs = docs.drop("ids")
     at = docs.columns.index(text)
     body = docs[text].cast("string")
     out = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))])
@@ -333,16 +334,17 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", text: str = "tex
     limit = GIANT_CHUNKS * chunk_chars
     is_giant = F.coalesce(F.char_length(body), F.lit(0)) >= limit
     short = docs.where(~is_giant).mapInArrow(_short(path, at), out)
-    keyed = docs.where(is_giant).withColumn("_giant", F.md5(body.cast("binary")))
-    distinct = keyed.select(F.col("_giant").alias("giant"), body.alias("text")).groupBy("giant").agg(F.first("text").alias("text"))
+    keyed = docs.where(is_giant).withColumn("__giant_key", F.md5(body.cast("binary")))
+    distinct = keyed.select(F.col("__giant_key").alias("giant"), body.alias("text")).groupBy("giant").agg(F.first("text").alias("text"))
     found = _giant_ids(distinct, path, chunk_chars)
-    long = keyed.join(found, keyed["_giant"] == found["giant"]).select(*[keyed[c] for c in docs.columns], F.col("all_ids").alias("ids"))
+    long = keyed.join(found, keyed["__giant_key"] == found["giant"]).select(*[keyed[c] for c in docs.columns], F.col("all_ids").alias("ids"))
     return short.unionAll(long)
 
 
 def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model", ids: str = "ids", name: str = "decoded") -> DataFrame:
     """``encoded`` with the decoded text added; null ids decode to null."""
     path = tokenizer_path(model)
+    encoded = encoded.drop(name)
     at = encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,8 @@ data. Words are scored once per worker and batch of new words, in numpy.
 
 Cases: null and empty texts have no subwords and get the score of the bias
 alone; a text is scored whole; repeated rows are scored row by row; with no
-usable labels of either class every score is 0; other columns are ignored.
+usable labels of either class every score is 0; other columns are kept, but for
+one named like the score, which is replaced.
 """
 
 from __future__ import annotations
@@ -224,6 +225,7 @@ def scores(model: ToxicityModel, many: list[str]) -> np.ndarray:
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", score: str = "score", rows_at_once: int = 512) -> DataFrame:
     """``docs`` with the column ``score`` (0 to 1) added; one narrow pass."""
     held = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias, model.fitted))
+    docs = docs.drop(score)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
