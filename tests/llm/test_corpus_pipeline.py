@@ -39,7 +39,7 @@ def test_empty_and_null_rows(spark):
 def test_oracles(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = Q.queries()[name](spark, SF)
     result = c.execute(Q.oracle_sql()[name])

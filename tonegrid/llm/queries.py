@@ -49,6 +49,45 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_windows(conversations.unionByName(probe)))
 
 
+OP4_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS k,
+    len(regexp_extract_all(text, '\p{L}+|\p{N}|[^\s\p{L}\p{N}]+')) + 4 AS tok,
+    33 + length(role) + length(text) + len(regexp_extract_all(role || chr(0) || text, '\\|<\||</?s>|<</?SYS>>|\[/?INST\]')) AS chars
+  FROM c
+), t AS (
+  SELECT *, CASE WHEN first_value(role) OVER q = 'system' THEN 1 ELSE 0 END AS f,
+    CASE WHEN first_value(role) OVER q = 'system' THEN first_value(tok) OVER q ELSE 0 END AS sys_tok,
+    CASE WHEN first_value(role) OVER q = 'system' THEN first_value(chars) OVER q ELSE 0 END AS sys_chars,
+    sum(tok) OVER q AS upto, sum(chars) OVER q AS chars_upto, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM e WINDOW q AS (PARTITION BY conv_id ORDER BY k)
+), h AS (
+  SELECT a.conv_id, a.k,
+    min(CASE WHEN b.k >= a.f AND b.k >= a.k - 4 AND (a.upto - a.tok) - (b.upto - b.tok) <= least(256, 1024 - a.sys_tok - a.tok) THEN b.k END) AS hk
+  FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.k <= a.k GROUP BY a.conv_id, a.k
+), s AS (
+  SELECT t.*, t.sys_tok + t.upto - (b.upto - b.tok) AS fresh_used, t.sys_chars + t.chars_upto - (b.chars_upto - b.chars) AS fresh_chars
+  FROM t JOIN h ON t.conv_id = h.conv_id AND t.k = h.k JOIN t b ON b.conv_id = t.conv_id AND b.k = coalesce(h.hk, t.k)
+), w AS (
+  SELECT conv_id, k, fresh_used AS used, fresh_chars AS total FROM s WHERE k = f
+  UNION ALL
+  SELECT s.conv_id, s.k, CASE WHEN w.used + s.tok <= 1024 THEN w.used + s.tok ELSE s.fresh_used END,
+    w.total + CASE WHEN w.used + s.tok <= 1024 THEN s.chars ELSE s.fresh_chars END
+  FROM w JOIN s ON s.conv_id = w.conv_id AND s.k = w.k + 1
+), z AS (
+  SELECT conv_id, max(total) AS total FROM w GROUP BY conv_id
+)
+SELECT t.conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(t.role || chr(10) || t.text || chr(10), '' ORDER BY t.k)) AS turns_sha256,
+  coalesce(sum(length(t.text)) FILTER (WHERE t.role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(t.text, '' ORDER BY t.k) FILTER (WHERE t.role = 'assistant'), '')) AS loss_sha256,
+  coalesce(max(z.total), max(t.sys_chars))::BIGINT AS formatted_chars
+FROM t LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY t.conv_id
+"""
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = parse(captures(read_table(spark, sf_dir, "pages")))
     found = resolve_revisits(records)
@@ -140,6 +179,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+#: The criterion itself, without fingerprints: the similarity of every window that starts at a shared shingle.
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lower(coalesce(text, '')) AS body FROM documents),
+w AS (SELECT rid, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+p AS (SELECT rid, len(ws) AS l, pos, array_to_string(ws[pos + 1 : pos + 5], ' ') AS sh FROM (SELECT rid, ws, unnest(range(greatest(len(ws) - 4, 0))) AS pos FROM w) q),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark),
+i AS (SELECT item_id, len(ws) AS n, array_to_string(ws[pos + 1 : pos + 5], ' ') AS sh FROM (SELECT item_id, ws, unnest(range(greatest(len(ws) - 4, 0))) AS pos FROM b) q),
+ic AS (SELECT item_id, n, sh, count(*) AS c FROM i GROUP BY ALL),
+win AS (SELECT DISTINCT rid, item_id, n, greatest(0, least(pos, l - n)) AS start, least(n, l) - 4 AS mw FROM p JOIN ic USING (sh)),
+wc AS (SELECT win.rid, win.item_id, win.n, win.start, win.mw, p.sh, count(*) AS c FROM win JOIN p ON p.rid = win.rid AND p.pos >= win.start AND p.pos < win.start + win.mw GROUP BY ALL),
+cm AS (SELECT rid, wc.item_id, start, wc.n, mw, sum(least(wc.c, ic.c)) AS common FROM wc JOIN ic ON wc.item_id = ic.item_id AND wc.sh = ic.sh GROUP BY ALL),
+sm AS (SELECT rid, item_id, max(common::DOUBLE / (mw + n - 4 - common)::DOUBLE) AS s FROM cm GROUP BY ALL HAVING s >= 0.8 - 1e-12),
+best AS (SELECT rid, count(*) AS n_items, max(s) AS s FROM sm GROUP BY rid)
+SELECT d.doc_id, best.rid IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items,
+  (SELECT min(item_id) FROM sm WHERE sm.rid = d.rid AND sm.s = best.s) AS item_id, best.s AS similarity
+FROM d LEFT JOIN best ON d.rid = best.rid
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -148,4 +206,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op4_chat_formatting": OP4_SQL, "op5_warc": OP5_SQL, "op9_quality_rules": OP9_SQL, "op10_decontamination": OP10_SQL}
