@@ -424,6 +424,91 @@ def annotation_pairs(spark, sf_dir):
     return E.annotation_pairs(side("click"), side("view"), durations).select("song_id", "t", "valence", "arousal")
 
 
+# --- models that read provider output -----------------------------------------------------------------------------------
+
+_CLIPS = """cl AS (SELECT vec_id // 50 AS stimulus_id, (vec_id % 50)::INTEGER AS k, vec_id, vec_id % 6 = 0 AS silent, embedding FROM embeddings)"""
+
+
+def clips(spark, sf_dir) -> DataFrame:
+    """Vectors as clip windows of 50-row stimuli; every sixth window is silent."""
+    return table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 50").alias("stimulus_id"), F.expr("int(vec_id % 50)").alias("k"), "vec_id", (F.col("vec_id") % 6 == 0).alias("silent"), "embedding")
+
+
+@query(f"""WITH {_CLIPS}, x AS (SELECT stimulus_id, k, silent, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM cl)
+SELECT stimulus_id, k, CASE WHEN NOT silent THEN round(least(greatest(sum(x * ((i % 7) - 3)) + 0.1, -1), 1), 6) END AS valence FROM x GROUP BY stimulus_id, k, silent""")
+def music_emotion_gated(spark, sf_dir):
+    """FRM15."""
+    from .providers.derived import music_emotion
+
+    return music_emotion(clips(spark, sf_dir), {"valence": ([i % 7 - 3 for i in range(64)], 0.1)}).select("stimulus_id", "k", F.round("music_emotion_valence", 6).alias("valence"))
+
+
+@query(f"""WITH {_CLIPS}, {_UNIT} SELECT cl.stimulus_id, cl.k, {", ".join(f"round(max(CASE WHEN category = {c} AND NOT silent THEN score END), 6) + 0.0 AS sound_events_{c}" for c in range(3))}
+FROM cl JOIN sc USING (vec_id) GROUP BY ALL""")
+def sound_events_gated(spark, sf_dir):
+    """FRM16."""
+    from .providers.derived import sound_events
+
+    wide = sound_events(clips(spark, sf_dir), _bank(spark, sf_dir), [0, 1, 2])
+    return wide.select("stimulus_id", "k", *[(F.round(f"sound_events_{c}", 6) + F.lit(0.0)).alias(f"sound_events_{c}") for c in range(3)])
+
+
+@query(f"""WITH {_GRID}, v AS (SELECT sp.stimulus_id, sp.k, avg(bn.value) AS loud, avg(bn.value * 0.01) AS sharp FROM sp LEFT JOIN bn ON sp.stimulus_id = bn.stimulus_id AND sp.k = bn.k GROUP BY ALL)
+SELECT stimulus_id, k, round(loud, 6) AS loudness, round(CASE WHEN loud >= 0.25 THEN sharp END, 6) AS sharpness FROM v""")
+def psychoacoustic_gated(spark, sf_dir):
+    """FRM10, CTX7."""
+    from .providers.derived import psychoacoustic
+
+    native = events(spark, sf_dir).select("stimulus_id", "t", F.col("value").alias("loudness"), (F.col("value") * 0.01).alias("sharpness"), F.lit(None).cast("double").alias("roughness"), F.lit(None).cast("double").alias("fluctuation"))
+    out = psychoacoustic(native, fixed_durations(native), HOP)
+    return out.select("stimulus_id", "k", F.round("psychoacoustic_loudness", 6).alias("loudness"), F.round("psychoacoustic_sharpness", 6).alias("sharpness"))
+
+
+@query(f"""WITH {_CTX}, f AS (SELECT stimulus_id, k, coalesce(m, 0) / 500 AS fraction FROM st)
+SELECT stimulus_id, k, round(CASE WHEN fraction >= 0.25 THEN k * 0.2::DOUBLE + 2 END, 6) AS valence, round(CASE WHEN fraction >= 0.25 THEN k * 0.1::DOUBLE END, 6) AS arousal FROM f""")
+def speech_emotion_gated(spark, sf_dir):
+    """FRM17, CTX5: a provider's three outputs behind the speech gate."""
+    from .providers.derived import speech_emotion, speech_fraction
+
+    vad = events(spark, sf_dir).select("stimulus_id", "t", (F.col("value") / 500).alias("prob"))
+    durations = fixed_durations(vad)
+    spine = G.spine(durations, HOP)
+    raw = spine.select("stimulus_id", "k", F.array(F.col("k") * 0.1, F.lit(0.5), F.col("k") * 0.2 + 2).alias("outputs"))
+    out = speech_emotion(raw, speech_fraction(vad, spine, durations, CONTEXT))
+    return out.select("stimulus_id", "k", F.round("speech_emotion_valence", 6).alias("valence"), F.round("speech_emotion_arousal", 6).alias("arousal"))
+
+
+@query(f"""WITH {_GRID}, c AS (SELECT stimulus_id, k, avg(nullif(CASE WHEN value < 50 THEN 0.0 ELSE value END, 0)) AS hnr, avg(value) AS alpha FROM bn GROUP BY ALL),
+{_CTX.split(_GRID + ",", 1)[1].strip()}
+SELECT sp.stimulus_id, sp.k, round(CASE WHEN coalesce(st.m, 0) / 500 >= 0.25 THEN c.hnr END, 6) AS hnr, round(c.alpha, 6) AS hammarberg
+FROM sp JOIN st ON sp.stimulus_id = st.stimulus_id AND sp.k = st.k LEFT JOIN c ON sp.stimulus_id = c.stimulus_id AND sp.k = c.k""")
+def voice_parameters_gated(spark, sf_dir):
+    """FRM18, PRJ5, CTX6, CTX8."""
+    from .providers.derived import speech_fraction, voice_parameters
+
+    native = events(spark, sf_dir)
+    durations = fixed_durations(native)
+    vad = native.select("stimulus_id", "t", (F.col("value") / 500).alias("prob"))
+    raw = native.select("stimulus_id", "t", F.when(F.col("value") < 50, 0.0).otherwise(F.col("value")).alias("HNRdBACF"), F.col("value").alias("hammarberg"))
+    out = voice_parameters(raw, speech_fraction(vad, G.spine(durations, HOP), durations, CONTEXT), durations, HOP, {"HNRdBACF": "hnr"})
+    return out.select("stimulus_id", "k", F.round("egemaps_hnr", 6).alias("hnr"), F.round("egemaps_hammarberg", 6).alias("hammarberg"))
+
+
+@query("""WITH s AS (SELECT conv_id AS stimulus_id, turn, trim(text, ' ') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS segment_idx FROM conversations WHERE turn % 3 <> 1)
+SELECT stimulus_id, segment_idx::INTEGER AS segment_idx, text, round(exp(-turn / 10.0), 6) AS asr_confidence, len(string_split(text, ' '))::BIGINT AS n_words FROM s""")
+def transcript_flatten(spark, sf_dir):
+    """TXT2, WIN9, SCL8: nested decoder output to numbered segments and words; segments without words go."""
+    from .operators.transcripts import flatten
+
+    word = "transform(split(trim(text), ' '), w -> struct(if(turn % 3 = 1, '', w) as word, double(turn) as start, double(turn) as end, 1D as probability))"
+    rows = table(spark, sf_dir, "conversations").selectExpr("conv_id as stimulus_id", "turn", f"struct(text, double(turn) as start, double(turn + 1) as end, double(-turn / 10D) as avg_logprob, 0D as no_speech_prob, {word} as words) as s")
+    nested = rows.groupBy("stimulus_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "s"))), lambda x: x["s"]).alias("segments"))
+    segs, flat = flatten(nested)
+    spoken = flat.where("word <> ''").groupBy("stimulus_id", "segment_idx").agg(F.count("*").alias("n_words"))
+    kept = segs.join(spoken, ["stimulus_id", "segment_idx"]).withColumn("segment_idx", F.row_number().over(Window.partitionBy("stimulus_id").orderBy("segment_idx")) - 1)
+    return kept.select("stimulus_id", "segment_idx", "text", F.round("asr_confidence", 6).alias("asr_confidence"), "n_words")
+
+
 # --- summaries --------------------------------------------------------------------------------------------------------
 
 _NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
