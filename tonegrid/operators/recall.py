@@ -13,6 +13,8 @@ from ..functions.scalars import normalise_word
 from .grid import KEY
 
 FUZZY_THRESHOLD = 0.8
+#: Items of a pool that may be sent to every executor at once.
+MAX_POOL = 10_000
 
 
 @F.pandas_udf(DoubleType())
@@ -31,8 +33,12 @@ def best_fuzzy(words: DataFrame, pool: DataFrame, norm: str = "norm") -> DataFra
     The pool is an experiment's word list, one block of stated queries; only
     distinct words meet it, never the occurrences.
     """
+    n = pool.count()
+    if n > MAX_POOL:
+        raise ValueError(f"a word pool of {n} items exceeds {MAX_POOL}; match it in blocks")
+    packed = pool.agg(F.collect_list(F.struct(F.col("norm").alias("_item_norm"), "item", "pool_index")).alias("_pool"))
     distinct = words.select(norm).distinct()
-    pairs = distinct.join(pool.select(F.col("norm").alias("_item_norm"), "item", "pool_index"))
+    pairs = distinct.join(F.broadcast(packed)).select(norm, F.inline("_pool"))  # one packed row, of checked size
     scored = pairs.withColumn("score", fuzzy_ratio(F.col(norm), F.col("_item_norm")))
     best = scored.groupBy(norm).agg(F.min(F.struct((-F.col("score")).alias("s"), "pool_index", "item")).alias("b"))
     return best.select(norm, (-F.col("b.s")).alias("score"), F.col("b.pool_index").alias("pool_index"), F.col("b.item").alias("item"))
