@@ -41,9 +41,9 @@ def peak_envelope(df: DataFrame, value: str, order: str, bins: int = 1500, key:
     return peaks.select(key, F.col("bin").cast("int").alias("bin"), F.round(F.coalesce(F.try_divide("_p", "_peak"), F.lit(0.0)), digits).alias("peak"))
 
 
-def head_rows(df: DataFrame, order: str, n: int = 2000) -> DataFrame:
+def head_rows(df: DataFrame, order: str | list[str], n: int = 2000) -> DataFrame:
     """LIM1: the first n rows by time (a report's limit); the caller records ``df.count()``."""
-    return df.orderBy(order).limit(n)
+    return df.orderBy(*([order] if isinstance(order, str) else order)).limit(n)
 
 
 def sorted_bars(df: DataFrame, value: str, label: str) -> DataFrame:

@@ -525,6 +525,98 @@ def topk_variance(spark, sf_dir):
     return M.top_variance(table(spark, sf_dir, "lineitem"), list(_NUMERIC), 2).withColumn("variance", F.round("variance", 4))
 
 
+_NUMBERS = """nb AS (SELECT event_id, value, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN value / 1e7 WHEN event_id % 5 = 2 THEN value * 12345.678::DOUBLE ELSE value END AS x FROM events)"""
+
+
+def numbers(spark, sf_dir) -> DataFrame:
+    e = F.col("event_id") % 5
+    return table(spark, sf_dir, "events").select("event_id", "value", F.when(e == 0, None).when(e == 1, F.col("value") / 1e7).when(e == 2, F.col("value") * 12345.678).otherwise(F.col("value")).alias("x"))
+
+
+@query(f"WITH {_NUMBERS} SELECT event_id, round(round(x, 9), 5) + 0.0 AS x FROM nb")
+def json_numbers(spark, sf_dir):
+    """SCL14."""
+    return numbers(spark, sf_dir).select("event_id", (S.json_number(F.round("x", 9)) + F.lit(0.0)).alias("x"))
+
+
+@query(f"WITH {_NUMBERS} SELECT event_id, CASE WHEN x IS NOT NULL THEN printf('%.6g', x) END AS x FROM nb")
+def number_format(spark, sf_dir):
+    """SNK3."""
+    from .plans.publish import six_digits
+
+    return numbers(spark, sf_dir).select("event_id", six_digits(F.col("x")).alias("x"))
+
+
+_PATHS = """pt AS (SELECT p_partkey, '/data/' || replace(lower(p_type), ' ', '/') || '/' || p_name || CASE p_partkey % 6 WHEN 0 THEN '.WAV' WHEN 1 THEN '.mp4' WHEN 2 THEN '.txt' WHEN 3 THEN '' WHEN 4 THEN '.b.flac' ELSE '.mov' END AS path FROM part)"""
+
+
+@query(f"""WITH {_PATHS} SELECT p_partkey, CASE WHEN lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.flac', '.m4a', '.mp3', '.ogg', '.wav') THEN 'audio' WHEN lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.avi', '.mkv', '.mov', '.mp4') THEN 'video' END AS kind,
+  regexp_replace(regexp_extract(path, '([^/]+)$', 1), '\\.[^.]+$', '') AS stimulus_id FROM pt""")
+def input_kinds(spark, sf_dir):
+    """SRC1, SNK2: kind and identity of input paths; unknown kinds are NULL, for quarantine."""
+    from .sources.audio import input_type_column, stimulus_id
+
+    suffix = F.expr("case p_partkey % 6 when 0 then '.WAV' when 1 then '.mp4' when 2 then '.txt' when 3 then '' when 4 then '.b.flac' else '.mov' end")
+    path = F.concat(F.lit("/data/"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("/")), F.lit("/"), "p_name", suffix)
+    return table(spark, sf_dir, "part").select("p_partkey", input_type_column(path).alias("kind"), stimulus_id(path).alias("stimulus_id"))
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages""")
+def html_escape(spark, sf_dir):
+    """SCL15."""
+    return table(spark, sf_dir, "pages").select("page_id", S.html_escape(F.col("html")).alias("escaped"))
+
+
+@query(f"WITH {_WORDS} SELECT stimulus_id, word_idx, trim(regexp_replace(' ,.' || word, '^[^\\p{{L}}\\p{{N}}_\\[]+', ''), ' ') AS clean FROM wd")
+def clean_words(spark, sf_dir):
+    """SCL5."""
+    return words(spark, sf_dir).select("stimulus_id", "word_idx", S.clean_verbatim_word(F.concat(F.lit(" ,."), "word")).alias("clean"))
+
+
+@query("WITH t AS (SELECT user_id AS stimulus_id, event_type AS speaker, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01'))::DOUBLE / 1e6 AS onset, event_id FROM events) SELECT event_id, (row_number() OVER (PARTITION BY stimulus_id ORDER BY onset, onset + event_id % 7, speaker) - 1)::INTEGER AS turn_idx FROM t")
+def turn_numbers(spark, sf_dir):
+    """WIN8, ORD1."""
+    t = events(spark, sf_dir).select("stimulus_id", "event_id", F.col("event_type").alias("speaker"), F.col("t").alias("onset"), (F.col("t") + F.col("event_id") % 7).alias("offset"))
+    return O.number_turns(t).select("event_id", "turn_idx")
+
+
+@query(f"WITH {_UNIT}, g AS (SELECT vec_id, category, CASE WHEN vec_id % 3 <> 0 THEN score END AS score FROM sc) SELECT vec_id, count(*)::BIGINT AS n FROM g GROUP BY 1 HAVING count(score) > 0")
+def scored_stimuli(spark, sf_dir):
+    """FLT4: fully gated items are left out of a ranking."""
+    gated = _scores(spark, sf_dir).withColumn("score", F.when(F.col("vec_id") % 3 != 0, F.col("score")))
+    return M.scored_only(gated, "vec_id").groupBy("vec_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_EV} SELECT event_id, t, value FROM ev WHERE value IS NOT NULL ORDER BY t, event_id LIMIT 2000")
+def head_rows(spark, sf_dir):
+    """FLT3, LIM1: complete rows, the first 2 000 of a report."""
+    return M.head_rows(M.complete_rows(events(spark, sf_dir), ["value"]).select("event_id", "t", "value"), ["t", "event_id"], 2000)
+
+
+@query(f"WITH {_GRID} SELECT stimulus_id, k, greatest(0, time - {HOP} / 2)::DOUBLE AS play_from, (time + {HOP} / 2)::DOUBLE AS play_to FROM sp")
+def play_spans(spark, sf_dir):
+    """PRJ6."""
+    spine = G.spine(fixed_durations(events(spark, sf_dir)), HOP)
+    return spine.select("stimulus_id", "k", F.greatest(F.lit(0.0), F.col("time") - HOP / 2).alias("play_from"), (F.col("time") + HOP / 2).alias("play_to"))
+
+
+@query()
+def published_tables(spark, sf_dir):
+    """SNK1, SNK4: a written table and the row count observed while writing."""
+    import uuid
+
+    from .plans.publish import write_tables
+    from .plans.score import ScoreResult
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        import tempfile
+
+        folder = "file://" + tempfile.mkdtemp(prefix="published-")
+    written = write_tables(ScoreResult(frames=table(spark, sf_dir, "nation").withColumn("stimulus_id", F.col("n_regionkey"))), f"{folder}/published/{uuid.uuid4().hex}")
+    return spark.createDataFrame([(kind, w["rows"]) for kind, w in written.items()], "kind string, rows long")
+
+
 # --- generated signals ------------------------------------------------------------------------------------------------
 
 
