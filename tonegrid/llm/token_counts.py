@@ -25,6 +25,8 @@ columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import unicodedata
 from collections import defaultdict
@@ -39,8 +41,8 @@ from pyspark.sql import functions as F
 
 from .common import once, partition_number, texts, tokenizer_path
 
-BLOCK_DOCS = 8192
-BLOCK_CHARS = 1 << 25
+BLOCK_DOCS = 4096
+BLOCK_CHARS = 1 << 23
 OVER_LIMIT = 2048
 
 _ROWS = "key string, block long, word int, body binary"
@@ -53,20 +55,23 @@ _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_KIND['L']}]+|[{_KIND['N']}]|[^\
 
 @once
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and every thread keeps memory of its own
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
-def _special_pattern(tokenizer):
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.special]
+def _special_pattern(path: str):
+    with open(path, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"] if t["special"]]
     return re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
 
 
-def pretokens(text: str, tokenizer) -> list[str]:
+def pretokens(text: str, path: str) -> list[str]:
     """Pre-tokens of a text without special strings, in order, as characters (not byte symbols)."""
     if _STABLE.search(text) is None:
         return _SPLIT.findall(text.lower())
+    tokenizer = _tokenizer(path)
     clean = tokenizer.normalizer.normalize_str(text)
     return [clean[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(clean)]
 
@@ -96,15 +101,21 @@ class _Block:
         self.words.default_factory = self.words.__len__
 
     def add(self, key, text: str, found: list[str], n_special: int) -> None:
-        self.ids.append(np.fromiter(map(self.words.__getitem__, found), dtype=np.int64, count=len(found)))
+        self.ids.append(np.fromiter(map(self.words.__getitem__, found), dtype=np.int32, count=len(found)))
         self.keys.append(key)
         self.sizes.append(len(text.encode("utf-8", "surrogatepass")))
         self.base.append(len(found) + n_special)
         self.chars += len(text)
 
     def rows(self, block: int) -> pa.RecordBatch:
-        slots = np.repeat(np.arange(len(self.ids)), [len(x) for x in self.ids])
-        pairs, counts = np.unique(np.concatenate(self.ids) << 16 | slots, return_counts=True)
+        pairs = np.concatenate(self.ids).astype(np.int64)
+        pairs <<= 16
+        pairs |= np.repeat(np.arange(len(self.ids)), [len(x) for x in self.ids])
+        self.ids = []
+        pairs.sort()
+        edges = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(edges, len(pairs)))
+        pairs = pairs[edges]
         n = len(self.words)
         width = np.uint8 if not len(counts) or counts.max() < 256 else np.uint32
         known = np.array([k is not None for k in self.keys], dtype=np.int64)
@@ -121,22 +132,29 @@ class _Block:
         )
 
 
+def _rows(batches: Iterator[pa.RecordBatch], step: int = 256):
+    for batch in batches:
+        for start in range(0, batch.num_rows, step):
+            part = batch.slice(start, step)
+            yield from zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True)
+
+
 def _pack(path: str):
+    special = _special_pattern(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
-        special = _special_pattern(tokenizer)
         first = partition_number() << 24
         block, number = _Block(), 0
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                parts = special.split(text) if special else [text]
-                found = pretokens(parts[0], tokenizer)
-                for part in parts[1:]:
-                    found += pretokens(part, tokenizer)
-                block.add(key, text, found, len(parts) - 1)
-                if len(block.keys) >= BLOCK_DOCS or block.chars >= BLOCK_CHARS:
-                    yield block.rows(first | number)
-                    block, number = _Block(), number + 1
+        for key, text in _rows(batches):
+            parts = special.split(text) if special else [text]
+            found = pretokens(parts[0], path)
+            for part in parts[1:]:
+                found += pretokens(part, path)
+            block.add(key, text, found, len(parts) - 1)
+            if len(block.keys) >= BLOCK_DOCS or block.chars >= BLOCK_CHARS:
+                yield block.rows(first | number)
+                block, number = _Block(), number + 1
+                pa.default_memory_pool().release_unused()
         if block.keys:
             yield block.rows(first | number)
 
