@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
 import uuid
 
@@ -10,18 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-TOKENIZER_DIR = "/opt/tokenizers"
-
 #: Words are runs of anything but space and the five ASCII control blanks.
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 
 
-def tokenizer_path(name: str, folder: str = TOKENIZER_DIR) -> str:
-    """Path of a public vocabulary file (``public_tokenizers.path`` when importable)."""
-    try:
-        import public_tokenizers
-    except ImportError:
-        return f"{folder}/{name}"
+def tokenizer_path(name: str) -> str:
+    """Path of a vocabulary file: ``name`` itself if it is a path, else a file of the public tokenizers."""
+    if "/" in name:
+        return name
+    import public_tokenizers
+
     return public_tokenizers.path(name)
 
 
@@ -92,6 +89,3 @@ def partition_number() -> int:
     context = TaskContext.get()
     return context.partitionId() if context else 0
 
-
-def log(message: str) -> None:
-    print(message, file=sys.stderr)
