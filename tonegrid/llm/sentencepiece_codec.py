@@ -32,6 +32,7 @@ columns are kept by ``encode``, but for one named ``ids``, which is replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -47,25 +48,47 @@ MARK = "▁"
 
 
 class Codec:
-    """The library's model, and the same model without the leading marker, with piece lengths."""
+    """The library's model; and, made when a giant text needs them, the model without the leading marker and piece lengths."""
 
     def __init__(self, path: str):
         import sentencepiece
+
+        self.path = path
+        self.whole = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    @cached_property
+    def proto(self):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
-        with open(path, "rb") as f:
-            raw = f.read()
-        self.whole = sentencepiece.SentencePieceProcessor(model_proto=raw)
         model = proto.ModelProto()
-        model.ParseFromString(raw)
-        spec = model.normalizer_spec
-        self.splittable = model.trainer_spec.model_type == proto.TrainerSpec.BPE and spec.name == "identity" and spec.add_dummy_prefix and not spec.remove_extra_whitespaces
-        spec.add_dummy_prefix = False
-        self.part = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-        byte = proto.ModelProto.SentencePiece.BYTE
-        # a byte piece that leads a character stands for it; continuation bytes have length 0
-        self.lengths = np.array([(0 if 0x80 <= int(p.piece[3:5], 16) < 0xC0 else 1) if p.type == byte else len(p.piece) for p in model.pieces], dtype=np.int64)
-        self.longest = int(max(len(p.piece) for p in model.pieces if p.type != byte))
+        with open(self.path, "rb") as f:
+            model.ParseFromString(f.read())
+        return model
+
+    @cached_property
+    def splittable(self) -> bool:
+        spec, trainer = self.proto.normalizer_spec, self.proto.trainer_spec
+        return trainer.model_type == type(trainer).BPE and spec.name == "identity" and spec.add_dummy_prefix and not spec.remove_extra_whitespaces
+
+    @cached_property
+    def part(self):
+        import sentencepiece
+
+        model = type(self.proto)()
+        model.CopyFrom(self.proto)
+        model.normalizer_spec.add_dummy_prefix = False
+        return sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+
+    @cached_property
+    def lengths(self) -> np.ndarray:
+        """Characters of every piece: a byte piece that leads a character stands for it, continuation bytes have length 0."""
+        byte = type(self.proto).SentencePiece.BYTE
+        return np.array([(0 if 0x80 <= int(p.piece[3:5], 16) < 0xC0 else 1) if p.type == byte else len(p.piece) for p in self.proto.pieces], dtype=np.int64)
+
+    @cached_property
+    def longest(self) -> int:
+        byte = type(self.proto).SentencePiece.BYTE
+        return int(max(len(p.piece) for p in self.proto.pieces if p.type != byte))
 
     def pieces(self, marked: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, ends) of normalised characters; bytes of one character share its span."""
@@ -322,23 +345,25 @@ def _giant_ids(giants: DataFrame, path: str, chunk_chars: int) -> DataFrame:
     return traced.groupBy("giant").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts")).select("giant", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("all_ids"))
 
 
-def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", text: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """``docs`` with the column ``ids`` (array of int) added, equal to the library's ``encode``."""
-    path = tokenizer_path(model)
-    docs = docs.drop("ids")
-    at = docs.columns.index(text)
-    body = docs[text].cast("string")
-    out = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))])
+def _divided(docs: DataFrame, path: str, text: str, chunk_chars: int) -> tuple[DataFrame, DataFrame | None]:
+    """(short rows, giant rows with their ids as ``ids``); no giant rows where the model cannot be split."""
     if not Codec(path).splittable:
-        return docs.mapInArrow(_short(path, at), out)
-    limit = GIANT_CHUNKS * chunk_chars
-    is_giant = F.coalesce(F.char_length(body), F.lit(0)) >= limit
-    short = docs.where(~is_giant).mapInArrow(_short(path, at), out)
+        return docs, None
+    body = docs[text].cast("string")
+    is_giant = F.coalesce(F.char_length(body), F.lit(0)) >= GIANT_CHUNKS * chunk_chars
     keyed = docs.where(is_giant).withColumn("__giant_key", F.md5(body.cast("binary")))
     distinct = keyed.select(F.col("__giant_key").alias("giant"), body.alias("text")).groupBy("giant").agg(F.first("text").alias("text"))
     found = _giant_ids(distinct, path, chunk_chars)
-    long = keyed.join(found, keyed["__giant_key"] == found["giant"]).select(*[keyed[c] for c in docs.columns], F.col("all_ids").alias("ids"))
-    return short.unionAll(long)
+    return docs.where(~is_giant), keyed.join(found, keyed["__giant_key"] == found["giant"]).select(*[keyed[c] for c in docs.columns], F.col("all_ids").alias("ids"))
+
+
+def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", text: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """``docs`` with the column ``ids`` (array of int) added, equal to the library's ``encode``."""
+    path = tokenizer_path(model)
+    docs = docs.drop("ids")
+    short, giant = _divided(docs, path, text, chunk_chars)
+    done = short.mapInArrow(_short(path, docs.columns.index(text)), StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
+    return done if giant is None else done.unionAll(giant)
 
 
 def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model", ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -358,20 +383,23 @@ def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model", ids: str = "i
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(name, StringType())]))
 
 
-def encode_and_check(docs: DataFrame, model: str = "piece_bpe_32k.model", key: str = "doc_id", text: str = "text", rows_at_once: int = 256) -> DataFrame:
-    """(doc_id, n_tokens, ids, round_trip): ids decode to the text they came from."""
+def encode_and_check(docs: DataFrame, model: str = "piece_bpe_32k.model", key: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS, rows_at_once: int = 128) -> DataFrame:
+    """(doc_id, n_tokens, ids, round_trip): ids decode to the text they came from. Short texts are encoded and decoded in one pass."""
     path = tokenizer_path(model)
-    encoded = encode(docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text")), model, "text")
+    rows = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
         for whole in batches:
             for start in range(0, whole.num_rows, rows_at_once):
                 batch = whole.slice(start, rows_at_once)
-                ids = batch.column(2).to_pylist()
+                said = texts(batch.column(1))
+                ids = batch.column(2).to_pylist() if batch.num_columns > 2 else codec.whole.encode(said, num_threads=1)
                 back = codec.whole.decode(ids, num_threads=1)
-                same = [a == b.replace(MARK, " ") for a, b in zip(back, texts(batch.column(1)), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), batch.column(2), pa.array(same)], names=["doc_id", "n_tokens", "ids", "round_trip"])
+                same = [a == b.replace(MARK, " ") for a, b in zip(back, said, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), _ids(ids), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"])
 
-    fields = [encoded.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())]
-    return encoded.mapInArrow(run, StructType(fields))
+    out = StructType([rows.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())])
+    short, giant = _divided(rows, path, "text", chunk_chars)
+    done = short.mapInArrow(checked, out)
+    return done if giant is None else done.unionAll(giant.mapInArrow(checked, out))
