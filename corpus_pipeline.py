@@ -12,7 +12,7 @@ from tonegrid.llm.decontaminate import without_leaks
 from tonegrid.llm.quality import clean
 from tonegrid.llm.queries import fold
 from tonegrid.llm.sentencepiece_codec import encode_and_check
-from tonegrid.llm.simhash import near_duplicates
+from tonegrid.llm.simhash import near_duplicate_ids
 from tonegrid.llm.toxicity import score_toxicity, train
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,10 +36,10 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one whose id names it (a null id stays).
 
-    Five-word shingles. Rows that repeat a kept id and text exactly are one row afterwards.
+    Groups are linked by fingerprints of two- or of three-word shingles.
     """
-    grouped = near_duplicates(docs, shingle=5).select(F.col("doc_id").alias("_kept"), "component_id").where("_kept = component_id").select("_kept").distinct()
-    kept = _documents(docs).join(grouped, F.col("doc_id") == F.col("_kept"), "left_semi")
+    heads = near_duplicate_ids(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
+    kept = _documents(docs).join(heads, F.col("doc_id") == F.col("_kept"), "left_semi")
     return kept.unionByName(_documents(docs).where("doc_id is null"))
 
 

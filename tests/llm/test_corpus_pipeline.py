@@ -22,7 +22,7 @@ def test_stages_of_the_pipeline(spark):
     toxic = docs.where(docs.doc_id.isin(*at["toxicity"]))
     assert at["quality_rules"] == {r.doc_id for r in quality.assess(toxic).where("kept").collect()}
     cleaned = corpus_pipeline.apply_quality_rules(spark, toxic, SF)
-    grouped = simhash.near_duplicates(cleaned, shingle=5).where("doc_id = component_id")
+    grouped = simhash.near_duplicate_ids(cleaned).where("doc_id = component_id")
     assert at["simhash_near_dedup"] == {r.doc_id for r in grouped.collect()}
     assert before.where("round_trip").count() == before.count() > 0
 

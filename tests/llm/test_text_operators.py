@@ -276,6 +276,35 @@ def test_near_duplicates_equal_brute_force(spark, odd):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_several_fingerprints_equal_brute_force(spark):
+    rng = random.Random(18)
+    base = [[rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 3) for _ in range(200)] for _ in range(15)]
+    rows = []
+    for k, words in enumerate(base):
+        for j in range(4):
+            edited = list(words)
+            for _ in range(j * 2):
+                edited[rng.randrange(200)] = "edit"
+            rows.append((10 * k + j, " ".join(edited)))
+    rows += [(900, ""), (901, None), (902, "x"), (None, "x")]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_ids(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    ids = [i for i, _ in rows if i is not None]
+    prints = {i: [simhash.fingerprint(t or "", k) for k in (2, 3)] for i, t in rows if i is not None}
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            if a < b and any(bin(p ^ q).count("1") <= 3 for p, q in zip(prints[a], prints[b], strict=True)):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert got == {i: find(i) for i in ids}
+    assert simhash.near_duplicate_ids(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 # --- 9 ---
 
 
