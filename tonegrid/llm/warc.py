@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 #: Hop-by-hop fields, and fields that describe the stored body, which a 304 must not replace.
 NOT_MERGED = (
@@ -154,8 +156,10 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
     seen = records.select("record_id", "warc_type", "profile", "status", "headers", "body_bytes", "body_md5", canonical_url(F.col("target_uri")).alias("canonical"), F.unix_micros(F.to_timestamp("warc_date")).alias("at"))
     full = F.coalesce((F.col("warc_type") == "response") & (F.col("status") == 200) & F.col("at").isNotNull(), F.lit(False))
     again = F.coalesce((F.col("warc_type") == "revisit") & (F.col("profile") == NOT_MODIFIED), F.lit(False))
+    # records without bodies are a small part of the input; written once, the three joins below reread them
+    seen = cut(seen.where(full | again), "warc-captures")
     etag, modified = _validators("headers")
-    narrow = seen.where(full | again).select("canonical", "at", "record_id", full.alias("full"), F.expr(f"at div {bucket_seconds * 1_000_000}").alias("bucket"))
+    narrow = seen.select("canonical", "at", "record_id", full.alias("full"), F.expr(f"at div {bucket_seconds * 1_000_000}").alias("bucket"))
     placed = narrow.where("canonical is not null and at is not null")
     candidate = F.when(F.col("full"), F.struct("at", "record_id"))
     within = Window.partitionBy("canonical", "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
