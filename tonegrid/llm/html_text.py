@@ -2,7 +2,7 @@
 
 Every DOM node has a link-adjusted density of characters per tag, and a density
 sum over its children. The node of the largest sum holds the article; the
-smallest density on its path to the body is the threshold by which its sibling
+smallest density on its path up to the body is the threshold by which its sibling
 regions also count as content. Elements that are never article text (scripts,
 forms, menus, page headers, footers, sidebars, notices, adverts, reader
 comments; by tag, role, or class and id words) leave the tree before densities
@@ -44,8 +44,10 @@ WORDS = frozenset(
     "ad ads adbox adslot adunit adsense banner sponsor sponsored promo promotion comment comments commentlist disqus replies respond "
     "sidebar aside widget cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup "
     "share sharing social breadcrumb breadcrumbs pagination pager menu nav navbar navigation toolbar footer masthead topbar "
-    "related recommended recommendations skiplink".split()
+    "related recommended recommendations skiplink search login advertisement warning announcement teaser subscription".split()
 )
+#: Words that make a header an article's own.
+OWN_HEADER = frozenset("article post entry content story".split())
 _PREFIXES = ("advert", "sponsor", "cookie", "comment", "sidebar", "newsletter")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -77,8 +79,10 @@ def _unwanted(tag: str, attrs, inside: Counter) -> bool:
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
             return True
         if name in ("class", "id"):
-            for word in _PARTS.findall(value):
-                word = word.lower()
+            words = [w.lower() for w in _PARTS.findall(value)]
+            if "header" in words and not (inside["article"] or inside["main"] or OWN_HEADER.intersection(words)):
+                return True
+            for word in words:
                 if word in WORDS or word.startswith(_PREFIXES):
                     return True
     return False
@@ -180,7 +184,8 @@ def _content(body: _Node) -> list[_Node]:
     threshold, path = best.density, set()
     node = best
     while node is not None and node is not body.parent:
-        threshold = min(threshold, node.density)
+        if node is not body:  # the page's own density also counts what is not article
+            threshold = min(threshold, node.density)
         path.add(id(node))
         node = node.parent
     if best is body:
