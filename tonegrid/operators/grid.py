@@ -33,6 +33,35 @@ def spine(durations: DataFrame, hop: float, key: str = KEY, duration: str = "dur
     return grids.select(key, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).withColumn("time", window_time(F.col("k"), hop))
 
 
+def reduce_windows(
+    native: DataFrame,
+    durations: DataFrame,
+    hop: float,
+    means: tuple[str, ...] = (),
+    maxes: tuple[str, ...] = (),
+    sums: tuple[str, ...] = (),
+    key: str = KEY,
+    t: str = "t",
+    duration: str = "duration",
+) -> DataFrame:
+    """(key, k, means, maxes, sums under their own names, _events) of the windows that hold rows.
+
+    Rows are summed per (key, truncated time) before they meet the durations,
+    map-side first: native rows are never shuffled, and a stimulus with a third
+    of them is a few sums per window. Overhang folds in the second sum.
+    """
+    binned = native.where(F.col(t).isNotNull()).withColumn("_k", (F.col(t) / hop).cast("int"))
+    value = lambda c: missing_if_nan(F.col(c))
+    first = [f(value(c)).alias(f"_{n}_{c}") for c in means for n, f in (("s", F.sum), ("n", F.count))]
+    first += [F.max(value(c)).alias(f"_m_{c}") for c in maxes] + [F.sum(value(c)).alias(f"_t_{c}") for c in sums]
+    partial = binned.groupBy(key, "_k").agg(*first, F.count("*").alias("_e"))
+    counts = durations.select(F.col(key).alias("_key"), window_count(F.col(duration), hop).alias("n"))
+    placed = partial.join(counts, F.col(key) == F.col("_key")).withColumn("k", F.least(F.greatest(F.col("_k"), F.lit(0)), F.col("n") - 1))
+    second = [F.try_divide(F.sum(f"_s_{c}"), F.sum(f"_n_{c}")).alias(c) for c in means]
+    second += [finite(F.max(f"_m_{c}")).alias(c) for c in maxes] + [F.sum(f"_t_{c}").alias(c) for c in sums]
+    return placed.groupBy(key, "k").agg(*second, F.sum("_e").alias("_events"))
+
+
 def to_grid(
     native: DataFrame,
     durations: DataFrame,
@@ -44,21 +73,15 @@ def to_grid(
     t: str = "t",
     duration: str = "duration",
 ) -> DataFrame:
-    """GRD4-6 in one aggregation: missing-aware means, maxima and event rates on a dense grid.
+    """GRD4-6: missing-aware means, maxima and event rates on a dense grid.
 
-    A feature with no value in a window is NULL there; a rate is 0. One shuffle
-    on (key, k) with map-side partial aggregates; the grid itself is generated.
+    A feature with no value in a window is NULL there; a rate is 0.
     """
-    counts = durations.select(F.col(key).alias("_key"), window_count(F.col(duration), hop).alias("n"))
-    binned = native.where(F.col(t).isNotNull()).join(counts, F.col(key) == F.col("_key")).withColumn("k", window_index(F.col(t), hop, F.col("n")))
-    aggregates = [F.avg(missing_if_nan(F.col(c))).alias(f"{c}_mean") for c in means]
-    aggregates += [finite(F.max(missing_if_nan(F.col(c)))).alias(f"{c}_max") for c in maxes]
-    aggregates.append(F.count("*").alias("_events"))
-    reduced = binned.groupBy(key, "k").agg(*aggregates)
+    copies = native.select(key, t, *[F.col(c).alias(f"{c}_mean") for c in means], *[F.col(c).alias(f"{c}_max") for c in maxes])
+    reduced = reduce_windows(copies, durations, hop, tuple(f"{c}_mean" for c in means), tuple(f"{c}_max" for c in maxes), (), key, t, duration)
     dense = spine(durations, hop, key, duration).join(reduced, [key, "k"], "left")
-    out = [key, "k", "time", *[f"{c}_mean" for c in means], *[f"{c}_max" for c in maxes]]
     rated = dense.withColumn(rate, F.coalesce(F.col("_events"), F.lit(0)) / hop) if rate else dense
-    return rated.select(*out, *([rate] if rate else []))
+    return rated.select(key, "k", "time", *[f"{c}_mean" for c in means], *[f"{c}_max" for c in maxes], *([rate] if rate else []))
 
 
 def assemble(spine_df: DataFrame, families: list[DataFrame], key: str = KEY) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..errors import ModelError
-from ..functions.scalars import amplitude_to_db, missing_if_nan
+from ..functions.scalars import amplitude_to_db
 from ..operators import beats_table, grid, intervals, ordered, recall
 from ..operators.grid import KEY
 from ..sources.audio import decode_stimuli
@@ -103,14 +103,11 @@ def kernel_frames(pcm: DataFrame, names: list[str], hop: float = DEFAULT_HOP) ->
     durations = pcm.select(KEY, "duration")
     maxes = [c for m in models for c in m.maxes]
     means = [c for c in native_columns(models) if c not in maxes and c != "onsets_flag"]
-    counts = durations.select(F.col(KEY).alias("_key"), grid.window_count(F.col("duration"), hop).alias("n"))
-    binned = native.join(counts, F.col(KEY) == F.col("_key")).withColumn("k", grid.window_index(F.col("t"), hop, F.col("n")))
-    aggregates = [F.avg(missing_if_nan(F.col(c))).alias(c) for c in means] + [F.max(missing_if_nan(F.col(c))).alias(c) for c in maxes]
+    flags = ("onsets_flag",) if any(m.name == "onsets" for m in models) else ()
+    reduced = grid.reduce_windows(native, durations, hop, tuple(means), tuple(maxes), flags)
+    dense = grid.spine(durations, hop).join(reduced.drop("_events"), [KEY, "k"], "left")
     if any(m.name == "onsets" for m in models):
-        aggregates.append((F.coalesce(F.sum(missing_if_nan(F.col("onsets_flag"))), F.lit(0.0)) / hop).alias("onsets_rate"))
-    dense = grid.spine(durations, hop).join(binned.groupBy(KEY, "k").agg(*aggregates), [KEY, "k"], "left")
-    if any(m.name == "onsets" for m in models):
-        dense = dense.withColumn("onsets_rate", F.coalesce("onsets_rate", F.lit(0.0)))
+        dense = dense.withColumn("onsets_rate", F.coalesce("onsets_flag", F.lit(0.0)) / hop)
     if any(m.name == "loudness" for m in models):
         db = amplitude_to_db(F.col("loudness_rms"))
         dense = dense.withColumn("loudness_db", F.greatest(db, F.max(db).over(Window.partitionBy(KEY)) - 80))
