@@ -27,13 +27,56 @@ def _names(prefix: str, count: int, width: int = 2) -> tuple[str, ...]:
     return tuple(f"{prefix}_{i:0{width}d}" for i in range(1, count + 1))
 
 
-#: Names of the voice parameters an acoustic-parameter provider yields.
-VOICE_PARAMETERS = tuple(
-    "f0_semitone jitter shimmer loudness hnr f1_freq f1_bandwidth f1_amplitude f2_freq f2_bandwidth f2_amplitude f3_freq f3_bandwidth f3_amplitude "
-    "alpha_ratio hammarberg slope_0_500 slope_500_1500 spectral_flux mfcc_1 mfcc_2 mfcc_3 mfcc_4 h1_h2 h1_a3".split()
-)
-#: Categories of the sound-event bank.
-SOUND_EVENTS = "speech laughter crying music singing applause footsteps animal vehicle siren_alarm gunshot_explosion water wind thunder machine silence".split()
+#: Low-level descriptor names of the acoustic-parameter provider, and our column names without prefix.
+#: The last fifteen exist only in voiced frames.
+VOICE_NAMES = {
+    "Loudness_sma3": "loudness",
+    "alphaRatio_sma3": "alpha_ratio",
+    "hammarbergIndex_sma3": "hammarberg",
+    "slope0-500_sma3": "slope_0_500",
+    "slope500-1500_sma3": "slope_500_1500",
+    "spectralFlux_sma3": "flux",
+    "mfcc1_sma3": "mfcc1",
+    "mfcc2_sma3": "mfcc2",
+    "mfcc3_sma3": "mfcc3",
+    "mfcc4_sma3": "mfcc4",
+    "F0semitoneFrom27.5Hz_sma3nz": "f0_semitone",
+    "jitterLocal_sma3nz": "jitter",
+    "shimmerLocaldB_sma3nz": "shimmer",
+    "HNRdBACF_sma3nz": "hnr",
+    "logRelF0-H1-H2_sma3nz": "h1_h2",
+    "logRelF0-H1-A3_sma3nz": "h1_a3",
+    "F1frequency_sma3nz": "f1_freq",
+    "F1bandwidth_sma3nz": "f1_bw",
+    "F1amplitudeLogRelF0_sma3nz": "f1_amp",
+    "F2frequency_sma3nz": "f2_freq",
+    "F2bandwidth_sma3nz": "f2_bw",
+    "F2amplitudeLogRelF0_sma3nz": "f2_amp",
+    "F3frequency_sma3nz": "f3_freq",
+    "F3bandwidth_sma3nz": "f3_bw",
+    "F3amplitudeLogRelF0_sma3nz": "f3_amp",
+}
+VOICE_PARAMETERS = tuple(VOICE_NAMES.values())
+#: Categories of the sound-event bank and the prompts whose embeddings are averaged for each.
+PROMPTS = {
+    "speech": ("a person speaking", "people having a conversation", "someone talking"),
+    "music": ("music playing", "an instrumental piece of music", "background music"),
+    "singing": ("a person singing", "a singing voice", "a vocal melody"),
+    "laughter": ("a person laughing", "laughter", "people laughing together"),
+    "crying": ("a person crying", "sobbing and weeping", "a baby crying"),
+    "shouting": ("a person shouting", "someone yelling angrily", "a person screaming"),
+    "crowd": ("a crowd of people", "the murmur of a busy crowd", "many people talking at once"),
+    "applause": ("an audience applauding", "clapping and applause", "people clapping their hands"),
+    "footsteps": ("footsteps", "the sound of someone walking", "footsteps on a hard floor"),
+    "vehicle": ("a car engine running", "traffic noise", "a vehicle driving past"),
+    "water": ("rain falling", "water flowing", "a running stream of water"),
+    "wind": ("wind blowing", "wind howling", "a gust of wind"),
+    "animals": ("a dog barking", "birds chirping", "animal sounds"),
+    "gunshot_explosion": ("a gunshot", "gunfire", "an explosion"),
+    "siren_alarm": ("a siren wailing", "an emergency vehicle siren", "an alarm ringing"),
+    "thunder": ("thunder rumbling", "a thunderstorm", "a thunder clap"),
+}
+SOUND_EVENTS = tuple(PROMPTS)
 
 MODELS = {
     m.name: m

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import missing_if_nan
@@ -10,12 +10,15 @@ from ..operators import context as C
 from ..operators import embeddings as E
 from ..operators import grid as G
 from ..operators.grid import KEY
-from ..plans.registry import VOICE_PARAMETERS
+from ..plans.registry import PROMPTS, VOICE_NAMES, VOICE_PARAMETERS
 
-#: Voice parameters that mean nothing without speech (gated at the scale of the grid).
-VOICED = VOICE_PARAMETERS[:15]
-#: Parameters whose exact zero stands for "not measured".
-ZERO_IS_MISSING = tuple(p for p in VOICED if p not in ("loudness",))
+#: Voice parameters that exist only in voiced frames: an exact zero there means "not measured", and speech gates them.
+VOICED = VOICE_PARAMETERS[10:]
+
+
+def prompt_table(spark: SparkSession) -> DataFrame:
+    """(category, prompt): what a text-embedding provider embeds before ``ensemble_bank`` averages it."""
+    return spark.createDataFrame([(c, p) for c, prompts in PROMPTS.items() for p in prompts], "category string, prompt string")
 
 
 def gated_embeddings(embeddings: DataFrame, native: DataFrame, durations: DataFrame, hop: float, width: float, value: str = "sample", dbfs: float = C.SILENCE_DBFS) -> DataFrame:
@@ -58,9 +61,9 @@ def speech_emotion(raw: DataFrame, fractions: DataFrame) -> DataFrame:
 
 def voice_parameters(native: DataFrame, fractions: DataFrame, durations: DataFrame, hop: float, names: dict[str, str] | None = None) -> DataFrame:
     """FRM18, PRJ5, CTX6, CTX8: provider columns renamed, zeros and NaN missing, averaged, voiced ones gated."""
-    renamed = native.withColumnsRenamed(names or {})
+    renamed = native.withColumnsRenamed(VOICE_NAMES | (names or {}))
     present = [p for p in VOICE_PARAMETERS if p in renamed.columns]
-    clean = renamed.select(KEY, "t", *[(C.zero_is_missing(missing_if_nan(F.col(p))) if p in ZERO_IS_MISSING else missing_if_nan(F.col(p))).alias(p) for p in present])
+    clean = renamed.select(KEY, "t", *[(C.zero_is_missing(missing_if_nan(F.col(p))) if p in VOICED else missing_if_nan(F.col(p))).alias(p) for p in present])
     grid = G.to_grid(clean, durations, hop, means=tuple(present)).join(fractions, [KEY, "k"])
     value = lambda p: C.speech_gate(F.col(f"{p}_mean"), F.col("speech_fraction")) if p in VOICED else F.col(f"{p}_mean")
     return grid.select(KEY, "k", *[value(p).alias(f"egemaps_{p}") for p in present])
