@@ -224,20 +224,21 @@ def near_duplicate_ids(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """(doc_id, component_id) of every non-null key, linked where any of several fingerprints is within three bits.
 
     Five-word shingles that agree by 0.8 differ in about ten bits, beyond the
-    ball; over shorter shingles the same texts are nearer. Every fingerprint has
-    a representative key (its smallest), so the graph has a star of its copies
-    and one link per met pair of fingerprints.
+    ball; over shorter shingles the same texts are nearer. The graph's nodes are
+    distinct fingerprint tuples, named by their smallest key, so exact copies
+    add neither nodes nor links.
     """
-    prints = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).where("doc_id is not null")
-    prints = cut(add_fingerprints(prints, ["doc_id"], **{f"fp{k}": k for k in shingles}), "doc-fingerprints")
+    names = [f"fp{k}" for k in shingles]
+    source = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).where("doc_id is not null")
+    prints = cut(add_fingerprints(source, ["doc_id"], **dict(zip(names, shingles, strict=True))), "doc-fingerprints")
+    nodes = cut(prints.groupBy(*names).agg(F.min("doc_id").alias("head")), "fingerprint-nodes")
     edges = None
-    for k in shingles:
-        heads = prints.groupBy(f"fp{k}").agg(F.min("doc_id").alias("head"))
-        copies = prints.join(heads, f"fp{k}").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
-        met = links(prints, f"fp{k}")
-        left, right = (heads.select(F.col(f"fp{k}").alias(side), F.col("head").alias(f"{side}_head")) for side in ("a", "b"))
-        pairs = met.join(left, "a").join(right, "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
-        found = copies.unionAll(pairs)
+    for name in names:
+        tops = nodes.groupBy(name).agg(F.min("head").alias("top"))
+        shared = nodes.join(tops, name).where("head <> top").select(F.col("top").alias("a"), F.col("head").alias("b"))
+        left, right = (tops.select(F.col(name).alias(side), F.col("top").alias(f"{side}_top")) for side in ("a", "b"))
+        pairs = links(nodes, name).join(left, "a").join(right, "b").select(F.col("a_top").alias("a"), F.col("b_top").alias("b"))
+        found = shared.unionAll(pairs)
         edges = found if edges is None else edges.unionAll(found)
-    roots = components(edges).withColumnRenamed("root", "component_id")
-    return prints.select("doc_id").distinct().join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rooted = nodes.join(components(edges), F.col("head") == F.col("node"), "left").select(*names, F.coalesce("root", "head").alias("component_id"))
+    return prints.join(rooted, names).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
