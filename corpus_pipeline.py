@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tonegrid.llm.common import read_table, shared_dir
 from tonegrid.llm.decontaminate import without_leaks
+from tonegrid.llm.minhash import similar_texts, text_node
 from tonegrid.llm.quality import clean
 from tonegrid.llm.queries import fold
 from tonegrid.llm.sentencepiece_codec import encode_and_check
-from tonegrid.llm.simhash import near_duplicate_ids
 from tonegrid.llm.toxicity import score_toxicity, train
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -34,13 +34,15 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one whose id names it (a null id stays).
+    """One document of each group stays: the one with the smallest id (a null id stays).
 
-    Groups are linked by fingerprints of two- or of three-word shingles.
+    Groups are linked by a similarity of 0.8 or more between sets of five-word shingles.
     """
-    heads = near_duplicate_ids(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    kept = _documents(docs).join(heads, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return kept.unionByName(_documents(docs).where("doc_id is null"))
+    rows = _documents(docs)
+    nodes = rows.where("doc_id is not null").select("doc_id", text_node(rows["text"]).alias("node"))
+    heads = nodes.join(similar_texts(rows), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("doc_id").alias("_kept")).select("_kept")
+    kept = rows.join(heads, F.col("doc_id") == F.col("_kept"), "left_semi")
+    return kept.unionByName(rows.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
