@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions.scalars import normalise_word
 from .grid import KEY
@@ -27,21 +30,84 @@ def pool_table(items: DataFrame, item: str = "item", index: str = "pool_index")
     return items.select(F.col(index).cast("int").alias("pool_index"), F.col(item).alias("item"), normalise_word(F.col(item)).alias("norm"))
 
 
+class BestItem:
+    """The best item of a pool for every spoken word, by the ratio of ``fuzzy_ratio``; ties to the first index.
+
+    Matched letters are at most the letters in common, so a matrix product over
+    (letter, occurrence) bounds all ratios at once, and items are compared in
+    order of their bounds until no bound can beat the best ratio: exact, with
+    few comparisons a word.
+    """
+
+    def __init__(self, items: list[tuple[str, int]]):
+        items = sorted(items, key=lambda x: x[1])
+        self.indices = [i for _, i in items]
+        self.sizes = np.array([len(n) for n, _ in items])
+        self.matchers = [SequenceMatcher(None, "", n) for n, _ in items]  # the second sequence is indexed once
+        self.places: dict[tuple[str, int], int] = {}
+        marks = [[self.places.setdefault(x, len(self.places)) for x in self._letters(n)] for n, _ in items]
+        self.table = np.zeros((len(self.places), len(items)), dtype=np.float32)
+        for k, mine in enumerate(marks):
+            self.table[mine, k] = 1
+
+    @staticmethod
+    def _letters(word: str) -> list[tuple[str, int]]:
+        seen: dict[str, int] = {}
+        out = []
+        for c in word:
+            seen[c] = seen.get(c, 0) + 1
+            out.append((c, seen[c]))
+        return out
+
+    def find(self, words: list[str]) -> list[tuple[float, int]]:
+        """(score, pool index) of every word."""
+        marks = np.zeros((len(words), len(self.places)), dtype=np.float32)
+        for k, word in enumerate(words):
+            marks[k, [self.places[x] for x in self._letters(word) if x in self.places]] = 1
+        total = np.array([len(w) for w in words])[:, None] + self.sizes
+        bounds = np.where(total > 0, 2.0 * (marks @ self.table) / np.maximum(total, 1), 1.0)
+        return [self._best(word, row) for word, row in zip(words, bounds, strict=True)]
+
+    def _best(self, word: str, bounds: np.ndarray) -> tuple[float, int]:
+        best, at = -1.0, -1
+        near = np.flatnonzero(bounds >= np.partition(bounds, -min(64, len(bounds)))[-min(64, len(bounds))])
+        for part in (near, None):
+            if part is None:  # more than the nearest are needed only where bounds reach the best ratio
+                part = np.setdiff1d(np.flatnonzero(bounds >= best), near, assume_unique=True)
+            for k in part[np.argsort(-bounds[part], kind="stable")].tolist():
+                if bounds[k] < best:
+                    break
+                if bounds[k] == best and k > at:
+                    continue
+                matcher = self.matchers[k]
+                matcher.set_seq1(word)
+                score = matcher.ratio()
+                if score > best or score == best and k < at:
+                    best, at = score, k
+        return best, self.indices[at]
+
+
 def best_fuzzy(words: DataFrame, pool: DataFrame, norm: str = "norm") -> DataFrame:
     """JON7: best pool item of every distinct unmatched word; ties to the first index.
 
     The pool is an experiment's word list, one block of stated queries; only
     distinct words meet it, never the occurrences.
     """
-    n = pool.count()
-    if n > MAX_POOL:
-        raise ValueError(f"a word pool of {n} items exceeds {MAX_POOL}; match it in blocks")
-    packed = pool.agg(F.collect_list(F.struct(F.col("norm").alias("_item_norm"), "item", "pool_index")).alias("_pool"))
-    distinct = words.select(norm).distinct()
-    pairs = distinct.join(F.broadcast(packed)).select(norm, F.inline("_pool"))  # one packed row, of checked size
-    scored = pairs.withColumn("score", fuzzy_ratio(F.col(norm), F.col("_item_norm")))
-    best = scored.groupBy(norm).agg(F.min(F.struct((-F.col("score")).alias("s"), "pool_index", "item")).alias("b"))
-    return best.select(norm, (-F.col("b.s")).alias("score"), F.col("b.pool_index").alias("pool_index"), F.col("b.item").alias("item"))
+    items = [tuple(r) for r in pool.select("norm", "pool_index").limit(MAX_POOL + 1).collect()]
+    if len(items) > MAX_POOL:
+        raise ValueError(f"a word pool of more than {MAX_POOL} items; match it in blocks")
+    found = StructType([StructField(norm, StringType()), StructField("score", DoubleType()), StructField("pool_index", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = BestItem(items)
+        for batch in batches:
+            for start in range(0, batch.num_rows if items else 0, 512):
+                part = batch.column(0).slice(start, 512)
+                scores, indices = zip(*search.find(part.to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([part, pa.array(scores, pa.float64()), pa.array(indices, pa.int32())], names=[norm, "score", "pool_index"])
+
+    best = words.select(norm).where(F.col(norm).isNotNull()).distinct().mapInArrow(run, found)
+    return best.join(F.broadcast(pool.select("pool_index", "item")), "pool_index").select(norm, "score", "pool_index", "item")  # a pool of checked size
 
 
 def annotate_recall(words: DataFrame, pool: DataFrame, threshold: float = FUZZY_THRESHOLD, pos: str = "pos", fuzzy: bool = True, key: str = KEY) -> DataFrame:

@@ -256,8 +256,7 @@ def recall_summary(spark, sf_dir):
 
 @query()
 def recall_fuzzy(spark, sf_dir):
-    pool = word_pool(spark, sf_dir).where("pool_index < 40")
-    return R.annotate_recall(words(spark, sf_dir).withColumnRenamed("word_idx", "pos"), pool)
+    return R.annotate_recall(words(spark, sf_dir).withColumnRenamed("word_idx", "pos"), word_pool(spark, sf_dir))
 
 
 _TIMING = f"""{_WORDS}, gp AS (SELECT *, CASE WHEN onset - lag(offset_) OVER q >= 3 THEN onset - lag(offset_) OVER q END AS gap FROM wd WINDOW q AS (PARTITION BY stimulus_id ORDER BY word_idx))"""
