@@ -2,23 +2,35 @@
 
 Every DOM node has a link-adjusted density of characters per tag, and a density
 sum over its children. The node of the largest sum holds the article; the
-smallest density on its path up to the body is the threshold by which its sibling
-regions also count as content. Elements that are never article text (scripts,
-forms, menus, page headers, footers, sidebars, notices, adverts, reader
-comments; by tag, role, or class and id words) leave the tree before densities
-are taken. If the chosen node lies in an ``article`` or ``main`` element, the
-text is that of the element, so headings and short blocks stay.
+smallest density on its path up to the body is the threshold by which other
+regions also count as content.
+
+What a reader never sees as text (scripts, styles, controls) is no node at all.
+Menus, page headers, footers, sidebars, notices, adverts, forms and reader
+comments are *boxes*: suspects by tag, role, or class and id words. A box leaves
+the tree before densities are taken only if the page has its prose elsewhere;
+``_settle`` decides that from the whole page. A form around the page, or a
+wrapper whose class mentions a sidebar, holds the prose itself: it is opened, and
+only the boxes inside it leave. Comments, menus and footers are opened only
+if the page has no prose at all without them.
+
+If the chosen node lies in an ``article`` or ``main`` element, that element
+stands for it, because its headings and short blocks have low densities of their
+own; the threshold decides about all other regions, a second article included.
 
 One narrow pass, a page at a time: the parser keeps explicit stacks, so deep
 and broken pages neither recurse nor grow in cost with depth.
 
 Cases: null and empty pages give an empty text; pages without tags give their
-whole text; unclosed and stray tags are tolerated; repeated rows are extracted
-row by row; other columns are ignored.
+whole text; very long pages are read whole, in linear time (boxes are opened by
+size, from a heap); unclosed and stray tags are tolerated; among equal density
+sums the first node counts; repeated rows are extracted row by row; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -28,14 +40,17 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import parts, small_batches, texts
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-DROPPED = frozenset("script style noscript template iframe object embed svg canvas audio video head form button select textarea input datalist nav footer aside menu dialog".split())
+#: Never text on a page.
+DROPPED = frozenset("script style noscript template iframe object embed svg canvas audio video head title button select textarea input datalist".split())
+#: Suspects by tag.
+BOXES = frozenset("nav footer aside menu dialog form".split())
 HOLDERS = frozenset(("article", "main"))
 #: Elements that a start tag of the same group closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -46,52 +61,78 @@ WORDS = frozenset(
     "share sharing social breadcrumb breadcrumbs pagination pager menu nav navbar navigation toolbar footer masthead topbar "
     "related recommended recommendations skiplink search login advertisement warning announcement teaser subscription".split()
 )
+#: Words of boxes that are opened only where nothing else holds prose.
+FIRM = frozenset("comment comments commentlist disqus replies respond menu nav navbar navigation footer".split())
+FIRM_TAGS = frozenset(("nav", "footer", "menu"))
+#: Words after which a class says what a page has, not what the element is.
+STATES = frozenset("has with without no not is tag category type format".split())
 #: Words that make a header an article's own.
 OWN_HEADER = frozenset("article post entry content story".split())
 _PREFIXES = ("advert", "sponsor", "cookie", "comment", "sidebar", "newsletter")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: Percentage of a page's text that must lie outside its boxes.
+PROSE_PERCENT = 10
+#: Characters from which the text of a block that also holds regions is content of its own.
+LOOSE_CHARS = 80
+HEAD_TAGS = frozenset("title meta link style script base noscript template".split())
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "gone", "chars", "tags", "link_chars", "link_tags", "density", "total", "elements")
+    __slots__ = ("tag", "parent", "parts", "box", "gone", "own", "outside", "boxed", "chars", "tags", "link_chars", "link_tags", "density", "total", "elements")
 
-    def __init__(self, tag, parent, gone):
-        self.tag, self.parent, self.gone = tag, parent, gone
+    def __init__(self, tag, parent, box):
+        self.tag, self.parent, self.box = tag, parent, box  # box: 0 none, 1 suspect, 2 firm
+        self.gone = tag in DROPPED
+        self.boxed = box > 0 or (parent is not None and parent.boxed)
         self.parts: list = []
-        self.chars = self.tags = self.link_chars = self.link_tags = self.elements = 0
+        self.own = self.outside = self.chars = self.tags = self.link_chars = self.link_tags = self.elements = 0
         self.density = self.total = 0.0
 
 
-def _unwanted(tag: str, attrs, inside: Counter) -> bool:
-    if tag in DROPPED:
-        return True
+def _words(value: str) -> Iterator[str]:
+    """Lower-case words of a class or id attribute that name the element."""
+    for name in value.split():
+        before = ""
+        for word in map(str.lower, _PARTS.findall(name)):
+            if before not in STATES:
+                yield word
+            before = word
+
+
+def _suspect(tag: str, attrs, inside: Counter) -> int:
+    """2 for comments, menus and footers, 1 for other boxes, 0 for content."""
+    if tag in FIRM_TAGS:
+        return 2
+    if tag in BOXES:
+        return 1
     if tag in ("html", "body", "main"):
-        return False
+        return 0
     if tag == "header":
-        return not (inside["article"] or inside["main"])
+        return 0 if inside["article"] or inside["main"] else 1
+    found = 0
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            found = max(found, 1)
         if not value:
             continue
         if name == "role" and value.strip().lower() in ROLES:
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
-        if name in ("class", "id"):
-            words = [w.lower() for w in _PARTS.findall(value)]
+            found = max(found, 1)
+        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
+            found = max(found, 1)
+        elif name in ("class", "id"):
+            words = list(_words(value))
             if "header" in words and not (inside["article"] or inside["main"] or OWN_HEADER.intersection(words)):
-                return True
+                found = max(found, 1)
             for word in words:
                 if word in WORDS or word.startswith(_PREFIXES):
-                    return True
-    return False
+                    found = max(found, 2 if word in FIRM or word.startswith("comment") else 1)
+    return found
 
 
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("#root", None, False)
+        self.root = _Node("#root", None, 0)
         self.nodes = [self.root]
         self.stack = [self.root]
         self.open: Counter = Counter()
@@ -112,12 +153,14 @@ class _Tree(HTMLParser):
                 return
 
     def handle_starttag(self, tag, attrs):
+        if self.open["head"] and tag not in HEAD_TAGS:  # whatever is not the head's own ends an unclosed head
+            self.handle_endtag("head")
         if tag in BLOCK and self.open["p"]:
             self._close_to({"p"})
         if tag in CLOSES:
             self._close_to(CLOSES[tag])
         parent = self.stack[-1]
-        node = _Node(tag, parent, _unwanted(tag, attrs, self.open))
+        node = _Node(tag, parent, _suspect(tag, attrs, self.open))
         parent.parts.append(node)
         self.nodes.append(node)
         if tag == "body" and self.body is None:
@@ -130,8 +173,8 @@ class _Tree(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if tag in VOID or not self.open[tag]:
-            return
+        if tag in VOID or tag in ("html", "body") or not self.open[tag]:
+            return  # what follows the end of the body still belongs to it
         while self.stack[-1].tag != tag:
             self._pop()
         self._pop()
@@ -140,10 +183,63 @@ class _Tree(HTMLParser):
         self.stack[-1].parts.append(data)
 
 
-def _measure(nodes: list[_Node], body: _Node) -> None:
+def _settle(nodes: list[_Node], body: _Node) -> None:
+    """Mark what leaves the tree: all boxes, but for those that hold the page's prose themselves.
+
+    Prose is text outside links. A box with more than half of it (comments, menus and footers apart) is
+    opened: its own boxes take its place. So is the box with the most while less
+    than ``PROSE_PERCENT`` lies outside boxes and no ``article`` or ``main`` does.
+    """
+    holder: dict[int, _Node] = {}
     for node in nodes:  # a parent comes before its children
         if node.parent is not None and node.parent.gone:
             node.gone = True
+        block = node if node.parent is None or node.tag in BLOCK else holder[id(node.parent)]
+        holder[id(node)] = block
+        if not node.gone and node.tag != "a":
+            block.own += sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
+    inner: dict[int, list[_Node]] = {id(n): [] for n in nodes}  # nearest boxes below a node
+    prose = dict.fromkeys(inner, 0)
+    for node in reversed(nodes):
+        if node.gone:
+            continue
+        node.outside += node.own
+        prose[id(node)] += node.own
+        if node.parent is not None and node is not body:
+            up = node.parent
+            prose[id(up)] += prose[id(node)]
+            if node.box:
+                inner[id(up)].append(node)
+            else:
+                up.outside += node.outside
+                if len(inner[id(node)]) > len(inner[id(up)]):
+                    inner[id(up)], inner[id(node)] = inner[id(node)], inner[id(up)]
+                inner[id(up)] += inner[id(node)]
+    outside = body.outside
+    shut = [(n.box, -prose[id(n)], k, n) for k, n in enumerate(inner[id(body)])]
+    heapq.heapify(shut)
+    number = len(shut)
+    whole = prose[id(body)]
+    anchored = any(n.tag in HOLDERS and n.outside and not n.boxed for n in nodes)
+    while shut:
+        box, held, _, node = shut[0]
+        lacking = not anchored and 100 * outside < PROSE_PERCENT * whole
+        if not held or not (lacking or -2 * held > whole) or (box == 2 and outside):
+            break
+        heapq.heappop(shut)
+        node.box = 0
+        outside += node.outside
+        for child in inner[id(node)]:
+            heapq.heappush(shut, (child.box, -prose[id(child)], number, child))
+            number += 1
+    for _, _, _, node in shut:
+        node.gone = True
+    for node in nodes:
+        if node.parent is not None and node.parent.gone:
+            node.gone = True
+
+
+def _measure(nodes: list[_Node], body: _Node) -> None:
     for node in reversed(nodes):
         if node.gone:
             continue
@@ -168,8 +264,8 @@ def _measure(nodes: list[_Node], body: _Node) -> None:
         node.total = node.density if not node.elements else sum(p.density for p in node.parts if not isinstance(p, str))
 
 
-def _content(body: _Node) -> list[_Node]:
-    """Subtrees that hold the article, in page order."""
+def _content(body: _Node) -> list:
+    """Subtrees (and loose texts) that hold the article, in page order."""
     best, stack = body, [body]
     while stack:
         node = stack.pop()
@@ -179,7 +275,8 @@ def _content(body: _Node) -> list[_Node]:
     up = best
     while up is not None and up is not body:
         if up.tag in HOLDERS:
-            return [up]
+            best = up
+            break
         up = up.parent
     threshold, path = best.density, set()
     node = best
@@ -193,14 +290,21 @@ def _content(body: _Node) -> list[_Node]:
     chosen, stack = [], [body]
     while stack:
         node = stack.pop()
-        if node is best or (id(node) not in path and node.density >= threshold):
+        if isinstance(node, str):
+            chosen.append(node)
+        elif node is best or (id(node) not in path and node.density >= threshold):
             chosen.append(node)
         elif id(node) in path:
-            stack += [p for p in reversed(node.parts) if not isinstance(p, str) and not p.gone and p.chars]
+            prose = node.own >= LOOSE_CHARS  # loose text between the regions
+            for part in reversed(node.parts):
+                if isinstance(part, str):
+                    stack += [part] if prose else []
+                elif not part.gone and part.chars:
+                    stack.append(part)
     return chosen
 
 
-def _text(tops: list[_Node]) -> str:
+def _text(tops: list) -> str:
     out, stack = [], list(reversed(tops))
     while stack:
         item = stack.pop()
@@ -223,16 +327,18 @@ def main_text(html: str) -> str:
     tree.close()
     body = tree.body or tree.root
     body.gone = False
+    _settle(tree.nodes, body)
     _measure(tree.nodes, body)
     return _text(_content(body))
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``."""
+    small_batches(pages.sparkSession)
     source = pages.select(pages[key].alias("page_id"), pages[url].alias("url"), pages[html].cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 2):
             found = [main_text(t) for t in texts(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())],
