@@ -20,12 +20,16 @@ Plan
        tied to the smallest light member: a star of true links, never all pairs,
        that keeps every component whole. Links are verified by bit count.
     4. components by alternating large-star and small-star rounds over the
-       links, each cut by a written table.
+       links, each cut by a written table, until a round changes nothing.
+    5. rows meet the component of their fingerprint; fingerprints that more than
+       ``HOT_ROWS`` rows (and more than a thousandth of all) have are at most a
+       thousand, and their rows meet them by a broadcast instead of a shuffle.
 
 Cases: null and empty texts have fingerprint zero and link like any other;
-texts of one or two words have one shingle, the whole sequence; repeated rows
-keep one output row each; null keys never name a component unless all keys of
-it are null; other columns are ignored.
+texts of one or two words have one shingle, the whole sequence; very long texts
+are hashed whole, in slices; repeated rows keep one output row each; null keys
+never name a component unless all keys of it are null; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,12 +43,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import ascii_lower_words, cut, texts
+from .common import ascii_lower_words, cut, parts, small_batches, texts
 
 SEED = 42
 RADIUS = 3
 #: Variants aimed at in a bucket (nine bytes each).
 BUCKET_VARIANTS = 1 << 18
+#: Fingerprints that one task turns into variants (about 560 each, five MB a thousand).
+EMIT_PRINTS = 4096
+#: Rows of one fingerprint from which it counts as hot.
+HOT_ROWS = 10_000
 
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 _PAIRS = (lambda i: _BITS[i[0]] | _BITS[i[1]])(np.triu_indices(64, 1))
@@ -78,10 +86,11 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 def add_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", **shingles: int) -> DataFrame:
     """The columns ``keep`` of ``docs`` and, for every named shingle size, a fingerprint as a signed long; one pass."""
+    small_batches(docs.sparkSession)
     source = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, len(keep)):
             found = np.array([[_majority(words, k) for k in shingles.values()] for words in map(ascii_lower_words, texts(batch.column(len(keep))))], dtype=np.uint64)
             found = found.reshape(-1, len(shingles)).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(np.ascontiguousarray(c)) for c in found.T]], names=[*keep, *shingles])
@@ -168,12 +177,14 @@ def _meet(bits: int):
 def links(prints: DataFrame, name: str = "fp") -> DataFrame:
     """Links (a, b) between distinct fingerprints of ``prints``; every pair within three bits is connected by them."""
     distinct = cut(prints.select(prints[name].alias("fp")).where("fp is not null").distinct(), "fingerprints")
-    bits = max(8, (distinct.count() * 600 // BUCKET_VARIANTS).bit_length())
-    emitted = distinct.mapInArrow(_emit(bits), "bucket long, low binary, code binary")
+    count = distinct.count()
+    bits = max(8, (count * 600 // BUCKET_VARIANTS).bit_length())
+    # the written table may lie in few files; what is emitted is five hundred times its size
+    emitted = distinct.repartition(max(1, -(-count // EMIT_PRINTS)), "fp").mapInArrow(_emit(bits), "bucket long, low binary, code binary")
     return cut(emitted.groupBy("bucket").applyInArrow(_meet(bits), "a long, b long").distinct(), "links")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (a, b); root is the smallest node in reach.
 
     Alternating star contraction: large-star ties a node's larger neighbours to
@@ -192,7 +203,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     before = None
-    for _ in range(max_rounds):
+    while True:
         around = both(edges)
         large = around.join(least(around), "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -204,8 +215,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return roots.unionAll(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
@@ -213,11 +222,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp, fingerprint, component_id) of every row; component_id is the smallest key in reach."""
     prints = cut(add_fingerprints(docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")), ["doc_id"], fp=shingle), "doc-fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rooted = classes.join(components(links(prints)), classes["fp"] == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "fingerprint-classes")
+    rooted = classes.join(components(links(classes)), classes["fp"] == F.col("node"), "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    by_print = cut(rooted.join(named, "root").select("fp", "rows", "component_id"), "fingerprint-components")
+    hot = F.col("rows") > max(HOT_ROWS, prints.count() // 1000)
+    few, many = F.broadcast(by_print.where(hot).drop("rows")), by_print.where(~hot).drop("rows")
+    met = prints.join(few, "fp").unionByName(prints.join(few, "fp", "left_anti").join(many, "fp"))
+    return met.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def near_duplicate_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", shingles: tuple[int, ...] = (2, 3)) -> DataFrame:
