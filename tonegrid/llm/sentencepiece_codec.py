@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from .common import once, texts, tokenizer_path
+from .common import once, parts, small_batches, texts, tokenizer_path
 
 CHUNK_CHARS = 16_384
 GIANT_CHUNKS = 2
@@ -279,11 +279,9 @@ def _ids(lists) -> pa.Array:
 def _short(path: str, at: int, chunk: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
-        for whole in batches:
-            for start in range(0, whole.num_rows, chunk):
-                batch = whole.slice(start, chunk)
-                found = codec.whole.encode(texts(batch.column(at)), num_threads=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, _ids(found)], names=[*batch.schema.names, "ids"])
+        for batch in parts(batches, at, 1 << 20, chunk):
+            found = codec.whole.encode(texts(batch.column(at)), num_threads=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, _ids(found)], names=[*batch.schema.names, "ids"])
 
     return run
 
@@ -360,6 +358,7 @@ def _divided(docs: DataFrame, path: str, text: str, chunk_chars: int) -> tuple[D
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", text: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """``docs`` with the column ``ids`` (array of int) added, equal to the library's ``encode``."""
     path = tokenizer_path(model)
+    small_batches(docs.sparkSession)
     docs = docs.drop("ids")
     short, giant = _divided(docs, path, text, chunk_chars)
     done = short.mapInArrow(_short(path, docs.columns.index(text)), StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
@@ -386,18 +385,17 @@ def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model", ids: str = "i
 def encode_and_check(docs: DataFrame, model: str = "piece_bpe_32k.model", key: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS, rows_at_once: int = 128) -> DataFrame:
     """(doc_id, n_tokens, ids, round_trip): ids decode to the text they came from. Short texts are encoded and decoded in one pass."""
     path = tokenizer_path(model)
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"))
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
-        for whole in batches:
-            for start in range(0, whole.num_rows, rows_at_once):
-                batch = whole.slice(start, rows_at_once)
-                said = texts(batch.column(1))
-                ids = batch.column(2).to_pylist() if batch.num_columns > 2 else codec.whole.encode(said, num_threads=1)
-                back = codec.whole.decode(ids, num_threads=1)
-                same = [a == b.replace(MARK, " ") for a, b in zip(back, said, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), _ids(ids), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"])
+        for batch in parts(batches, 1, 1 << 20, rows_at_once):
+            said = texts(batch.column(1))
+            ids = batch.column(2).to_pylist() if batch.num_columns > 2 else codec.whole.encode(said, num_threads=1)
+            back = codec.whole.decode(ids, num_threads=1)
+            same = [a == b.replace(MARK, " ") for a, b in zip(back, said, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), _ids(ids), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"])
 
     out = StructType([rows.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())])
     short, giant = _divided(rows, path, "text", chunk_chars)

@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, with_field
+from .common import parts, small_batches, texts, with_field
 
 _WORD = re.compile(r"\w+")
-_MEMO_WORDS = 1_000_000
+_MEMO_WORDS = 250_000
 _PART = 20_000
 
 
@@ -224,6 +224,7 @@ def scores(model: ToxicityModel, many: list[str]) -> np.ndarray:
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", score: str = "score", rows_at_once: int = 512) -> DataFrame:
     """``docs`` with the column ``score`` (0 to 1) added; one narrow pass."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias, model.fitted))
     docs = docs.drop(score)
     at = docs.columns.index(text)
@@ -231,10 +232,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, fitted = held.value
         scorer = _Scorer(ToxicityModel(weights.astype(np.float64), bias, fitted))
-        for whole in batches:
-            for start in range(0, whole.num_rows, rows_at_once):
-                batch = whole.slice(start, rows_at_once)
-                got = pa.array(scorer.batch(texts(batch.column(at))), pa.float64())
-                yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, score])
+        for batch in parts(batches, at, max_rows=rows_at_once):
+            got = pa.array(scorer.batch(texts(batch.column(at))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, score])
+        scorer.clear()
 
     return docs.mapInArrow(run, with_field(docs, score, "double"))
