@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pipeline
 from .chat import digests, format_windows
 from .common import read_table
 from .decontaminate import contamination
 from .html_text import extract_text
+from .pipeline import fold
 from .quality import assess
 from .sentencepiece_codec import encode_and_check
 from .sharding import assign_shards
@@ -19,14 +21,6 @@ from .token_counts import count_tokens
 from .toxicity import score_toxicity, train
 from .warc import captures, parse, resolve_revisits
 
-FOLDS = 5
-
-
-def fold(key):
-    """crc32 of the key's text, modulo ``FOLDS``; fold 0 is held out."""
-    return F.crc32(key.cast("string").cast("binary")) % FOLDS
-
-
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
@@ -157,10 +151,9 @@ l AS (SELECT rid, host, body, unnest(string_split(body, chr(10))) AS line FROM d
 u AS (SELECT rid, host, body, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM l),
 v AS (SELECT * FROM u WHERE norm <> ''),
 dup AS (SELECT rid, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM v GROUP BY rid),
-hosts AS (SELECT host, count(DISTINCT body) AS docs FROM d GROUP BY host),
-freq AS (SELECT host, norm, count(DISTINCT body) AS k FROM v GROUP BY host, norm),
-above AS (SELECT f.host, f.norm FROM freq f JOIN hosts h ON f.host IS NOT DISTINCT FROM h.host WHERE k > 10 AND k * 100 > docs * 10),
-gone AS (SELECT v.rid, sum(len(string_split(v.norm, ' ')))::BIGINT AS removed FROM v JOIN above a ON v.host IS NOT DISTINCT FROM a.host AND v.norm = a.norm GROUP BY v.rid),
+same AS (SELECT rid, count(*) OVER (PARTITION BY host, body) AS copies FROM d),
+freq AS (SELECT host, norm, count(DISTINCT rid) AS k FROM v GROUP BY host, norm),
+gone AS (SELECT v.rid, sum(len(string_split(v.norm, ' ')))::BIGINT AS removed FROM v JOIN same USING (rid) JOIN freq f ON v.host IS NOT DISTINCT FROM f.host AND v.norm = f.norm WHERE k - copies + 1 > 10 GROUP BY v.rid),
 j AS (
   SELECT d.doc_id, n.n_words, n.word_chars,
     (length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
@@ -199,10 +192,8 @@ FROM d LEFT JOIN best ON d.rid = best.rid
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     own = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_toxicity, op4_chat_formatting, op5_warc, op6_sharding, op7_html_extraction, op8_simhash, op9_quality_rules, op10_decontamination)}
-    return own | {"pipeline": corpus_pipeline.run}
+    return own | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
