@@ -1,77 +1,5 @@
-"""A training corpus in five stages over ``documents``; each result is written and read back as the next input."""
+"""The corpus pipeline: five stages over ``documents``, as ``tonegrid.llm.pipeline`` has them."""
 
-from __future__ import annotations
+from tonegrid.llm.pipeline import COLUMNS, ORACLE_SQL, STAGES, apply_quality_rules, drop_contaminated, drop_near_duplicates, drop_toxic, run, tokenize
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tonegrid.llm.common import read_table, shared_dir
-from tonegrid.llm.decontaminate import without_leaks
-from tonegrid.llm.minhash import similar_texts, text_node
-from tonegrid.llm.quality import clean
-from tonegrid.llm.queries import fold
-from tonegrid.llm.sentencepiece_codec import encode_and_check
-from tonegrid.llm.toxicity import score_toxicity, train
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def _documents(df: DataFrame) -> DataFrame:
-    return df.select(*COLUMNS)
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.5 or more go."""
-    model = train(docs, read_table(spark, sf_dir, "labels"), usable=lambda k: fold(k) != 0)
-    return _documents(score_toxicity(_documents(docs), model, score="_score").where("_score < 0.5"))
-
-
-def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go, and documents that the rules reject; ``n_chars`` follows the text."""
-    return clean(_documents(docs)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id (a null id stays).
-
-    Groups are linked by a similarity of 0.8 or more between sets of five-word shingles.
-    """
-    rows = _documents(docs)
-    nodes = rows.where("doc_id is not null").select("doc_id", text_node(rows["text"]).alias("node"))
-    heads = nodes.join(similar_texts(rows), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("doc_id").alias("_kept")).select("_kept")
-    kept = rows.join(heads, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return kept.unionByName(rows.where("doc_id is null"))
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    return _documents(without_leaks(_documents(docs), read_table(spark, sf_dir, "benchmark")))
-
-
-def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return encode_and_check(docs)
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("quality_rules", apply_quality_rules),
-    ("simhash_near_dedup", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("sentencepiece", tokenize),
-]
-
-#: The learned classifier and the tokenizer are beyond SQL; tests compare with a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder as Parquet."""
-    docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark).rstrip('/')}/pipeline/{uuid.uuid4().hex}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "apply_quality_rules", "drop_contaminated", "drop_near_duplicates", "drop_toxic", "run", "tokenize"]
