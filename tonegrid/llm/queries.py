@@ -86,37 +86,38 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = parse(captures(read_table(spark, sf_dir, "pages")))
     found = resolve_revisits(records)
     lines = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "\n")
-    page = lambda name, kind: F.regexp_extract(name, f"^urn:{kind}:(.*)$", 1).cast("long")
+    page = lambda name, kind: F.regexp_extract(name, f"^urn:{kind}:(.*)$", 1).try_cast("long")
     return found.select(page("record_id", "revisit").alias("page_id"), F.col("canonical").alias("canonical_url"), "verdict", page("response_id", "page").alias("response_page_id"), "body_bytes", "body_md5", lines.alias("headers"))
 
 
 OP5_SQL = r"""
 WITH p AS (
-  SELECT page_id, regexp_replace(url, '#.*$', '') AS bare, coalesce(html, '') AS body FROM pages WHERE page_id IS NOT NULL
+  SELECT row_number() OVER () AS rid, page_id, coalesce(page_id, 0) AS num, regexp_replace(url, '#.*$', '') AS bare, coalesce(html, '') AS body FROM pages
 ), h AS (
-  SELECT page_id, body,
-    regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '') AS host,
+  SELECT rid, page_id, num, body, lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)) AS named,
+    CASE WHEN starts_with(lower(bare), 'https:') THEN ':443' WHEN starts_with(lower(bare), 'http:') THEN ':80' END AS port,
+    regexp_replace(CASE WHEN ends_with(named, port) THEN string_split(named, ':')[1] ELSE named END, '^www\.', '') AS host,
     regexp_replace(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') AS path,
     list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda q: q <> '' AND string_split(q, '=')[1] NOT IN
       ('utm_source','utm_medium','utm_campaign','utm_term','utm_content','ref','fbclid','gclid','sessionid'))) AS q
   FROM p
 ), c AS (
-  SELECT page_id, body, md5(body) AS tag, CASE WHEN host <> '' THEN host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS canonical,
-    page_id AS at, CASE WHEN page_id % 11 = 5 THEN -1 - page_id ELSE 10000000 + page_id END AS again
+  SELECT rid, page_id, num, body, md5(body) AS tag, CASE WHEN host <> '' THEN host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS canonical,
+    num AS at, CASE WHEN num % 11 = 5 THEN -1 - num ELSE 10000000 + num END AS again
   FROM h
 ), m AS (
-  SELECT v.page_id, v.canonical, v.again, v.tag, max(r.page_id) AS response_page_id
-  FROM c v LEFT JOIN c r ON v.canonical = r.canonical AND r.at < v.again GROUP BY v.page_id, v.canonical, v.again, v.tag
+  SELECT v.rid, max({'at': r.at, 'id': 'urn:page:' || coalesce(r.page_id::VARCHAR, ''), 'md5': r.tag, 'rid': r.rid}).rid AS found
+  FROM c v JOIN c r ON v.canonical = r.canonical AND r.at < v.again GROUP BY v.rid
 ), j AS (
-  SELECT m.*, c.tag AS r_tag, strlen(c.body) AS size,
-    CASE WHEN m.response_page_id IS NULL THEN 'no_response' WHEN m.page_id % 7 = 3 OR m.tag <> c.tag THEN 'mismatch' ELSE 'resolved' END AS verdict
-  FROM m LEFT JOIN c ON m.response_page_id = c.page_id
+  SELECT v.page_id, v.num, v.canonical, v.again, v.tag, r.page_id AS response_page_id, r.tag AS r_tag, strlen(r.body) AS size,
+    CASE WHEN r.rid IS NULL THEN 'no_response' WHEN v.num % 7 = 3 OR v.tag <> r.tag THEN 'mismatch' ELSE 'resolved' END AS verdict
+  FROM c v LEFT JOIN m ON v.rid = m.rid LEFT JOIN c r ON m.found = r.rid
 )
 SELECT page_id, canonical AS canonical_url, verdict, response_page_id,
   CASE WHEN verdict = 'resolved' THEN size::BIGINT END AS body_bytes,
   CASE WHEN verdict = 'resolved' THEN r_tag END AS body_md5,
   CASE WHEN verdict = 'resolved' THEN
-    'cache-control: max-age=' || (page_id % 100) || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html; charset=utf-8' || chr(10) ||
+    'cache-control: max-age=' || (num % 100) || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html; charset=utf-8' || chr(10) ||
     'date: ' || strftime(TIMESTAMP '2024-01-01' + to_seconds(again), '%Y-%m-%dT%H:%M:%SZ') || chr(10) || 'etag: W/"' || tag || '"' || chr(10) || 'server: crawl' END AS headers
 FROM j
 """

@@ -10,27 +10,37 @@ a running maximum finds the latest earlier response; across buckets only the
 last response of each bucket is carried on. A URL with a third of all captures
 is thereby spread over its buckets; bodies never enter the shuffle.
 
+A full response is an intact record of type ``response`` with status 200: one
+whose length and digest hold. Records are followed by row, not by id, so an id
+that occurs twice takes nothing from the other's captures.
+
 Verdicts: ``resolved`` (ETags agree in weak comparison, or, where one lacks an
 ETag, Last-Modified agrees), ``mismatch``, ``unchecked`` (no common validator),
 ``no_response`` (nothing earlier). Headers merge only when resolved.
 
-Cases: a null or unparsable URL has no canonical form and never matches;
-captures of the same instant are not earlier than one another; among responses
-of the same instant the largest record id counts; repeated revisit rows are
-resolved row by row; an empty table gives no rows.
+Cases: null content has no records; a truncated last record and a record whose
+digest fails come with ``intact`` false, a damaged gzip member is passed over; a field that is no number counts as absent; very long files
+are read a member and a record at a time; a null or unparsable URL has no
+canonical form and never matches; captures of the same instant are not earlier
+than one another; among responses of the same instant the largest record id
+counts, then the largest body digest; repeated response records are one
+candidate each and give one result; repeated revisit rows are resolved row by
+row; an empty table gives no rows; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release, small_batches
 
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 #: Hop-by-hop fields, and fields that describe the stored body, which a 304 must not replace.
@@ -71,37 +81,86 @@ def _lines(raw: bytes) -> dict[str, str]:
     return out
 
 
-def parse_records(raw: bytes) -> Iterator[dict]:
-    """The records of a WARC file's bytes, in order; a truncated last record comes with ``intact`` false."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
+_START = re.compile(rb"(?:\A|(?<=\n))WARC/1\.[0-9]+\r\n")
+_PIECE = 1 << 20
+
+
+def _plain(raw: bytes) -> Iterator[bytes]:
+    """The bytes of a WARC file in pieces, gzip members unpacked one after the other; a damaged member is passed over."""
+    if raw[:2] != b"\x1f\x8b":
+        yield raw
+        return
     at = 0
-    while (at := raw.find(b"WARC/", at)) >= 0:
-        end = raw.find(b"\r\n\r\n", at)
+    while 0 <= at < len(raw):
+        unpack, fed, done = zlib.decompressobj(wbits=31), at, False
+        try:
+            while not done and fed < len(raw):
+                piece = raw[fed : fed + _PIECE]
+                fed += len(piece)
+                yield unpack.decompress(piece)
+                done = unpack.eof
+            at = fed - len(unpack.unused_data) if done else len(raw)
+        except zlib.error:
+            at += 1
+        if at < len(raw):
+            at = raw.find(b"\x1f\x8b\x08", at)
+
+
+def _record(head: bytes, block: bytes, length: int) -> dict:
+    fields = _lines(head)
+    top, _, body = block.partition(b"\r\n\r\n")
+    status_line, _, rest = top.partition(b"\r\n")
+    code = re.match(rb"HTTP/\S+ +([0-9]{3})(?: |\Z)", status_line)
+    digest = fields.get("warc-block-digest", "")
+    return {
+        "record_id": fields.get("warc-record-id", "").strip("<>"),
+        "warc_type": fields.get("warc-type"),
+        "target_uri": fields.get("warc-target-uri"),
+        "warc_date": fields.get("warc-date"),
+        "profile": fields.get("warc-profile"),
+        "refers_to": fields.get("warc-refers-to"),
+        "status": int(code[1]) if code else None,
+        "headers": list(_lines(rest).items()),
+        "body_bytes": len(body),
+        "body_md5": hashlib.md5(body).hexdigest(),
+        "intact": len(block) == length and (not digest.startswith("md5:") or digest[4:] == hashlib.md5(block).hexdigest()),
+    }
+
+
+def parse_records(raw: bytes) -> Iterator[dict]:
+    """The records of a WARC file's bytes, in order; a truncated last record comes with ``intact`` false.
+
+    A record starts at a version line of its own; its length says where it ends,
+    so version lines inside a body are not records.
+    """
+    pieces, held, more = _plain(raw), bytearray(), True
+
+    def fill() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        start = _START.search(held)
+        while start is None and more:
+            del held[: max(0, len(held) - 32)]  # what came so far holds no start
+            more = fill()
+            start = _START.search(held)
+        if start is None:
+            return
+        end = held.find(b"\r\n\r\n", start.start())
+        while end < 0 and more:
+            more = fill()
+            end = held.find(b"\r\n\r\n", start.start())
         if end < 0:
             return
-        fields = _lines(raw[at:end])
-        size = fields.get("content-length", "")
-        length = int(size) if size.isdigit() else 0
-        block = raw[end + 4 : end + 4 + length]
-        at = end + 4 + length
-        head, _, body = block.partition(b"\r\n\r\n")
-        status_line, _, rest = head.partition(b"\r\n")
-        code = status_line.split(b" ")[1:2]
-        digest = fields.get("warc-block-digest", "")
-        yield {
-            "record_id": fields.get("warc-record-id", "").strip("<>"),
-            "warc_type": fields.get("warc-type"),
-            "target_uri": fields.get("warc-target-uri"),
-            "warc_date": fields.get("warc-date"),
-            "profile": fields.get("warc-profile"),
-            "refers_to": fields.get("warc-refers-to"),
-            "status": int(code[0]) if status_line.startswith(b"HTTP/") and code and code[0].isdigit() else None,
-            "headers": list(_lines(rest).items()),
-            "body_bytes": len(body),
-            "body_md5": hashlib.md5(body).hexdigest(),
-            "intact": len(block) == length and (not digest.startswith("md5:") or digest[4:] == hashlib.md5(block).hexdigest()),
-        }
+        head = bytes(held[start.start() : end])
+        size = _lines(head).get("content-length", "")
+        length = int(size) if re.fullmatch("[0-9]{1,18}", size) else 0
+        while more and len(held) < end + 4 + length:
+            more = fill()
+        yield _record(head, bytes(held[end + 4 : end + 4 + length]), length)
+        del held[: end + 4 + length]
 
 
 _ARROW = pa.schema(
@@ -113,6 +172,8 @@ _ARROW = pa.schema(
 def parse(files: DataFrame, content: str = "content", rows_at_once: int = 256) -> DataFrame:
     """One row per record of every WARC content (binary column) of ``files``."""
 
+    small_batches(files.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[dict] = []
@@ -124,6 +185,7 @@ def parse(files: DataFrame, content: str = "content", rows_at_once: int = 256) -
                         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
                         rows = []
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+        release()
 
     return files.select(content).mapInArrow(run, _FIELDS)
 
@@ -134,10 +196,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def canonical_url(url: Column) -> Column:
-    """Host without ``www.``, port or case; path without a trailing slash; sorted query without tracking; no scheme or fragment."""
+    """Host without ``www.``, the scheme's own port or case; path without a trailing slash; sorted query without tracking; no scheme or fragment."""
     bare = F.regexp_replace(url, "#.*$", "")
     host = F.lower(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1))
-    host = F.regexp_replace(F.regexp_replace(host, r":(80|443)$", ""), r"^www\.", "")
+    port = F.when(F.lower(bare).startswith("https:"), ":443").when(F.lower(bare).startswith("http:"), ":80")
+    host = F.when(port.isNotNull() & host.endswith(port), F.substring_index(host, ":", 1)).otherwise(host)
+    host = F.regexp_replace(host, r"^www\.", "")
     path = F.regexp_replace(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1), "/+$", "")
     query = F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&")
     kept = F.array_sort(F.filter(query, lambda q: (q != "") & ~F.substring_index(q, "=", 1).isin(*TRACKING)))
@@ -149,31 +213,31 @@ def _validators(headers: str) -> list[Column]:
 
 
 def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
-    """One row per not-modified revisit of ``records`` (as ``parse`` returns them).
+    """One row per not-modified revisit of ``records`` (as ``parse`` returns them; without a column ``intact`` all count as intact).
 
     (record_id, canonical, at, verdict, response_id, body_bytes, body_md5, headers)
     """
-    seen = records.select("record_id", "warc_type", "profile", "status", "headers", "body_bytes", "body_md5", canonical_url(F.col("target_uri")).alias("canonical"), F.unix_micros(F.to_timestamp("warc_date")).alias("at"))
-    full = F.coalesce((F.col("warc_type") == "response") & (F.col("status") == 200) & F.col("at").isNotNull(), F.lit(False))
+    intact = records["intact"] if "intact" in records.columns else F.lit(True)
+    seen = records.select("record_id", "warc_type", "profile", "status", "headers", "body_bytes", "body_md5", intact.alias("intact"), canonical_url(F.col("target_uri")).alias("canonical"), F.expr("unix_micros(try_to_timestamp(warc_date))").alias("at"))
+    full = F.coalesce((F.col("warc_type") == "response") & (F.col("status") == 200) & F.col("intact") & F.col("at").isNotNull(), F.lit(False))
     again = F.coalesce((F.col("warc_type") == "revisit") & (F.col("profile") == NOT_MODIFIED), F.lit(False))
-    # records without bodies are a small part of the input; written once, the three joins below reread them
-    seen = cut(seen.where(full | again), "warc-captures")
+    # records without bodies are a small part of the input; written once, with a number of their own, the joins below reread them
+    seen = cut(seen.where(full | again).withColumn("row", F.monotonically_increasing_id()), "warc-captures")
     etag, modified = _validators("headers")
-    narrow = seen.select("canonical", "at", "record_id", full.alias("full"), F.expr(f"at div {bucket_seconds * 1_000_000}").alias("bucket"))
+    narrow = seen.select("canonical", "at", "record_id", "body_md5", "row", full.alias("full"), F.expr(f"at div {bucket_seconds * 1_000_000}").alias("bucket"))
     placed = narrow.where("canonical is not null and at is not null")
-    candidate = F.when(F.col("full"), F.struct("at", "record_id"))
+    best = F.struct("at", "record_id", "body_md5", "row")
     within = Window.partitionBy("canonical", "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    inside = placed.withColumn("near", F.max(candidate).over(within)).where("not full")
-    last = placed.where("full").groupBy("canonical", "bucket").agg(F.max(F.struct("at", "record_id")).alias("last"))
+    inside = placed.withColumn("near", F.max(F.when(F.col("full"), best)).over(within)).where("not full")
+    last = placed.where("full").groupBy("canonical", "bucket").agg(F.max(best).alias("last"))
     # buckets that hold revisits or responses, with the last response before each
     slots = last.unionByName(placed.where("not full").select("canonical", "bucket").distinct().withColumn("last", F.lit(None).cast(last.schema["last"].dataType)))
     slots = slots.groupBy("canonical", "bucket").agg(F.max("last").alias("last"))
     before = slots.withColumn("carried", F.max("last").over(Window.partitionBy("canonical").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("canonical", "bucket", "carried")
-    found = inside.join(before, ["canonical", "bucket"], "left").select("record_id", F.coalesce("near", "carried").getField("record_id").alias("response_id"))
-    found = found.groupBy("record_id").agg(F.max("response_id").alias("response_id"))
-    revisits = seen.where(again).select("record_id", "canonical", "at", etag.alias("etag"), modified.alias("modified"), "headers")
-    responses = seen.where(full).select(F.col("record_id").alias("response_id"), etag.alias("r_etag"), modified.alias("r_modified"), F.col("headers").alias("r_headers"), "body_bytes", "body_md5")
-    joined = revisits.join(found, "record_id", "left").join(responses, "response_id", "left")
+    found = inside.join(before, ["canonical", "bucket"], "left").select("row", F.coalesce("near", "carried").getField("row").alias("response_row"))
+    revisits = seen.where(again).select("row", "record_id", "canonical", "at", etag.alias("etag"), modified.alias("modified"), "headers")
+    responses = seen.where(full).select(F.col("row").alias("response_row"), F.col("record_id").alias("response_id"), etag.alias("r_etag"), modified.alias("r_modified"), F.col("headers").alias("r_headers"), "body_bytes", "body_md5")
+    joined = revisits.join(found, "row", "left").join(responses, "response_row", "left")
     agree = F.when(F.col("etag").isNotNull() & F.col("r_etag").isNotNull(), F.col("etag") == F.col("r_etag")).otherwise(F.col("modified") == F.col("r_modified"))
     verdict = F.when(F.col("r_headers").isNull(), "no_response").when(agree.isNull(), "unchecked").when(agree, "resolved").otherwise("mismatch")
     fresh = F.map_filter("headers", lambda k, _: ~k.isin(*NOT_MERGED))
@@ -187,10 +251,12 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
 def captures(pages: DataFrame) -> DataFrame:
     """WARC content of a crawl that fetches every page and asks for it again later (a binary column).
 
+    A page without a number counts as page 0 in times, and its records end in ``:``.
     Page p is fetched at second p of 2024 and revisited at second 10 000 000 + p
     with its ETag; every 7th revisit (p mod 7 = 3) carries a stale ETag, every
     11th (p mod 11 = 5) happened before the crawl began.
     """
+    small_batches(pages.sparkSession)
     source = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,13 +267,14 @@ def captures(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 64):
                 out = []
-                for page, url, html in zip(*(batch.column(k).slice(first, 64).to_pylist() for k in range(3)), strict=True):
+                for number, url, html in zip(*(batch.column(k).slice(first, 64).to_pylist() for k in range(3)), strict=True):
+                    page, name = number or 0, "" if number is None else number
                     body = (html or "").encode("utf-8", "surrogatepass")
                     etag = f'"{hashlib.md5(body).hexdigest()}"'
                     head = [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(body))), ("ETag", etag), ("Server", "crawl"), ("Date", date(page))]
                     later = date(10_000_000 + page) if page % 11 != 5 else date(-1 - page)
                     again = [("ETag", '"stale"' if page % 7 == 3 else f"W/{etag}"), ("Content-Length", "0"), ("Connection", "close"), ("Cache-Control", f"max-age={page % 100}"), ("Date", later)]
-                    out.append(record_bytes("response", f"urn:page:{page}", url or "", date(page), 200, head, body) + record_bytes("revisit", f"urn:revisit:{page}", url or "", later, 304, again, b"", NOT_MODIFIED))
+                    out.append(record_bytes("response", f"urn:page:{name}", url or "", date(page), 200, head, body) + record_bytes("revisit", f"urn:revisit:{name}", url or "", later, 304, again, b"", NOT_MODIFIED))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["content"])
 
-    return source.where("page_id is not null").mapInArrow(run, "content binary")
+    return source.mapInArrow(run, "content binary")
