@@ -18,9 +18,13 @@ Plan
 Blocks bound every group: a word in a third of all documents has one row a
 block, and a block has at most ``BLOCK_DOCS`` documents.
 
+Input that comes out of a shuffle is written first, so that a lost executor's
+tasks see its rows in the same order and number words as before.
+
 Cases: a null text counts as empty (0 bytes, 0 tokens); empty texts have 0
-tokens; repeated rows are counted row by row; a null key stays null; other
-columns of the input are ignored, whatever their names.
+tokens; very long texts are counted whole, a block of their own if need be;
+repeated rows are counted row by row; a null key stays null; an empty table
+gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,11 +43,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import once, partition_number, texts, tokenizer_path
+from .common import cut, once, partition_number, parts, release, small_batches, texts, tokenizer_path
 
 BLOCK_DOCS = 4096
 BLOCK_CHARS = 1 << 23
 OVER_LIMIT = 2048
+#: Pre-tokens whose pieces a task remembers.
+_HELD_WORDS = 300_000
 
 _ROWS = "key string, block long, word int, body binary"
 #: Below this point letters and digits have had their classes since early Unicode, and every text is its own NFC.
@@ -67,13 +73,45 @@ def _special_pattern(path: str):
     return re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
 
 
+#: What word_bpe_49k.json does before its model; ``_SPLIT`` stands for both parts.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+@once
+def _words_alone(path: str) -> bool:
+    """Whether pre-tokens of this vocabulary file are words of the text, which ``_SPLIT`` finds and ``encode`` takes as they are."""
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    return whole["normalizer"] == _NORMALIZER and whole["pre_tokenizer"] == _PRE_TOKENIZER
+
+
 def pretokens(text: str, path: str) -> list[str]:
-    """Pre-tokens of a text without special strings, in order, as characters (not byte symbols)."""
-    if _STABLE.search(text) is None:
+    """Pre-tokens of a text without special strings, in order: as characters where ``_words_alone``, else as the model's own symbols."""
+    alone = _words_alone(path)
+    if alone and _STABLE.search(text) is None:
         return _SPLIT.findall(text.lower())
     tokenizer = _tokenizer(path)
-    clean = tokenizer.normalizer.normalize_str(text)
-    return [clean[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(clean)]
+    clean = tokenizer.normalizer.normalize_str(text) if tokenizer.normalizer else text
+    if tokenizer.pre_tokenizer is None:
+        return [clean] if clean else []
+    found = tokenizer.pre_tokenizer.pre_tokenize_str(clean)
+    return [clean[a:b] for _, (a, b) in found] if alone else [symbols for symbols, _ in found]
+
+
+def _pieces(words: list[str], path: str) -> list[int]:
+    """Pieces of every pre-token."""
+    tokenizer = _tokenizer(path)
+    if _words_alone(path):
+        return [len(e) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    return [len(tokenizer.model.tokenize(w)) for w in words]
 
 
 def _bytes(arrays: list[np.ndarray]) -> bytes:
@@ -132,11 +170,9 @@ class _Block:
         )
 
 
-def _rows(batches: Iterator[pa.RecordBatch], step: int = 256):
-    for batch in batches:
-        for start in range(0, batch.num_rows, step):
-            part = batch.slice(start, step)
-            yield from zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True)
+def _rows(batches: Iterator[pa.RecordBatch]):
+    for part in parts(batches, 1, max_rows=256):
+        yield from zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True)
 
 
 def _pack(path: str):
@@ -163,20 +199,23 @@ def _pack(path: str):
 
 def _answer(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
         held: dict[str, int] = {}
         for batch in batches:
             is_word = pc.greater_equal(batch.column(2), 0)
             rest, words = batch.filter(pc.invert(is_word)), batch.filter(is_word)
             coded = words.column(0).dictionary_encode()
             distinct = coded.dictionary.to_pylist()
+            if len(held) > _HELD_WORDS:
+                held.clear()
             fresh = [w for w in distinct if w not in held]
-            held.update(zip(fresh, (len(e) for e in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
+            held.update(zip(fresh, _pieces(fresh, path), strict=True))
             extra = np.array([held[w] for w in distinct], dtype=np.int64)[coded.indices.to_numpy()] - 1 if len(words) else np.zeros(0, np.int64)
             told = pa.RecordBatch.from_arrays([words.column(1), words.column(2), pa.array(extra), words.column(3)], names=_ANSWER)
             yield told.filter(pa.array(extra > 0))
             if len(rest):
                 yield pa.RecordBatch.from_arrays([rest.column(1), rest.column(2), pa.array(np.zeros(len(rest), np.int64)), rest.column(3)], names=_ANSWER)
+        held.clear()
+        release()
 
     return run
 
@@ -202,7 +241,10 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", key: str
     texts being one token each as the library has it.
     """
     path = tokenizer_path(tokenizer)
+    small_batches(docs.sparkSession)
     source = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    if "Exchange" in source._jdf.queryExecution().executedPlan().toString():
+        source = cut(source, "texts-to-count")  # blocks are numbered in the order of rows, which a recomputed shuffle does not keep
     answers = source.mapInArrow(_pack(path), _ROWS).repartition("key").mapInArrow(_answer(path), "block long, word int, extra long, body binary")
     sums = answers.groupBy("block").applyInArrow(_sum_block, "doc_id long, n_bytes long, n_tokens long")
     return sums.withColumn("over_limit", F.col("n_tokens") > over)
