@@ -12,17 +12,22 @@ every control string (``<|…``, ``<s>``, ``</s>``, ``[INST]``, ``[/INST]``,
 ``<<SYS>>``, ``<</SYS>>``); dropping the backslash after ``\\``, ``<`` and ``[``
 gives the text back.
 
-Tokens are counted natively as letter runs, digits and symbol runs, plus
-``TURN_TOKENS`` for the marks of a turn.
+Tokens of a turn are a column of the input (``tokens``: counts of whichever
+vocabulary, for instance those that operator 1 counts, joined by turn) plus
+``TURN_TOKENS`` for the marks of a turn. Without such a column they are estimated
+natively, as letter runs, digits and symbol runs.
 
 Plan: one shuffle by conversation; a running sum, then the turns of a
 conversation as one array (a conversation is one training text, so it is the
-unit that must fit a row); windows and spans are higher-order functions.
+unit that must fit a row, and the unit of a task); windows and spans are
+higher-order functions.
 
 Cases: null roles and texts are empty; turns are ordered by turn number (null
 first), then role and text, so ties and repeated rows are kept in a fixed
-order; a turn over the budget stands alone in a window; a null conv_id is a
-conversation of its own; an empty table gives no windows.
+order; very long turns are kept whole: a turn over the budget stands alone in a
+window; a null token count is estimated; a null conv_id is a conversation of its
+own; an empty table gives no windows; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -70,18 +75,21 @@ def format_windows(
     budget: int = BUDGET,
     history_tokens: int = HISTORY_TOKENS,
     history_turns: int = HISTORY_TURNS,
+    tokens: str | None = None,
 ) -> DataFrame:
     """(conv_id, window, first_turn, n_repeated, n_tokens, formatted, loss_spans) of every conversation.
 
     ``loss_spans``: (start, length) in code points of ``formatted``;
     ``n_repeated``: leading turns that an earlier window has already shown.
     """
+    counted = conversations[tokens].cast("long") if tokens else F.lit(None).cast("long")
     turns = conversations.select(
         conversations[key].alias("conv_id"),
         conversations[turn].alias("turn"),
         F.coalesce(conversations[role].cast("string"), F.lit("")).alias("role"),
         F.coalesce(conversations[text].cast("string"), F.lit("")).alias("text"),
-    ).withColumn("tokens", F.regexp_count("text", F.lit(_TOKEN)).cast("long") + TURN_TOKENS)
+        counted.alias("tokens"),
+    ).withColumn("tokens", F.coalesce("tokens", F.regexp_count("text", F.lit(_TOKEN)).cast("long")) + TURN_TOKENS)
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     numbered = turns.select("*", F.row_number().over(order).alias("k"), F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"))
     gathered = numbered.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("k", "role", "text", "upto"))).alias("turns"))
