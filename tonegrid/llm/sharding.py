@@ -7,15 +7,19 @@ keyed Feistel permutation of [0, N) moves number r to place π(r); the shard is
 (N, seed, S) alone. Law: ``rows`` (shard counts differ by one at most).
 
 Row numbers take no single-partition sort: equal rows are counted first (so a
-third of all rows being one row is one group), groups fall into ``BUCKETS``
-hash buckets, bucket totals (at most ``BUCKETS`` rows) give offsets by a window,
-and a running sum inside a bucket gives each group its range of numbers.
+third of all rows being one row is one group), groups fall into hash buckets of
+about ``BUCKET_GROUPS`` groups, and a running sum inside a bucket gives each
+group its range of numbers. Buckets are totalled in runs of ``RUN``: a window
+inside a run and the totals of the runs (one row for 67 million groups) give the
+offsets, so neither a task nor the driver gets more as rows grow.
 
 The permutation is a Feistel network over Z_a × Z_b with a·b ≥ N, a ≈ √N, whose
 few surplus points are walked until they fall inside [0, N) (cycle walking).
 
-Cases: null texts have size 16 and checksum 0; null keys are a value like any
-other; repeated rows each get a slot; an empty table gives no rows.
+Cases: null and empty texts have size 16 and checksum 0; null keys are a value
+like any other; very long texts are read once, for size and checksum; repeated
+rows each get a slot; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import cut, with_field
 
 ROUNDS = 8
-BUCKETS = 4096
+#: Groups of equal rows aimed at in a bucket, and buckets in a run.
+BUCKET_GROUPS = 1 << 14
+RUN = 1 << 12
 SEED = 20240607
 
 
@@ -96,17 +102,21 @@ def row_at(shard: int, slot: int, n_rows: int, n_shards: int, seed: int = SEED)
 def number_rows(rows: DataFrame) -> tuple[DataFrame, int]:
     """``rows`` with ``row_number`` (0 … N-1, a function of the rows only), and N."""
     names = rows.columns
-    groups = cut(rows.groupBy(*names).agg(F.count("*").alias("_m")).withColumn("_bucket", F.pmod(F.xxhash64(*names), F.lit(BUCKETS)).cast("int")), "shard-groups")
-    totals = groups.groupBy("_bucket").agg(F.sum("_m").alias("_n"))
-    kept = sorted((r._bucket, r._n) for r in totals.collect())  # at most BUCKETS rows
-    n_rows = sum(n for _, n in kept)
+    groups = cut(rows.groupBy(*names).agg(F.count("*").alias("_m")), "shard-groups")
+    buckets = max(1, groups.count() // BUCKET_GROUPS)
+    groups = groups.withColumn("_bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)))
+    totals = groups.groupBy("_bucket").agg(F.sum("_m").alias("_n")).withColumn("_run", F.expr(f"_bucket div {RUN}"))
+    runs = sorted((r._run, r._n) for r in totals.groupBy("_run").agg(F.sum("_n").alias("_n")).collect())
+    n_rows = sum(n for _, n in runs)
     starts, at = [], 0
-    for bucket, n in kept:
-        starts.append((bucket, at))
+    for run, n in runs:
+        starts.append((run, at))
         at += n
-    offsets = rows.sparkSession.createDataFrame(starts, "_bucket int, _start long")
+    firsts = rows.sparkSession.createDataFrame(starts, "_run long, _first long")
+    before = Window.partitionBy("_run").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = totals.withColumn("_upto", F.sum("_n").over(before)).join(firsts, "_run").select("_bucket", (F.col("_first") + F.col("_upto") - F.col("_n")).alias("_start"))
     order = Window.partitionBy("_bucket").orderBy(*names).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = groups.withColumn("_last", F.sum("_m").over(order)).join(F.broadcast(offsets), "_bucket")
+    numbered = groups.withColumn("_last", F.sum("_m").over(order)).join(offsets, "_bucket")
     first = F.col("_start") + F.col("_last") - F.col("_m")
     spread = numbered.select(*names, first.alias("_first"), F.explode(F.sequence(F.lit(0), F.expr("int((_m - 1) div 65536)"))).alias("_part"), "_m")
     low = F.col("_part").cast("long") * 65536
