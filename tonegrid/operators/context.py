@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import db_to_amplitude
@@ -19,15 +19,27 @@ def context_start(centre: Column, width: float, duration: Column) -> Column:
 def context_stats(native: DataFrame, spine_df: DataFrame, durations: DataFrame, width: float, value: str, key: str = KEY, t: str = "t") -> DataFrame:
     """CTX2-4: count, mean and RMS of ``value`` over the clamped context of every grid row.
 
-    Values fall into buckets of the context width, so a context reaches two
-    buckets at most: an equi-join on (key, bucket) instead of a range join, with
-    the exact bounds checked afterwards.
+    Prefix sums: values fall into buckets of the context width, and the two
+    bounds of a context are rows among them. A running sum inside a bucket is
+    known at each bound, and a context reaches from one bucket into the next at
+    most, so its sums are differences of two bounds. Every value is shuffled
+    once, however many contexts it lies in.
     """
     rows = spine_df.join(durations.select(key, F.col("duration").alias("_duration")), key)
-    rows = rows.withColumn("_from", context_start(F.col("time"), width, F.col("_duration"))).withColumn("_bucket", F.explode(F.expr(f"sequence(int(floor(_from / {width})), int(floor((_from + {width}) / {width})))")))
-    values = native.select(F.col(key), F.col(t).alias("_t"), F.col(value).alias("_v"), F.floor(F.col(t) / width).cast("int").alias("_bucket"))
-    inside = rows.join(values, [key, "_bucket"]).where((F.col("_t") >= F.col("_from")) & (F.col("_t") < F.col("_from") + width))
-    stats = inside.groupBy(key, "k").agg(F.count("_v").alias("n_values"), F.avg("_v").alias("context_mean"), F.sqrt(F.avg(F.col("_v") * F.col("_v"))).alias("context_rms"))
+    rows = rows.withColumn("_from", context_start(F.col("time"), width, F.col("_duration"))).withColumn("_to", F.col("_from") + width)
+    bucket = lambda x: F.floor(x / width)
+    crosses = bucket(F.col("_from")) != bucket(F.col("_to"))
+    bound = lambda at, sign, whole: F.struct(F.col(at).alias("t"), bucket(F.col(at)).alias("bucket"), F.lit(sign).alias("sign"), whole.alias("whole"))
+    bounds = rows.select(key, "k", F.explode(F.array(bound("_from", -1, crosses.cast("int")), bound("_to", 1, F.lit(0)))).alias("_b"))
+    bounds = bounds.select(key, "k", F.col("_b.t").alias("_t"), F.col("_b.bucket").alias("_bucket"), F.col("_b.sign").alias("_sign"), F.col("_b.whole").alias("_whole"), F.lit(None).cast("double").alias("_v"))
+    values = native.select(F.col(key), F.lit(None).cast("int").alias("k"), F.col(t).cast("double").alias("_t"), bucket(F.col(t)).alias("_bucket"), F.lit(0).alias("_sign"), F.lit(0).alias("_whole"), F.col(value).cast("double").alias("_v"))
+    part = Window.partitionBy(key, "_bucket")
+    upto = part.orderBy("_t", F.abs("_sign").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a bound stands before the values at its own time
+    columns = {"_n": F.count("_v"), "_s": F.sum("_v"), "_q": F.sum(F.col("_v") * F.col("_v"))}
+    summed = bounds.unionByName(values).select(key, "k", "_sign", "_whole", *[(F.col("_sign") * F.coalesce(f.over(upto), F.lit(0)) + F.col("_whole") * F.coalesce(f.over(part), F.lit(0))).alias(n) for n, f in columns.items()])
+    stats = summed.where("k is not null").groupBy(key, "k").agg(*[F.sum(n).alias(n) for n in columns])
+    some = F.col("_n") > 0
+    stats = stats.select(key, "k", F.col("_n").alias("n_values"), F.when(some, F.col("_s") / F.col("_n")).alias("context_mean"), F.when(some, F.sqrt(F.greatest(F.col("_q"), F.lit(0.0)) / F.col("_n"))).alias("context_rms"))
     return spine_df.select(key, "k", "time").join(stats, [key, "k"], "left").withColumn("n_values", F.coalesce("n_values", F.lit(0)))
 
 
