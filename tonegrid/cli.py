@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 
 from . import __version__
@@ -19,6 +20,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--hop", type=float, default=0.5, help="grid step in seconds")
     p.add_argument("--asr-model", "--whisper-model", dest="asr_model", help="checkpoint of the transcription provider")
     p.add_argument("--clap-model", help="checkpoint of the audio-embedding provider")
+    p.add_argument("--providers", help="Python module that registers providers when it is imported")
+    p.add_argument("--probe", help="JSON file with the read-outs of music_emotion")
     p.add_argument("--language", help="language of the speech")
     p.add_argument("--verbatim", action="store_true", help="keep fillers and repetitions (English and German)")
     p.add_argument("--num-speakers", type=int, help="hint for diarisation")
@@ -48,12 +51,32 @@ def _session():
     return SparkSession.builder.appName("tonegrid").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+def _options(o: argparse.Namespace) -> dict[str, dict]:
+    """What the flags say to each provider; what was not said is left to the provider."""
+    speech = {"checkpoint": o.asr_model, "language": o.language, "verbatim": o.verbatim or None}
+    return {"transcribe": speech, "clap": {"checkpoint": o.clap_model}, "diarize": {"num_speakers": o.num_speakers}}
+
+
+def runnable(providers, probe) -> tuple[list[str], list[str]]:
+    """CLI3: models that can run here, and those that cannot."""
+    can = [m.name for m in MODELS.values() if m.native or (all(providers.available(n) for n in (m.provider, *(["speech"] if m.gate == "speech" else []))) and (m.name != "music_emotion" or probe))]
+    return can, [n for n in MODELS if n not in can]
+
+
 def _score(o: argparse.Namespace) -> None:
     if not o.args:
         raise InputError("an input is needed")
     *models, path = o.args
+    if o.providers:
+        importlib.import_module(o.providers)
     if o.all:
-        models = [m.name for m in MODELS.values() if m.native]
+        if models:
+            raise InputError("--all takes no model names")
+        from .providers import base
+
+        models, left = runnable(base, o.probe)
+        if left:
+            print(f"tonegrid: without a provider here, left out: {', '.join(left)}", file=sys.stderr)
     if not models:
         raise InputError("name at least one model, or --all")
     resolve(models)
@@ -63,16 +86,22 @@ def _score(o: argparse.Namespace) -> None:
     kind = input_type(path)
     from .plans.publish import to_stdout, write_csv
     from .plans.score import score
+    from .providers import base, derived
     from .sources.audio import read_stimuli
     from .sources.files import read_wordpool
 
+    said = _options(o)
+    wanted = {n for m in resolve(models) if not m.native for n in (m.provider, *(["speech"] if m.gate == "speech" else []))}
+    providers = {n: base.provider(n, **said.get(n, {})) for n in sorted(wanted) if base.available(n)}
     spark = _session()
     pool = read_wordpool(spark, o.wordpool) if o.wordpool else None
-    result = score(read_stimuli(spark, path), models, o.hop, wordpool=pool)
+    probe = derived.read_probe(o.probe) if o.probe else None
+    result = score(read_stimuli(spark, path), models, o.hop, wordpool=pool, providers=providers, probe=probe, verbatim=o.verbatim)
     if o.output:
         write_csv(result, o.output, {"path": path, "type": kind}, o.stimulus_id)
     else:
         to_stdout(result, sys.stdout)
+    result.release()
 
 
 def _browse(o: argparse.Namespace) -> None:
@@ -95,9 +124,14 @@ def main(argv: list[str] | None = None) -> int:
             _browse(o)
         else:
             _score(o)
-    except (EngineError, ValueError) as e:
+    except (EngineError, ValueError, OSError, ImportError) as e:
         print(f"tonegrid: {e}", file=sys.stderr)
         return 1
+    except Exception as e:
+        if not type(e).__module__.startswith(("pyspark", "py4j")):
+            raise
+        print(f"tonegrid: {str(e).splitlines()[0]}", file=sys.stderr)  # a failed job: its first line, not the trace
+        return 1
     return 0
 
 

@@ -21,22 +21,26 @@ def ensemble_bank(vectors: DataFrame, category: str, vector: str, name: str = "b
     return whole.select(category, l2_normalise(F.col("_v")).alias(name))
 
 
-#: Rows of a bank that may be sent to every executor; the bank is a prompt list, larger ones go in blocks.
+#: Rows of a bank that are sent to every executor at once; larger banks go in blocks.
 MAX_BANK_ROWS = 4096
 
 
 def cosine_bank(vectors: DataFrame, bank: DataFrame, vector: str = "embedding", category: str = "category", name: str = "bank") -> DataFrame:
     """EMB3: raw cosine of every vector with every bank row, in long form (no softmax).
 
-    The bank is collected once as one array value, after its size is checked, so
-    the plan is a narrow projection and no join.
+    The bank is sent as one array value of at most ``MAX_BANK_ROWS`` rows, so a
+    block is a narrow projection and no join; a larger bank takes several blocks.
     """
-    n = bank.count()
-    if n > MAX_BANK_ROWS:
-        raise ValueError(f"a bank of {n} rows exceeds {MAX_BANK_ROWS}; score it in blocks")
-    packed = bank.agg(F.array_sort(F.collect_list(F.struct(F.col(category).alias("category"), F.col(name).alias("bank")))).alias("_banks"))
-    scored = vectors.withColumn("_unit", l2_normalise(F.col(vector))).join(F.broadcast(packed)).withColumn("_b", F.explode("_banks"))
-    return scored.select(*vectors.columns, F.col("_b.category").alias(category), dot(F.col("_unit"), F.col("_b.bank")).alias("score"))
+    parts = max(1, -(-bank.count() // MAX_BANK_ROWS))
+    unit = vectors.withColumn("_unit", l2_normalise(F.col(vector)))
+    out = None
+    for part in range(parts):
+        mine = bank.where(F.pmod(F.xxhash64(category), F.lit(parts)) == part) if parts > 1 else bank
+        packed = mine.agg(F.array_sort(F.collect_list(F.struct(F.col(category).alias("category"), F.col(name).alias("bank")))).alias("_banks"))
+        scored = unit.join(F.broadcast(packed)).withColumn("_b", F.explode("_banks"))
+        scored = scored.select(*vectors.columns, F.col("_b.category").alias(category), dot(F.col("_unit"), F.col("_b.bank")).alias("score"))
+        out = scored if out is None else out.unionAll(scored)
+    return out
 
 
 def pivot_scores(scores: DataFrame, row_key: list[str], category: str, names: list, score: str = "score", prefix: str = "") -> DataFrame:

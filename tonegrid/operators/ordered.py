@@ -101,6 +101,22 @@ def number_turns(turns: DataFrame, key: str = KEY) -> DataFrame:
     return turns.withColumn("turn_idx", F.row_number().over(Window.partitionBy(key).orderBy("onset", "offset", "speaker")) - 1)
 
 
+def speaker_time(turns: DataFrame, speaker: str = "speaker", key: str = KEY) -> DataFrame:
+    """AGG7: seconds and turns of every speaker; overlapping turns of one speaker count once."""
+    w = Window.partitionBy(key, speaker).orderBy("onset", "offset")
+    reach = F.max("offset").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.col("offset") - F.greatest(F.col("onset"), F.coalesce(reach, F.col("onset"))), F.lit(0.0))
+    return turns.select(key, speaker, fresh.alias("_s")).groupBy(key, speaker).agg(F.sum("_s").alias("seconds"), F.count("*").alias("n_turns"))
+
+
+def speaker_summary(turns: DataFrame, speaker: str = "speaker", key: str = KEY) -> DataFrame:
+    """AGG7: speakers, turns and the seconds of each, one row per stimulus."""
+    each = speaker_time(turns, speaker, key)
+    return each.groupBy(key).agg(
+        F.count("*").alias("n_speakers"), F.sum("n_turns").alias("n_turns"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(speaker).alias("k"), F.round("seconds", 3).alias("v"))))).alias("speaker_seconds")
+    )
+
+
 def infer_hop(frames: DataFrame, t: str = "time", default: float = 0.5, key: str = KEY) -> DataFrame:
     """AGG16: median positive step of the time column, else the default."""
     w = Window.partitionBy(key).orderBy(t)

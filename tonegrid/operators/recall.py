@@ -16,7 +16,7 @@ from ..functions.scalars import normalise_word
 from .grid import KEY
 
 FUZZY_THRESHOLD = 0.8
-#: Items of a pool that may be sent to every executor at once.
+#: Items of a pool that are sent to every executor at once; larger pools go in blocks.
 MAX_POOL = 10_000
 
 
@@ -90,24 +90,31 @@ class BestItem:
 def best_fuzzy(words: DataFrame, pool: DataFrame, norm: str = "norm") -> DataFrame:
     """JON7: best pool item of every distinct unmatched word; ties to the first index.
 
-    The pool is an experiment's word list, one block of stated queries; only
-    distinct words meet it, never the occurrences.
+    Only distinct words meet the pool, never the occurrences, and the pool is
+    stated queries in blocks of at most ``MAX_POOL`` items: the best of every
+    block, then the best of the blocks.
     """
-    items = [tuple(r) for r in pool.select("norm", "pool_index").limit(MAX_POOL + 1).collect()]
-    if len(items) > MAX_POOL:
-        raise ValueError(f"a word pool of more than {MAX_POOL} items; match it in blocks")
+    n_blocks = max(1, -(-pool.count() // MAX_POOL))
     found = StructType([StructField(norm, StringType()), StructField("score", DoubleType()), StructField("pool_index", IntegerType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = BestItem(items)
-        for batch in batches:
-            for start in range(0, batch.num_rows if items else 0, 512):
-                part = batch.column(0).slice(start, 512)
-                scores, indices = zip(*search.find(part.to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([part, pa.array(scores, pa.float64()), pa.array(indices, pa.int32())], names=[norm, "score", "pool_index"])
-
-    best = words.select(norm).where(F.col(norm).isNotNull()).distinct().mapInArrow(run, found)
-    return best.join(F.broadcast(pool.select("pool_index", "item")), "pool_index").select(norm, "score", "pool_index", "item")  # a pool of checked size
+    distinct = words.select(norm).where(F.col(norm).isNotNull()).distinct()
+    best = None
+    for block in range(n_blocks):
+        items = [tuple(r) for r in pool.where(F.pmod(F.col("pool_index"), F.lit(n_blocks)) == block).select("norm", "pool_index").collect()]
+
+        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            search = BestItem(items)
+            for batch in batches:
+                for start in range(0, batch.num_rows if items else 0, 512):
+                    part = batch.column(0).slice(start, 512)
+                    scores, indices = zip(*search.find(part.to_pylist()), strict=True)
+                    yield pa.RecordBatch.from_arrays([part, pa.array(scores, pa.float64()), pa.array(indices, pa.int32())], names=[norm, "score", "pool_index"])
+
+        mine = distinct.mapInArrow(run, found)
+        best = mine if best is None else best.unionAll(mine)
+    if n_blocks > 1:
+        top = F.max(F.struct("score", (-F.col("pool_index")).alias("i"))).alias("b")
+        best = best.groupBy(norm).agg(top).select(norm, F.col("b.score").alias("score"), (-F.col("b.i")).alias("pool_index"))
+    return best.join(pool.select("pool_index", "item"), "pool_index").select(norm, "score", "pool_index", "item")
 
 
 def annotate_recall(words: DataFrame, pool: DataFrame, threshold: float = FUZZY_THRESHOLD, pos: str = "pos", fuzzy: bool = True, key: str = KEY) -> DataFrame:

@@ -72,8 +72,13 @@ def extra_columns(columns: list[str], index: list[str], features: list[str]) ->
 
 
 def is_vector_column(name: str) -> bool:
-    """PRJ3: an exported vector element (three or four digits at the end)."""
-    return re.search(r"_\d{3,4}$", name) is not None
+    """PRJ3: an exported vector element (exactly three digits at the end)."""
+    return re.search(r"_\d{3}$", name) is not None
+
+
+def play_span(time, hop: float):
+    """PRJ6: what is played for a grid row: its window, from 0 on."""
+    return F.greatest(F.lit(0.0), time - hop / 2), time + hop / 2
 
 
 def column_pattern(columns: list[str], limit: int = 16) -> dict | None:

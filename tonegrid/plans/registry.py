@@ -21,6 +21,13 @@ class Model:
     kind: str = "series"  # of the dashboard
     top: int = 5
     detail: str | None = None
+    family: str | None = None  # models of one family read one embedding pass
+    gate: str | None = None  # silence, speech or loudness
+
+    @property
+    def provider(self) -> str:
+        """The name under which a provider of this model is registered."""
+        return self.family or self.name
 
 
 def _names(prefix: str, count: int, width: int = 2) -> tuple[str, ...]:
@@ -88,14 +95,14 @@ MODELS = {
         Model("tonal", "frame", "key clarity, mode and chroma entropy", ("tonal_key_clarity", "tonal_majorness", "tonal_chroma_entropy")),
         Model("rhythm", "frame", "pulse clarity, beat strength and novelty", ("rhythm_pulse_clarity", "rhythm_beat_strength", "rhythm_novelty"), maxes=("rhythm_beat_strength",)),
         Model("timbre", "frame", "cepstral coefficients, contrast and flatness", (*_names("timbre_mfcc", 13), *_names("timbre_contrast", 7), "timbre_flatness"), top=8),
-        Model("psychoacoustic", "frame", "loudness, sharpness, roughness and fluctuation", tuple(f"psychoacoustic_{x}" for x in ("loudness", "sharpness", "roughness", "fluctuation")), 48_000, 2.0, False),
-        Model("speech", "frame", "speech probability", ("speech_prob",), native=False, detail="bars_prob"),
-        Model("clap", "frame", "general audio embedding", ("clap",), 48_000, 10.0, False, kind="embedding", top=8),
+        Model("psychoacoustic", "frame", "loudness, sharpness, roughness and fluctuation", tuple(f"psychoacoustic_{x}" for x in ("loudness", "sharpness", "roughness", "fluctuation")), 48_000, 2.0, False, gate="loudness"),
+        Model("speech", "frame", "speech probability", ("speech_prob",), 16_000, None, False, detail="bars_prob"),
+        Model("clap", "frame", "general audio embedding", ("clap",), 48_000, 10.0, False, kind="embedding", top=8, family="clap"),
         Model("ebind_audio", "frame", "multimodal audio embedding", ("ebind_audio",), 16_000, 2.0, False, kind="embedding", top=8),
-        Model("music_emotion", "frame", "valence and arousal of music", ("music_emotion_valence", "music_emotion_arousal"), 48_000, 10.0, False),
-        Model("sound_events", "frame", "cosine to sound categories", tuple(f"sound_events_{c}" for c in SOUND_EVENTS), 48_000, 10.0, False, top=8, detail="bars_sorted"),
-        Model("speech_emotion", "frame", "valence, arousal and dominance of speech", tuple(f"speech_emotion_{x}" for x in ("valence", "arousal", "dominance")), 16_000, 4.0, False, detail="bars_norm"),
-        Model("egemaps", "frame", "acoustic voice parameters", tuple(f"egemaps_{x}" for x in VOICE_PARAMETERS), 16_000, None, False, top=8, detail="bars_norm"),
+        Model("music_emotion", "frame", "valence and arousal of music", ("music_emotion_valence", "music_emotion_arousal"), 48_000, 10.0, False, family="clap", gate="silence"),
+        Model("sound_events", "frame", "cosine to sound categories", tuple(f"sound_events_{c}" for c in SOUND_EVENTS), 48_000, 10.0, False, top=8, detail="bars_sorted", family="clap", gate="silence"),
+        Model("speech_emotion", "frame", "valence, arousal and dominance of speech", tuple(f"speech_emotion_{x}" for x in ("valence", "arousal", "dominance")), 16_000, 4.0, False, detail="bars_norm", gate="speech"),
+        Model("egemaps", "frame", "acoustic voice parameters", tuple(f"egemaps_{x}" for x in VOICE_PARAMETERS), 16_000, None, False, top=8, detail="bars_norm", gate="speech"),
         Model("beats", "events", "beats and downbeats", ("time", "is_downbeat"), native=False),
         Model("diarize", "events", "speaker turns", ("turn_idx", "speaker", "onset", "offset"), 16_000, None, False),
         Model("transcribe", "segment", "segments and words", ("segment_idx", "text", "onset", "offset", "asr_confidence", "no_speech_prob"), 16_000, None, False),

@@ -13,10 +13,10 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField,
 
 from ..errors import ModelError
 from ..functions.scalars import amplitude_to_db
-from ..operators import beats_table, grid, intervals, ordered, recall
+from ..operators import beats_table, context, grid, intervals, ordered, recall, transcripts
 from ..operators.grid import KEY
 from ..sources.audio import decode_stimuli
-from .registry import MODELS, Model, resolve
+from .registry import MODELS, SOUND_EVENTS, Model, resolve
 
 DEFAULT_HOP = 0.5
 SR = 22_050
@@ -26,7 +26,13 @@ _FAMILIES = ("loudness", "pitch", "spectral", "onsets", "tonal", "rhythm", "timb
 
 @dataclass
 class ScoreResult:
-    """Lazy tables of a run; tables that were not asked for are None."""
+    """Lazy tables of a run; tables that were not asked for are None.
+
+    ``meta``: per model its columns, context and rate, and the tables of its
+    gate counts and of what its provider told; ``beats``, ``diarization``,
+    ``speech_timing`` and ``recall``: one row per stimulus each. ``held``:
+    waveforms and embeddings that are kept until ``release``.
+    """
 
     frames: DataFrame | None = None
     transcript: DataFrame | None = None
@@ -35,11 +41,17 @@ class ScoreResult:
     beats: DataFrame | None = None
     speakers: DataFrame | None = None
     meta: dict = field(default_factory=dict)
+    held: list[DataFrame] = field(default_factory=list)
 
     def tables(self) -> dict[str, DataFrame]:
         named = {"frames": self.frames, "transcript": self.transcript, "transcript_words": self.words, "recall": self.recall, "beats": self.beats, "speakers": self.speakers}
         return {k: v for k, v in named.items() if v is not None}
 
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
+        self.held.clear()
+
 
 def native_columns(models: list[Model]) -> list[str]:
     """Native-rate columns of the requested kernel models; derived ones are left to the grid."""
@@ -114,6 +126,120 @@ def kernel_frames(pcm: DataFrame, names: list[str], hop: float = DEFAULT_HOP) ->
     return dense.select(KEY, "k", "time", *[c for m in models for c in m.columns])
 
 
+class _Run:
+    """What the models of one run share: a waveform per rate, an embedding pass per family, the speech series."""
+
+    def __init__(self, stimuli: DataFrame, hop: float, providers: dict, out: ScoreResult):
+        self.stimuli, self.hop, self.providers, self.out = stimuli, hop, providers, out
+        self._pcm: dict[int, DataFrame] = {}
+        self._passes: dict[str, DataFrame] = {}
+
+    def pcm(self, sr: int) -> DataFrame:
+        """SRC4: every clip is decoded once per rate."""
+        if sr not in self._pcm:
+            self._pcm[sr] = decode_stimuli(self.stimuli, sr).persist()
+            self.out.held.append(self._pcm[sr])
+        return self._pcm[sr]
+
+    @property
+    def durations(self) -> DataFrame:
+        return self.pcm(SR).select(KEY, "duration")
+
+    def embedding(self, m: Model) -> DataFrame:
+        """EMB5: one pass for all models of a family; music_emotion and sound_events read the vectors of clap."""
+        from ..providers.base import embed
+
+        name = m.provider
+        if name not in self._passes:
+            model = self.providers[name]
+            self._passes[name] = embed(self.pcm(getattr(model, "sr", m.sr)), model, self.hop).persist()
+            self.out.held.append(self._passes[name])
+        return self._passes[name]
+
+    def series(self, name: str) -> DataFrame:
+        from ..providers.base import series
+
+        key = f"series {name}"
+        if key not in self._passes:
+            model = self.providers[name]
+            self._passes[key] = series(self.pcm(getattr(model, "sr", MODELS[name].sr)), model).persist()
+            self.out.held.append(self._passes[key])
+        return self._passes[key]
+
+    def speech(self, width: float) -> DataFrame:
+        """CTX4: mean speech probability of every context of ``width`` seconds."""
+        from ..providers.derived import speech_fraction
+
+        return speech_fraction(self.series("speech"), grid.spine(self.durations, self.hop), self.durations, width)
+
+
+def _provided(run: _Run, m: Model, probe: dict | None, bank: DataFrame | None) -> DataFrame:
+    """The frames of one provider-fed model: its provider's output through its gate (FRM10, FRM12-18)."""
+    from ..providers import derived
+
+    spark = run.stimuli.sparkSession
+    if callable(run.providers.get(m.name)):
+        return run.providers[m.name](run.pcm(m.sr), run.hop)
+    counts = {}
+    if m.kind == "embedding":
+        frames = run.embedding(m).select(KEY, "k", F.col("embedding").alias(m.name))
+    elif m.gate == "silence":
+        marked = derived.silence_marked(run.embedding(m))
+        if m.name == "music_emotion":
+            frames = derived.music_emotion(marked, probe)
+        else:
+            frames = derived.sound_events(marked, bank if bank is not None else derived.prompt_bank(spark, run.providers[m.provider]), list(SOUND_EVENTS))
+        counts = (marked, {"n_windows_silence_gated": F.col("silent")})
+    elif m.name == "speech":
+        frames = derived.speech_probability(run.series("speech"), run.durations, run.hop).drop("time")
+    elif m.name == "speech_emotion":
+        raw = run.embedding(m).select(KEY, "k", F.col("embedding").alias("outputs"))
+        fractions = run.speech(m.window_sec)
+        frames = derived.speech_emotion(raw, fractions)
+        counts = (fractions, {"n_gated_windows": F.col("speech_fraction") < context.SPEECH_FRACTION})
+    elif m.name == "egemaps":
+        fractions = run.speech(run.hop)
+        frames = derived.voice_parameters(run.series(m.name), fractions, run.durations, run.hop)
+        counts = (fractions, {"n_gated_windows": F.col("speech_fraction") < context.SPEECH_FRACTION})
+    else:
+        frames = derived.psychoacoustic(run.series(m.name), run.durations, run.hop)
+        loud = F.col("psychoacoustic_loudness")
+        counts = (frames, {"n_sharpness_gated_windows": ~F.coalesce(loud >= context.SHARPNESS_SONE, F.lit(False))})
+    if counts:
+        run.out.meta["models"][m.name]["gates"] = context.gated_counts(*counts)
+    return frames
+
+
+def _needs(m: Model) -> list[str]:
+    return [m.provider, *(["speech"] if m.gate == "speech" else [])]
+
+
+def _rows(run: _Run, m: Model) -> DataFrame:
+    """TXT1, TXT8, UDF3: the rows of an event or segment provider, and what it tells about its clips."""
+    from ..providers import base
+
+    model = run.providers[m.name]
+    pcm = run.pcm(getattr(model, "sr", m.sr))
+    told = base.info(pcm, model)
+    if told is not None:
+        run.out.meta["models"][m.name]["info"] = told
+    return base.rows(pcm, model)
+
+
+def _decoded(run: _Run, m: Model) -> DataFrame:
+    """TXT1-3: decoder output at 16 kHz; degenerate clips are decoded again with the penalty, where the provider takes one."""
+    from ..providers import base
+
+    model = run.providers[m.name]
+    transcripts.check_rate(getattr(model, "sr", m.sr))
+    decoded = _rows(run, m).persist()
+    run.out.held.append(decoded)
+    if not hasattr(model, "penalised"):
+        return decoded
+    again = lambda bad, penalty: base.rows(run.pcm(model.sr).join(bad, KEY, "left_semi"), model.penalised(penalty))
+    return transcripts.retry(decoded, again)
+
+
 def score(
     stimuli: DataFrame,
     names: list[str],
@@ -121,42 +247,67 @@ def score(
     wordpool: DataFrame | None = None,
     tables: dict[str, DataFrame] | None = None,
     providers: dict | None = None,
+    probe: dict[str, tuple[list[float], float]] | None = None,
+    bank: DataFrame | None = None,
+    verbatim: bool = False,
 ) -> ScoreResult:
     """Score a corpus of stimuli with the named models.
 
-    ``tables``: outputs of event and segment providers (``words``,
-    ``transcript``, ``beats``, ``speakers``); ``providers``: embedding providers
-    by model name. Steps run in a fixed order: frames, beats, speakers,
-    transcript, then recall, voice and speaker joins.
+    ``providers``: providers by model name (or a family's: ``clap`` also feeds
+    ``music_emotion`` and ``sound_events``, ``speech`` gates ``speech_emotion``
+    and ``egemaps``); what is not given is looked up among the registered ones.
+    ``tables``: ready outputs of event and segment models (``words``,
+    ``transcript``, ``beats``, ``speakers``) instead of a provider. ``probe``:
+    read-outs of ``music_emotion``; ``bank``: category vectors of
+    ``sound_events``, by default those of the fixed prompts. Steps run in a fixed
+    order: frames, beats, speakers, transcript, then recall, voice and speaker
+    joins.
     """
     if hop <= 0:
         raise ValueError("hop must be positive")
-    models, tables, providers = resolve(names), tables or {}, providers or {}
-    kernels = [m.name for m in models if m.native]
-    vectors = [m for m in models if m.kind == "embedding"]
-    gated = [m for m in models if not m.native and m.level == "frame" and m.kind != "embedding"]
-    missing = [m.name for m in vectors if m.name not in providers] + [m.name for m in gated if m.name not in providers]
-    needs = {"beats": "beats", "diarize": "speakers", "transcribe": "transcript"}
-    missing += [m.name for m in models if m.name in needs and needs[m.name] not in tables]
+    from ..providers import base
+
+    models, tables, providers = resolve(names), tables or {}, dict(providers or {})
+    ready = {"beats": "beats", "diarize": "speakers", "transcribe": "transcript"}
+    missing = []
+    for m in models:
+        if m.native or ready.get(m.name) in tables:
+            continue
+        for name in [m.name] if m.name in providers and callable(providers[m.name]) else _needs(m):
+            if name not in providers and base.available(name):
+                providers[name] = base.provider(name)
+            if name not in providers:
+                missing.append(m.name if name == m.provider else f"{name} (for {m.name})")
+        if m.name == "music_emotion" and not callable(providers.get(m.name)) and not probe:
+            raise ModelError("music_emotion needs a probe")
     if missing:
-        raise ModelError(f"no provider for {', '.join(missing)}")
+        raise ModelError(f"no provider for {', '.join(dict.fromkeys(missing))}")
     out = ScoreResult(meta={"models": {m.name: {"columns": list(m.columns), "window_sec": m.window_sec, "sr": m.sr} for m in models}, "hop": hop})
-    if kernels or vectors or gated:
-        pcm = decode_stimuli(stimuli, SR).persist()
-        families = [kernel_frames(pcm, kernels, hop)] if kernels else []
-        for m in vectors:
-            from ..providers.base import embed
-
-            families.append(embed(decode_stimuli(stimuli, m.sr), providers[m.name], hop).withColumnRenamed("embedding", m.name))
-        families += [providers[m.name](decode_stimuli(stimuli, m.sr), hop) for m in gated]
-        out.frames = grid.assemble(grid.spine(pcm.select(KEY, "duration"), hop), families)
-    if "beats" in tables and any(m.name == "beats" for m in models):
-        out.beats = beats_table.downbeats(tables["beats"], tables.get("downbeats"))
+    run = _Run(stimuli, hop, providers, out)
+    asked = {m.name: m for m in models}
+    framed = [m for m in models if m.level == "frame"]
+    if framed:
+        kernels = [m.name for m in framed if m.native]
+        native = kernel_frames(run.pcm(SR), kernels, hop) if kernels else None
+        families = [native] if native is not None else []
+        families += [_provided(run, m, probe, bank) for m in framed if not m.native]
+        out.frames = grid.assemble(grid.spine(run.durations, hop), families)
+        spread = [c for m in framed for c in (m.columns if m.kind != "embedding" else (m.name,)) if c in out.frames.columns]
+        rest = [c for c in out.frames.columns if c not in (KEY, "k", "time", *spread)]
+        out.frames = out.frames.select(KEY, "k", "time", *spread, *rest)
+    if "beats" in asked:
+        found = tables["beats"] if "beats" in tables else _rows(run, asked["beats"])
+        out.beats = beats_table.downbeats(found, tables.get("downbeats"))
         out.meta["beats"] = ordered.beat_info(out.beats)
-    if "speakers" in tables and any(m.name == "diarize" for m in models):
-        out.speakers = ordered.number_turns(tables["speakers"])
-    if any(m.name == "transcribe" for m in models):
-        out.transcript, out.words = tables["transcript"], tables.get("words")
+    if "diarize" in asked:
+        turns = tables["speakers"] if "speakers" in tables else _rows(run, asked["diarize"])
+        out.speakers = ordered.number_turns(turns)
+        out.meta["diarization"] = ordered.speaker_summary(turns)
+    if "transcribe" in asked:
+        if "transcript" in tables:
+            out.transcript, out.words = tables["transcript"], tables.get("words")
+        else:
+            out.transcript, out.words = transcripts.flatten(_decoded(run, asked["transcribe"]), verbatim)
         if out.words is not None:
             out.meta["speech_timing"] = ordered.speech_timing(out.words)
             if wordpool is not None:

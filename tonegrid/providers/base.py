@@ -1,12 +1,21 @@
 """Providers of learned models (FRM10, FRM12-14, FRM17-18, TXT1, TXT8, UDF1-4).
 
 Weights are never part of this library. A provider says what it needs and
-yields; the engine cuts context windows, batches them, runs the provider inside
-``mapInArrow`` with one instance per Python worker, and applies the gates.
+yields; the engine decodes, cuts context windows and batches them, runs the
+provider inside ``mapInArrow`` with one instance per Python worker, and applies
+the gates. There are three shapes of output:
+
+* *windows* (``embed``): one vector for the context of every grid row,
+* *series* (``series``): values at the provider's own rate,
+* *rows* (``rows``): a table function, any number of rows per clip.
+
+A provider may also tell about a clip (``info``): pairs that end up beside the
+model's entry in the provenance document.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -14,13 +23,14 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import _parse_datatype_string
 
 from ..errors import ModelError
 from ..operators.grid import KEY
 
 
 class Provider(Protocol):
-    """What a learned model implements."""
+    """What a learned model implements; only ``run`` of its shape is needed."""
 
     name: str
     sr: int
@@ -33,7 +43,11 @@ class Provider(Protocol):
     def load(self) -> None: ...
 
     def run(self, windows: list[np.ndarray]) -> np.ndarray:
-        """One row of ``columns`` (or one vector) per window."""
+        """Windows: one row of ``columns`` (or one vector) per window."""
+        ...
+
+    def clip(self, y: np.ndarray, sr: int):
+        """Series: ``{"t": times, column: values}``. Rows: a list of dicts by ``schema``."""
         ...
 
 
@@ -63,21 +77,90 @@ class StubProvider:
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms > 0, norms, 1)
 
+    def texts(self, prompts: list[str]) -> np.ndarray:
+        """Vectors of prompts in the same space: letter counts folded into ``dims``."""
+        out = np.zeros((len(prompts), self.dims))
+        for k, prompt in enumerate(prompts):
+            for c in prompt.encode():
+                out[k, c % self.dims] += 1
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+@dataclass
+class StubSpeech:
+    """Speech probability of 512-sample blocks: 1 where the block is louder than ``level``, else 0; the last block is padded."""
+
+    name: str = "stub_speech"
+    sr: int = 16_000
+    window_sec: float | None = None
+    columns: tuple[str, ...] = ("prob",)
+    level: float = 0.01
+    block: int = 512
+
+    @staticmethod
+    def available() -> bool:
+        return True
+
+    def load(self) -> None:
+        pass
+
+    def clip(self, y: np.ndarray, sr: int) -> dict[str, np.ndarray]:
+        n = -(-len(y) // self.block)
+        blocks = np.pad(np.asarray(y, dtype=np.float64), (0, n * self.block - len(y))).reshape(n, self.block)
+        return {"t": (np.arange(n) + 0.5) * self.block / sr, "prob": (np.sqrt((blocks**2).mean(axis=1)) > self.level).astype(float)}
+
+
+@dataclass
+class StubTurns:
+    """Speaker turns: runs of loud half seconds, speakers in turn."""
+
+    name: str = "stub_turns"
+    sr: int = 16_000
+    num_speakers: int = 2
+    schema: str = "speaker string, onset double, offset double"
+
+    @staticmethod
+    def available() -> bool:
+        return True
+
+    def load(self) -> None:
+        pass
+
+    def clip(self, y: np.ndarray, sr: int) -> list[dict]:
+        step = sr // 2
+        loud = [np.sqrt(np.mean(np.asarray(y[i : i + step], dtype=np.float64) ** 2)) > 0.01 for i in range(0, len(y), step)] + [False]
+        out, start = [], None
+        for i, on in enumerate(loud):
+            if on and start is None:
+                start = i
+            if not on and start is not None:
+                out.append({"speaker": f"S{len(out) % self.num_speakers}", "onset": start * 0.5, "offset": min(i * 0.5, len(y) / sr)})
+                start = None
+        return out
+
+    def info(self, y: np.ndarray, sr: int) -> dict:
+        return {"speaker_hint": self.num_speakers}
+
 
 _REGISTRY: dict[str, type] = {"stub": StubProvider}
 
 
 def register(name: str, kind: type) -> None:
+    """Make a provider known under a model's name (or the name of its family)."""
     _REGISTRY[name] = kind
 
 
+def available(name: str) -> bool:
+    return name in _REGISTRY and _REGISTRY[name].available()
+
+
 def provider(name: str, **options):
-    """An instance by name; unknown or unavailable providers are a ModelError."""
+    """An instance by name; unknown or unavailable providers are a ModelError. Options that are None are left out."""
     if name not in _REGISTRY:
         raise ModelError(f"no provider for {name!r}: register one")
     if not _REGISTRY[name].available():
         raise ModelError(f"provider {name!r} is not available here")
-    return _REGISTRY[name](**options)
+    return _REGISTRY[name](**{k: v for k, v in options.items() if v is not None})
 
 
 def context_windows(y: np.ndarray, sr: int, hop: float, n: int, seconds: float) -> Iterator[np.ndarray]:
@@ -88,30 +171,82 @@ def context_windows(y: np.ndarray, sr: int, hop: float, n: int, seconds: float)
         yield y[start : start + min(len(y), size)]
 
 
+def _loaded(model):
+    """``model`` with its weights read, once per Python worker's copy."""
+    if not getattr(model, "_ready", False):
+        model.load()
+        model._ready = True
+    return model
+
+
+def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].values.to_numpy()
+
+
 def embed(pcm: DataFrame, model: Provider, hop: float, batch: int = 8) -> DataFrame:
-    """EMB5, FRM13-14: (stimulus_id, k, time, embedding), one pass shared by all models of a family; persist the result."""
-    loaded: list = []
+    """EMB5, FRM13-14: (stimulus_id, k, time, embedding, context_rms), one pass shared by all models of a family; persist the result.
+
+    The level of the context that the silence gate asks for is taken in the same pass.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = None
+        for stimulus, sr, y in _clips(batches):
+            ready = ready or _loaded(model)
+            n = max(1, int(np.ceil(round(len(y) / sr / hop, 9))))
+            held: list[np.ndarray] = []
+            done = 0
+            for w in context_windows(y, sr, hop, n, ready.window_sec or hop):
+                held.append(w)
+                if len(held) == batch or done + len(held) == n:
+                    out = ready.run(held)
+                    ks = np.arange(done, done + len(held), dtype=np.int32)
+                    level = [float(np.sqrt(np.mean(np.square(x, dtype=np.float64)))) if len(x) else 0.0 for x in held]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([stimulus] * len(held)), pa.array(ks), pa.array((ks + 0.5) * hop), pa.array([v.astype(np.float32) for v in out], pa.list_(pa.float32())), pa.array(level)],
+                        names=[KEY, "k", "time", "embedding", "context_rms"],
+                    )
+                    done += len(held)
+                    held = []
+
+    return pcm.select(KEY, "sr", "samples").mapInArrow(run, f"{KEY} string, k int, time double, embedding array<float>, context_rms double")
+
+
+def series(pcm: DataFrame, model: Provider) -> DataFrame:
+    """FRM10, FRM12, FRM18: (stimulus_id, t, columns…) at the provider's own rate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not loaded:
-            model.load()
-            loaded.append(model)
-        for rows in batches:
-            for r in rows.to_pylist():
-                y = np.asarray(r["samples"], dtype=np.float32)
-                n = max(1, int(np.ceil(round(len(y) / r["sr"] / hop, 9))))
-                held: list[np.ndarray] = []
-                done = 0
-                for w in context_windows(y, r["sr"], hop, n, model.window_sec or hop):
-                    held.append(w)
-                    if len(held) == batch or done + len(held) == n:
-                        out = model.run(held)
-                        ks = np.arange(done, done + len(held), dtype=np.int32)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([r[KEY]] * len(held)), pa.array(ks), pa.array((ks + 0.5) * hop), pa.array([v.astype(np.float32) for v in out], pa.list_(pa.float32()))],
-                            names=[KEY, "k", "time", "embedding"],
-                        )
-                        done += len(held)
-                        held = []
-
-    return pcm.select(KEY, "sr", "samples").mapInArrow(run, f"{KEY} string, k int, time double, embedding array<float>")
+        for stimulus, sr, y in _clips(batches):
+            found = _loaded(model).clip(y, sr)
+            names = ["t", *model.columns]
+            yield pa.RecordBatch.from_arrays([pa.array([stimulus] * len(found["t"]), pa.string()), *[pa.array(np.asarray(found[c], dtype=np.float64)) for c in names]], names=[KEY, *names])
+
+    return pcm.select(KEY, "sr", "samples").mapInArrow(run, f"{KEY} string, t double" + "".join(f", `{c}` double" for c in model.columns))
+
+
+def rows(pcm: DataFrame, model: Provider) -> DataFrame:
+    """TXT1, TXT8, UDF3: a table function, any number of rows of ``model.schema`` per clip."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = _parse_datatype_string(f"{KEY} string, {model.schema}")
+    arrow = to_arrow_schema(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for stimulus, sr, y in _clips(batches):
+            yield pa.RecordBatch.from_pylist([{KEY: stimulus, **r} for r in _loaded(model).clip(y, sr)], schema=arrow)
+
+    return pcm.select(KEY, "sr", "samples").mapInArrow(run, kinds)
+
+
+def info(pcm: DataFrame, model: Provider) -> DataFrame | None:
+    """UDF2: (stimulus_id, info as JSON) of a provider that tells about clips."""
+    if not hasattr(model, "info"):
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for stimulus, sr, y in _clips(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([stimulus]), pa.array([json.dumps(_loaded(model).info(y, sr))])], names=[KEY, "info"])
+
+    return pcm.select(KEY, "sr", "samples").mapInArrow(run, f"{KEY} string, info string")

@@ -12,8 +12,8 @@ from ..operators import grid as G
 from ..operators.grid import KEY
 from ..plans.registry import PROMPTS, VOICE_NAMES, VOICE_PARAMETERS
 
-#: Voice parameters that exist only in voiced frames: an exact zero there means "not measured", and speech gates them.
-VOICED = VOICE_PARAMETERS[10:]
+#: Voice parameters that exist only in voiced frames (``nz`` of the descriptor's name): an exact zero there means "not measured", and speech gates them.
+VOICED = tuple(ours for theirs, ours in VOICE_NAMES.items() if theirs.endswith("nz"))
 
 
 def prompt_table(spark: SparkSession) -> DataFrame:
@@ -28,6 +28,27 @@ def gated_embeddings(embeddings: DataFrame, native: DataFrame, durations: DataFr
     return embeddings.join(marked, [KEY, "k"], "left").withColumn("silent", F.coalesce("silent", F.lit(True)))
 
 
+def silence_marked(embeddings: DataFrame, dbfs: float = C.SILENCE_DBFS) -> DataFrame:
+    """CTX3 for vectors that carry the level of their own context."""
+    return embeddings.withColumn("silent", C.is_silent(F.col("context_rms"), dbfs))
+
+
+def read_probe(path: str) -> dict[str, tuple[list[float], float]]:
+    """SRC9: linear read-outs from a user's JSON file, ``{name: {"coef": […], "intercept": b}}``."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        return {name: ([float(x) for x in p["coef"]], float(p["intercept"])) for name, p in json.load(f).items()}
+
+
+def prompt_bank(spark: SparkSession, model) -> DataFrame:
+    """EMB2: (category, bank vector) from the provider's vectors of the fixed prompts."""
+    pairs = [(c, p) for c, prompts in PROMPTS.items() for p in prompts]
+    vectors = model.texts([p for _, p in pairs])
+    table = spark.createDataFrame([(c, [float(x) for x in v]) for (c, _), v in zip(pairs, vectors, strict=True)], "category string, embedding array<double>")
+    return E.ensemble_bank(table, "category", "embedding")
+
+
 def music_emotion(embeddings: DataFrame, probe: dict[str, tuple[list[float], float]], vector: str = "embedding") -> DataFrame:
     """FRM15: clipped linear read-outs; silent windows are missing."""
     out = E.linear_probe(embeddings, vector, {f"music_emotion_{k}": v for k, v in probe.items()})

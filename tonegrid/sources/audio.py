@@ -6,6 +6,7 @@ import io
 import os
 import shutil
 import subprocess
+import tempfile
 import wave
 from collections.abc import Iterator
 
@@ -17,11 +18,13 @@ from pyspark.sql import functions as F
 from ..errors import InputError
 
 AUDIO = (".flac", ".m4a", ".mp3", ".ogg", ".wav")
-VIDEO = (".avi", ".mkv", ".mov", ".mp4")
+VIDEO = (".mkv", ".mov", ".mp4", ".webm")
 
 
 def input_type(path: str) -> str:
-    """SRC1: 'audio' or 'video' by suffix; a missing file or another suffix is an InputError."""
+    """SRC1: 'audio' or 'video' by suffix; a missing file or another suffix is an InputError. A folder is a corpus: 'folder'."""
+    if os.path.isdir(path):
+        return "folder"
     suffix = os.path.splitext(path)[1].lower()
     if suffix not in AUDIO + VIDEO:
         raise InputError(f"unsupported input {suffix or path!r}; supported: {', '.join(sorted(AUDIO + VIDEO))}")
@@ -80,10 +83,16 @@ def decode(content: bytes, path: str, sr: int) -> np.ndarray:
         return decode_wav(content, sr)
     if shutil.which("ffmpeg") is None:
         raise InputError(f"{path}: decoding needs ffmpeg")
-    done = subprocess.run(["ffmpeg", "-v", "error", "-i", "pipe:0", "-vn", "-ac", "1", "-ar", str(sr), "-f", "wav", "pipe:1"], input=content, capture_output=True)
+    with tempfile.NamedTemporaryFile(suffix=os.path.splitext(path)[1]) as source:  # a task's own file: some containers need seeking
+        source.write(content)
+        source.flush()
+        done = subprocess.run(["ffmpeg", "-v", "error", "-i", source.name, "-vn", "-ac", "1", "-ar", str(sr), "-f", "wav", "pipe:1"], capture_output=True)
     if done.returncode:
         raise InputError(f"{path}: " + "\n".join(done.stderr.decode("utf-8", "replace").splitlines()[-8:]))
     head = done.stdout.find(b"data")
+    rate = int.from_bytes(done.stdout[24:28], "little")
+    if head < 0 or rate != sr:
+        raise InputError(f"{path}: decoded at {rate} Hz instead of {sr}")
     return np.frombuffer(done.stdout[head + 8 :], "<i2").astype(np.float32) / 32768
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..errors import InputError
 
+#: Columns that are never numbers.
+TEXT = ("stimulus_id", "word", "text", "speaker", "voice_gender", "matched_item")
 KINDS = ("frames", "transcript", "transcript_words", "recall", "beats", "speakers")
 
 
@@ -39,10 +41,17 @@ def resolve_scores(path: str) -> dict[str, str | None]:
     return {kind: p if os.path.exists(p) else None for kind, p in found.items()}
 
 
+def _read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table with inferred numbers; identities and words stay text (``001`` is not 1)."""
+    found = spark.read.csv(path, header=True, inferSchema=True)
+    kinds = [f"`{f.name}` {'string' if f.name in TEXT else f.dataType.simpleString()}" for f in found.schema.fields]
+    return spark.read.csv(path, header=True, schema=", ".join(kinds))
+
+
 def read_scores(spark: SparkSession, path: str) -> dict[str, DataFrame | dict]:
     """SRC6-7: the tables of a result, and its sidecar; no table at all is an InputError."""
     paths = resolve_scores(path)
-    tables: dict = {k: spark.read.csv(p, header=True, inferSchema=True) for k, p in paths.items() if p and k != "meta"}
+    tables: dict = {k: _read_table(spark, p) for k, p in paths.items() if p and k != "meta"}
     if not tables:
         raise InputError(f"no score tables for {path}")
     if paths["meta"]:
