@@ -177,12 +177,12 @@ def rhythm(y: np.ndarray, magnitudes: np.ndarray | None = None, sr: int = SR) ->
     low, high = int(0.25 * rate), min(int(2.0 * rate), local.shape[1] - 1)
     clarity = np.clip(local[:, low : high + 1].max(axis=1) / np.where(local[:, 0] > 0, local[:, 0], np.inf), 0, 1)
     clarity[activity < 0.1] = 0
-    return {"pulse_clarity": clarity, "beat_strength": local_pulse(env, rate), **novelty(mfcc(m)[:, 1:14], rate)}
+    return {"pulse_clarity": clarity, "beat_strength": local_pulse(env, rate), **novelty(mfcc(m)[:, :13], rate)}
 
 
-def local_pulse(env: np.ndarray, rate: float, seconds: float = 3.0) -> np.ndarray:
+def local_pulse(env: np.ndarray, rate: float, width: int = 384) -> np.ndarray:
     """Overlap-added windowed sinusoids at each frame's strongest tempo (30-300 BPM), rectified, scaled to a maximum of 1."""
-    n = max(8, int(seconds * rate))
+    n = max(8, min(width, len(env)))
     if len(env) == 0 or env.max() <= 0:
         return np.zeros(len(env))
     window = hann(n)
@@ -219,14 +219,16 @@ def novelty(cepstra: np.ndarray, rate: float, block: float = 0.2, kernel: float
 
 
 def chroma(magnitudes: np.ndarray, sr: int = SR) -> np.ndarray:
-    """Energy per pitch class (from C), one row a frame: spectral bins spread over equal-tempered semitones."""
+    """Share of the strongest pitch class (from C), one row a frame: spectral bins spread over equal-tempered semitones."""
     size = 2 * (magnitudes.shape[1] - 1)
     freqs = np.arange(1, magnitudes.shape[1]) * sr / size
     pitch = 69 + 12 * np.log2(freqs / 440)
     usable = (freqs > 60) & (freqs < 5000)
     distance = (pitch[:, None] - np.arange(12)[None, :] + 6) % 12 - 6
     weight = np.exp(-0.5 * (distance / 0.5) ** 2) * usable[:, None] / np.maximum(freqs[:, None], 60)
-    return magnitudes[:, 1:] ** 2 @ weight
+    energy = magnitudes[:, 1:] ** 2 @ weight
+    peak = energy.max(axis=1, keepdims=True)
+    return np.where(peak > 1e-10, energy / np.maximum(peak, 1e-300), 0.0)  # every frame to its own peak: loud ones do not outweigh the rest
 
 
 def tonal(y: np.ndarray, magnitudes: np.ndarray | None = None, sr: int = SR) -> dict[str, np.ndarray]:

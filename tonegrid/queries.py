@@ -142,7 +142,7 @@ _TURNS = """tn AS (SELECT conv_id AS stimulus_id, turn::INTEGER AS turn_idx, rol
 _SEGS = f"""{_TURNS}, sg AS (SELECT stimulus_id, i::INTEGER AS segment_idx, i * 700.0 AS onset, i * 700.0 + 650 AS offset_
     FROM (SELECT stimulus_id, max(offset_) AS d FROM tn GROUP BY 1) s, range(1000) g(i) WHERE i * 700.0 < d)"""
 _WORDS = f"""{_TURNS}, wx AS (SELECT stimulus_id, turn_idx, speaker, onset, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS i FROM tn),
-wd AS (SELECT stimulus_id, (row_number() OVER (PARTITION BY stimulus_id ORDER BY turn_idx, i) - 1)::INTEGER AS word_idx, word, i,
+wd AS (SELECT stimulus_id, (row_number() OVER (PARTITION BY stimulus_id ORDER BY turn_idx, i) - 1)::INTEGER AS word_idx, word, i, speaker,
     onset + i * 6.5 AS onset, onset + i * 6.5 + 4 AS offset_ FROM wx)"""
 
 
@@ -160,9 +160,9 @@ def segments(spark, sf_dir) -> DataFrame:
 
 
 def words(spark, sf_dir) -> DataFrame:
-    each = turns(spark, sf_dir).select("stimulus_id", "turn_idx", "onset", F.posexplode(F.split("text", " ")).alias("i", "word"))
+    each = turns(spark, sf_dir).select("stimulus_id", "turn_idx", "speaker", "onset", F.posexplode(F.split("text", " ")).alias("i", "word"))
     index = F.row_number().over(Window.partitionBy("stimulus_id").orderBy("turn_idx", "i")) - 1
-    return each.select("stimulus_id", index.alias("word_idx"), "word", "i", (F.col("onset") + F.col("i") * 6.5).alias("onset"), (F.col("onset") + F.col("i") * 6.5 + 4).alias("offset"))
+    return each.select("stimulus_id", index.alias("word_idx"), "word", "i", "speaker", (F.col("onset") + F.col("i") * 6.5).alias("onset"), (F.col("onset") + F.col("i") * 6.5 + 4).alias("offset"))
 
 
 @query(f"""WITH {_SEGS}, ov AS (SELECT s.stimulus_id, s.segment_idx, t.speaker, sum(least(s.offset_, t.offset_) - greatest(s.onset, t.onset)) AS o FROM sg s JOIN tn t
@@ -205,12 +205,13 @@ def nearest_frame(spark, sf_dir):
     return I.nearest_frame(native, grids, HOP).select("event_id", "k")
 
 
-@query(f"""WITH {_WORDS}, a AS (SELECT * FROM wd WHERE word_idx % 50 < 30), b AS (SELECT * FROM wd WHERE word_idx % 3 = 0),
+@query(f"""WITH {_WORDS}, a AS (SELECT * FROM wd WHERE speaker = 'user'),
 g AS (SELECT stimulus_id, offset_ AS gap_start, lead(onset) OVER (PARTITION BY stimulus_id ORDER BY onset, offset_) AS gap_end FROM a)
-SELECT g.stimulus_id, gap_start, gap_end, count(*) AS n_words FROM g JOIN b ON g.stimulus_id = b.stimulus_id AND b.onset >= gap_start AND b.offset_ <= gap_end WHERE gap_end - gap_start >= 30 GROUP BY ALL""")
+SELECT g.stimulus_id, gap_start, gap_end, count(*) AS n_words FROM g JOIN wd b ON g.stimulus_id = b.stimulus_id AND b.onset >= gap_start AND b.offset_ <= gap_end WHERE gap_end - gap_start >= 30 GROUP BY ALL""")
 def gap_diff(spark, sf_dir):
+    """TXT9: where a transcript of the user's turns has gaps that the whole transcript covers."""
     each = words(spark, sf_dir)
-    return I.transcript_gaps(each.where("word_idx % 50 < 30"), each.where("word_idx % 3 = 0"), 30.0, width=100.0)
+    return I.transcript_gaps(each.where("speaker = 'user'"), each, 30.0, width=100.0)
 
 
 # --- ordered analytics ------------------------------------------------------------------------------------------------
@@ -343,12 +344,16 @@ def minmax_norm(spark, sf_dir):
     return native.select("event_id", F.round(O.minmax(F.col("value")), 6).alias("scaled"), F.round(O.zscore(F.col("value")), 6).alias("z"))
 
 
-@query("""WITH t AS (SELECT conv_id AS stimulus_id, role AS speaker, turn::DOUBLE AS onset, turn::DOUBLE + length(text) / 1000.0 AS offset_ FROM conversations)
-SELECT stimulus_id, speaker, round(sum(offset_ - onset), 6) AS seconds, count(*) AS n_turns FROM t GROUP BY ALL""")
+_OVERLAP = """t AS (SELECT conv_id AS stimulus_id, role AS speaker, turn * 0.3::DOUBLE AS onset, turn * 0.3::DOUBLE + length(text) / 1000.0::DOUBLE AS offset_ FROM conversations),
+f AS (SELECT *, greatest(offset_ - greatest(onset, coalesce(max(offset_) OVER (PARTITION BY stimulus_id, speaker ORDER BY onset, offset_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), onset)), 0) AS s FROM t)"""
+
+
+@query(f"WITH {_OVERLAP} SELECT stimulus_id, speaker, round(sum(s), 6) AS seconds, count(*) AS n_turns FROM f GROUP BY ALL")
 def speaker_time(spark, sf_dir):
-    """AGG7."""
+    """AGG7: overlapping turns of one speaker count once."""
     t = table(spark, sf_dir, "conversations")
-    return t.groupBy(F.col("conv_id").alias("stimulus_id"), F.col("role").alias("speaker")).agg(F.round(F.sum(F.char_length("text") / 1000.0), 6).alias("seconds"), F.count("*").alias("n_turns"))
+    spans = t.select(F.col("conv_id").alias("stimulus_id"), F.col("role").alias("speaker"), (F.col("turn") * F.lit(0.3)).alias("onset"), (F.col("turn") * F.lit(0.3) + F.char_length("text") / 1000.0).alias("offset"))
+    return O.speaker_time(spans).select("stimulus_id", "speaker", F.round("seconds", 6).alias("seconds"), "n_turns")
 
 
 # --- embeddings -------------------------------------------------------------------------------------------------------
@@ -546,16 +551,16 @@ def number_format(spark, sf_dir):
     return numbers(spark, sf_dir).select("event_id", six_digits(F.col("x")).alias("x"))
 
 
-_PATHS = """pt AS (SELECT p_partkey, '/data/' || replace(lower(p_type), ' ', '/') || '/' || p_name || CASE p_partkey % 6 WHEN 0 THEN '.WAV' WHEN 1 THEN '.mp4' WHEN 2 THEN '.txt' WHEN 3 THEN '' WHEN 4 THEN '.b.flac' ELSE '.mov' END AS path FROM part)"""
+_PATHS = """pt AS (SELECT p_partkey, '/data/' || replace(lower(p_type), ' ', '/') || '/' || p_name || CASE p_partkey % 6 WHEN 0 THEN '.WAV' WHEN 1 THEN '.mp4' WHEN 2 THEN '.txt' WHEN 3 THEN '' WHEN 4 THEN '.b.flac' ELSE CASE WHEN p_partkey % 4 = 1 THEN '.webm' WHEN p_partkey % 4 = 3 THEN '.avi' ELSE '.mov' END END AS path FROM part)"""
 
 
-@query(f"""WITH {_PATHS} SELECT p_partkey, CASE WHEN lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.flac', '.m4a', '.mp3', '.ogg', '.wav') THEN 'audio' WHEN lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.avi', '.mkv', '.mov', '.mp4') THEN 'video' END AS kind,
+@query(f"""WITH {_PATHS} SELECT p_partkey, CASE WHEN lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.flac', '.m4a', '.mp3', '.ogg', '.wav') THEN 'audio' WHEN lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.mkv', '.mov', '.mp4', '.webm') THEN 'video' END AS kind,
   regexp_replace(regexp_extract(path, '([^/]+)$', 1), '\\.[^.]+$', '') AS stimulus_id FROM pt""")
 def input_kinds(spark, sf_dir):
     """SRC1, SNK2: kind and identity of input paths; unknown kinds are NULL, for quarantine."""
     from .sources.audio import input_type_column, stimulus_id
 
-    suffix = F.expr("case p_partkey % 6 when 0 then '.WAV' when 1 then '.mp4' when 2 then '.txt' when 3 then '' when 4 then '.b.flac' else '.mov' end")
+    suffix = F.expr("case p_partkey % 6 when 0 then '.WAV' when 1 then '.mp4' when 2 then '.txt' when 3 then '' when 4 then '.b.flac' else case when p_partkey % 4 = 1 then '.webm' when p_partkey % 4 = 3 then '.avi' else '.mov' end end")
     path = F.concat(F.lit("/data/"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("/")), F.lit("/"), "p_name", suffix)
     return table(spark, sf_dir, "part").select("p_partkey", input_type_column(path).alias("kind"), stimulus_id(path).alias("stimulus_id"))
 
@@ -596,24 +601,36 @@ def head_rows(spark, sf_dir):
 def play_spans(spark, sf_dir):
     """PRJ6."""
     spine = G.spine(fixed_durations(events(spark, sf_dir)), HOP)
-    return spine.select("stimulus_id", "k", F.greatest(F.lit(0.0), F.col("time") - HOP / 2).alias("play_from"), (F.col("time") + HOP / 2).alias("play_to"))
+    start, end = M.play_span(F.col("time"), HOP)
+    return spine.select("stimulus_id", "k", start.alias("play_from"), end.alias("play_to"))
 
 
-@query()
-def published_tables(spark, sf_dir):
-    """SNK1, SNK4: a written table and the row count observed while writing."""
+def scratch(spark) -> str:
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or a temporary one on a single machine."""
     import uuid
 
-    from .plans.publish import write_tables
-    from .plans.score import ScoreResult
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="published-")
-    written = write_tables(ScoreResult(frames=table(spark, sf_dir, "nation").withColumn("stimulus_id", F.col("n_regionkey"))), f"{folder}/published/{uuid.uuid4().hex}")
-    return spark.createDataFrame([(kind, w["rows"]) for kind, w in written.items()], "kind string, rows long")
+    return f"{folder.rstrip('/')}/queries/{uuid.uuid4().hex}"
+
+
+@query(f"""WITH {_GRID}, g AS (SELECT sp.stimulus_id, sp.k, avg(bn.value) AS m FROM sp LEFT JOIN bn ON sp.stimulus_id = bn.stimulus_id AND sp.k = bn.k GROUP BY ALL)
+SELECT stimulus_id::VARCHAR AS stimulus_id, count(*) AS n_windows, round(sum(m), 4) AS total, sum(count(*)) OVER ()::BIGINT AS rows_observed FROM g GROUP BY 1""")
+def published_tables(spark, sf_dir):
+    """SNK1, SNK2, SNK4: tables written and read back by key, with the row count observed while writing; the key stays text."""
+    from .plans.publish import write_tables
+    from .plans.score import ScoreResult
+
+    native = events(spark, sf_dir)
+    grid = G.to_grid(native, fixed_durations(native), HOP, means=("value",))
+    written = write_tables(ScoreResult(frames=grid.withColumn("stimulus_id", F.col("stimulus_id").cast("string"))), scratch(spark))
+    frames = spark.read.parquet(written["frames"]["path"])
+    return frames.groupBy("stimulus_id").agg(F.count("*").alias("n_windows"), F.round(F.sum("value_mean"), 4).alias("total"), F.lit(written["frames"]["rows"]).cast("long").alias("rows_observed"))
 
 
 # --- generated signals ------------------------------------------------------------------------------------------------
@@ -624,11 +641,49 @@ def _samples(spark, n: int, rows: str, sample: str) -> DataFrame:
     return spark.sql(f"select signal, i, {sample} as x from (select explode(array({rows})) as signal) lateral view explode(sequence(0, {n - 1})) e as i")
 
 
+def _through_kernel(samples: DataFrame, kernel, columns: list[str]) -> DataFrame:
+    """(signal, frame_idx, columns…): samples of each signal in order through a kernel of ``kernels.dsp``."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = kernel(batch.column(1)[k].values.to_numpy())
+                n = len(found[0])
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), *[pa.array(np.asarray(c, dtype=np.float64)) for c in found]], names=["signal", "frame_idx", *columns])
+
+    clips = samples.groupBy("signal").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("y"))
+    return clips.select(F.col("signal").cast("int").alias("signal"), "y").mapInArrow(run, "signal int, frame_idx int" + "".join(f", {c} double" for c in columns))
+
+
 @query("""WITH x AS (SELECT signal, i, 0.5 * sin(2 * pi() * signal * i / 22050.0) AS x FROM (SELECT unnest([110, 220, 440, 1000]) AS signal) s, range(22050) r(i))
-SELECT signal, (i // 512)::INTEGER AS frame_idx, round(sqrt(avg(x * x)), 6) AS rms FROM x GROUP BY ALL""")
+SELECT signal, f::INTEGER AS frame_idx, round(sqrt(sum(x * x) / 2048), 6) AS rms FROM x, range(44) g(f) WHERE i >= 512 * f - 1024 AND i < 512 * f + 1024 GROUP BY ALL""")
 def synth_sine_rms(spark, sf_dir):
+    """FRM1: the loudness kernel on generated tones."""
+    from .kernels.dsp import rms
+
     x = _samples(spark, 22050, "110, 220, 440, 1000", "0.5D * sin(2 * pi() * signal * i / 22050D)")
-    return x.groupBy("signal", F.expr("int(i div 512)").alias("frame_idx")).agg(F.round(F.sqrt(F.avg(F.col("x") * F.col("x"))), 6).alias("rms"))
+    return _through_kernel(x, lambda y: [rms(y)], ["rms"]).withColumn("rms", F.round("rms", 6))
+
+
+@query("""WITH x AS (SELECT signal, i, trunc(least(greatest(1.2 * sin(2 * pi() * signal * i / 16000.0), -1), 1) * 32767) / 32768.0 AS x FROM (SELECT unnest([50, 440]) AS signal) s, range(4000) r(i))
+SELECT signal, i::INTEGER AS i, round(x, 6) + 0.0 AS x FROM x""")
+def wav_round_trip(spark, sf_dir):
+    """SRC2, SRC4: generated tones as WAV bytes, decoded again at their own rate."""
+    import numpy as np
+    import pyarrow as pa
+
+    from .sources.audio import decode_stimuli, encode_wav
+
+    def run(batches):
+        for batch in batches:
+            tones = batch.column(0).to_pylist()
+            waves = [encode_wav(1.2 * np.sin(2 * np.pi * f * np.arange(4000) / 16_000), 16_000) for f in tones]
+            yield pa.RecordBatch.from_arrays([pa.array([str(f) for f in tones]), pa.array([f"{f}.wav" for f in tones]), pa.array(waves, pa.binary())], names=["stimulus_id", "path", "content"])
+
+    files = spark.range(2).select(F.when(F.col("id") == 0, 50).otherwise(440).alias("f")).mapInArrow(run, "stimulus_id string, path string, content binary")
+    return decode_stimuli(files, 16_000).select(F.col("stimulus_id").cast("int").alias("signal"), F.posexplode("samples").alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6) + F.lit(0.0))
 
 
 @query("SELECT i::INTEGER AS i, round(20 * log10(greatest(i * i / 1e7, 1e-5)), 6) AS db, round(10 ^ (-i / 20.0), 9) AS amplitude, round(i * 2e-5 * 10 ^ (94 / 20.0), 6) AS pascal FROM range(200) r(i)")
@@ -647,31 +702,43 @@ def fluctuation_weight(spark, sf_dir):
     return spark.range(400).select(F.col("id").cast("int").alias("i"), F.round(S.modulation_weight(F.col("id") / 10.0), 6).alias("weight"))
 
 
-_DFT = """x AS (SELECT signal, (i // 64)::INTEGER AS frame_idx, i % 64 AS n, sin(2 * pi() * signal * i / 64.0) + 0.3 * sin(2 * pi() * (signal + 7) * i * i / 65536.0) AS x FROM (SELECT unnest([3, 5, 11]) AS signal) s, range(512) r(i)),
-m AS (SELECT signal, frame_idx, b::INTEGER AS bin, sqrt(sum(x * cos(2 * pi() * b * n / 64)) ^ 2 + sum(x * sin(2 * pi() * b * n / 64)) ^ 2) AS mag FROM x, range(33) g(b) GROUP BY ALL)"""
+_DFT = """x AS (SELECT signal, i, sin(2 * pi() * signal * i / 64.0) + 0.3 * sin(2 * pi() * (signal + 7) * i * i / 65536.0) AS x FROM (SELECT unnest([3, 5, 11]) AS signal) s, range(512) r(i)),
+w AS (SELECT signal, f::INTEGER AS frame_idx, i - 32 * f + 32 AS n, x * (0.5 - 0.5 * cos(2 * pi() * (i - 32 * f + 32) / 64)) AS x FROM x, range(17) g(f) WHERE i >= 32 * f - 32 AND i < 32 * f + 32),
+m AS (SELECT signal, frame_idx, b::INTEGER AS bin, sqrt(sum(x * cos(2 * pi() * b * n / 64)) ^ 2 + sum(x * sin(2 * pi() * b * n / 64)) ^ 2) AS mag FROM w, range(33) g(b) GROUP BY ALL)"""
+
+
+def _chirps(spark) -> DataFrame:
+    return _samples(spark, 512, "3, 5, 11", "sin(2 * pi() * signal * i / 64D) + 0.3D * sin(2 * pi() * (signal + 7) * i * i / 65536D)")
+
+
+def _spectral(y):
+    """Centroid in bins, bandwidth in bins and flux of 64-sample frames, by the spectral kernel."""
+    from .kernels import dsp
+
+    found = dsp.spectral(y, dsp.stft(y, 64, 32), sr=64)
+    return [found["centroid"], found["bandwidth"], found["flux"]]
 
 
 def _dft(spark) -> DataFrame:
-    """(signal, frame_idx, mag): 33-bin magnitudes of eight 64-sample frames."""
-    x = _samples(spark, 512, "3, 5, 11", "sin(2 * pi() * signal * i / 64D) + 0.3D * sin(2 * pi() * (signal + 7) * i * i / 65536D)")
-    bins = x.select("signal", F.expr("int(i div 64)").alias("frame_idx"), F.expr("i % 64").alias("n"), "x", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("bin"))
-    angle = 2 * F.pi() * F.col("bin") * F.col("n") / 64
-    mags = bins.groupBy("signal", "frame_idx", "bin").agg(F.sqrt(F.pow(F.sum(F.col("x") * F.cos(angle)), F.lit(2)) + F.pow(F.sum(F.col("x") * F.sin(angle)), F.lit(2))).alias("mag"))
-    return mags.groupBy("signal", "frame_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "mag"))), lambda s: s["mag"]).alias("mag"))
+    """(signal, frame_idx, mag): 33-bin magnitudes of the transform kernel."""
+    from .kernels import dsp
 
+    found = _through_kernel(_chirps(spark), lambda y: list(dsp.stft(y, 64, 32).T), [f"m{b}" for b in range(33)])
+    return found.select("signal", "frame_idx", F.array(*[f"m{b}" for b in range(33)]).alias("mag"))
 
-@query(f"WITH {_DFT} SELECT signal, frame_idx, round(sum(bin * mag) / sum(mag), 6) AS centroid FROM m GROUP BY ALL")
+
+@query(f"""WITH {_DFT}, c AS (SELECT signal, frame_idx, sum(bin * mag) / sum(mag) AS c FROM m GROUP BY ALL)
+SELECT signal, frame_idx, round(c, 6) AS centroid, round(sqrt(sum(mag * (bin - c) ^ 2) / sum(mag)), 6) AS bandwidth FROM m JOIN c USING (signal, frame_idx) GROUP BY signal, frame_idx, c""")
 def synth_dft_centroid(spark, sf_dir):
-    weighted = F.aggregate(F.transform("mag", lambda v, i: v * i), F.lit(0.0), lambda s, v: s + v)
-    return _dft(spark).select("signal", "frame_idx", F.round(weighted / V.total(F.col("mag")), 6).alias("centroid"))
+    """FRM3: the spectral kernel's moments."""
+    found = _through_kernel(_chirps(spark), _spectral, ["centroid", "bandwidth", "flux"])
+    return found.select("signal", "frame_idx", F.round("centroid", 6).alias("centroid"), F.round("bandwidth", 6).alias("bandwidth"))
 
 
 @query(f"WITH {_DFT}, d AS (SELECT signal, frame_idx, bin, greatest(mag - lag(mag) OVER (PARTITION BY signal, bin ORDER BY frame_idx), 0) AS d FROM m) SELECT signal, frame_idx, round(sqrt(coalesce(sum(d * d), 0)), 6) AS flux FROM d GROUP BY ALL")
 def synth_dft_flux(spark, sf_dir):
-    """WIN5: half-wave-rectified first difference; 0 for the first frame."""
-    before = F.lag("mag").over(Window.partitionBy("signal").orderBy("frame_idx"))
-    rise = F.aggregate(F.zip_with("mag", "_b", lambda a, b: F.pow(F.greatest(a - b, F.lit(0.0)), F.lit(2))), F.lit(0.0), lambda s, v: s + v)
-    return _dft(spark).withColumn("_b", before).select("signal", "frame_idx", F.round(F.coalesce(F.sqrt(rise), F.lit(0.0)), 6).alias("flux"))
+    """FRM3, WIN5: half-wave-rectified first difference; 0 for the first frame."""
+    return _through_kernel(_chirps(spark), _spectral, ["centroid", "bandwidth", "flux"]).select("signal", "frame_idx", F.round("flux", 6).alias("flux"))
 
 
 @query(f"WITH {_DFT}, c AS (SELECT signal, frame_idx, bin % 12 AS pc, sum(mag) AS e FROM m GROUP BY ALL), p AS (SELECT *, e / sum(e) OVER (PARTITION BY signal, frame_idx) AS p FROM c) SELECT signal, frame_idx, round(-sum(p * log2(p)) / log2(12), 6) AS entropy FROM p GROUP BY ALL")
@@ -680,6 +747,7 @@ def synth_entropy(spark, sf_dir):
     return _dft(spark).select("signal", "frame_idx", F.round(V.normalised_entropy(folded), 6).alias("entropy"))
 
 
+#: Krumhansl-Kessler (1982) key profiles, from C, as SQL lists.
 _MAJ, _MIN = "[6.35,2.23,3.48,2.33,4.38,4.09,2.52,5.19,2.39,3.66,2.29,2.88]", "[6.33,2.68,3.52,5.38,2.60,3.53,2.54,4.75,3.98,2.69,3.34,3.17]"
 
 
@@ -695,35 +763,32 @@ def key_profile_corr(spark, sf_dir):
     return vectors.withColumn("_k", F.explode(bank)).select("vec", "_k.mode", "_k.rot", F.round(V.pearson(F.col("x"), F.col("_k.y")), 6).alias("r"))
 
 
-_HALF = 4
-
-
-@query(f"""WITH e AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n, embedding FROM embeddings),
-x AS (SELECT i, n, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS p FROM e),
-b AS (SELECT c.i, o AS o, least(greatest(c.i + o, 0), c.n - 1) AS j FROM e c, range(-{_HALF}, {_HALF}) g(o)),
-w AS (SELECT o, exp(-0.5 * ((o + 0.5) / {_HALF / 2}) ^ 2) * sign(o + 0.5) AS w FROM range(-{_HALF}, {_HALF}) g(o)),
-s AS (SELECT b.i, x.p, sum(w.w * x.x) AS s FROM b JOIN w USING (o) JOIN x ON x.i = b.j GROUP BY ALL)
-SELECT i::INTEGER AS i, round(greatest(sum(s * s), 0), 6) AS novelty FROM s GROUP BY 1""")
+@query("""WITH e AS (SELECT label AS signal, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS f, count(*) OVER (PARTITION BY label) AS n, embedding FROM embeddings),
+x AS (SELECT signal, f // 2 AS b, n // 2 AS nb, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS p FROM e WHERE f // 2 < n // 2),
+m AS (SELECT signal, b, nb, p, avg(x) AS x FROM x GROUP BY ALL),
+z AS (SELECT signal, b, nb, p, (x - avg(x) OVER q) / greatest(stddev_pop(x) OVER q, 1e-12) AS z FROM m WINDOW q AS (PARTITION BY signal, p)),
+u AS (SELECT signal, b, nb, p, z / greatest(sqrt(sum(z * z) OVER (PARTITION BY signal, b)), 1e-12) AS u FROM z),
+g AS (SELECT o, exp(-0.5 * ((o + 0.5) / 2) ^ 2) * sign(o + 0.5) AS w FROM range(-4, 4) r(o)),
+i AS (SELECT DISTINCT signal, b AS i, nb FROM u),
+s AS (SELECT i.signal, i.i, u.p, sum(g.w * u.u) AS s FROM i CROSS JOIN g JOIN u ON u.signal = i.signal AND u.b = least(greatest(i.i + g.o, 0), i.nb - 1) GROUP BY ALL)
+SELECT signal, i::INTEGER AS frame_idx, round(greatest(sum(s * s), 0) / (SELECT sum(abs(w)) ^ 2 FROM g), 6) AS novelty FROM s GROUP BY ALL""")
 def novelty_checkerboard(spark, sf_dir):
-    """FRM8, WIN11: the checkerboard kernel is an outer product g·gᵀ, so novelty is |Σ g(o)·v(i+o)|²: a banded window, never a matrix.
+    """FRM8, WIN11: the novelty kernel; every label is a clip, its vectors are the frames, two to a block.
 
-    The sequence is one clip; its frames are numbered once and edges repeat.
+    The checkerboard is an outer product g·gᵀ, so the SQL is |Σ g(o)·v(i+o)|².
     """
-    order = Window.orderBy("vec_id")
-    e = table(spark, sf_dir, "embeddings").select("embedding", (F.row_number().over(order) - 1).alias("i"))
-    last = e.agg(F.max("i").alias("last"))
-    offsets = [o + 0.5 for o in range(-_HALF, _HALF)]
-    import math
-
-    taps = F.array(*[F.struct(F.lit(int(o - 0.5)).alias("o"), F.lit(math.exp(-0.5 * (o / (_HALF / 2)) ** 2) * (1.0 if o > 0 else -1.0)).alias("w")) for o in offsets])
-    reached = e.join(F.broadcast(last)).select("embedding", "i", "last", F.explode(taps).alias("t"))
-    # frame j serves every i with clamp(i + o) = j: itself, and at the edges all i beyond
-    low = F.when(F.col("i") == 0, 0).otherwise(F.col("i") - F.col("t.o"))
-    high = F.when(F.col("i") == F.col("last"), F.col("last")).otherwise(F.when(F.col("i") == 0, -F.col("t.o")).otherwise(F.col("i") - F.col("t.o")))
-    low = F.when(F.col("i") == F.col("last"), F.col("last") - F.col("t.o")).otherwise(low)
-    spread = reached.where((low <= high) & (high >= 0) & (low <= F.col("last"))).select(F.explode(F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.col("last")))).alias("i"), F.col("t.w").alias("w"), "embedding")
-    sums = spread.select("i", F.posexplode(F.transform("embedding", lambda x: x.cast("double") * F.col("w"))).alias("p", "x")).groupBy("i", "p").agg(F.sum("x").alias("s"))
-    return sums.groupBy("i").agg(F.round(F.greatest(F.sum(F.col("s") * F.col("s")), F.lit(0.0)), 6).alias("novelty"))
+    import numpy as np
+    import pyarrow as pa
+
+    from .kernels.dsp import novelty
+
+    def run(clip: pa.Table) -> pa.Table:
+        rows = sorted(zip(clip.column("vec_id").to_pylist(), clip.column("embedding").to_pylist(), strict=True))
+        found = novelty(np.array([v for _, v in rows], dtype=np.float64), 10.0, 0.2, 1.6)["novelty"]
+        return pa.table({"signal": pa.array([clip.column("label")[0].as_py()] * len(found), pa.int32()), "frame_idx": pa.array(np.arange(len(found), dtype=np.int32)), "novelty": pa.array(found)})
+
+    clips = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
+    return clips.groupBy("label").applyInArrow(run, "signal int, frame_idx int, novelty double").withColumn("novelty", F.round("novelty", 6))
 
 
 # --- beyond SQL -------------------------------------------------------------------------------------------------------
@@ -760,13 +825,57 @@ def scene_frames(spark, sf_dir):
     return kernel_frames(scenes(spark, seconds=4.0, sr=22_050), ["loudness", "pitch", "spectral", "onsets", "tonal", "rhythm", "timbre"])
 
 
-@query()
+_CLIPS = """y AS (SELECT clip, i, CASE WHEN i >= 400 * clip THEN (0.1 + 0.05 * (i // 50 % 7))::DOUBLE ELSE 0.0 END AS x FROM (SELECT unnest([0, 1, 2]) AS clip) c, range(1200) r(i)),
+k AS (SELECT clip, k::INTEGER AS k, trunc(least(greatest((k + 0.5) * 0.5 - 1, 0.0), 10.0) * 100)::INTEGER AS s FROM (SELECT unnest([0, 1, 2]) AS clip) c, range(24) g(k)),
+p AS (SELECT k.clip, k.k, (i - s) // 25 AS d, sqrt(avg(x * x)) AS r, sum(x * x) AS e FROM k JOIN y ON y.clip = k.clip AND y.i >= s AND y.i < s + 200 GROUP BY ALL),
+t AS (SELECT clip, k, sqrt(sum(r * r)) AS norm, sqrt(sum(e) / 200) AS rms FROM p GROUP BY ALL)"""
+
+
+def _clips(spark) -> DataFrame:
+    """Three clips of 12 s at 100 Hz: steps of constant level after 0, 4 and 8 s of silence."""
+    level = "transform(sequence(0, 1199), i -> float(if(i >= 400 * id, 0.1D + 0.05D * (i div 50 % 7), 0D)))"
+    return spark.range(3).select(F.col("id").cast("string").alias("stimulus_id"), F.lit(100).alias("sr"), F.lit(12.0).alias("duration"), F.expr(level).alias("samples"))
+
+
+@query(f"WITH {_CLIPS} SELECT clip::VARCHAR AS stimulus_id, k, d::INTEGER AS d, round(CASE WHEN norm > 0 THEN r / norm ELSE 0 END, 5) + 0.0 AS x FROM p JOIN t USING (clip, k)")
 def stub_embeddings(spark, sf_dir):
-    """EMB5, FRM13: provider path with the stub model."""
+    """EMB5, FRM13, FRM14, CTX2: contexts of 2 s through a provider; the stub's vector is the level of eight parts."""
     from .providers.base import StubProvider, embed
-    from .sources.synthetic import scenes
 
-    return embed(scenes(spark, ("rain", "tone", "silence"), 5.0, 16_000), StubProvider(), 0.5)
+    vectors = embed(_clips(spark), StubProvider(sr=100, window_sec=2.0), 0.5)
+    return vectors.select("stimulus_id", "k", F.posexplode("embedding").alias("d", "x")).withColumn("x", F.round(F.col("x").cast("double"), 5) + F.lit(0.0))
+
+
+@query(f"""WITH {_CLIPS}, g AS (SELECT clip, k, rms < 1e-4 AS silent FROM t), v AS (SELECT p.clip, p.k, round(least(greatest(sum((d + 1) * r / norm) / 10 - 1, -1), 1), 4) + 0.0 AS valence FROM p JOIN t USING (clip, k) WHERE norm > 0 GROUP BY ALL)
+SELECT g.clip::VARCHAR AS stimulus_id, g.k, CASE WHEN NOT silent THEN valence END AS valence, sum(silent::INTEGER) OVER (PARTITION BY g.clip)::BIGINT AS n_gated FROM g LEFT JOIN v ON g.clip = v.clip AND g.k = v.k""")
+def gated_provider_run(spark, sf_dir):
+    """CTX3, CTX9, FRM15: one embedding pass, the silence gate from the contexts' own level, the linear read-out, and the gate's count."""
+    from .providers import derived
+    from .providers.base import StubProvider, embed
+
+    marked = derived.silence_marked(embed(_clips(spark), StubProvider(sr=100, window_sec=2.0), 0.5))
+    read = derived.music_emotion(marked, {"valence": ([(d + 1) / 10 for d in range(8)], -1.0)})
+    counts = C.gated_counts(marked, {"n_gated": F.col("silent")})
+    return read.join(counts, "stimulus_id").select("stimulus_id", "k", (F.round("music_emotion_valence", 4) + F.lit(0.0)).alias("valence"), "n_gated")
+
+
+@query("SELECT clip::VARCHAR AS stimulus_id, 0::INTEGER AS turn_idx, 'S0' AS speaker, (clip * 4)::DOUBLE AS onset, 12.0::DOUBLE AS \"offset\" FROM (SELECT unnest([0, 1, 2]) AS clip)")
+def provider_turns(spark, sf_dir):
+    """TXT8, UDF3: a provider as a table function; its rows become numbered turns."""
+    from .providers.base import StubTurns, rows
+
+    return O.number_turns(rows(_clips(spark), StubTurns(sr=100))).select("stimulus_id", "turn_idx", "speaker", "onset", "offset")
+
+
+@query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase')
+SELECT 'both' AS set_name, user_id FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'either', user_id FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'only', user_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
+def row_sets(spark, sf_dir):
+    """SET2: union, intersection and difference of rows."""
+    users = lambda kind: table(spark, sf_dir, "events").where(F.col("event_type") == kind).select("user_id")
+    a, b = users("click"), users("purchase")
+    named = {"both": a.intersect(b), "either": a.union(b).distinct(), "only": a.subtract(b)}
+    parts = [df.select(F.lit(name).alias("set_name"), "user_id") for name, df in named.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query()
@@ -782,9 +891,9 @@ def ppca_missing(spark, sf_dir):
     from .explore.projection import ppca
 
     wide = table(spark, sf_dir, "embeddings").select("vec_id", *V.flatten_columns("embedding", "e", 64))
-    columns = [c for c in wide.columns if c != "vec_id"][:12]
+    columns = [c for c in wide.columns if c != "vec_id"]
     holes = wide.select("vec_id", *[F.when((F.col("vec_id") + i) % 9 != 0, F.col(c)).alias(c) for i, c in enumerate(columns)])
-    return ppca(holes, columns, 2, 15)[0].select("vec_id", "projection")
+    return ppca(holes, columns, 2)[0].select("vec_id", "projection")
 
 
 @query()
@@ -795,26 +904,40 @@ def ridge_probe(spark, sf_dir):
     return spark.createDataFrame([(fit["alpha"], fit["intercept"], fit["cv_rmse"], fit["n"], fit["coef"])], "alpha double, intercept double, cv_rmse double, n long, coef array<double>")
 
 
-@query("SELECT n_regionkey AS stimulus_id, count(*) AS rows, to_json(struct_pack(rows := count(*))) AS document FROM nation GROUP BY 1")
+@query(f"""WITH {_TIMING}, a AS (SELECT stimulus_id, count(*) AS n_words, round(avg(gap), 3) AS mp FROM gp GROUP BY 1),
+b AS (SELECT conv_id AS stimulus_id, count(DISTINCT role) AS n_speakers, count(*) AS n_turns FROM conversations GROUP BY 1)
+SELECT a.stimulus_id::VARCHAR AS stimulus_id, n_words, mp AS mean_pause, n_speakers, n_turns, 'loudness' AS model, 0.5::DOUBLE AS hop FROM a JOIN b USING (stimulus_id)""")
 def sidecar_json(spark, sf_dir):
-    """SNK5: one provenance document per stimulus."""
-    counted = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("stimulus_id")).agg(F.count("*").alias("rows"))
-    return counted.select("stimulus_id", "rows", F.to_json(F.struct("rows")).cast("string").alias("document"))
+    """SNK5: one provenance document per stimulus, its blocks apart."""
+    from .plans.publish import documents
+    from .plans.score import ScoreResult
 
+    said, spoke = words(spark, sf_dir), turns(spark, sf_dir)
+    frames = said.groupBy("stimulus_id").agg(F.count("*").alias("loudness_rms"))
+    meta = {"hop": 0.5, "models": {"loudness": {"columns": ["loudness_rms"], "sr": 22_050}}, "speech_timing": O.speech_timing(said, 3.0, ["word_idx"]), "diarization": O.speaker_summary(spoke)}
+    found = documents(ScoreResult(frames=frames, meta=meta))
+    field = lambda path, kind: F.get_json_object("document", f"$.{path}").cast(kind)
+    return found.select(
+        "stimulus_id", field("transcription.speech_timing.n_words", "long").alias("n_words"), field("transcription.speech_timing.mean_pause_sec", "double").alias("mean_pause"),
+        field("diarization.n_speakers", "long").alias("n_speakers"), field("diarization.n_turns", "long").alias("n_turns"), F.json_object_keys(field("models", "string"))[0].alias("model"), field("frames.hop_sec", "double").alias("hop"),
+    )
 
-@query()
-def online_grid_replay(spark, sf_dir):
-    """§2.15: the events replayed as a stream; equals the batch windows."""
-    import uuid
 
+@query(f"""WITH b AS (SELECT user_id AS stimulus_id, (epoch_us(ts) // {int(HOP * 1e6)})::BIGINT AS w, value, epoch_us(ts) AS us FROM events)
+SELECT stimulus_id, w AS window_no, round(avg(value), 6) AS mean, max(value) AS max, count(*) / {HOP} AS rate FROM b WHERE (w + 1) * {int(HOP * 1e6)} <= (SELECT max(us) // 1000 * 1000 FROM b) GROUP BY ALL""")
+def online_grid_replay(spark, sf_dir):
+    """STR1, STR5: the events replayed as a stream into files; every window that the watermark has passed equals the batch window."""
     from .streaming.online_grid import online_grid
 
     source = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"online_{uuid.uuid4().hex}"
-    q = online_grid(stream.withColumnRenamed("user_id", "stimulus_id"), HOP).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
+    timed = stream.withColumn("ts", F.timestamp_micros(micros)).withColumnRenamed("user_id", "stimulus_id")
+    folder = scratch(spark)
+    q = online_grid(timed, HOP, late="0 seconds").writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/windows").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    found = spark.read.schema("stimulus_id long, window_start timestamp, mean double, max double, rate double").parquet(f"{folder}/windows")
+    return found.select("stimulus_id", F.expr(f"unix_micros(window_start) div {int(HOP * 1e6)}").alias("window_no"), F.round("mean", 6).alias("mean"), "max", "rate")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
