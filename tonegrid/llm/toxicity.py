@@ -12,7 +12,7 @@ the default) is the only thing sent to executors and does not grow with the
 data. Words are scored once per worker and batch of new words, in numpy.
 
 Cases: null and empty texts have no subwords and get the score of the bias
-alone; a text is scored whole; repeated rows are scored row by row; with no
+alone; very long texts are scored whole; an empty table gives no rows; repeated rows are scored row by row; with no
 usable labels of either class every score is 0; other columns are kept, but for
 one named like the score, which is replaced.
 """
@@ -35,6 +35,7 @@ from .common import parts, small_batches, texts, with_field
 _WORD = re.compile(r"\w+")
 _MEMO_WORDS = 250_000
 _PART = 20_000
+_CHUNK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -108,6 +109,7 @@ def fit(sample: list[str], labels: list[int], params: ToxicityParams = ToxicityP
         cols.append(distinct)
         counts.append(times)
     row, col, counts = np.concatenate(rows), np.concatenate(cols), np.concatenate(counts)
+    del rows, cols, sample
     vocabulary, n_words = list(ids), len(ids)
     docs_of = np.bincount(col, minlength=n_words)
     features, seen = np.zeros(n_words), np.zeros(p.buckets)
@@ -120,7 +122,7 @@ def fit(sample: list[str], labels: list[int], params: ToxicityParams = ToxicityP
     used = np.flatnonzero(wanted)
     number = np.zeros(p.buckets, dtype=np.int32)
     number[used] = np.arange(len(used))
-    at = number[np.concatenate([b for _, b in kept])] if kept else np.zeros(0, np.int32)
+    at = np.concatenate([number[b] for _, b in kept]) if kept else np.zeros(0, np.int32)
     del kept
     share = counts / np.maximum(np.bincount(row, weights=counts * features[col], minlength=n), 1)[row]
     rng = np.random.default_rng(p.seed)
@@ -131,8 +133,14 @@ def fit(sample: list[str], labels: list[int], params: ToxicityParams = ToxicityP
     target = np.eye(2)[y]
 
     def spread(values, source, to, size, by=1.0):
-        """Rows ``source`` of ``values``, times ``by``, summed into rows ``to``; a column at a time for memory."""
-        return np.stack([np.bincount(to, weights=np.ascontiguousarray(values[:, j])[source] * by, minlength=size) for j in range(values.shape[1])], axis=1)
+        """Rows ``source`` of ``values``, times ``by``, summed into rows ``to``; a column and ``_CHUNK`` entries at a time for memory."""
+        out = np.zeros((size, values.shape[1]))
+        for j in range(values.shape[1]):
+            column = np.ascontiguousarray(values[:, j])
+            for start in range(0, len(to), _CHUNK):
+                part = slice(start, start + _CHUNK)
+                out[:, j] += np.bincount(to[part], weights=column[source[part]] * (by[part] if isinstance(by, np.ndarray) else by), minlength=size)
+        return out
 
     moments = [[np.zeros_like(v), np.zeros_like(v)] for v in (emb, soft, bias)]
     for step in range(1, p.steps + 1):
@@ -173,8 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
     spark = docs.sparkSession
     listed = spark.createDataFrame(picked, "k long, y int")
     found = docs.select(docs[key].cast("long").alias("k"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t")).join(F.broadcast(listed), "k")
-    got = sorted(found.groupBy("k").agg(F.min("t").alias("t"), F.max("y").alias("y")).collect(), key=lambda r: r.k)
-    return fit([r.t for r in got], [r.y for r in got], params)
+    got = found.groupBy("k").agg(F.min("t").alias("t"), F.max("y").alias("y")).toArrow().sort_by("k")
+    labels, texts_ = got.column("y").to_pylist(), got.column("t").to_pylist()
+    del got
+    return fit(texts_, labels, params)
 
 
 class _Scorer:
