@@ -2,13 +2,38 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from tonegrid.llm import pipeline, quality, sentencepiece_codec, toxicity
 from tonegrid.llm import queries as Q
-from tonegrid.llm import quality, simhash
+from tonegrid.llm.common import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 
 
+def five_words(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def similar_groups(texts):
+    """Smallest position of every text's group: all pairs at five-word similarity 0.8 or more."""
+    sets, parent = [five_words(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
 def test_stages_of_the_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before, at = docs, {}
@@ -21,18 +46,44 @@ def test_stages_of_the_pipeline(spark):
         before = after
     toxic = docs.where(docs.doc_id.isin(*at["toxicity"]))
     assert at["quality_rules"] == {r.doc_id for r in quality.assess(toxic).where("kept").collect()}
-    cleaned = corpus_pipeline.apply_quality_rules(spark, toxic, SF)
-    grouped = simhash.near_duplicate_ids(cleaned).where("doc_id = component_id")
-    assert at["simhash_near_dedup"] == {r.doc_id for r in grouped.collect()}
-    assert before.where("round_trip").count() == before.count() > 0
+    cleaned = sorted(corpus_pipeline.apply_quality_rules(spark, toxic, SF).collect(), key=lambda r: r.doc_id)
+    groups = similar_groups([r.text for r in cleaned])
+    assert at["simhash_near_dedup"] == {r.doc_id for k, r in enumerate(cleaned) if groups[k] == k}
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), usable=lambda k: pipeline.fold(k) != 0)
+    plain = toxicity.scores(model, [r.text or "" for r in docs.collect()])
+    assert at["toxicity"] == {r.doc_id for r, s in zip(docs.collect(), plain, strict=True) if s < 0.5}
+    library = sentencepiece_codec.Codec(tokenizer_path("piece_bpe_32k.model")).whole
+    texts = {r.doc_id: r.text for r in cleaned}
+    assert all(r.round_trip and list(r.ids) == library.encode(texts[r.doc_id]) for r in before.collect()) and at["sentencepiece"] == at["decontamination"]
+
+
+def test_one_row_of_a_group_stays(spark):
+    """Rows, not ids, are judged: repeated ids with equal and with different texts, null ids, and equal rows."""
+    a = " ".join(f"a{k}" for k in range(60))
+    b = " ".join(f"b{k}" for k in range(60))
+    near = a + " tail"
+    rows = [(7, a), (7, b), (9, b), (3, near), (None, a), (None, "lonely words"), (None, "lonely words"), (5, "same row"), (5, "same row"), (5, "Same  ROW"), (None, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("root", F.lit(1)).withColumn("_id", F.lit("clash"))
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert len(kept) == 5 and (3, near) in kept and (7, b) in kept and (None, "lonely words") in kept and (8, "") in kept
+    assert sum(i == 5 for i, _ in kept) == 1
 
 
 def test_empty_and_null_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = spark.createDataFrame([(None, None, None, None, None), (None, "a b c", None, None, 1), (1, "", "en", "s", 0)], docs.schema)
-    for df in (docs.limit(0), odd):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, df, SF).collect()
+    long = " ".join(f"word{k}" for k in range(20_000))
+    rows = [(None, None, None, None, None), (None, "a b c", None, None, 1), (1, "", "en", "s", 0), (4, long, "en", "s", 9), (4, long, "en", "s", 9), (6, long.upper(), None, None, None)]
+    odd = spark.createDataFrame(rows, docs.schema).withColumn("_lines", F.lit("clash")).withColumn("node", F.lit(0))
+    want = {"toxicity": 6, "quality_rules": 3, "simhash_near_dedup": 1, "decontamination": 6, "sentencepiece": 6}
+    for df, counts in ((docs.where("false"), dict.fromkeys(want, 0)), (odd, want)):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, df, SF).collect()
+            if name == "toxicity":
+                assert len(got) <= counts[name]
+            elif name == "simhash_near_dedup":
+                assert len(got) == (counts[name] + 2 if counts[name] else 0)  # the long text, "a b c", and the empty text
+            else:
+                assert len(got) == counts[name], name
 
 
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
