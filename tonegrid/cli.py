@@ -27,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--num-speakers", type=int, help="hint for diarisation")
     p.add_argument("--wordpool", help="item list of a free-recall experiment")
     p.add_argument("--title", help="title of a dashboard")
+    p.add_argument("--audio", help="WAV file to embed in a dashboard")
     p.add_argument("--list-models", action="store_true")
     p.add_argument("--version", action="version", version=f"tonegrid {__version__}")
     return p
@@ -111,7 +112,11 @@ def _browse(o: argparse.Namespace) -> None:
     from .sources.files import read_scores
 
     tables = read_scores(_session(), o.args[2])
-    create_dashboard(o.output or o.args[2].removesuffix(".csv") + ".html", o.title or o.args[2], tables.get("frames"), tables.get("transcript"), tables.get("meta"))
+    audio = None
+    if o.audio:
+        with open(o.audio, "rb") as f:
+            audio = f.read()
+    create_dashboard(o.output or o.args[2].removesuffix(".csv") + ".html", o.title or o.args[2], tables.get("frames"), tables.get("transcript"), tables.get("meta"), audio)
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MDS_MAX = 500
+#: Rows that a driver routine of an optional library takes.
+OPTIONAL_MAX = 5000
 
 
 def choose_method(n_rows: int, n_columns: int, trajectory: bool = False) -> str:
@@ -165,6 +167,25 @@ def isotonic(values: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), v) for v, n in blocks]) if blocks else np.zeros(0)
 
 
+def optional_projection(x: np.ndarray, method: str, k: int = 2, seed: int = 0) -> np.ndarray:
+    """VIZ4: t-SNE or UMAP of standardised rows by their libraries, where they are installed."""
+    if len(x) > OPTIONAL_MAX:
+        raise ValueError(f"{method} takes at most {OPTIONAL_MAX} rows; use PCA")
+    validate(len(x), x.shape[1])
+    scale = x.std(axis=0)
+    z = (x - x.mean(axis=0)) / np.where(scale > 0, scale, 1)
+    try:
+        if method == "tsne":
+            from sklearn.manifold import TSNE
+
+            return TSNE(n_components=k, perplexity=min(30, len(z) - 1), random_state=seed).fit_transform(z)
+        from umap import UMAP
+
+        return UMAP(n_components=k, random_state=seed).fit_transform(z)
+    except ImportError as e:
+        raise ValueError(f"{method} needs an optional library that is not installed ({e.name})") from e
+
+
 def project(df: DataFrame, columns: list[str], method: str = "pca", k: int = 2) -> DataFrame:
     """VIZ5: one entry for all methods; optional libraries are named when absent."""
     if method == "pca":
@@ -177,5 +198,8 @@ def project(df: DataFrame, columns: list[str], method: str = "pca", k: int = 2)
         rows["projection"] = [list(map(float, r)) for r in y]
         return df.sparkSession.createDataFrame(rows)
     if method in ("tsne", "umap"):
-        raise ValueError(f"{method} needs an optional library that is not installed")
+        rows = impute_mean(df, columns).limit(OPTIONAL_MAX + 1).toPandas()
+        y = optional_projection(rows[columns].to_numpy(dtype=float), method, k)
+        rows["projection"] = [list(map(float, r)) for r in y]
+        return df.sparkSession.createDataFrame(rows)
     raise ValueError(f"unknown projection method {method!r}")

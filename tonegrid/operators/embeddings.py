@@ -53,14 +53,18 @@ def linear_probe(vectors: DataFrame, vector: str, coefficients: dict[str, tuple[
     return vectors.select("*", *[probe(F.col(vector), F.array(*[F.lit(float(c)) for c in coef]), F.lit(float(b))).alias(name) for name, (coef, b) in coefficients.items()])
 
 
-def rank_margin(scores: DataFrame, item: str, category: str, score: str = "score") -> DataFrame:
+def rank_margin(scores: DataFrame, item: str, category: str, score: str = "score", alike: str | None = None) -> DataFrame:
     """EMB10: best item of every category and its margin over the second; gated (NULL) scores do not compete.
 
-    Two maxima by partial aggregation instead of a window over each category.
+    ``alike``: a column whose equal values mark interchangeable items (two alarms
+    for one category): none of them is the other's second. Two maxima by partial
+    aggregation instead of a window over each category.
     """
-    best = F.max(F.struct(F.col(score).alias("s"), (-F.col(item)).alias("i")))
+    group = F.col(alike) if alike else F.col(item)
+    best = F.max(F.struct(F.col(score).alias("s"), (-F.col(item)).alias("i"), group.alias("g")))
     top = scores.where(F.col(score).isNotNull()).groupBy(category).agg(best.alias("_b"))
-    rest = scores.join(top, category).where(F.col(score).isNotNull() & (F.col(item) != -F.col("_b.i"))).groupBy(category).agg(F.max(score).alias("_second"))
+    other = ~F.coalesce(group == F.col("_b.g"), F.col(item) == -F.col("_b.i"))
+    rest = scores.join(top, category).where(F.col(score).isNotNull() & other).groupBy(category).agg(F.max(score).alias("_second"))
     return top.join(rest, category, "left").select(category, (-F.col("_b.i")).alias(item), F.col("_b.s").alias("best_score"), (F.col("_b.s") - F.col("_second")).alias("margin"))
 
 

@@ -403,6 +403,14 @@ def rank_margin(spark, sf_dir):
     return E.rank_margin(gated, "vec_id", "category").select("category", "vec_id", F.round("best_score", 6).alias("best_score"), F.round("margin", 6).alias("margin"))
 
 
+@query(f"""WITH {_UNIT}, r AS (SELECT *, vec_id % 50 AS g, row_number() OVER (PARTITION BY category ORDER BY score DESC, vec_id) AS k FROM sc), b AS (SELECT * FROM r WHERE k = 1)
+SELECT b.category, b.vec_id, round(b.score - max(r.score), 6) AS margin FROM b JOIN r ON r.category = b.category AND r.g <> b.g GROUP BY b.category, b.vec_id, b.score""")
+def rank_margin_alike(spark, sf_dir):
+    """EMB10: items that are interchangeable (here: equal vec_id modulo 50) are not each other's second."""
+    scores = _scores(spark, sf_dir).withColumn("alike", F.col("vec_id") % 50)
+    return E.rank_margin(scores, "vec_id", "category", alike="alike").select("category", "vec_id", F.round("margin", 6).alias("margin"))
+
+
 @query(f"WITH {_UNIT}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, category) AS rank FROM sc) SELECT vec_id, category, rank::INTEGER AS rank, round(score, 6) AS score FROM r WHERE rank <= 5")
 def top5_profile(spark, sf_dir):
     return E.top_profile(_scores(spark, sf_dir), "vec_id", "category").select("vec_id", "category", "rank", F.round("score", 6).alias("score"))
