@@ -255,6 +255,14 @@ def recall_summary(spark, sf_dir):
     return R.recall_summary(_recall(spark, sf_dir), 100).select("stimulus_id", "n_recalled", "n_intrusions", "n_repetitions", "median_irt")
 
 
+@query(f"""WITH {_WORDS}, {_POOL}, sp AS (SELECT *, regexp_replace(lower(word), '[^a-z'']', '', 'g') AS norm FROM wd WHERE word_idx % 4 <> 1)
+SELECT stimulus_id, word_idx, coalesce(pool_index, -1) AS pool_index, pool_index IS NOT NULL AND row_number() OVER (PARTITION BY stimulus_id, pool_index ORDER BY word_idx) > 1 AS repetition FROM sp LEFT JOIN pn USING (norm)""")
+def recall_without_fillers(spark, sf_dir):
+    """FLT1: fillers (here: every fourth word) are no recalls."""
+    said = words(spark, sf_dir).withColumn("is_filler", F.col("word_idx") % 4 == 1).withColumnRenamed("word_idx", "pos")
+    return R.annotate_recall(said, word_pool(spark, sf_dir), fuzzy=False).select("stimulus_id", F.col("pos").alias("word_idx"), "pool_index", "repetition")
+
+
 @query()
 def recall_fuzzy(spark, sf_dir):
     return R.annotate_recall(words(spark, sf_dir).withColumnRenamed("word_idx", "pos"), word_pool(spark, sf_dir))
@@ -799,10 +807,10 @@ def novelty_checkerboard(spark, sf_dir):
     return clips.groupBy("label").applyInArrow(run, "signal int, frame_idx int, novelty double").withColumn("novelty", F.round("novelty", 6))
 
 
-# --- beyond SQL -------------------------------------------------------------------------------------------------------
-
-
-@query()
+@query("""WITH x AS (SELECT r, n, 1 + sin(2 * pi() * r * (n + 500) * 0.002) AS x, 0.5 - 0.5 * cos(2 * pi() * n / 1000) AS h FROM range(1, 17) a(r), range(1000) b(n)),
+m AS (SELECT r, avg(x) AS m, sum(h) AS hs FROM x GROUP BY 1),
+d AS (SELECT x.r, f, m, sqrt(sum((x - m) * h * cos(2 * pi() * f * n / 1000)) ^ 2 + sum((x - m) * h * sin(2 * pi() * f * n / 1000)) ^ 2) * 2 / hs AS d FROM x JOIN m ON m.r = x.r, range(1, 501) c(f) GROUP BY x.r, f, m, hs)
+SELECT r::DOUBLE AS modulation, round(2 * sqrt(sum((d / (m + 0.01) * 2 / (f / 2.0 / 4 + 4 / (f / 2.0))) ^ 2)) / 10.591, 5) AS fluctuation FROM d GROUP BY 1""")
 def fluctuation_estimate(spark, sf_dir):
     """FRM11 over generated envelopes of several modulation rates."""
     import numpy as np
@@ -821,7 +829,10 @@ def fluctuation_estimate(spark, sf_dir):
                 out.append(float(fluctuation(specific, t)[len(t) // 2]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["modulation", "fluctuation"])
 
-    return spark.range(1, 17).select(F.col("id").cast("double").alias("modulation")).mapInArrow(run, "modulation double, fluctuation double")
+    return spark.range(1, 17).select(F.col("id").cast("double").alias("modulation")).mapInArrow(run, "modulation double, fluctuation double").withColumn("fluctuation", F.round("fluctuation", 5))
+
+
+# --- beyond SQL -------------------------------------------------------------------------------------------------------
 
 
 @query()
@@ -886,6 +897,21 @@ def row_sets(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("SELECT vec_id, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) + 0.0 AS e_{i:03d}" for i in range(64)) + " FROM embeddings")
+def flatten_vectors(spark, sf_dir):
+    """EMB6: vectors as numbered columns."""
+    wide = table(spark, sf_dir, "embeddings").select("vec_id", *V.flatten_columns("embedding", "e", 64))
+    return wide.select("vec_id", *[(F.round(F.col(c).cast("double"), 6) + F.lit(0.0)).alias(c) for c in wide.columns if c != "vec_id"])
+
+
+@query(f"WITH {_EV} SELECT event_id, round(coalesce(value, avg(value) OVER ()), 6) AS value FROM ev")
+def imputed_values(spark, sf_dir):
+    """VIZ5: missing entries become the column's mean."""
+    from .explore.projection import impute_mean
+
+    return impute_mean(events(spark, sf_dir), ["value"]).select("event_id", F.round("value", 6).alias("value"))
+
+
 @query()
 def pca_projection(spark, sf_dir):
     from .explore.projection import pca
@@ -948,6 +974,36 @@ def online_grid_replay(spark, sf_dir):
     return found.select("stimulus_id", F.expr(f"unix_micros(window_start) div {int(HOP * 1e6)}").alias("window_no"), F.round("mean", 6).alias("mean"), "max", "rate")
 
 
+def _replayed(spark, df: DataFrame, build, schema: str) -> DataFrame:
+    """What ``build`` makes of ``df`` as a stream: written, read as a stream, written by it, and read back."""
+    folder = scratch(spark)
+    df.repartition(4, "stimulus_id").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{folder}/in")
+    q = build(stream).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/out")
+
+
+@query(f"WITH {_RECALL} SELECT stimulus_id, word_idx::BIGINT AS word_idx, pool_index, repetition, irt FROM rc")
+def online_recall_replay(spark, sf_dir):
+    """STR4: repetitions and response times from per-stimulus state."""
+    from .streaming.online_grid import online_recall
+
+    said = words(spark, sf_dir).select("stimulus_id", F.col("word_idx").cast("long").alias("pos"), "word", "onset")
+    pool = word_pool(spark, sf_dir)
+    found = _replayed(spark, said, lambda s: online_recall(s, pool), "stimulus_id long, pos long, pool_index int, repetition boolean, irt double")
+    return found.select("stimulus_id", F.col("pos").alias("word_idx"), "pool_index", "repetition", F.round("irt", 3).alias("irt"))
+
+
+@query(f"WITH {_WORDS}, g AS (SELECT stimulus_id, onset, onset - lag(offset_) OVER (PARTITION BY stimulus_id ORDER BY onset) AS pause FROM wd) SELECT * FROM g WHERE pause >= 3")
+def online_pauses_replay(spark, sf_dir):
+    """STR3: pauses from the last offset of every stimulus."""
+    from .streaming.online_grid import online_pauses
+
+    said = words(spark, sf_dir).select("stimulus_id", "onset", "offset")
+    return _replayed(spark, said, lambda s: online_pauses(s, 3.0), "stimulus_id long, onset double, pause double")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
