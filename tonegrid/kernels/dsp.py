@@ -195,9 +195,11 @@ def local_pulse(env: np.ndarray, rate: float, width: int = 384) -> np.ndarray:
     best = np.argmax(np.abs(spectrum), axis=1)
     phase = np.angle(spectrum[np.arange(len(env)), best])
     out = np.zeros(len(padded))
-    t = np.arange(n)
-    for i in range(len(env)):
-        out[i : i + n] += window * np.cos(2 * np.pi * best[i] * t / n + phase[i])
+    for start in range(0, len(env), 4096):  # overlap-add: all frames of a slice at one offset after the other
+        part = slice(start, start + 4096)
+        size = len(best[part])
+        for j in range(n):
+            out[start + j : start + j + size] += window[j] * np.cos(2 * np.pi * best[part] * j / n + phase[part])
     out = np.maximum(out[n // 2 : n // 2 + len(env)], 0)
     return out / out.max() if out.max() > 0 else out
 
@@ -212,10 +214,10 @@ def novelty(cepstra: np.ndarray, rate: float, block: float = 0.2, kernel: float
     half = max(1, int(round(kernel / block / 2)))
     offsets = np.arange(-half, half) + 0.5
     gauss = np.exp(-0.5 * (offsets / (half / 2)) ** 2)
-    board = np.outer(gauss * np.sign(offsets), gauss * np.sign(offsets))
+    taper = gauss * np.sign(offsets)  # the checkerboard is its outer product, so its sum over S = U·Uᵀ is |taper·U|²
     padded = np.concatenate([np.repeat(unit[:1], half, axis=0), unit, np.repeat(unit[-1:], half, axis=0)])
-    out = np.array([np.sum(board * (padded[i : i + 2 * half] @ padded[i : i + 2 * half].T)) for i in range(n)])
-    return {"novelty": np.maximum(out, 0) / np.abs(board).sum(), "novelty_times": (np.arange(n) * step + step / 2) / rate}
+    out = ((np.lib.stride_tricks.sliding_window_view(padded, 2 * half, axis=0)[:n] @ taper) ** 2).sum(axis=1)
+    return {"novelty": out / np.abs(taper).sum() ** 2, "novelty_times": (np.arange(n) * step + step / 2) / rate}
 
 
 def chroma(magnitudes: np.ndarray, sr: int = SR) -> np.ndarray:
@@ -260,6 +262,7 @@ def pitch(y: np.ndarray, sr: int = SR, low: float = 65.0, high: float = 2093.0)
     thresholds = np.linspace(0.01, 1.0, 100)
     prior = thresholds * (1 - np.minimum(thresholds, 0.999999)) ** 17
     prior /= prior.sum()
+    above = np.append(np.cumsum(prior[::-1])[::-1], 0.0)  # weight of the thresholds from each one on
     n_states = int(np.ceil(12 * np.log2(high / low) * 5)) + 1
     observed = np.zeros((len(f), n_states))
     best_f = np.zeros((len(f), n_states))
@@ -275,23 +278,21 @@ def pitch(y: np.ndarray, sr: int = SR, low: float = 65.0, high: float = 2093.0)
         cmnd = np.ones_like(diff)
         cmnd[:, 1:] = diff[:, 1:] * np.arange(1, half) / np.maximum(running, 1e-12)
         cmnd[part.std(axis=1) < 1e-7] = 1
-        for row in range(len(part)):
-            d = cmnd[row]
-            t = np.arange(tau_low, tau_high)
-            minima = t[(d[t] < d[t - 1]) & (d[t] <= d[t + 1])]
-            if not len(minima):
-                continue
-            first = np.searchsorted(-np.minimum.accumulate(d[minima]), -thresholds, side="right")
-            mass = np.bincount(np.minimum(first, len(minima) - 1), weights=prior * (first < len(minima)), minlength=len(minima))
-            for k in np.flatnonzero(mass):
-                tau = minima[k]
-                a, b, c = d[tau - 1], d[tau], d[tau + 1]
-                shift = 0.5 * (a - c) / (a - 2 * b + c) if a - 2 * b + c > 0 else 0.0
-                hz = sr / (tau + shift)
-                s = int(round(60 * np.log2(hz / low)))
-                if 0 <= s < n_states:
-                    observed[start + row, s] += mass[k]
-                    best_f[start + row, s] = hz
+        t = np.arange(tau_low, tau_high)
+        dip = (cmnd[:, t] < cmnd[:, t - 1]) & (cmnd[:, t] <= cmnd[:, t + 1])
+        depth = np.where(dip, cmnd[:, t], np.inf)
+        # a dip gets the thresholds that lie above it and not above an earlier dip
+        before = np.minimum.accumulate(np.concatenate([np.full((len(part), 1), np.inf), depth[:, :-1]], axis=1), axis=1)
+        mass = above[np.searchsorted(thresholds, depth, side="right")] - above[np.searchsorted(thresholds, before, side="right")]
+        row, at = np.nonzero(dip & (mass > 0))
+        tau = t[at]
+        x, y, z = cmnd[row, tau - 1], cmnd[row, tau], cmnd[row, tau + 1]
+        bend = x - 2 * y + z
+        hz = sr / (tau + np.where(bend > 0, 0.5 * (x - z) / np.where(bend > 0, bend, 1), 0.0))
+        state = np.round(60 * np.log2(hz / low)).astype(np.int64)
+        fits = (state >= 0) & (state < n_states)
+        np.add.at(observed, (start + row[fits], state[fits]), mass[row, at][fits])
+        best_f[start + row[fits], state[fits]] = hz[fits]
     voiced = np.minimum(observed.sum(axis=1), 1)
     reach = 25
     jump = np.exp(-0.5 * (np.arange(-reach, reach + 1) / 10) ** 2)
