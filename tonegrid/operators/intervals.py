@@ -34,11 +34,12 @@ def majority_speaker(segments: DataFrame, turns: DataFrame, width: float = 10.0,
     overlap = F.least("offset", "r_offset") - F.greatest("onset", "r_onset")
     sums = pairs.where(overlap > 0).groupBy(key, segment, F.col("r_speaker").alias("speaker")).agg(F.sum(overlap).alias("_overlap"))
     best = sums.groupBy(key, segment).agg(F.min(F.struct((-F.col("_overlap")).alias("o"), "speaker")).alias("_best")).select(key, segment, F.col("_best.speaker").alias("speaker"))
-    return segments.join(best, [key, segment], "left").withColumn("speaker", F.coalesce("speaker", F.lit("")))
+    return segments.drop("speaker").join(best, [key, segment], "left").withColumn("speaker", F.coalesce("speaker", F.lit("")))
 
 
 def point_owner(points: DataFrame, turns: DataFrame, at: str, point_id: str, owner: str = "speaker", order: str = "turn_idx", width: float = 10.0, key: str = KEY) -> DataFrame:
     """JON2, JON9: first interval in order with onset ≤ t < offset; none gives ''."""
+    points = points.drop(owner)  # an earlier answer is replaced
     p = points.withColumn("_b", F.floor(F.col(at) / width))
     t = turns.select(F.col(key), F.col(owner).alias("_owner"), F.col(order).alias("_order"), F.col("onset").alias("_on"), F.col("offset").alias("_off")).withColumn("_b", F.explode(_buckets(F.col("_on"), F.col("_off"), width)))
     hit = p.select(key, point_id, "_b", at).join(t, [key, "_b"]).where((F.col("_on") <= F.col(at)) & (F.col(at) < F.col("_off")))
