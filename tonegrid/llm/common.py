@@ -103,7 +103,7 @@ BATCH_BYTES = 1 << 22
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes in this session, unless its own bound (64 MB as Spark comes) is lower."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
