@@ -72,6 +72,11 @@ def attack_decay(t: Column, attack: float, decay: float) -> Column:
     return F.least(t / attack, F.lit(1.0)) * F.exp(-t / decay)
 
 
+def half_even(x: Column | str, digits: int) -> Column:
+    """SCL10: rounding of ties to the even digit, on the decimal form of the number."""
+    return F.bround(x, digits)
+
+
 def json_number(x: Column) -> Column:
     """SCL14: non-finite to NULL, five decimals."""
     return F.round(finite(x), 5)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import voice_gender
+from ..functions.scalars import half_even, voice_gender
 from .grid import KEY
 
 
@@ -59,7 +59,7 @@ def segment_voice(segments: DataFrame, frames: DataFrame, hop: float, f0: str =
     pairs = interval_join(wide, points, ("_lo", "_hi"), ("a", "z"), width, key)
     medians = pairs.groupBy(key, segment).agg(F.median("r_f0").alias("_median"))
     joined = segments.join(medians, [key, segment], "left")
-    return joined.withColumn("voice_gender", voice_gender(F.col("_median"))).withColumn("median_f0", F.round(F.round("_median", 9), 1)).drop("_median")
+    return joined.withColumn("voice_gender", voice_gender(F.col("_median"))).withColumn("median_f0", half_even(F.round("_median", 9), 1)).drop("_median")
 
 
 def near_points(left: DataFrame, right: DataFrame, tolerance: float, t: str = "t", key: str = KEY) -> DataFrame:

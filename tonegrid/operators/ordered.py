@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import half_even
 from .grid import KEY
 
 PAUSE_SECONDS, DOWNBEAT_SECONDS = 0.5, 0.03
@@ -44,14 +45,14 @@ def speech_timing(words: DataFrame, min_pause: float = PAUSE_SECONDS, order: lis
     return agg.select(
         key,
         "n_words",
-        F.round("_first", 3).alias("first_onset"),
-        F.round(span, 3).alias("speech_span_sec"),
-        F.round(F.try_divide(F.col("n_words") * 60.0, span), 2).alias("words_per_minute"),
-        F.round(F.try_divide(F.col("n_words").cast("double"), F.col("_spoken")), 3).alias("articulation_rate"),
+        half_even("_first", 3).alias("first_onset"),
+        half_even(span, 3).alias("speech_span_sec"),
+        half_even(F.try_divide(F.col("n_words") * 60.0, span), 2).alias("words_per_minute"),
+        half_even(F.try_divide(F.col("n_words").cast("double"), F.col("_spoken")), 3).alias("articulation_rate"),
         "n_pauses",
-        F.round("_mean_pause", 3).alias("mean_pause_sec"),
-        F.round("_max_pause", 3).alias("max_pause_sec"),
-        F.round("_paused", 3).alias("total_pause_sec"),
+        half_even("_mean_pause", 3).alias("mean_pause_sec"),
+        half_even("_max_pause", 3).alias("max_pause_sec"),
+        half_even("_paused", 3).alias("total_pause_sec"),
     )
 
 
@@ -59,7 +60,7 @@ def beat_info(beats: DataFrame, t: str = "time", downbeat: str = "is_downbeat",
     """AGG8: beats, downbeats, tempo from the median inter-beat interval (WIN4)."""
     w = Window.partitionBy(key).orderBy(t)
     ibi = beats.withColumn("_ibi", F.col(t) - F.lag(t).over(w))
-    return ibi.groupBy(key).agg(F.count("*").alias("n_beats"), F.count_if(F.col(downbeat)).alias("n_downbeats"), F.round(F.try_divide(F.lit(60.0), F.median("_ibi")), 1).alias("tempo_bpm"))
+    return ibi.groupBy(key).agg(F.count("*").alias("n_beats"), F.count_if(F.col(downbeat)).alias("n_downbeats"), half_even(F.try_divide(F.lit(60.0), F.median("_ibi")), 1).alias("tempo_bpm"))
 
 
 def rolling_mean(df: DataFrame, value: str, order: str, half: int, name: str = "rolling", key: str = KEY) -> DataFrame:
@@ -113,7 +114,7 @@ def speaker_summary(turns: DataFrame, speaker: str = "speaker", key: str = KEY)
     """AGG7: speakers, turns and the seconds of each, one row per stimulus."""
     each = speaker_time(turns, speaker, key)
     return each.groupBy(key).agg(
-        F.count("*").alias("n_speakers"), F.sum("n_turns").alias("n_turns"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(speaker).alias("k"), F.round("seconds", 3).alias("v"))))).alias("speaker_seconds")
+        F.count("*").alias("n_speakers"), F.sum("n_turns").alias("n_turns"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(speaker).alias("k"), half_even("seconds", 3).alias("v"))))).alias("speaker_seconds")
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from ..functions.scalars import normalise_word
+from ..functions.scalars import half_even, normalise_word
 from .grid import KEY
 
 FUZZY_THRESHOLD = 0.8
@@ -148,10 +148,10 @@ def annotate_recall(words: DataFrame, pool: DataFrame, threshold: float = FUZZY_
         "offset",
         F.when(F.col("_matched"), F.coalesce("_exact_item", "_near_item")).otherwise("").alias("matched_item"),
         F.coalesce("_index", F.lit(-1)).alias("pool_index"),
-        F.round("_s", 3).alias("match_score"),
+        half_even("_s", 3).alias("match_score"),
         (~F.col("_matched")).alias("intrusion"),
         (F.col("_matched") & (F.row_number().over(by_item) > 1)).alias("repetition"),
-        F.when(F.col("_matched"), F.round(F.col("onset") - last, 3)).alias("irt"),
+        F.when(F.col("_matched"), half_even(F.col("onset") - last, 3)).alias("irt"),
     )
 
 
@@ -161,9 +161,9 @@ def recall_summary(recall: DataFrame, pool_size: int, threshold: float = FUZZY_T
     return recall.groupBy(key).agg(
         F.lit(pool_size).alias("pool_size"),
         F.countDistinct(F.when(fresh, F.col("pool_index"))).alias("n_recalled"),
-        F.round(F.countDistinct(F.when(fresh, F.col("pool_index"))) / F.lit(pool_size), 4).alias("proportion_recalled"),
+        half_even(F.countDistinct(F.when(fresh, F.col("pool_index"))) / F.lit(pool_size), 4).alias("proportion_recalled"),
         F.count_if(F.col("intrusion")).alias("n_intrusions"),
         F.count_if(F.col("repetition")).alias("n_repetitions"),
         F.lit(threshold).alias("fuzzy_threshold"),
-        F.round(F.median("irt"), 3).alias("median_irt"),
+        half_even(F.median("irt"), 3).alias("median_irt"),
     )

@@ -184,7 +184,7 @@ _VOICE = f"""{_EV}, sg AS (SELECT stimulus_id, i::INTEGER AS segment_idx, i * 86
 md AS (SELECT s.stimulus_id, s.segment_idx, median(e.value) AS f0 FROM sg s LEFT JOIN ev e ON s.stimulus_id = e.stimulus_id AND e.t >= s.onset - 900 AND e.t <= s.offset_ + 900 GROUP BY ALL)"""
 
 
-@query(f"WITH {_VOICE} SELECT stimulus_id, segment_idx, round(round(f0, 9), 1) AS median_f0, CASE WHEN f0 IS NULL THEN '' WHEN f0 >= 150 THEN 'F' ELSE 'M' END AS voice_gender FROM md")
+@query(f"WITH {_VOICE} SELECT stimulus_id, segment_idx, round_even(round(f0, 9), 1) AS median_f0, CASE WHEN f0 IS NULL THEN '' WHEN f0 >= 150 THEN 'F' ELSE 'M' END AS voice_gender FROM md")
 def segment_median_gender(spark, sf_dir):
     frames = events(spark, sf_dir).select("stimulus_id", F.col("t").alias("time"), F.col("value").alias("pitch_f0"))
     each = frames.select("stimulus_id").distinct().withColumn("segment_idx", F.explode(F.sequence(F.lit(0), F.lit(29))))
@@ -250,7 +250,7 @@ def recall_repetition(spark, sf_dir):
 
 
 @query(f"""WITH {_RECALL} SELECT stimulus_id, count(DISTINCT CASE WHEN NOT intrusion AND NOT repetition THEN pool_index END) AS n_recalled, count_if(intrusion)::BIGINT AS n_intrusions,
-  count_if(repetition)::BIGINT AS n_repetitions, round(median(irt), 3) AS median_irt FROM rc GROUP BY 1""")
+  count_if(repetition)::BIGINT AS n_repetitions, round_even(median(irt), 3) AS median_irt FROM rc GROUP BY 1""")
 def recall_summary(spark, sf_dir):
     return R.recall_summary(_recall(spark, sf_dir), 100).select("stimulus_id", "n_recalled", "n_intrusions", "n_repetitions", "median_irt")
 
@@ -272,8 +272,8 @@ _TIMING = f"""{_WORDS}, gp AS (SELECT *, CASE WHEN onset - lag(offset_) OVER q >
 
 
 @query(f"""WITH {_TIMING}, a AS (SELECT stimulus_id, count(*) AS n_words, min(onset) AS f, max(offset_) - min(onset) AS span, sum(offset_ - onset) AS spoken, count(gap) AS n_pauses, avg(gap) AS mp, max(gap) AS xp, coalesce(sum(gap), 0) AS tp FROM gp GROUP BY 1)
-SELECT stimulus_id, n_words, round(f, 3) AS first_onset, round(span, 3) AS speech_span_sec, round(n_words * 60.0 / span, 2) AS words_per_minute, round(n_words / spoken, 3) AS articulation_rate,
-  n_pauses, round(mp, 3) AS mean_pause_sec, round(xp, 3) AS max_pause_sec, round(tp, 3) AS total_pause_sec FROM a""")
+SELECT stimulus_id, n_words, round_even(f, 3) AS first_onset, round_even(span, 3) AS speech_span_sec, round_even(n_words * 60.0 / span, 2) AS words_per_minute, round_even(n_words / spoken, 3) AS articulation_rate,
+  n_pauses, round_even(mp, 3) AS mean_pause_sec, round_even(xp, 3) AS max_pause_sec, round_even(tp, 3) AS total_pause_sec FROM a""")
 def speech_timing(spark, sf_dir):
     return O.speech_timing(words(spark, sf_dir), 3.0, ["word_idx"])
 
@@ -309,7 +309,7 @@ def rebuild_text(spark, sf_dir):
 
 
 @query(f"""WITH {_EV}, d AS (SELECT *, t - lag(t) OVER (PARTITION BY stimulus_id ORDER BY t) AS ibi FROM ev)
-SELECT stimulus_id, count(*) AS n_beats, count_if(event_type = 'click')::BIGINT AS n_downbeats, round(60 * 1000.0 / median(ibi), 1) AS tempo_bpm FROM d GROUP BY 1""")
+SELECT stimulus_id, count(*) AS n_beats, count_if(event_type = 'click')::BIGINT AS n_downbeats, round_even(60 * 1000.0 / median(ibi), 1) AS tempo_bpm FROM d GROUP BY 1""")
 def ibi_tempo(spark, sf_dir):
     beats = events(spark, sf_dir).select("stimulus_id", (F.col("t") / 1000).alias("time"), (F.col("event_type") == "click").alias("is_downbeat"))
     return O.beat_info(beats)
@@ -702,6 +702,13 @@ def wav_round_trip(spark, sf_dir):
     return decode_stimuli(files, 16_000).select(F.col("stimulus_id").cast("int").alias("signal"), F.posexplode("samples").alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6) + F.lit(0.0))
 
 
+@query("SELECT i::INTEGER AS i, round_even(i / 8.0::DOUBLE - 20, 2) + 0.0 AS two, round_even(i / 2.0::DOUBLE - 80, 0) + 0.0 AS none FROM range(320) r(i)")
+def half_even_rounding(spark, sf_dir):
+    """SCL10: ties go to the even digit."""
+    i = F.col("id").cast("double")
+    return spark.range(320).select(F.col("id").cast("int").alias("i"), (S.half_even(i / 8.0 - 20, 2) + F.lit(0.0)).alias("two"), (S.half_even(i / 2.0 - 80, 0) + F.lit(0.0)).alias("none"))
+
+
 @query("SELECT i::INTEGER AS i, round(20 * log10(greatest(i * i / 1e7, 1e-5)), 6) AS db, round(10 ^ (-i / 20.0), 9) AS amplitude, round(i * 2e-5 * 10 ^ (94 / 20.0), 6) AS pascal FROM range(200) r(i)")
 def synth_db(spark, sf_dir):
     i = F.col("id").cast("double")
@@ -938,7 +945,7 @@ def ridge_probe(spark, sf_dir):
     return spark.createDataFrame([(fit["alpha"], fit["intercept"], fit["cv_rmse"], fit["n"], fit["coef"])], "alpha double, intercept double, cv_rmse double, n long, coef array<double>")
 
 
-@query(f"""WITH {_TIMING}, a AS (SELECT stimulus_id, count(*) AS n_words, round(avg(gap), 3) AS mp FROM gp GROUP BY 1),
+@query(f"""WITH {_TIMING}, a AS (SELECT stimulus_id, count(*) AS n_words, round_even(avg(gap), 3) AS mp FROM gp GROUP BY 1),
 b AS (SELECT conv_id AS stimulus_id, count(DISTINCT role) AS n_speakers, count(*) AS n_turns FROM conversations GROUP BY 1)
 SELECT a.stimulus_id::VARCHAR AS stimulus_id, n_words, mp AS mean_pause, n_speakers, n_turns, 'loudness' AS model, 0.5::DOUBLE AS hop FROM a JOIN b USING (stimulus_id)""")
 def sidecar_json(spark, sf_dir):
