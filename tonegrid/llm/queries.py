@@ -14,6 +14,7 @@ from .decontaminate import contamination
 from .html_text import extract_text
 from .pipeline import fold
 from .quality import assess
+from .repeats import remove_repeats
 from .sentencepiece_codec import encode_and_check
 from .sharding import assign_shards
 from .simhash import near_duplicates
@@ -192,10 +193,26 @@ FROM d LEFT JOIN best ON d.rid = best.rid
 """
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT rid, doc_id, s, array_to_string(ws[s + 1 : s + 20], ' ') AS body FROM (SELECT *, unnest(range(greatest(len(ws) - 19, 0))) AS s FROM d) q),
+late AS (SELECT rid, s FROM (SELECT rid, s, row_number() OVER (PARTITION BY body ORDER BY doc_id, rid, s) AS k FROM w) q WHERE k > 1),
+gone AS (SELECT DISTINCT rid, s + o AS i FROM late, range(20) AS r(o)),
+p AS (SELECT rid, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM d),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS body, count(*) AS n FROM p ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_toxicity, op4_chat_formatting, op5_warc, op6_sharding, op7_html_extraction, op8_simhash, op9_quality_rules, op10_decontamination)}
+    own = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_toxicity, op4_chat_formatting, op5_warc, op6_sharding, op7_html_extraction, op8_simhash, op9_quality_rules, op10_decontamination, op12_substring_dedup)}
     return own | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL, "op5_warc": OP5_SQL, "op9_quality_rules": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op4_chat_formatting": OP4_SQL, "op5_warc": OP5_SQL, "op9_quality_rules": OP9_SQL, "op10_decontamination": OP10_SQL, "op12_substring_dedup": OP12_SQL}
