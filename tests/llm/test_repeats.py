@@ -43,11 +43,9 @@ def test_a_narrow_sketch_loses_nothing(spark, monkeypatch):
     assert got(df) == Counter(repeats.plain(rows))
 
 
-def test_ranges_and_groups(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "RANGE_BITS", 6)
-    monkeypatch.setattr(repeats, "NAMES_PER_GROUP", 50)
+def test_ranges_and_groups(spark):
     rows = [(i, " ".join(f"w{(i % 20) * 30 + j}" for j in range(60))) for i in range(80)]
-    assert got(spark.createDataFrame(rows, SCHEMA), block_bytes=3000) == Counter(repeats.plain(rows))
+    assert got(spark.createDataFrame(rows, SCHEMA), block_bytes=3000, range_bits=6, names_per_group=50) == Counter(repeats.plain(rows))
 
 
 def test_odd_rows(spark):

@@ -11,7 +11,7 @@ one covers go. Windows are judged on the input, not on what is left of it.
    stop at two, and only the cells that it touched are sent, as gaps between
    sorted cells (about two bytes a window and row). The width grows with the
    count of windows (at least ``CELLS_PER_WINDOW`` cells each). Parts are merged
-   by ranges of ``2**RANGE_BITS`` cells, so a task holds one range, and each block
+   by ranges of ``2**range_bits`` cells, so a task holds one range, and each block
    gets one bit back for each of its cells: whether two windows met there. A
    count can only be too high, so no repeated window is lost; about 1 % of the
    single ones pass by chance.
@@ -201,24 +201,24 @@ def _touched(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[first], np.diff(np.append(at, len(s))) > 1
 
 
-def _ranges(cells: np.ndarray, bits: int) -> np.ndarray:
+def _ranges(cells: np.ndarray, bits: int, range_bits: int) -> np.ndarray:
     """Where each range of cells begins and ends among sorted cells."""
-    return np.searchsorted(cells, np.arange((1 << max(0, bits - RANGE_BITS)) + 1, dtype=np.uint64) << np.uint64(min(bits, RANGE_BITS)))
+    return np.searchsorted(cells, np.arange((1 << max(0, bits - range_bits)) + 1, dtype=np.uint64) << np.uint64(min(bits, range_bits)))
 
 
 _PARTIAL = pa.schema([("row", pa.int32()), ("range", pa.int64()), ("block", pa.int64()), ("cells", pa.binary()), ("twice", pa.binary())])
 
 
-def _sketches(window: int, bits: int):
+def _sketches(window: int, bits: int, range_bits: int):
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 out = []
                 for row, cells in enumerate(_Block(body.as_py(), window).cells(bits)):
                     own, twice = _touched(cells)
-                    cuts = _ranges(own, bits)
+                    cuts = _ranges(own, bits, range_bits)
                     for r in np.flatnonzero(np.diff(cuts)):
-                        part = own[cuts[r] : cuts[r + 1]] - (np.uint64(r) << np.uint64(RANGE_BITS))
+                        part = own[cuts[r] : cuts[r + 1]] - (np.uint64(r) << np.uint64(range_bits))
                         out.append((row, int(r), number, gaps(part), np.packbits(twice[cuts[r] : cuts[r + 1]]).tobytes()))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PARTIAL, strict=True)], schema=_PARTIAL)
@@ -230,13 +230,13 @@ def _sketches(window: int, bits: int):
 _ANSWER = pa.schema([("row", pa.int32()), ("range", pa.int64()), ("block", pa.int64()), ("twice", pa.binary())])
 
 
-def _merge(bits: int):
+def _merge(bits: int, range_bits: int):
     def merged(part: pa.Table) -> pa.Table:
         """One range of one row of the sketch: the sum of all parts, and for each block which of its cells hold two or more."""
         cells, counts = ungaps(part["cells"].to_pylist())
         cells = cells.astype(np.int64)
         local = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(part["twice"].to_pylist(), counts, strict=True)])
-        total = np.zeros(1 << min(bits, RANGE_BITS), bool)
+        total = np.zeros(1 << min(bits, range_bits), bool)
         total[cells[local]] = True
         s = np.sort(cells)
         total[s[1:][s[1:] == s[:-1]]] = True
@@ -252,7 +252,7 @@ def _merge(bits: int):
 _NAMED = pa.schema([("group", pa.int64()), ("block", pa.int64()), ("starts", pa.binary()), ("names", pa.binary()), ("order", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
 
-def _candidates(window: int, bits: int, groups: int):
+def _candidates(window: int, bits: int, range_bits: int, groups: int):
     def name(left: pa.Table, right: pa.Table) -> pa.Table:
         """Names of a block's windows that the sketch calls repeated, each once; places of those that the block itself repeats."""
         out, number = [], left["block"][0].as_py() if left.num_rows else None
@@ -263,7 +263,7 @@ def _candidates(window: int, bits: int, groups: int):
             passed = np.ones(len(at), bool)
             for row, cells in enumerate(block.cells(bits)):
                 own, _ = _touched(cells)
-                cuts, say = _ranges(own, bits), np.zeros(len(own), bool)
+                cuts, say = _ranges(own, bits, range_bits), np.zeros(len(own), bool)
                 for r in np.flatnonzero(np.diff(cuts)):
                     say[cuts[r] : cuts[r + 1]] = np.unpackbits(np.frombuffer(answers[row, int(r)], np.uint8), count=int(cuts[r + 1] - cuts[r]))
                 left_over = np.flatnonzero(passed)
@@ -344,7 +344,7 @@ def _without(window: int, schema: pa.Schema):
     return kept
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = 8 << 20, range_bits: int = RANGE_BITS, names_per_group: int = NAMES_PER_GROUP) -> DataFrame:
     """(key, text, n_words, n_removed): every document without the words that a later copy of a window covers.
 
     ``text`` is what is left, joined by single blanks.
@@ -352,11 +352,11 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     blocks = cut(pack(df, key, text, window, block_bytes), "repeat-blocks")
     total = blocks.agg(F.sum("windows")).first()[0] or 0
     bits = max(10, math.ceil(math.log2(max(1, CELLS_PER_WINDOW * total))))
-    groups = 1 + total // NAMES_PER_GROUP
+    groups = 1 + total // names_per_group
     bodies = blocks.select("block", "body")
-    parts = bodies.mapInArrow(_sketches(window, bits), "row int, range long, block long, cells binary, twice binary")
-    answers = parts.groupBy("row", "range").applyInArrow(_merge(bits), "row int, range long, block long, twice binary")
-    named = bodies.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_candidates(window, bits, groups), "group long, block long, starts binary, names binary, order binary, hashes binary, counts binary")
+    parts = bodies.mapInArrow(_sketches(window, bits, range_bits), "row int, range long, block long, cells binary, twice binary")
+    answers = parts.groupBy("row", "range").applyInArrow(_merge(bits, range_bits), "row int, range long, block long, twice binary")
+    named = bodies.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_candidates(window, bits, range_bits, groups), "group long, block long, starts binary, names binary, order binary, hashes binary, counts binary")
     late = named.groupBy("group").applyInArrow(_late, "block long, starts binary")
     out = pa.schema([(key, pa.int64()), (text, pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
     return bodies.groupBy("block").cogroup(late.groupBy("block")).applyInArrow(_without(window, out), f"`{key}` long, `{text}` string, n_words long, n_removed long")
