@@ -12,6 +12,8 @@ from .chat import digests, format_windows
 from .common import read_table
 from .decontaminate import contamination
 from .html_text import extract_text
+from .lexical import search
+from .periodic import find_runs, planted
 from .pipeline import fold
 from .quality import assess
 from .repeats import remove_repeats
@@ -193,6 +195,23 @@ FROM d LEFT JOIN best ON d.rid = best.rid
 """
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+g AS (SELECT count(*)::BIGINT AS big_n, sum(len(ts))::BIGINT AS big_l FROM d WHERE len(ts) > 0),
+t AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(ts) AS term FROM d) q GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM t, g GROUP BY term, big_n),
+b AS (SELECT row_number() OVER () AS bid, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+m AS (SELECT rid, doc_id, 75 + (25 * len(ts)::BIGINT * big_n) // big_l AS m FROM d, g),
+s AS (SELECT bid, item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM b JOIN t USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY bid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(read_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -209,10 +228,45 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 """
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = find_runs(docs.select("doc_id", planted(F.col("text"), F.col("doc_id")).alias("text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return found.withColumn("_best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_best.start")).alias("start"), F.col("_best.length").alias("length"), (-F.col("_best.period")).alias("period"),
+        F.expr("(1000 * _best.length) div (-_best.period)").alias("exponent_milli"),
+        digest(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+#: Equal words of a document at every distance up to a quarter of it; stretches of them are runs. CRC-32 is computed bit by bit.
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+  flatten([[4294967295]] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])) AS steps FROM documents),
+h AS (SELECT rid, doc_id, ws, len(ws)::BIGINT AS n,
+  xor(list_reduce(steps, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) AS h FROM d),
+a AS (SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a FROM h),
+t AS (SELECT rid, doc_id, n, ws, a, CASE WHEN a < n THEN 1 + (n - a) // (3 + g % 8) ELSE 1 END AS p FROM a),
+w AS (SELECT rid, n, i, CASE WHEN i >= a THEN ws[a + (i - a) % p + 1] ELSE ws[i + 1] END AS word FROM (SELECT *, unnest(range(n)) AS i FROM t) q),
+e AS (SELECT x.rid, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.rid = y.rid AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 4),
+s AS (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM e),
+c AS (SELECT rid, min(i) AS start, count(*) + q AS length, q FROM s GROUP BY rid, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT rid, start, length, min(q) AS period FROM c GROUP BY ALL),
+m AS (SELECT rid, count(*) AS n_runs, max({'l': length, 's': -start, 'p': -period}) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS body FROM w ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT t.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, (-best.s)::BIGINT AS start, best.l::BIGINT AS length, (-best.p)::BIGINT AS period, ((1000 * best.l) // (-best.p))::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM t LEFT JOIN m USING (rid) LEFT JOIN k USING (rid)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_toxicity, op4_chat_formatting, op5_warc, op6_sharding, op7_html_extraction, op8_simhash, op9_quality_rules, op10_decontamination, op12_substring_dedup)}
+    own = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_toxicity, op4_chat_formatting, op5_warc, op6_sharding, op7_html_extraction, op8_simhash, op9_quality_rules, op10_decontamination, op11_lexical_search, op12_substring_dedup, op13_periodic_runs)}
     return own | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL, "op5_warc": OP5_SQL, "op9_quality_rules": OP9_SQL, "op10_decontamination": OP10_SQL, "op12_substring_dedup": OP12_SQL}
+    return {"op4_chat_formatting": OP4_SQL, "op5_warc": OP5_SQL, "op9_quality_rules": OP9_SQL, "op10_decontamination": OP10_SQL, "op11_lexical_search": OP11_SQL, "op12_substring_dedup": OP12_SQL, "op13_periodic_runs": OP13_SQL}
