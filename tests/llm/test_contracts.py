@@ -205,7 +205,7 @@ def test_densities_equal_the_definition(spark):
         for n in live:
             if n.tag != "a" and not any(p.tag == "a" for p in _ancestors(n)):  # inside a link all characters are linked
                 assert n.density == pytest.approx(plain[id(n)], rel=1e-9)
-        sums = {id(n): sum(plain[id(p)] for p in n.parts if not isinstance(p, str) and not p.gone) if n.elements else plain[id(n)] for n in live if plain[id(n)]}
+        sums = {id(n): sum(plain[id(p)] * p.weight for p in n.parts if not isinstance(p, str) and not p.gone) if n.elements else plain[id(n)] * n.weight for n in live if plain[id(n)]}
         assert max(n.total for n in live) == pytest.approx(max(sums.values(), default=0.0), rel=1e-9)
 
 

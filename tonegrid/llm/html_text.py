@@ -5,32 +5,40 @@ sum over its children. The node of the largest sum holds the article; the
 smallest density on its path up to the body is the threshold by which other
 regions also count as content.
 
-What a reader never sees as text (scripts, styles, controls) is no node at all.
-Menus, page headers, footers, sidebars, notices, adverts, forms and reader
-comments are *boxes*: suspects by tag, role, or class and id words. A box leaves
-the tree before densities are taken only if the page has its prose elsewhere;
-``_settle`` decides that from the whole page. A form around the page, or a
-wrapper whose class mentions a sidebar, holds the prose itself: it is opened, and
-only the boxes inside it leave. Comments, menus and footers are opened only
-if the page has no prose at all without them.
-
-If the chosen node lies in an ``article`` or ``main`` element, that element
-stands for it, because its headings and short blocks have low densities of their
-own; the threshold decides about all other regions, a second article included.
+Three things come before or beside the densities.
+
+* What a reader never sees as text (scripts, styles, controls, hidden elements)
+  is no node at all.
+* Structure. Menus, asides, footers, dialogs and a page's own header, by tag or
+  role, are *boxes*. They leave the tree before anything is measured, whatever
+  their size; only a page that has no other text at all is measured with them.
+* Weights. A container whose class or id names boilerplate (each word of the name
+  is such a word or a neutral one), a form, and an ``article`` inside an
+  ``article`` (a reader's comment) weigh a tenth, with all that they hold. A
+  weight divides densities where they are compared; it never removes text alone:
+  the wrapper of the densest node is on its path and stays, whatever it is called,
+  and does not count against what is beside the article in it.
+
+From the body down the path to the densest node (``_content``): a region beside
+the path is content if its weighted density reaches the threshold. Densities of
+short blocks are low, so what is part of an article by its own tag stays as well
+if nothing weighs it down and links are not most of it: headings, paragraphs,
+lists, quotations, tables, figures, sections and articles; below the body also
+containers without blocks inside (bylines, notes) and loose text. In a region
+that is content, weighted containers and lists of links under the threshold go.
 
 One narrow pass, a page at a time: the parser keeps explicit stacks, so deep
 and broken pages neither recurse nor grow in cost with depth.
 
 Cases: null and empty pages give an empty text; pages without tags give their
-whole text; very long pages are read whole, in linear time (boxes are opened by
-size, from a heap); unclosed and stray tags are tolerated; among equal density
-sums the first node counts; repeated rows are extracted row by row; an empty
-table gives no rows; other columns are ignored, whatever their names.
+whole text; very long pages are read whole, in linear time; unclosed and stray
+tags are tolerated; among equal density sums the first node counts; repeated rows
+are extracted row by row; an empty table gives no rows; other columns are ignored,
+whatever their names. No rule has a size from which text is dropped.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
@@ -49,90 +57,87 @@ BLOCK = frozenset(
 )
 #: Never text on a page.
 DROPPED = frozenset("script style noscript template iframe object embed svg canvas audio video head title button select textarea input datalist".split())
-#: Suspects by tag.
-BOXES = frozenset("nav footer aside menu dialog form".split())
-HOLDERS = frozenset(("article", "main"))
 #: Elements that a start tag of the same group closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Never content by tag or role, unless a page has nothing else.
+BOXES = frozenset("nav footer aside menu dialog".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+#: Containers whose names are weighed; paragraphs, headings and the like are not.
+NAMED = frozenset("div section ul ol dl table header details figure".split())
+#: Words that name boilerplate.
 WORDS = frozenset(
-    "ad ads adbox adslot adunit adsense banner sponsor sponsored promo promotion comment comments commentlist disqus replies respond "
-    "sidebar aside widget cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup "
-    "share sharing social breadcrumb breadcrumbs pagination pager menu nav navbar navigation toolbar footer masthead topbar "
-    "related recommended recommendations skiplink search login advertisement warning announcement teaser subscription".split()
+    "ad ads adbox adslot adunit adsense adsbygoogle advert adverts advertising advertisement sponsor sponsored sponsors banner promo promotion promotions "
+    "comment comments commentlist disqus replies respond sidebar sidebars aside widget widgets cookie cookies consent gdpr notice notices "
+    "notification notifications alert alerts popup modal overlay newsletter newsletters subscribe subscription signup share sharing social breadcrumb breadcrumbs pagination "
+    "pager menu menus nav navbar navigation toolbar footer masthead topbar related recommended recommendations skiplink search login warning announcement announcements".split()
+)
+#: Words that say where or how something stands, not what it is.
+NEUTRAL = frozenset(
+    "area bar body bottom box block btn button buttons card center col column container content form global group header holder icons inner item items label left "
+    "link links list main message module outer page panel post posts reader right row section site slot strip text thread title top unit user users wrap wrapper".split()
 )
-#: Words of boxes that are opened only where nothing else holds prose.
-FIRM = frozenset("comment comments commentlist disqus replies respond menu nav navbar navigation footer".split())
-FIRM_TAGS = frozenset(("nav", "footer", "menu"))
 #: Words after which a class says what a page has, not what the element is.
-STATES = frozenset("has with without no not is tag category type format".split())
+STATES = frozenset("has with without no not is tag category type format layout".split())
 #: Words that make a header an article's own.
 OWN_HEADER = frozenset("article post entry content story".split())
-_PREFIXES = ("advert", "sponsor", "cookie", "comment", "sidebar", "newsletter")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-#: Percentage of a page's text that must lie outside its boxes.
-PROSE_PERCENT = 10
-#: Characters from which the text of a block that also holds regions is content of its own.
-LOOSE_CHARS = 80
+#: What weighed containers count.
+WEIGHT = 0.1
+#: Parts of an article by their own tags.
+OWN_PARTS = frozenset("h1 h2 h3 h4 h5 h6 p ul ol dl blockquote pre figure table section article".split())
 HEAD_TAGS = frozenset("title meta link style script base noscript template".split())
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "box", "gone", "own", "outside", "boxed", "chars", "tags", "link_chars", "link_tags", "density", "total", "elements")
+    __slots__ = ("tag", "parent", "parts", "box", "gone", "weight", "light", "blocks", "chars", "tags", "link_chars", "link_tags", "density", "total", "elements")
 
-    def __init__(self, tag, parent, box):
-        self.tag, self.parent, self.box = tag, parent, box  # box: 0 none, 1 suspect, 2 firm
+    def __init__(self, tag, parent, box, weight):
+        self.tag, self.parent, self.box, self.light = tag, parent, box, weight < 1
         self.gone = tag in DROPPED
-        self.boxed = box > 0 or (parent is not None and parent.boxed)
+        self.weight = weight * (parent.weight if parent is not None else 1.0)
         self.parts: list = []
-        self.own = self.outside = self.chars = self.tags = self.link_chars = self.link_tags = self.elements = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.elements = self.blocks = 0
         self.density = self.total = 0.0
 
+    def linked(self) -> bool:
+        """Links are most of the text."""
+        return 2 * self.link_chars > self.chars
+
 
-def _words(value: str) -> Iterator[str]:
-    """Lower-case words of a class or id attribute that name the element."""
+def _named(value: str, inside: Counter) -> bool:
+    """Whether a class or id has a name of boilerplate words (and neutral ones) only."""
     for name in value.split():
-        before = ""
-        for word in map(str.lower, _PARTS.findall(name)):
-            if before not in STATES:
-                yield word
-            before = word
-
-
-def _suspect(tag: str, attrs, inside: Counter) -> int:
-    """2 for comments, menus and footers, 1 for other boxes, 0 for content."""
-    if tag in FIRM_TAGS:
-        return 2
-    if tag in BOXES:
-        return 1
+        words = [w for w in map(str.lower, _PARTS.findall(name)) if not w.isdigit()]
+        if any(w in WORDS or (w == "header" and not (inside["article"] or inside["main"])) for w in words) and all(w in WORDS or w in NEUTRAL for w in words):
+            if words[0] not in STATES and not ("header" in words and OWN_HEADER.intersection(words) and not WORDS.intersection(words)):
+                return True
+    return False
+
+
+def _judge(tag: str, attrs, inside: Counter) -> tuple[bool, float]:
+    """Whether an element is a box, and its weight."""
     if tag in ("html", "body", "main"):
-        return 0
-    if tag == "header":
-        return 0 if inside["article"] or inside["main"] else 1
-    found = 0
+        return False, 1.0
+    box = tag in BOXES or (tag == "header" and not (inside["article"] or inside["main"]))
+    weight = WEIGHT if (tag == "form" and not inside["form"]) or (tag == "article" and inside["article"]) else 1.0
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            found = max(found, 1)
-        if not value:
+            box = True
+        elif not value:
             continue
-        if name == "role" and value.strip().lower() in ROLES:
-            found = max(found, 1)
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            found = max(found, 1)
-        elif name in ("class", "id"):
-            words = list(_words(value))
-            if "header" in words and not (inside["article"] or inside["main"] or OWN_HEADER.intersection(words)):
-                found = max(found, 1)
-            for word in words:
-                if word in WORDS or word.startswith(_PREFIXES):
-                    found = max(found, 2 if word in FIRM or word.startswith("comment") else 1)
-    return found
+        elif name == "role":
+            box = box or value.strip().lower() in ROLES
+        elif name == "style":
+            box = box or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE))
+        elif name in ("class", "id") and tag in NAMED and _named(value, inside):
+            weight = WEIGHT
+    return box, weight
 
 
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("#root", None, 0)
+        self.root = _Node("#root", None, False, 1.0)
         self.nodes = [self.root]
         self.stack = [self.root]
         self.open: Counter = Counter()
@@ -160,7 +165,7 @@ class _Tree(HTMLParser):
         if tag in CLOSES:
             self._close_to(CLOSES[tag])
         parent = self.stack[-1]
-        node = _Node(tag, parent, _suspect(tag, attrs, self.open))
+        node = _Node(tag, parent, *_judge(tag, attrs, self.open))
         parent.parts.append(node)
         self.nodes.append(node)
         if tag == "body" and self.body is None:
@@ -184,59 +189,23 @@ class _Tree(HTMLParser):
 
 
 def _settle(nodes: list[_Node], body: _Node) -> None:
-    """Mark what leaves the tree: all boxes, but for those that hold the page's prose themselves.
-
-    Prose is text outside links. A box with more than half of it (comments, menus and footers apart) is
-    opened: its own boxes take its place. So is the box with the most while less
-    than ``PROSE_PERCENT`` lies outside boxes and no ``article`` or ``main`` does.
-    """
-    holder: dict[int, _Node] = {}
-    for node in nodes:  # a parent comes before its children
-        if node.parent is not None and node.parent.gone:
-            node.gone = True
-        block = node if node.parent is None or node.tag in BLOCK else holder[id(node.parent)]
-        holder[id(node)] = block
-        if not node.gone and node.tag != "a":
-            block.own += sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
-    inner: dict[int, list[_Node]] = {id(n): [] for n in nodes}  # nearest boxes below a node
-    prose = dict.fromkeys(inner, 0)
-    for node in reversed(nodes):
-        if node.gone:
-            continue
-        node.outside += node.own
-        prose[id(node)] += node.own
-        if node.parent is not None and node is not body:
-            up = node.parent
-            prose[id(up)] += prose[id(node)]
-            if node.box:
-                inner[id(up)].append(node)
-            else:
-                up.outside += node.outside
-                if len(inner[id(node)]) > len(inner[id(up)]):
-                    inner[id(up)], inner[id(node)] = inner[id(node)], inner[id(up)]
-                inner[id(up)] += inner[id(node)]
-    outside = body.outside
-    shut = [(n.box, -prose[id(n)], k, n) for k, n in enumerate(inner[id(body)])]
-    heapq.heapify(shut)
-    number = len(shut)
-    whole = prose[id(body)]
-    anchored = any(n.tag in HOLDERS and n.outside and not n.boxed for n in nodes)
-    while shut:
-        box, held, _, node = shut[0]
-        lacking = not anchored and 100 * outside < PROSE_PERCENT * whole
-        if not held or not (lacking or -2 * held > whole) or (box == 2 and outside):
-            break
-        heapq.heappop(shut)
-        node.box = 0
-        outside += node.outside
-        for child in inner[id(node)]:
-            heapq.heappush(shut, (child.box, -prose[id(child)], number, child))
-            number += 1
-    for _, _, _, node in shut:
-        node.gone = True
-    for node in nodes:
-        if node.parent is not None and node.parent.gone:
-            node.gone = True
+    """Mark what leaves the tree: boxes, unless the page has no text outside them."""
+
+    def spread() -> bool:
+        text = False
+        for node in nodes:  # a parent comes before its children
+            if node is not body and node.parent is not None and (node.parent.gone or (node.box and node.tag != "#root")):
+                node.gone = True
+            if not node.gone and not text:
+                text = any(isinstance(p, str) and not p.isspace() for p in node.parts)
+        return text
+
+    body.gone = False
+    before = [n.gone for n in nodes]
+    if not spread():
+        for node, gone in zip(nodes, before, strict=True):
+            node.gone, node.box = gone, False
+        spread()
 
 
 def _measure(nodes: list[_Node], body: _Node) -> None:
@@ -248,6 +217,7 @@ def _measure(nodes: list[_Node], body: _Node) -> None:
                 node.chars += len("".join(part.split()))
             elif not part.gone:
                 node.elements += 1
+                node.blocks += part.blocks + (part.tag in BLOCK and part.tag not in ("li", "dt", "dd"))
                 node.chars += part.chars
                 node.tags += part.tags + 1
                 node.link_chars += part.chars if part.tag == "a" else part.link_chars
@@ -261,56 +231,58 @@ def _measure(nodes: list[_Node], body: _Node) -> None:
         base = math.log(linked + share * node.chars + math.e)
         value = (node.chars / max(node.link_chars, 1)) * (max(node.tags, 1) / max(node.link_tags, 1))
         node.density = per_tag * math.log(max(value, 1.0) + 1) / max(base, 1e-9)
-        node.total = node.density if not node.elements else sum(p.density for p in node.parts if not isinstance(p, str))
+        node.total = node.density * node.weight if not node.elements else sum(p.density * p.weight for p in node.parts if not isinstance(p, str) and not p.gone)
 
 
-def _content(body: _Node) -> list:
-    """Subtrees (and loose texts) that hold the article, in page order."""
+def _content(body: _Node) -> tuple[list, float, set]:
+    """Regions and loose texts that hold the article, in page order; the threshold; the path to the densest node."""
     best, stack = body, [body]
     while stack:
         node = stack.pop()
-        if node.total > best.total:
-            best = node
-        stack += [p for p in node.parts if not isinstance(p, str) and not p.gone]
-    up = best
-    while up is not None and up is not body:
-        if up.tag in HOLDERS:
-            best = up
-            break
-        up = up.parent
-    threshold, path = best.density, set()
-    node = best
+        if best is body or node.total > best.total:  # the body itself only where it has no elements with text
+            best = node if node is body or node.chars else best
+        stack += [p for p in reversed(node.parts) if not isinstance(p, str) and not p.gone]
+    path, node = set(), best
+    threshold = best.density
+    own = best.weight  # what weighs the article itself down does not count against its parts
     while node is not None and node is not body.parent:
         if node is not body:  # the page's own density also counts what is not article
             threshold = min(threshold, node.density)
         path.add(id(node))
         node = node.parent
-    if best is body:
-        return [body]
+    threshold *= own
     chosen, stack = [], [body]
     while stack:
         node = stack.pop()
-        if isinstance(node, str):
-            chosen.append(node)
-        elif node is best or (id(node) not in path and node.density >= threshold):
+        if isinstance(node, str) or node is best:
             chosen.append(node)
         elif id(node) in path:
-            prose = node.own >= LOOSE_CHARS  # loose text between the regions
-            for part in reversed(node.parts):
-                if isinstance(part, str):
-                    stack += [part] if prose else []
-                elif not part.gone and part.chars:
-                    stack.append(part)
-    return chosen
+            stack += [p for p in reversed(node.parts) if isinstance(p, str) or (not p.gone and (id(p) in path or _beside(p, node is body, threshold, own)))]
+        else:
+            chosen.append(node)
+    return chosen, threshold, path
 
 
-def _text(tops: list) -> str:
+def _beside(node: _Node, of_body: bool, threshold: float, own: float) -> bool:
+    """Whether a child of a path node is content."""
+    if node.density * node.weight >= threshold or not node.chars:
+        return True
+    if node.weight < own or node.linked():
+        return False
+    return node.tag in OWN_PARTS or (not of_body and not node.blocks) or node.tag not in BLOCK
+
+
+def _text(tops: list, threshold: float, path: set) -> str:
+    """Text of regions without what weighs too little in them: light containers and lists of links."""
     out, stack = [], list(reversed(tops))
     while stack:
         item = stack.pop()
         if isinstance(item, str):
             out.append(item)
         elif not item.gone:
+            if id(item) not in path and item.density * item.weight < threshold and (item.light or (item.tag in BLOCK and item.link_tags > 1 and item.linked())):
+                out.append(" ")
+                continue
             edge = " " if item.tag in BLOCK or item.tag == "br" else ""
             out.append(edge)
             stack.append(edge)
@@ -326,10 +298,9 @@ def main_text(html: str) -> str:
     tree.feed(html)
     tree.close()
     body = tree.body or tree.root
-    body.gone = False
     _settle(tree.nodes, body)
     _measure(tree.nodes, body)
-    return _text(_content(body))
+    return _text(*_content(body)) or _text([body], 0.0, set())
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
