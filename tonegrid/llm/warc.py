@@ -18,8 +18,9 @@ Verdicts: ``resolved`` (ETags agree in weak comparison, or, where one lacks an
 ETag, Last-Modified agrees), ``mismatch``, ``unchecked`` (no common validator),
 ``no_response`` (nothing earlier). Headers merge only when resolved.
 
-Cases: null content has no records; a truncated last record and a record whose
-digest fails come with ``intact`` false, a damaged gzip member is passed over; a field that is no number counts as absent; very long files
+Cases: null content has no records; a record that is cut off, damaged or shorter
+than it says comes with ``intact`` false, and the records behind it are read (see
+``parse_records``); a field that is no number counts as absent; very long files
 are read a member and a record at a time; a null or unparsable URL has no
 canonical form and never matches; captures of the same instant are not earlier
 than one another; among responses of the same instant the largest record id
@@ -85,25 +86,31 @@ _START = re.compile(rb"(?:\A|(?<=\n))WARC/1\.[0-9]+\r\n")
 _PIECE = 1 << 20
 
 
-def _plain(raw: bytes) -> Iterator[bytes]:
-    """The bytes of a WARC file in pieces, gzip members unpacked one after the other; a damaged member is passed over."""
+def _members(raw: bytes) -> Iterator[Iterator[bytes]]:
+    """The members of a WARC file, each one unpacked in pieces; a plain file is one member.
+
+    A damaged member ends where unpacking fails; the next one is looked for behind its start.
+    """
     if raw[:2] != b"\x1f\x8b":
-        yield raw
+        yield iter((raw,))
         return
     at = 0
-    while 0 <= at < len(raw):
-        unpack, fed, done = zlib.decompressobj(wbits=31), at, False
+
+    def pieces() -> Iterator[bytes]:
+        nonlocal at
+        unpack, fed = zlib.decompressobj(wbits=31), at
         try:
-            while not done and fed < len(raw):
+            while not unpack.eof and fed < len(raw):
                 piece = raw[fed : fed + _PIECE]
                 fed += len(piece)
                 yield unpack.decompress(piece)
-                done = unpack.eof
-            at = fed - len(unpack.unused_data) if done else len(raw)
+            at = fed - len(unpack.unused_data) if unpack.eof else at + 1  # a cut member: others may follow
         except zlib.error:
             at += 1
-        if at < len(raw):
-            at = raw.find(b"\x1f\x8b\x08", at)
+
+    while at >= 0:
+        yield pieces()
+        at = raw.find(b"\x1f\x8b\x08", at)
 
 
 def _record(head: bytes, block: bytes, length: int) -> dict:
@@ -127,13 +134,24 @@ def _record(head: bytes, block: bytes, length: int) -> dict:
     }
 
 
-def parse_records(raw: bytes) -> Iterator[dict]:
-    """The records of a WARC file's bytes, in order; a truncated last record comes with ``intact`` false.
+def _sound(fields: dict[str, str], block: bytes, after: bytes) -> bool:
+    """Whether a block is likely to be what its header says: by its digest, else by the blank line behind it."""
+    digest = fields.get("warc-block-digest", "")
+    return digest[4:] == hashlib.md5(block).hexdigest() if digest.startswith("md5:") else after in (b"\r\n\r\n", b"")
 
-    A record starts at a version line of its own; its length says where it ends,
-    so version lines inside a body are not records.
-    """
-    pieces, held, more = _plain(raw), bytearray(), True
+
+def _inner(held: bytearray, start: int, end: int) -> int:
+    """Where the header of another record starts inside a block, or -1."""
+    for found in _START.finditer(held, start, end):
+        close = held.find(b"\r\n\r\n", found.start())
+        fields = _lines(bytes(held[found.end() : close if close >= 0 else len(held)]))
+        if "warc-type" in fields and "content-length" in fields:
+            return found.start()
+    return -1
+
+
+def _of_member(pieces: Iterator[bytes]) -> Iterator[dict]:
+    held, more = bytearray(), True
 
     def fill() -> bool:
         piece = next(pieces, None)
@@ -155,12 +173,31 @@ def parse_records(raw: bytes) -> Iterator[dict]:
         if end < 0:
             return
         head = bytes(held[start.start() : end])
-        size = _lines(head).get("content-length", "")
+        fields = _lines(head)
+        size = fields.get("content-length", "")
         length = int(size) if re.fullmatch("[0-9]{1,18}", size) else 0
-        while more and len(held) < end + 4 + length:
+        begin, stop = end + 4, end + 4 + length
+        while more and len(held) < stop + 4:
             more = fill()
-        yield _record(head, bytes(held[end + 4 : end + 4 + length]), length)
-        del held[: end + 4 + length]
+        block = bytes(held[begin:stop])
+        inner = -1 if _sound(fields, block, bytes(held[stop : stop + 4])) and len(block) == length else _inner(held, begin, min(stop, len(held)))
+        if inner >= 0:  # the record is shorter than it says, and took others for its body
+            block, stop = bytes(held[begin:inner]).removesuffix(b"\r\n\r\n"), inner
+        yield _record(head, block, length)
+        del held[:stop]
+
+
+def parse_records(raw: bytes) -> Iterator[dict]:
+    """The records of a WARC file's bytes, in order.
+
+    A record starts at a version line of its own; its length says where it ends,
+    so version lines inside a sound body are not records. The end of a gzip member
+    ends its last record too. A record that is cut off, that damage ends, or that
+    is shorter than its length says comes with ``intact`` false (if its header
+    came through); all later records follow. One record at a time is in memory.
+    """
+    for pieces in _members(raw):
+        yield from _of_member(pieces)
 
 
 _ARROW = pa.schema(
