@@ -7,30 +7,36 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import half_even
 from .grid import KEY
+from .scan import BUCKET, Lag, Running, in_blocks, scan
 
 PAUSE_SECONDS, DOWNBEAT_SECONDS = 0.5, 0.03
+#: Of the first order column (seconds, words, rows): how much of it is one bucket of a scan.
+WIDTH = 3600.0
 
 
-def longest_run(words: DataFrame, word: str, order: list[str], key: str = KEY) -> DataFrame:
-    """AGG12: length of the longest run of equal words, by islands."""
-    w = Window.partitionBy(key).orderBy(*order)
-    change = F.when(F.col(word).eqNullSafe(F.lag(word).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    islands = words.withColumn("_change", change).withColumn("_island", F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def longest_run(words: DataFrame, word: str, order: list[str], key: str = KEY, width: float = WIDTH) -> DataFrame:
+    """AGG12: length of the longest run of equal words, by islands; a run may span any number of buckets."""
+    marked = words.select(key, *order, F.struct(F.col(word).alias("v")).alias("_w"))
+    lagged = scan(marked, key, order, width, _before=Lag("_w"))
+    changes = lagged.withColumn("_change", F.when(F.col("_w").eqNullSafe(F.col("_before")), 0).otherwise(1))
+    islands = scan(changes, key, order, width, _island=Running("_change"))
     return islands.groupBy(key, "_island").agg(F.count("*").alias("_n")).groupBy(key).agg(F.max("_n").alias("max_run"))
 
 
-def pauses(words: DataFrame, min_pause: float = PAUSE_SECONDS, order: list[str] | None = None, key: str = KEY) -> DataFrame:
+def gaps(words: DataFrame, order: list[str] | None = None, key: str = KEY, width: float = WIDTH) -> DataFrame:
+    """Every word with ``_gap``, from the offset of the word before to its onset."""
+    lagged = scan(words, key, order or ["onset", "offset"], width, _end=Lag("offset"))
+    return lagged.withColumn("_gap", F.col("onset") - F.col("_end")).drop("_end", BUCKET)
+
+
+def pauses(words: DataFrame, min_pause: float = PAUSE_SECONDS, order: list[str] | None = None, key: str = KEY, width: float = WIDTH) -> DataFrame:
     """WIN3: gaps between a word's offset and the next onset of at least ``min_pause``."""
-    w = Window.partitionBy(key).orderBy(*(order or ["onset", "offset"]))
-    gap = F.col("onset") - F.lag("offset").over(w)
-    return words.withColumn("pause", gap).where(F.col("pause") >= min_pause)
+    return gaps(words, order, key, width).where(F.col("_gap") >= min_pause).withColumnRenamed("_gap", "pause")
 
 
-def speech_timing(words: DataFrame, min_pause: float = PAUSE_SECONDS, order: list[str] | None = None, key: str = KEY) -> DataFrame:
+def speech_timing(words: DataFrame, min_pause: float = PAUSE_SECONDS, order: list[str] | None = None, key: str = KEY, width: float = WIDTH) -> DataFrame:
     """AGG6: words, span, rates and pauses of each stimulus."""
-    w = Window.partitionBy(key).orderBy(*(order or ["onset", "offset"]))
-    gap = F.col("onset") - F.lag("offset").over(w)
-    timed = words.withColumn("_gap", F.when(gap >= min_pause, gap))
+    timed = gaps(words, order, key, width).withColumn("_gap", F.when(F.col("_gap") >= min_pause, F.col("_gap")))
     agg = timed.groupBy(key).agg(
         F.count("*").alias("n_words"),
         F.min("onset").alias("_first"),
@@ -56,32 +62,33 @@ def speech_timing(words: DataFrame, min_pause: float = PAUSE_SECONDS, order: lis
     )
 
 
-def beat_info(beats: DataFrame, t: str = "time", downbeat: str = "is_downbeat", key: str = KEY) -> DataFrame:
+def beat_info(beats: DataFrame, t: str = "time", downbeat: str = "is_downbeat", key: str = KEY, width: float = WIDTH) -> DataFrame:
     """AGG8: beats, downbeats, tempo from the median inter-beat interval (WIN4)."""
-    w = Window.partitionBy(key).orderBy(t)
-    ibi = beats.withColumn("_ibi", F.col(t) - F.lag(t).over(w))
+    ibi = scan(beats.select(key, t, downbeat), key, [t], width, _before=Lag(t)).withColumn("_ibi", F.col(t) - F.col("_before"))
     return ibi.groupBy(key).agg(F.count("*").alias("n_beats"), F.count_if(F.col(downbeat)).alias("n_downbeats"), half_even(F.try_divide(F.lit(60.0), F.median("_ibi")), 1).alias("tempo_bpm"))
 
 
-def rolling_mean(df: DataFrame, value: str, order: str, half: int, name: str = "rolling", key: str = KEY) -> DataFrame:
+def rolling_mean(df: DataFrame, value: str, order: str, half: int, name: str = "rolling", key: str = KEY, width: float = WIDTH, block: int = 65_536) -> DataFrame:
     """WIN7: centred, truncated at the edges, NULL-skipping."""
-    return df.withColumn(name, F.avg(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(-half, half)))
+    rows, w, mine = in_blocks(df, key, [order], width, half, half, block)
+    return rows.withColumn(name, F.avg(value).over(w.rowsBetween(-half, half))).where(mine).select(*[c for c in df.columns if c != name], name)
 
 
-def uniform_filter(df: DataFrame, value: str, order: str, size: int, name: str = "smoothed", key: str = KEY) -> DataFrame:
+def uniform_filter(df: DataFrame, value: str, order: str, size: int, name: str = "smoothed", key: str = KEY, width: float = WIDTH, block: int = 65_536) -> DataFrame:
     """WIN6: centred moving average with edge values repeated; even sizes lean left.
 
     The repeated edges are added as weights, so no padding rows are needed: with
-    b rows missing before and a after, (sum + b·first + a·last) / size.
+    b rows missing before and a after, (sum + b·first + a·last) / size. Rows are
+    missing only at the edges of a stimulus, where its first or last row is also
+    the first or last of the block.
     """
     before, after = size // 2, size - 1 - size // 2
-    part = Window.partitionBy(key)
-    w = part.orderBy(order)
-    frame = w.rowsBetween(-before, after)
+    rows, w, mine = in_blocks(df, key, [order], width, before, after, block)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    at, n = F.row_number().over(w) - 1, F.count("*").over(part)
-    missing_before, missing_after = F.greatest(before - at, F.lit(0)), F.greatest(at + after - (n - 1), F.lit(0))
-    return df.withColumn(name, (F.sum(value).over(frame) + missing_before * F.first(value).over(whole) + missing_after * F.last(value).over(whole)) / size)
+    ahead = F.count(F.lit(1)).over(w.rowsBetween(1, after)) if after else F.lit(0)
+    missing_before, missing_after = F.greatest(before - F.col("_n"), F.lit(0)), F.lit(after) - ahead
+    total = F.sum(value).over(w.rowsBetween(-before, after)) + missing_before * F.first(value).over(whole) + missing_after * F.last(value).over(whole)
+    return rows.withColumn(name, total / size).where(mine).select(*[c for c in df.columns if c != name], name)
 
 
 def zscore(value: Column, by: str = KEY) -> Column:
@@ -118,8 +125,7 @@ def speaker_summary(turns: DataFrame, speaker: str = "speaker", key: str = KEY)
     )
 
 
-def infer_hop(frames: DataFrame, t: str = "time", default: float = 0.5, key: str = KEY) -> DataFrame:
+def infer_hop(frames: DataFrame, t: str = "time", default: float = 0.5, key: str = KEY, width: float = WIDTH) -> DataFrame:
     """AGG16: median positive step of the time column, else the default."""
-    w = Window.partitionBy(key).orderBy(t)
-    step = F.lead(t).over(w) - F.col(t)
-    return frames.withColumn("_step", step).groupBy(key).agg(F.coalesce(F.median(F.when(F.col("_step") > 0, F.col("_step"))), F.lit(default)).alias("hop"))
+    steps = scan(frames.select(key, t), key, [t], width, _before=Lag(t)).withColumn("_step", F.col(t) - F.col("_before"))
+    return steps.groupBy(key).agg(F.coalesce(F.median(F.when(F.col("_step") > 0, F.col("_step"))), F.lit(default)).alias("hop"))

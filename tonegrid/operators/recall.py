@@ -8,12 +8,14 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions.scalars import half_even, normalise_word
 from .grid import KEY
+from .ordered import WIDTH
+from .scan import LastBefore, scan
 
 FUZZY_THRESHOLD = 0.8
 #: Items of a pool that are sent to every executor at once; larger pools go in blocks.
@@ -117,7 +119,7 @@ def best_fuzzy(words: DataFrame, pool: DataFrame, norm: str = "norm") -> DataFra
     return best.join(pool.select("pool_index", "item"), "pool_index").select(norm, "score", "pool_index", "item")
 
 
-def annotate_recall(words: DataFrame, pool: DataFrame, threshold: float = FUZZY_THRESHOLD, pos: str = "pos", fuzzy: bool = True, key: str = KEY) -> DataFrame:
+def annotate_recall(words: DataFrame, pool: DataFrame, threshold: float = FUZZY_THRESHOLD, pos: str = "pos", fuzzy: bool = True, key: str = KEY, width: float = WIDTH) -> DataFrame:
     """TXT5: matched item, score, intrusion, repetition and inter-response time of every word.
 
     ``words`` has key, ``pos`` (order of speech), word, onset, offset and
@@ -137,9 +139,9 @@ def annotate_recall(words: DataFrame, pool: DataFrame, threshold: float = FUZZY_
     score = F.when(F.col("_exact").isNotNull(), 1.0).otherwise(F.coalesce("_score", F.lit(0.0)))
     marked = exact.withColumn("_s", score).withColumn("_matched", F.col("_s") >= threshold)
     marked = marked.withColumn("_index", F.when(F.col("_matched"), F.coalesce("_exact", "_near")))
-    by_item = Window.partitionBy(key, "_index").orderBy(pos)
-    before = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("_matched"), F.col("onset")), ignorenulls=True).over(before)
+    first_said = marked.where("_matched").groupBy(F.col(key).alias("_k"), F.col("_index").alias("_i")).agg(F.min(pos).alias("_first"))
+    marked = marked.join(first_said, marked[key].eqNullSafe(first_said["_k"]) & (marked["_index"] == first_said["_i"]), "left").drop("_k", "_i")
+    marked = scan(marked.withColumn("_at", F.when(F.col("_matched"), F.col("onset"))), key, [pos], width, _last=LastBefore("_at"))
     return marked.select(
         key,
         pos,
@@ -150,8 +152,8 @@ def annotate_recall(words: DataFrame, pool: DataFrame, threshold: float = FUZZY_
         F.coalesce("_index", F.lit(-1)).alias("pool_index"),
         half_even("_s", 3).alias("match_score"),
         (~F.col("_matched")).alias("intrusion"),
-        (F.col("_matched") & (F.row_number().over(by_item) > 1)).alias("repetition"),
-        F.when(F.col("_matched"), half_even(F.col("onset") - last, 3)).alias("irt"),
+        F.coalesce(F.col("_matched") & (F.col(pos) > F.col("_first")), F.lit(False)).alias("repetition"),
+        F.when(F.col("_matched"), half_even(F.col("onset") - F.col("_last"), 3)).alias("irt"),
     )
 
 

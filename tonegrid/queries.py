@@ -23,7 +23,7 @@ from .operators import ordered as O
 from .operators import recall as R
 from .operators import summaries as M
 
-HOP, SPAN = 43_200.0, 30 * 86_400.0
+HOP, SPAN, DAY = 43_200.0, 30 * 86_400.0, 86_400.0
 CONTEXT = 4 * 86_400.0
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -286,7 +286,7 @@ def pauses(spark, sf_dir):
 @query("""WITH e AS (SELECT user_id AS stimulus_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events),
 r AS (SELECT stimulus_id, event_type, g, count(*) AS n FROM e GROUP BY ALL) SELECT stimulus_id, max(n) AS max_run FROM r GROUP BY 1""")
 def max_word_run(spark, sf_dir):
-    return O.longest_run(table(spark, sf_dir, "events").withColumnRenamed("user_id", "stimulus_id"), "event_type", ["ts", "event_id"])
+    return O.longest_run(events(spark, sf_dir), "event_type", ["t", "event_id"], width=DAY)
 
 
 @query(f"WITH {_WORDS} SELECT stimulus_id, word_idx, regexp_replace(lower(word), '[^a-z'']', '', 'g') AS norm FROM wd")
@@ -334,7 +334,7 @@ def uniform_filter_nearest(spark, sf_dir):
 
 @query(f"WITH {_EV}, s AS (SELECT stimulus_id, lead(t) OVER (PARTITION BY stimulus_id ORDER BY t) - t AS d FROM ev) SELECT stimulus_id, round(coalesce(median(d) FILTER (WHERE d > 0), 0.5), 6) AS hop FROM s GROUP BY 1")
 def hop_inference(spark, sf_dir):
-    return O.infer_hop(events(spark, sf_dir), "t").select("stimulus_id", F.round("hop", 6).alias("hop"))
+    return O.infer_hop(events(spark, sf_dir), "t", width=DAY).select("stimulus_id", F.round("hop", 6).alias("hop"))
 
 
 @query(f"""WITH {_EV}, e AS (SELECT stimulus_id, coalesce(value, 0) - 100 AS v, row_number() OVER (PARTITION BY stimulus_id ORDER BY t, event_id) - 1 AS i, count(*) OVER (PARTITION BY stimulus_id) AS n FROM ev),
