@@ -80,9 +80,10 @@ def mel_filters(n_mels: int = 128, size: int = FRAME, sr: int = SR) -> np.ndarra
     return np.maximum(0, np.minimum(up, down)) * (2 / (edges[2:] - edges[:-2]))[:, None]
 
 
-def power_db(p: np.ndarray, top: float | None = 80.0, least: float = 1e-10) -> np.ndarray:
+def power_db(p: np.ndarray, top: float | None = 80.0, least: float = 1e-10, peak: float | None = None) -> np.ndarray:
+    """Decibels, at most ``top`` under the loudest value; ``peak``: that value, where ``p`` is only a part of the clip."""
     db = 10 * np.log10(np.maximum(p, least))
-    return np.maximum(db, db.max() - top) if top is not None and db.size else db
+    return np.maximum(db, (db.max() if peak is None else peak) - top) if top is not None and db.size else db
 
 
 def dct(n_out: int, n_in: int) -> np.ndarray:
@@ -93,14 +94,19 @@ def dct(n_out: int, n_in: int) -> np.ndarray:
     return d
 
 
-def mfcc(magnitudes: np.ndarray, n: int = 14) -> np.ndarray:
-    return power_db(magnitudes**2 @ mel_filters().T) @ dct(n, 128).T
+def mel_peak(magnitudes: np.ndarray) -> np.ndarray:
+    """The loudest mel band of every frame in decibels."""
+    return power_db((magnitudes**2 @ mel_filters().T).max(axis=1), None)
 
 
-def timbre(y: np.ndarray, magnitudes: np.ndarray | None = None, sr: int = SR) -> dict[str, np.ndarray]:
+def mfcc(magnitudes: np.ndarray, n: int = 14, peak: float | None = None) -> np.ndarray:
+    return power_db(magnitudes**2 @ mel_filters().T, peak=peak) @ dct(n, 128).T
+
+
+def timbre(y: np.ndarray, magnitudes: np.ndarray | None = None, sr: int = SR, peak: float | None = None) -> dict[str, np.ndarray]:
     """FRM9: 13 cepstral coefficients without the first, 7-band contrast, Wiener flatness."""
     m = stft(y) if magnitudes is None else magnitudes
-    out = {f"mfcc_{i:02d}": c for i, c in enumerate(mfcc(m).T[1:14], start=1)}
+    out = {f"mfcc_{i:02d}": c for i, c in enumerate(mfcc(m, peak=peak).T[1:14], start=1)}
     freqs = np.arange(m.shape[1]) * sr / (2 * (m.shape[1] - 1))
     edges = [0.0, *(200.0 * 2.0 ** np.arange(6)), sr / 2]
     for band in range(1, 8):

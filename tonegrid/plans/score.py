@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
@@ -16,6 +16,7 @@ from ..functions.scalars import amplitude_to_db
 from ..operators import beats_table, context, grid, intervals, ordered, recall, transcripts
 from ..operators.grid import KEY
 from ..sources.audio import decode_stimuli
+from ..sources.chunks import durations, series_of_chunks
 from .registry import MODELS, SOUND_EVENTS, Model, resolve
 
 DEFAULT_HOP = 0.5
@@ -108,11 +109,55 @@ def native_layer(pcm: DataFrame, models: list[Model]) -> DataFrame:
     return pcm.select(KEY, "samples").mapInArrow(run, schema)
 
 
+#: Families whose frames depend on the samples around them (and on the clip's peak): they run over chunks.
+LOCAL = ("loudness", "spectral", "tonal", "timbre")
+#: Samples that a chunk carries before and behind its own for them: the 3 s mean of chroma reaches farthest.
+HALO = 80 * 512
+
+
+def _local(y: np.ndarray, families: list[str], peak: float | None) -> list[np.ndarray]:
+    from ..kernels import dsp
+
+    magnitudes = dsp.stft(y) if {*families} - {"loudness"} else None
+    out = []
+    for family in families:
+        if family == "loudness":
+            out.append(dsp.rms(y))
+        else:
+            out += (dsp.timbre(y, magnitudes, peak=peak) if family == "timbre" else getattr(dsp, family)(y, magnitudes)).values()
+    return out
+
+
+def chunk_layer(chunks: DataFrame, models: list[Model]) -> DataFrame:
+    """``native_layer`` of ``LOCAL`` families over chunks with halos of ``HALO`` samples: no row holds a whole clip.
+
+    Cepstra are floored 80 dB under the clip's loudest band: a first pass takes its level from all chunks.
+    """
+    from ..kernels import dsp
+
+    families, columns = [m.name for m in models], native_columns(models)
+    if "timbre" not in families:
+        return series_of_chunks(chunks, lambda y: _local(y, families, None), columns, dsp.HOP)
+    levels = series_of_chunks(chunks, lambda y: [dsp.mel_peak(dsp.stft(y))], ["level"], dsp.HOP)
+    peaks = levels.groupBy(KEY).agg(F.max("level").alias("peak"))
+    return series_of_chunks(chunks.join(peaks, KEY), lambda y, peak: _local(y, families, peak), columns, dsp.HOP, ("peak",))
+
+
+def chunk_frames(chunks: DataFrame, names: list[str], hop: float = DEFAULT_HOP) -> DataFrame:
+    """Frames of ``LOCAL`` models on the grid from chunks (``sources.chunks``) at the kernels' rate."""
+    models = resolve(names)
+    if far := [m.name for m in models if m.name not in LOCAL]:
+        raise ModelError(f"{', '.join(far)}: whole clips are needed")
+    return _on_grid(chunk_layer(chunks, models), durations(chunks), models, hop)
+
+
 def kernel_frames(pcm: DataFrame, names: list[str], hop: float = DEFAULT_HOP) -> DataFrame:
     """Frames of the kernel models on the grid, columns in request order."""
     models = resolve(names)
-    native = native_layer(pcm, models)
-    durations = pcm.select(KEY, "duration")
+    return _on_grid(native_layer(pcm, models), pcm.select(KEY, "duration"), models, hop)
+
+
+def _on_grid(native: DataFrame, durations: DataFrame, models: list[Model], hop: float) -> DataFrame:
     maxes = [c for m in models for c in m.maxes]
     means = [c for c in native_columns(models) if c not in maxes and c != "onsets_flag"]
     flags = ("onsets_flag",) if any(m.name == "onsets" for m in models) else ()
@@ -129,13 +174,15 @@ def kernel_frames(pcm: DataFrame, names: list[str], hop: float = DEFAULT_HOP) ->
 class _Run:
     """What the models of one run share: a waveform per rate, an embedding pass per family, the speech series."""
 
-    def __init__(self, stimuli: DataFrame, hop: float, providers: dict, out: ScoreResult):
-        self.stimuli, self.hop, self.providers, self.out = stimuli, hop, providers, out
+    def __init__(self, stimuli: DataFrame | None, hop: float, providers: dict, out: ScoreResult, chunks: Callable[[int, float], DataFrame] | None = None):
+        self.stimuli, self.hop, self.providers, self.out, self.chunks = stimuli, hop, providers, out, chunks
         self._pcm: dict[int, DataFrame] = {}
         self._passes: dict[str, DataFrame] = {}
 
     def pcm(self, sr: int) -> DataFrame:
         """SRC4: every clip is decoded once per rate."""
+        if self.stimuli is None:
+            raise ModelError("a model that needs whole clips was asked for, and only chunks are given")
         if sr not in self._pcm:
             self._pcm[sr] = decode_stimuli(self.stimuli, sr).persist()
             self.out.held.append(self._pcm[sr])
@@ -143,16 +190,18 @@ class _Run:
 
     @property
     def durations(self) -> DataFrame:
-        return self.pcm(SR).select(KEY, "duration")
+        return self.pcm(SR).select(KEY, "duration") if self.chunks is None else durations(self.chunks(SR, HALO / SR))
 
     def embedding(self, m: Model) -> DataFrame:
         """EMB5: one pass for all models of a family; music_emotion and sound_events read the vectors of clap."""
-        from ..providers.base import embed
+        from ..providers.base import embed, embed_chunks
 
         name = m.provider
         if name not in self._passes:
             model = self.providers[name]
-            self._passes[name] = embed(self.pcm(getattr(model, "sr", m.sr)), model, self.hop).persist()
+            sr = getattr(model, "sr", m.sr)
+            vectors = embed(self.pcm(sr), model, self.hop) if self.chunks is None else embed_chunks(self.chunks(sr, (getattr(model, "window_sec", None) or self.hop) + 0.1), model, self.hop)
+            self._passes[name] = vectors.persist()
             self.out.held.append(self._passes[name])
         return self._passes[name]
 
@@ -177,7 +226,6 @@ def _provided(run: _Run, m: Model, probe: dict | None, bank: DataFrame | None) -
     """The frames of one provider-fed model: its provider's output through its gate (FRM10, FRM12-18)."""
     from ..providers import derived
 
-    spark = run.stimuli.sparkSession
     if callable(run.providers.get(m.name)):
         return run.providers[m.name](run.pcm(m.sr), run.hop)
     counts = {}
@@ -188,7 +236,7 @@ def _provided(run: _Run, m: Model, probe: dict | None, bank: DataFrame | None) -
         if m.name == "music_emotion":
             frames = derived.music_emotion(marked, probe)
         else:
-            frames = derived.sound_events(marked, bank if bank is not None else derived.prompt_bank(spark, run.providers[m.provider]), list(SOUND_EVENTS))
+            frames = derived.sound_events(marked, bank if bank is not None else derived.prompt_bank(marked.sparkSession, run.providers[m.provider]), list(SOUND_EVENTS))
         counts = (marked, {"n_windows_silence_gated": F.col("silent")})
     elif m.name == "speech":
         frames = derived.speech_probability(run.series("speech"), run.durations, run.hop).drop("time")
@@ -240,8 +288,15 @@ def _decoded(run: _Run, m: Model) -> DataFrame:
     return transcripts.retry(decoded, again)
 
 
+def recordings(spark: SparkSession, path: str, seconds: float = 60.0) -> Callable[[int, float], DataFrame]:
+    """A reader of chunks of the WAV files under ``path``, for ``score``."""
+    from ..sources.chunks import read_chunks
+
+    return lambda sr, halo: read_chunks(spark, path, sr, seconds, halo)
+
+
 def score(
-    stimuli: DataFrame,
+    stimuli: DataFrame | None,
     names: list[str],
     hop: float = DEFAULT_HOP,
     wordpool: DataFrame | None = None,
@@ -250,6 +305,7 @@ def score(
     probe: dict[str, tuple[list[float], float]] | None = None,
     bank: DataFrame | None = None,
     verbatim: bool = False,
+    chunks: Callable[[int, float], DataFrame] | None = None,
 ) -> ScoreResult:
     """Score a corpus of stimuli with the named models.
 
@@ -259,7 +315,11 @@ def score(
     ``tables``: ready outputs of event and segment models (``words``,
     ``transcript``, ``beats``, ``speakers``) instead of a provider. ``probe``:
     read-outs of ``music_emotion``; ``bank``: category vectors of
-    ``sound_events``, by default those of the fixed prompts. Steps run in a fixed
+    ``sound_events``, by default those of the fixed prompts. ``chunks``: a reader
+    of chunks by (rate, seconds of halo), for instance ``recordings(spark, path)``;
+    what is local (``LOCAL`` kernels and embeddings) then reads chunks of
+    recordings of any length, and only other models read ``stimuli``, which may be
+    None without them. Steps run in a fixed
     order: frames, beats, speakers, transcript, then recall, voice and speaker
     joins.
     """
@@ -283,13 +343,17 @@ def score(
     if missing:
         raise ModelError(f"no provider for {', '.join(dict.fromkeys(missing))}")
     out = ScoreResult(meta={"models": {m.name: {"columns": list(m.columns), "window_sec": m.window_sec, "sr": m.sr} for m in models}, "hop": hop})
-    run = _Run(stimuli, hop, providers, out)
+    run = _Run(stimuli, hop, providers, out, chunks)
     asked = {m.name: m for m in models}
     framed = [m for m in models if m.level == "frame"]
     if framed:
         kernels = [m.name for m in framed if m.native]
-        native = kernel_frames(run.pcm(SR), kernels, hop) if kernels else None
-        families = [native] if native is not None else []
+        families = []
+        if chunks is not None and (near := [n for n in kernels if n in LOCAL]):
+            families.append(chunk_frames(chunks(SR, HALO / SR), near, hop))
+            kernels = [n for n in kernels if n not in LOCAL]
+        if kernels:
+            families.append(kernel_frames(run.pcm(SR), kernels, hop))
         families += [_provided(run, m, probe, bank) for m in framed if not m.native]
         out.frames = grid.assemble(grid.spine(run.durations, hop), families)
         spread = [c for m in framed for c in (m.columns if m.kind != "embedding" else (m.name,)) if c in out.frames.columns]
@@ -322,4 +386,4 @@ def score(
     return out
 
 
-__all__ = ["DEFAULT_HOP", "MODELS", "ScoreResult", "kernel_frames", "native_layer", "score"]
+__all__ = ["DEFAULT_HOP", "HALO", "LOCAL", "MODELS", "ScoreResult", "chunk_frames", "kernel_frames", "native_layer", "recordings", "score"]

@@ -15,6 +15,7 @@ model's entry in the provenance document.
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -185,33 +186,77 @@ def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.nda
             yield batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].values.to_numpy()
 
 
+def _batched(contexts: Iterator[tuple[str, int, np.ndarray]], model: Provider, hop: float, size: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Vectors of (stimulus, k, context), ``size`` contexts at a time, whatever stimuli they are of."""
+    held: list[tuple[str, int, np.ndarray]] = []
+
+    def out() -> pa.RecordBatch:
+        stimuli, ks, windows = zip(*held, strict=True)
+        found = model.run(list(windows))
+        level = [float(np.sqrt(np.mean(np.square(x, dtype=np.float64)))) if len(x) else 0.0 for x in windows]
+        k = np.array(ks, dtype=np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(stimuli, kind), pa.array(k), pa.array((k + 0.5) * hop), pa.array([v.astype(np.float32) for v in found], pa.list_(pa.float32())), pa.array(level)], names=[KEY, "k", "time", "embedding", "context_rms"])
+
+    for item in contexts:
+        held.append(item)
+        if len(held) == size:
+            yield out()
+            held = []
+    if held:
+        yield out()
+
+
+def _embedded(kind: str) -> str:
+    return f"{KEY} {kind}, k int, time double, embedding array<float>, context_rms double"
+
+
 def embed(pcm: DataFrame, model: Provider, hop: float, batch: int = 8) -> DataFrame:
     """EMB5, FRM13-14: (stimulus_id, k, time, embedding, context_rms), one pass shared by all models of a family; persist the result.
 
     The level of the context that the silence gate asks for is taken in the same pass.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = None
+    def contexts(batches, seconds: float):
         for stimulus, sr, y in _clips(batches):
-            ready = ready or _loaded(model)
             n = max(1, int(np.ceil(round(len(y) / sr / hop, 9))))
-            held: list[np.ndarray] = []
-            done = 0
-            for w in context_windows(y, sr, hop, n, ready.window_sec or hop):
-                held.append(w)
-                if len(held) == batch or done + len(held) == n:
-                    out = ready.run(held)
-                    ks = np.arange(done, done + len(held), dtype=np.int32)
-                    level = [float(np.sqrt(np.mean(np.square(x, dtype=np.float64)))) if len(x) else 0.0 for x in held]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([stimulus] * len(held)), pa.array(ks), pa.array((ks + 0.5) * hop), pa.array([v.astype(np.float32) for v in out], pa.list_(pa.float32())), pa.array(level)],
-                        names=[KEY, "k", "time", "embedding", "context_rms"],
-                    )
-                    done += len(held)
-                    held = []
-
-    return pcm.select(KEY, "sr", "samples").mapInArrow(run, f"{KEY} string, k int, time double, embedding array<float>, context_rms double")
+            for k, w in enumerate(context_windows(y, sr, hop, n, seconds)):
+                yield stimulus, k, w
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = _loaded(model)
+        for part in batches:
+            yield from _batched(contexts([part], ready.window_sec or hop), ready, hop, batch, part.schema.field(0).type)
+
+    return pcm.select(KEY, "sr", "samples").mapInArrow(run, _embedded(dict(pcm.dtypes)[KEY]))
+
+
+def embed_chunks(chunks: DataFrame, model: Provider, hop: float, batch: int = 8) -> DataFrame:
+    """``embed`` over chunks (``sources.chunks``), whose halos must be a context or longer.
+
+    A context belongs to the chunk in which it starts, so every one is cut from one
+    row; batches are filled across chunks and stimuli.
+    """
+
+    def contexts(batches, seconds: float):
+        for part in batches:
+            for i in range(part.num_rows):
+                stimulus, sr, n, start, lead, core = (part.column(c)[i].as_py() for c in range(6))
+                y, size = part.column(6)[i].values.to_numpy(), int(seconds * sr)
+                k = np.arange(max(1, int(np.ceil(round(n / sr / hop, 9)))))
+                at = (np.minimum(np.maximum((k + 0.5) * hop - seconds / 2, 0.0), max(n / sr - seconds, 0.0)) * sr).astype(np.int64)
+                for mine in k[(at >= start) & (at < start + max(core, 1))].tolist():
+                    own = y[at[mine] - start + lead :][: min(n, size)]
+                    if len(own) < min(n - at[mine], size):
+                        raise ModelError(f"contexts of {seconds} s need halos as long")
+                    yield stimulus, mine, own
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = _loaded(model)
+        first = next(batches, None)
+        if first is not None:
+            yield from _batched(contexts(itertools.chain([first], batches), ready.window_sec or hop), ready, hop, batch, first.schema.field(0).type)
+
+    return chunks.select(KEY, "sr", "n_samples", "start", "lead", "core", "samples").mapInArrow(run, _embedded(dict(chunks.dtypes)[KEY]))
 
 
 def series(pcm: DataFrame, model: Provider) -> DataFrame:

@@ -44,29 +44,43 @@ def stimulus_id(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]+$", "")
 
 
-def resample(y: np.ndarray, source: int, target: int) -> np.ndarray:
-    """Band-limited resampling by a windowed-sinc polyphase sum, a block of outputs at a time."""
-    if source == target or not len(y):
-        return np.asarray(y, dtype=np.float32)
-    n = int(np.ceil(len(y) * target / source))
+def resample_range(y: np.ndarray, offset: int, n: int, source: int, target: int, first: int, last: int) -> np.ndarray:
+    """Samples ``[first, last)`` at rate ``target`` of a signal of n samples at rate ``source``; ``y`` are its samples from ``offset`` on.
+
+    Band-limited, by a windowed-sinc polyphase sum, a block of outputs at a time;
+    beyond its ends the signal is 0. ``y`` must reach as far as the sums do.
+    """
+    if source == target:
+        return np.asarray(y[first - offset : last - offset], dtype=np.float32)
     cutoff, reach = min(1.0, target / source), 32
     half = int(np.ceil(reach / cutoff))
-    padded = np.pad(np.asarray(y, dtype=np.float64), half + 1)
-    out = np.empty(n, dtype=np.float32)
-    for start in range(0, n, 8192):
-        at = np.arange(start, min(n, start + 8192)) * source / target
+    offsets = np.arange(-half, half + 1)
+    y = np.asarray(y, dtype=np.float64)
+    out = np.empty(last - first, dtype=np.float32)
+    for start in range(first, last, 8192):
+        at = np.arange(start, min(last, start + 8192)) * source / target
         base = np.floor(at).astype(np.int64)
-        offsets = np.arange(-half, half + 1)
+        low, high = int(base[0]) - half, int(base[-1]) + half + 1
+        a, b = max(low, 0), min(high, n)
+        if b > a and (a < offset or b > offset + len(y)):
+            raise InputError("resampling needs more samples than it was given")
+        near = np.zeros(high - low)
+        near[a - low : max(a, b) - low] = y[a - offset : max(a, b) - offset]
         distance = (at - base)[:, None] - offsets[None, :]
         kernel = cutoff * np.sinc(cutoff * distance) * np.cos(np.pi * np.clip(distance / (half + 1), -0.5, 0.5) / 1.0) ** 2
-        out[start : start + len(at)] = (padded[base[:, None] + offsets[None, :] + half + 1] * kernel).sum(axis=1)
+        out[start - first : start - first + len(at)] = (near[base[:, None] + offsets[None, :] - low] * kernel).sum(axis=1)
     return out
 
 
-def decode_wav(content: bytes, sr: int) -> np.ndarray:
-    """SRC2: PCM bytes to mono float32 at ``sr``; channels are averaged."""
-    with wave.open(io.BytesIO(content)) as f:
-        width, channels, rate, raw = f.getsampwidth(), f.getnchannels(), f.getframerate(), f.readframes(f.getnframes())
+def resample(y: np.ndarray, source: int, target: int) -> np.ndarray:
+    """A whole signal at another rate."""
+    if source == target or not len(y):
+        return np.asarray(y, dtype=np.float32)
+    return resample_range(y, 0, len(y), source, target, 0, int(np.ceil(len(y) * target / source)))
+
+
+def pcm_to_float(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """PCM bytes to the mean of the channels, full scale at 1."""
     if width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
     elif width == 3:
@@ -74,7 +88,14 @@ def decode_wav(content: bytes, sr: int) -> np.ndarray:
         x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / 2**23
     else:
         x = np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]).astype(np.float64) / 2 ** (8 * width - 1)
-    return resample(x.reshape(-1, channels).mean(axis=1), rate, sr)
+    return x.reshape(-1, channels).mean(axis=1)
+
+
+def decode_wav(content: bytes, sr: int) -> np.ndarray:
+    """SRC2: PCM bytes to mono float32 at ``sr``; channels are averaged."""
+    with wave.open(io.BytesIO(content)) as f:
+        width, channels, rate, raw = f.getsampwidth(), f.getnchannels(), f.getframerate(), f.readframes(f.getnframes())
+    return resample(pcm_to_float(raw, width, channels), rate, sr)
 
 
 def decode(content: bytes, path: str, sr: int) -> np.ndarray:
