@@ -298,12 +298,17 @@ def find_runs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def planted(text: Column, key: Column) -> Column:
     """``text`` with a periodic tail in every tenth document: the rule of the query, by crc32 of the key."""
     hashed = F.crc32(key.cast("string").cast("binary"))
-    words = F.filter(F.split(text, WORD_SPLIT), lambda w: w != "")
-    n, g = F.size(words), F.floor(hashed / 10)
-    start = g % n
-    period = F.lit(1) + F.floor((n - start) / (F.lit(3) + g % 8))
-    tail = F.transform(words, lambda w, i: F.when(i >= start, F.get(words, (start + (i - start) % period).cast("int"))).otherwise(w))
-    return F.when((hashed % 10 == 0) & (F.coalesce(n, F.lit(0)) > 0), F.array_join(tail, " ")).otherwise(text)
+    g = F.floor(hashed / 10)
+
+    def tail(words: Column) -> Column:
+        n = F.size(words)
+        start = g % n
+        period = F.lit(1) + F.floor((n - start) / (F.lit(3) + g % 8))
+        return F.when(n > 0, F.array_join(F.transform(words, lambda w, i: F.when(i >= start, F.get(words, (start + (i - start) % period).cast("int"))).otherwise(w)), " "))
+
+    split = F.filter(F.split(text, WORD_SPLIT), lambda w: w != "")
+    once = F.transform(F.array(split), tail)[0]  # bound to a variable, the words are split once a text and not once a word
+    return F.when(hashed % 10 == 0, F.coalesce(once, text)).otherwise(text)
 
 
 def plain(words: list[str]) -> list[tuple[int, int, int]]:
