@@ -8,6 +8,8 @@ agree with signal anchors, not bit for bit with any library.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 SR, FRAME, HOP = 22_050, 2048, 512
@@ -63,6 +65,7 @@ def spectral(y: np.ndarray, magnitudes: np.ndarray | None = None, sr: int = SR)
     return {"centroid": centroid, "bandwidth": np.sqrt(spread / safe), "rolloff": rolloff, "flux": flux, "zcr": crossings}
 
 
+@functools.lru_cache(4)
 def mel_filters(n_mels: int = 128, size: int = FRAME, sr: int = SR) -> np.ndarray:
     """Triangular Slaney filters of unit area, (n_mels, bins)."""
     step, knee, log_step = 200 / 3, 1000.0, np.log(6.4) / 27

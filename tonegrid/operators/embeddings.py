@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,13 @@ from ..functions.vectors import dot, l2_normalise, probe
 from .grid import KEY
 
 
+def partition_id() -> int:
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    return context.partitionId() if context else 0
+
+
 def ensemble_bank(vectors: DataFrame, category: str, vector: str, name: str = "bank") -> DataFrame:
     """EMB2: mean of unit vectors per category, normalised again.
 
@@ -79,57 +90,138 @@ def group_folds(rows: DataFrame, group: str, n_folds: int = 5) -> DataFrame:
     return rows.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(n_folds)).cast("int"))
 
 
-def ridge_moments(rows: DataFrame, features: str, target: str, by: str | None = None) -> DataFrame:
-    """Sufficient statistics of a ridge fit as long-form sums: (fold, i, j, value), dimensions of the vector only."""
-    extended = F.concat(F.transform(F.col(features), lambda x: x.cast("double")), F.array(F.col(target).cast("double"), F.lit(1.0)))
-    keyed = rows.select(F.col(by).alias("fold") if by else F.lit(0).alias("fold"), extended.alias("v"))
-    left = keyed.select("fold", "v", F.posexplode("v").alias("i", "x"))
-    return left.select("fold", "i", "x", F.posexplode("v").alias("j", "y")).where("j >= i").groupBy("fold", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+#: Side of the tiles in which matrices of moments travel.
+TILE = 64
 
 
-def ridge_fit(rows: DataFrame, features: str, target: str, alphas: list[float], group: str | None = None, n_folds: int = 5) -> dict:
-    """EMB7: ridge regression with the penalty chosen by grouped cross-validation.
+def gram_tiles(rows: DataFrame, features: str, target: str, by: str | None = None, tile: int = TILE) -> DataFrame:
+    """EMB7: (fold, i, j, cells): tiles of the moments V'V of v = (features, target, 1), on and above the diagonal.
 
-    One pass gives the moments of every fold (a matrix of the vector's size, not
-    of the data); fits and their errors follow from sums of those matrices.
+    A task adds its rows up fold by fold, an Arrow batch at a time, and sends
+    each tile once; tiles are added by key in two steps (the first one salted), so
+    what is shuffled depends on tasks, folds and dimensions, not on rows. Rows
+    with a NULL vector, entry, target or fold are left out.
     """
-    import numpy as np
-
-    folded = group_folds(rows, group, n_folds) if group else rows.withColumn("fold", F.lit(0))
-    sums: dict = {}
-    size = 0
-    for r in ridge_moments(folded, features, target, "fold").collect():
-        sums.setdefault(r.fold, {})[(r.i, r.j)] = r.value
-        size = max(size, r.j + 1)
-    tables = {}
-    for fold, cells in sums.items():
-        m = np.zeros((size, size))
-        for (i, j), v in cells.items():
-            m[i, j] = m[j, i] = v
-        tables[fold] = m
-    d = size - 2
-
-    def solve(m, alpha):
-        n = m[-1, -1]
+    size = F.size(features)
+    whole = rows.where(F.col(features).isNotNull() & F.col(target).isNotNull() & ~F.exists(F.col(features), lambda x: x.isNull()))
+    narrow = whole.select((F.col(by) if by else F.lit(0)).cast("int").alias("fold"), F.transform(F.col(features), lambda x: x.cast("double")).alias("x"), F.col(target).cast("double").alias("y"), size.alias("n")).where("fold is not null")
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = batch.column(3).to_numpy()
+            if sizes.min() != sizes.max():
+                raise ValueError("vectors of one length are needed")
+            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            v = np.concatenate([x, batch.column(2).to_numpy()[:, None], np.ones((batch.num_rows, 1))], axis=1)
+            folds = batch.column(0).to_numpy()
+            for fold in np.unique(folds).tolist():
+                part = v[folds == fold]
+                known = sums.setdefault(fold, np.zeros((v.shape[1], v.shape[1])))
+                if known.shape[0] != v.shape[1]:
+                    raise ValueError("vectors of one length are needed")
+                known += part.T @ part
+        salt = partition_id() % 64
+        for fold, m in sums.items():
+            for i in range(0, len(m), tile):
+                for j in range(i, len(m), tile):
+                    cells = np.ascontiguousarray(m[i : i + tile, j : j + tile])
+                    yield pa.RecordBatch.from_arrays([pa.array([fold], pa.int32()), pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([cells.shape[1]], pa.int32()), pa.array([salt], pa.int32()), pa.array([cells.tobytes()], pa.binary())], names=["fold", "i", "j", "width", "salt", "cells"])
+
+    def added(salted: bool):
+        def add(part: pa.Table) -> pa.Table:
+            total = np.zeros(len(part["cells"][0].as_py()) // 8)
+            for chunk in part["cells"].chunks:
+                for cell in chunk:
+                    total += np.frombuffer(cell.as_py())
+            keep = ["fold", "i", "j", "width"] + (["salt"] if salted else [])
+            return part.select(keep).slice(0, 1).append_column("cells", pa.array([total.tobytes()], pa.binary()))
+
+        return add
+
+    schema = "fold int, i int, j int, width int, salt int, cells binary"
+    sums = narrow.mapInArrow(partial, schema).groupBy("fold", "i", "j", "salt").applyInArrow(added(True), schema)
+    return sums.groupBy("fold", "i", "j").applyInArrow(added(False), "fold int, i int, j int, width int, cells binary")
+
+
+def ridge_moments(rows: DataFrame, features: str, target: str, by: str | None = None, tile: int = TILE) -> DataFrame:
+    """Sufficient statistics of a ridge fit as long-form sums: (fold, i, j, value), j >= i, dimensions of the vector only."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                fold, i, j, width = (batch.column(c)[k].as_py() for c in range(4))
+                m = np.frombuffer(batch.column(4)[k].as_py()).reshape(-1, width)
+                a, b = (x.ravel() for x in np.mgrid[i : i + m.shape[0], j : j + width])
+                keep = b >= a
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(keep.sum(), fold, np.int32)), pa.array(a[keep].astype(np.int32)), pa.array(b[keep].astype(np.int32)), pa.array(m.ravel()[keep])], names=["fold", "i", "j", "value"])
+
+    return gram_tiles(rows, features, target, by, tile).mapInArrow(cells, "fold int, i int, j int, value double")
+
+
+class Ridge:
+    """Fits and errors from the moments of each fold: matrices of the vector's size on the driver, never rows."""
+
+    def __init__(self, tiles: DataFrame):
+        parts = tiles.collect()
+        size = max(r.j + r.width for r in parts)
+        self.folds: dict[int, np.ndarray] = {}
+        for r in parts:
+            m = self.folds.setdefault(r.fold, np.zeros((size, size)))
+            cells = np.frombuffer(r.cells).reshape(-1, r.width)
+            m[r.i : r.i + cells.shape[0], r.j : r.j + r.width] = cells
+            m[r.j : r.j + r.width, r.i : r.i + cells.shape[0]] = cells.T
+        self.whole, self.d = sum(self.folds.values()), size - 2
+
+    def solve(self, m: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
+        """Coefficients and intercept; the intercept is not penalised."""
+        d, n = self.d, m[-1, -1]
         mean_x, mean_y = m[:d, -1] / n, m[d, -1] / n
         cov = m[:d, :d] - n * np.outer(mean_x, mean_x)
         coef = np.linalg.solve(cov + alpha * np.eye(d), m[:d, d] - n * mean_x * mean_y)
-        return coef, mean_y - mean_x @ coef
+        return coef, float(mean_y - mean_x @ coef)
 
-    def error(m, coef, b):
+    def without(self, fold: int, alpha: float) -> tuple[np.ndarray, float]:
+        """The fit that has not seen a fold (with one fold only, the fit of all)."""
+        return self.solve(self.whole - self.folds[fold] if len(self.folds) > 1 else self.whole, alpha)
+
+    def error(self, fold: int, alpha: float) -> float:
+        """Squared errors of a fold by the fit without it, summed."""
+        coef, b = self.without(fold, alpha)
         v = np.concatenate([-coef, [1.0, -b]])
-        return float(v @ m @ v)
+        return float(v @ self.folds[fold] @ v)
+
+    def path(self, alphas: list[float]) -> list[tuple[float, int, int, float]]:
+        """(alpha, fold, rows, squared error) of every penalty and fold."""
+        return [(a, f, int(m[-1, -1]), self.error(f, a)) for a in alphas for f, m in sorted(self.folds.items())]
+
+    def choose(self, alphas: list[float]) -> float:
+        """The penalty of least error over all folds; the smaller one of equals."""
+        return min(alphas, key=lambda a: (sum(self.error(f, a) for f in self.folds), a))
+
+
+def ridge_fit(rows: DataFrame, features: str, target: str, alphas: list[float], group: str | None = None, n_folds: int = 5) -> dict:
+    """EMB7: ridge regression with the penalty chosen by grouped cross-validation.
+
+    One pass gives the moments of every fold (a matrix of the vector's size, not
+    of the data); fits and their errors follow from sums of those matrices.
+    """
+    fit = Ridge(gram_tiles(group_folds(rows, group, n_folds) if group else rows.withColumn("fold", F.lit(0)), features, target, "fold"))
+    alpha = fit.choose(alphas)
+    coef, b = fit.solve(fit.whole, alpha)
+    n = int(fit.whole[-1, -1])
+    return {"alpha": alpha, "coef": coef.tolist(), "intercept": b, "cv_rmse": (sum(fit.error(f, alpha) for f in fit.folds) / n) ** 0.5, "n": n}
+
 
-    whole = sum(tables.values())
-    scores = {}
-    for alpha in alphas:
-        if len(tables) > 1:
-            scores[alpha] = sum(error(m, *solve(whole - m, alpha)) for m in tables.values()) / whole[-1, -1]
-        else:
-            scores[alpha] = error(whole, *solve(whole, alpha)) / whole[-1, -1]
-    alpha = min(alphas, key=lambda a: (scores[a], a))
-    coef, b = solve(whole, alpha)
-    return {"alpha": alpha, "coef": coef.tolist(), "intercept": float(b), "cv_rmse": float(scores[alpha]) ** 0.5, "n": int(whole[-1, -1])}
+def out_of_fold(rows: DataFrame, features: str, fold: str, fit: Ridge, alpha: float, name: str = "guess") -> DataFrame:
+    """EMB8: every row's prediction by the fit that has not seen its fold; coefficients are literals of the plan."""
+    guess = F.lit(None).cast("double")
+    for f in sorted(fit.folds):
+        coef, b = fit.without(f, alpha)
+        guess = F.when(F.col(fold) == f, dot(F.col(features), F.array(*[F.lit(float(c)) for c in coef])) + F.lit(b)).otherwise(guess)
+    return rows.withColumn(name, guess)
 
 
 def evaluation(rows: DataFrame, truth: str, guess: str, group: str, min_rows: int = 3, min_std: float = 1e-9) -> DataFrame:
@@ -147,4 +239,4 @@ def annotation_pairs(valence: DataFrame, arousal: DataFrame, durations: DataFram
     return timed.where((F.col("t") % stride == 0) & (F.col("t") <= F.col("duration") - margin) & F.col("valence").isNotNull() & F.col("arousal").isNotNull()).drop("duration")
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("DataFrame", "Window", "F", "KEY", "annotations")]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in ("DataFrame", "Window", "F", "KEY", "Iterator", "annotations", "np", "pa")]

@@ -21,6 +21,7 @@ from .operators import grid as G
 from .operators import intervals as I
 from .operators import ordered as O
 from .operators import recall as R
+from .operators import scan as P
 from .operators import summaries as M
 
 HOP, SPAN, DAY = 43_200.0, 30 * 86_400.0, 86_400.0
@@ -649,91 +650,95 @@ def published_tables(spark, sf_dir):
     return frames.groupBy("stimulus_id").agg(F.count("*").alias("n_windows"), F.round(F.sum("value_mean"), 4).alias("total"), F.lit(written["frames"]["rows"]).cast("long").alias("rows_observed"))
 
 
-# --- generated signals ------------------------------------------------------------------------------------------------
+# --- signals ----------------------------------------------------------------------------------------------------------
 
+#: The values of an event type in order are a signal: whole numbers over 512, which 32-bit floats hold; missing ones are 0.
+_SIGNAL = f"""{_EV}, x AS (SELECT event_type AS signal, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id) - 1 AS i, floor(coalesce(value, 0)) / 512 AS x FROM ev),
+nn AS (SELECT signal, count(*) AS n FROM x GROUP BY 1)"""
 
-def _samples(spark, n: int, rows: str, sample: str) -> DataFrame:
-    """(signal, i, x): ``rows`` numbers of signals, samples 0 … n-1 of an SQL formula in signal and i."""
-    return spark.sql(f"select signal, i, {sample} as x from (select explode(array({rows})) as signal) lateral view explode(sequence(0, {n - 1})) e as i")
 
+def signals(spark, sf_dir) -> DataFrame:
+    """(stimulus_id, i, x): one signal an event type, numbered without a window over all its rows."""
+    numbered = P.numbered(events(spark, sf_dir, "event_type"), "stimulus_id", ["t", "event_id"], DAY, "i")
+    return numbered.select("stimulus_id", "i", (F.floor(F.coalesce("value", F.lit(0.0))) / 512).alias("x"))
 
-def _through_kernel(samples: DataFrame, kernel, columns: list[str]) -> DataFrame:
-    """(signal, frame_idx, columns…): samples of each signal in order through a kernel of ``kernels.dsp``."""
-    import numpy as np
-    import pyarrow as pa
 
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                found = kernel(batch.column(1)[k].values.to_numpy())
-                n = len(found[0])
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), *[pa.array(np.asarray(c, dtype=np.float64)) for c in found]], names=["signal", "frame_idx", *columns])
+def _through_kernel(spark, sf_dir, kernel, columns: list[str], hop: int, core: int, halo: int) -> DataFrame:
+    """(signal, frame_idx, columns…): the signals, in chunks, through a kernel of ``kernels.dsp``."""
+    from .sources.chunks import chunk_samples, series_of_chunks
 
-    clips = samples.groupBy("signal").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("y"))
-    return clips.select(F.col("signal").cast("int").alias("signal"), "y").mapInArrow(run, "signal int, frame_idx int" + "".join(f", {c} double" for c in columns))
+    found = series_of_chunks(chunk_samples(signals(spark, sf_dir), "i", "x", 22_050, core, halo), kernel, columns, hop)
+    return found.select(F.col("stimulus_id").alias("signal"), "frame_idx", *columns)
 
 
-@query("""WITH x AS (SELECT signal, i, 0.5 * sin(2 * pi() * signal * i / 22050.0) AS x FROM (SELECT unnest([110, 220, 440, 1000]) AS signal) s, range(22050) r(i))
-SELECT signal, f::INTEGER AS frame_idx, round(sqrt(sum(x * x) / 2048), 6) AS rms FROM x, range(44) g(f) WHERE i >= 512 * f - 1024 AND i < 512 * f + 1024 GROUP BY ALL""")
+@query(f"""WITH {_SIGNAL} SELECT signal, f::INTEGER AS frame_idx, round(sqrt(sum(x * x) / 2048), 6) AS rms FROM x JOIN nn USING (signal), range((SELECT max(n) // 512 + 1 FROM nn)) g(f)
+WHERE f <= n // 512 AND i >= 512 * f - 1024 AND i < 512 * f + 1024 GROUP BY ALL""")
 def synth_sine_rms(spark, sf_dir):
-    """FRM1: the loudness kernel on generated tones."""
+    """FRM1: the loudness kernel over chunks of signals."""
     from .kernels.dsp import rms
 
-    x = _samples(spark, 22050, "110, 220, 440, 1000", "0.5D * sin(2 * pi() * signal * i / 22050D)")
-    return _through_kernel(x, lambda y: [rms(y)], ["rms"]).withColumn("rms", F.round("rms", 6))
+    return _through_kernel(spark, sf_dir, lambda y: [rms(y)], ["rms"], 512, 2048, 1536).withColumn("rms", F.round("rms", 6))
 
 
-@query("""WITH x AS (SELECT signal, i, trunc(least(greatest(1.2 * sin(2 * pi() * signal * i / 16000.0), -1), 1) * 32767) / 32768.0 AS x FROM (SELECT unnest([50, 440]) AS signal) s, range(4000) r(i))
-SELECT signal, i::INTEGER AS i, round(x, 6) + 0.0 AS x FROM x""")
+@query(f"""WITH {_SIGNAL} SELECT signal, i::INTEGER AS i, round(trunc(least(greatest(2 * x - 0.25, -1), 1) * 32767) / 32768, 6) + 0.0 AS x FROM x""")
 def wav_round_trip(spark, sf_dir):
-    """SRC2, SRC4: generated tones as WAV bytes, decoded again at their own rate."""
-    import numpy as np
+    """SRC2, SRC4: pieces of signals as WAV bytes, decoded again at their own rate."""
     import pyarrow as pa
 
     from .sources.audio import decode_stimuli, encode_wav
+    from .sources.chunks import chunk_samples
 
     def run(batches):
         for batch in batches:
-            tones = batch.column(0).to_pylist()
-            waves = [encode_wav(1.2 * np.sin(2 * np.pi * f * np.arange(4000) / 16_000), 16_000) for f in tones]
-            yield pa.RecordBatch.from_arrays([pa.array([str(f) for f in tones]), pa.array([f"{f}.wav" for f in tones]), pa.array(waves, pa.binary())], names=["stimulus_id", "path", "content"])
+            names = [f"{k}:{start}" for k, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            waves = [encode_wav(2 * batch.column(2)[i].values.to_numpy() - 0.25, 16_000) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([f"{n}.wav" for n in names]), pa.array(waves, pa.binary())], names=["stimulus_id", "path", "content"])
+
+    files = chunk_samples(signals(spark, sf_dir), "i", "x", 16_000, 512, 0).select("stimulus_id", "start", "samples").mapInArrow(run, "stimulus_id string, path string, content binary")
+    decoded = decode_stimuli(files, 16_000).select(F.split("stimulus_id", ":").alias("id"), F.posexplode("samples").alias("at", "x"))
+    return decoded.select(F.col("id")[0].alias("signal"), (F.col("id")[1].cast("int") + F.col("at")).alias("i"), (F.round(F.col("x").cast("double"), 6) + F.lit(0.0)).alias("x"))
+
+
+_WHOLE = f"""{_EV}, v AS (SELECT event_id, floor(coalesce(value, 0))::DOUBLE AS i FROM ev)"""
+
 
-    files = spark.range(2).select(F.when(F.col("id") == 0, 50).otherwise(440).alias("f")).mapInArrow(run, "stimulus_id string, path string, content binary")
-    return decode_stimuli(files, 16_000).select(F.col("stimulus_id").cast("int").alias("signal"), F.posexplode("samples").alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6) + F.lit(0.0))
+def _whole(spark, sf_dir) -> tuple[DataFrame, object]:
+    return events(spark, sf_dir).select("event_id", F.floor(F.coalesce("value", F.lit(0.0))).cast("double").alias("v")), F.col("v")
 
 
-@query("SELECT i::INTEGER AS i, round_even(i / 8.0::DOUBLE - 20, 2) + 0.0 AS two, round_even(i / 2.0::DOUBLE - 80, 0) + 0.0 AS none FROM range(320) r(i)")
+@query(f"WITH {_WHOLE} SELECT event_id, round_even(i / 8.0::DOUBLE - 20, 2) + 0.0 AS two, round_even(i / 2.0::DOUBLE - 80, 0) + 0.0 AS none FROM v")
 def half_even_rounding(spark, sf_dir):
     """SCL10: ties go to the even digit."""
-    i = F.col("id").cast("double")
-    return spark.range(320).select(F.col("id").cast("int").alias("i"), (S.half_even(i / 8.0 - 20, 2) + F.lit(0.0)).alias("two"), (S.half_even(i / 2.0 - 80, 0) + F.lit(0.0)).alias("none"))
+    rows, i = _whole(spark, sf_dir)
+    return rows.select("event_id", (S.half_even(i / 8.0 - 20, 2) + F.lit(0.0)).alias("two"), (S.half_even(i / 2.0 - 80, 0) + F.lit(0.0)).alias("none"))
 
 
-@query("SELECT i::INTEGER AS i, round(20 * log10(greatest(i * i / 1e7, 1e-5)), 6) AS db, round(10 ^ (-i / 20.0), 9) AS amplitude, round(i * 2e-5 * 10 ^ (94 / 20.0), 6) AS pascal FROM range(200) r(i)")
+@query(f"WITH {_WHOLE} SELECT event_id, round(20 * log10(greatest(i * i / 1e7, 1e-5)), 6) AS db, round(10 ^ (-i / 20.0), 9) AS amplitude, round(i * 2e-5 * 10 ^ (94 / 20.0), 6) AS pascal FROM v")
 def synth_db(spark, sf_dir):
-    i = F.col("id").cast("double")
-    return spark.range(200).select(F.col("id").cast("int").alias("i"), F.round(S.amplitude_to_db(i * i / 1e7), 6).alias("db"), F.round(S.db_to_amplitude(-i), 9).alias("amplitude"), F.round(S.pascals(i), 6).alias("pascal"))
+    """SCL1, SCL2, SCL11."""
+    rows, i = _whole(spark, sf_dir)
+    return rows.select("event_id", F.round(S.amplitude_to_db(i * i / 1e7), 6).alias("db"), F.round(S.db_to_amplitude(-i), 9).alias("amplitude"), F.round(S.pascals(i), 6).alias("pascal"))
 
 
-@query("SELECT i::INTEGER AS i, round(least(i / 100.0 / 0.25, 1) * exp(-(i / 100.0) / 0.8), 6) AS envelope FROM range(500) r(i)")
+@query(f"WITH {_WHOLE} SELECT event_id, round(least(i / 100.0 / 0.25, 1) * exp(-(i / 100.0) / 0.8), 6) AS envelope FROM v")
 def am_envelope(spark, sf_dir):
-    return spark.range(500).select(F.col("id").cast("int").alias("i"), F.round(S.attack_decay(F.col("id") / 100.0, 0.25, 0.8), 6).alias("envelope"))
+    """SCL16."""
+    rows, i = _whole(spark, sf_dir)
+    return rows.select("event_id", F.round(S.attack_decay(i / 100.0, 0.25, 0.8), 6).alias("envelope"))
 
 
-@query("SELECT i::INTEGER AS i, round(CASE WHEN i > 0 THEN 2 / (i / 10.0 / 4 + 4 / (i / 10.0)) ELSE 0.0 END, 6) AS weight FROM range(400) r(i)")
+@query(f"WITH {_WHOLE} SELECT event_id, round(CASE WHEN i > 0 THEN 2 / (i / 10.0 / 4 + 4 / (i / 10.0)) ELSE 0.0 END, 6) AS weight FROM v")
 def fluctuation_weight(spark, sf_dir):
-    return spark.range(400).select(F.col("id").cast("int").alias("i"), F.round(S.modulation_weight(F.col("id") / 10.0), 6).alias("weight"))
+    """SCL12."""
+    rows, i = _whole(spark, sf_dir)
+    return rows.select("event_id", F.round(S.modulation_weight(i / 10.0), 6).alias("weight"))
 
 
-_DFT = """x AS (SELECT signal, i, sin(2 * pi() * signal * i / 64.0) + 0.3 * sin(2 * pi() * (signal + 7) * i * i / 65536.0) AS x FROM (SELECT unnest([3, 5, 11]) AS signal) s, range(512) r(i)),
-w AS (SELECT signal, f::INTEGER AS frame_idx, i - 32 * f + 32 AS n, x * (0.5 - 0.5 * cos(2 * pi() * (i - 32 * f + 32) / 64)) AS x FROM x, range(17) g(f) WHERE i >= 32 * f - 32 AND i < 32 * f + 32),
+_DFT = f"""{_SIGNAL}, fr AS (SELECT signal, unnest(range(n // 32 + 1)) AS f FROM nn),
+w AS (SELECT signal, f::INTEGER AS frame_idx, i - 32 * f + 32 AS n, x * (0.5 - 0.5 * cos(2 * pi() * (i - 32 * f + 32) / 64)) AS x FROM x JOIN fr USING (signal) WHERE f >= (i - 31) // 32 AND f <= i // 32 + 1 AND i >= 32 * f - 32 AND i < 32 * f + 32),
 m AS (SELECT signal, frame_idx, b::INTEGER AS bin, sqrt(sum(x * cos(2 * pi() * b * n / 64)) ^ 2 + sum(x * sin(2 * pi() * b * n / 64)) ^ 2) AS mag FROM w, range(33) g(b) GROUP BY ALL)"""
 
 
-def _chirps(spark) -> DataFrame:
-    return _samples(spark, 512, "3, 5, 11", "sin(2 * pi() * signal * i / 64D) + 0.3D * sin(2 * pi() * (signal + 7) * i * i / 65536D)")
-
-
 def _spectral(y):
     """Centroid in bins, bandwidth in bins and flux of 64-sample frames, by the spectral kernel."""
     from .kernels import dsp
@@ -742,48 +747,49 @@ def _spectral(y):
     return [found["centroid"], found["bandwidth"], found["flux"]]
 
 
-def _dft(spark) -> DataFrame:
-    """(signal, frame_idx, mag): 33-bin magnitudes of the transform kernel."""
-    from .kernels import dsp
-
-    found = _through_kernel(_chirps(spark), lambda y: list(dsp.stft(y, 64, 32).T), [f"m{b}" for b in range(33)])
-    return found.select("signal", "frame_idx", F.array(*[f"m{b}" for b in range(33)]).alias("mag"))
+def _moments(spark, sf_dir) -> DataFrame:
+    return _through_kernel(spark, sf_dir, _spectral, ["centroid", "bandwidth", "flux"], 32, 640, 128)
 
 
 @query(f"""WITH {_DFT}, c AS (SELECT signal, frame_idx, sum(bin * mag) / sum(mag) AS c FROM m GROUP BY ALL)
 SELECT signal, frame_idx, round(c, 6) AS centroid, round(sqrt(sum(mag * (bin - c) ^ 2) / sum(mag)), 6) AS bandwidth FROM m JOIN c USING (signal, frame_idx) GROUP BY signal, frame_idx, c""")
 def synth_dft_centroid(spark, sf_dir):
-    """FRM3: the spectral kernel's moments."""
-    found = _through_kernel(_chirps(spark), _spectral, ["centroid", "bandwidth", "flux"])
-    return found.select("signal", "frame_idx", F.round("centroid", 6).alias("centroid"), F.round("bandwidth", 6).alias("bandwidth"))
+    """FRM3: the spectral kernel's moments over chunks."""
+    return _moments(spark, sf_dir).select("signal", "frame_idx", F.round("centroid", 6).alias("centroid"), F.round("bandwidth", 6).alias("bandwidth"))
 
 
 @query(f"WITH {_DFT}, d AS (SELECT signal, frame_idx, bin, greatest(mag - lag(mag) OVER (PARTITION BY signal, bin ORDER BY frame_idx), 0) AS d FROM m) SELECT signal, frame_idx, round(sqrt(coalesce(sum(d * d), 0)), 6) AS flux FROM d GROUP BY ALL")
 def synth_dft_flux(spark, sf_dir):
-    """FRM3, WIN5: half-wave-rectified first difference; 0 for the first frame."""
-    return _through_kernel(_chirps(spark), _spectral, ["centroid", "bandwidth", "flux"]).select("signal", "frame_idx", F.round("flux", 6).alias("flux"))
+    """FRM3, WIN5: half-wave-rectified first difference; 0 for the first frame, and across chunks."""
+    return _moments(spark, sf_dir).select("signal", "frame_idx", F.round("flux", 6).alias("flux"))
 
 
 @query(f"WITH {_DFT}, c AS (SELECT signal, frame_idx, bin % 12 AS pc, sum(mag) AS e FROM m GROUP BY ALL), p AS (SELECT *, e / sum(e) OVER (PARTITION BY signal, frame_idx) AS p FROM c) SELECT signal, frame_idx, round(-sum(p * log2(p)) / log2(12), 6) AS entropy FROM p GROUP BY ALL")
 def synth_entropy(spark, sf_dir):
+    """AGG15 of magnitudes folded to twelve classes."""
+    from .kernels import dsp
+
+    found = _through_kernel(spark, sf_dir, lambda y: list(dsp.stft(y, 64, 32).T), [f"m{b}" for b in range(33)], 32, 640, 128)
+    mags = found.select("signal", "frame_idx", F.array(*[f"m{b}" for b in range(33)]).alias("mag"))
     folded = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda c: V.total(F.filter("mag", lambda v, i: i % 12 == c)))
-    return _dft(spark).select("signal", "frame_idx", F.round(V.normalised_entropy(folded), 6).alias("entropy"))
+    return mags.select("signal", "frame_idx", F.round(V.normalised_entropy(folded), 6).alias("entropy"))
 
 
 #: Krumhansl-Kessler (1982) key profiles, from C, as SQL lists.
 _MAJ, _MIN = "[6.35,2.23,3.48,2.33,4.38,4.09,2.52,5.19,2.39,3.66,2.29,2.88]", "[6.33,2.68,3.52,5.38,2.60,3.53,2.54,4.75,3.98,2.69,3.34,3.17]"
 
 
-@query(f"""WITH v AS (SELECT vec::INTEGER AS vec, b AS bin, ((vec * 7 + b * b * 5) % 11 + 1)::DOUBLE AS x FROM range(40) a(vec), range(12) c(b)),
+@query(f"""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) % 12 AS bin FROM embeddings), v AS (SELECT vec_id, bin, sum(abs(x)) AS x FROM e GROUP BY ALL),
 k AS (SELECT mode, rot::INTEGER AS rot, b AS bin, CASE WHEN mode = 'major' THEN ({_MAJ})[(b - rot + 12) % 12 + 1] ELSE ({_MIN})[(b - rot + 12) % 12 + 1] END::DOUBLE AS y FROM (SELECT unnest(['major', 'minor']) AS mode) m, range(12) r(rot), range(12) c(b))
-SELECT vec, mode, rot, round(corr(x, y), 6) AS r FROM v JOIN k USING (bin) GROUP BY ALL""")
+SELECT vec_id, mode, rot, round(corr(x, y), 6) AS r FROM v JOIN k USING (bin) GROUP BY ALL""")
 def key_profile_corr(spark, sf_dir):
-    """SCL13: every vector against the 24 rotated key profiles, kept as literals of the plan."""
+    """SCL13: every vector, folded to twelve classes, against the 24 rotated key profiles, kept as literals of the plan."""
     from .kernels.dsp import MAJOR, MINOR
 
-    vectors = spark.range(40).select(F.col("id").cast("int").alias("vec"), F.expr("transform(sequence(0, 11), b -> double((id * 7 + b * b * 5) % 11 + 1))").alias("x"))
+    folded = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda c: V.total(F.filter(F.transform("embedding", lambda x: F.abs(x.cast("double"))), lambda v, i: i % 12 == c)))
     bank = F.array(*[F.struct(F.lit(mode).alias("mode"), F.lit(rot).alias("rot"), F.array(*[F.lit(float(p[(b - rot) % 12])) for b in range(12)]).alias("y")) for mode, p in (("major", MAJOR), ("minor", MINOR)) for rot in range(12)])
-    return vectors.withColumn("_k", F.explode(bank)).select("vec", "_k.mode", "_k.rot", F.round(V.pearson(F.col("x"), F.col("_k.y")), 6).alias("r"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", folded.alias("x"))
+    return vectors.withColumn("_k", F.explode(bank)).select("vec_id", "_k.mode", "_k.rot", F.round(V.pearson(F.col("x"), F.col("_k.y")), 6).alias("r"))
 
 
 @query("""WITH e AS (SELECT label AS signal, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS f, count(*) OVER (PARTITION BY label) AS n, embedding FROM embeddings),
@@ -814,29 +820,31 @@ def novelty_checkerboard(spark, sf_dir):
     return clips.groupBy("label").applyInArrow(run, "signal int, frame_idx int, novelty double").withColumn("novelty", F.round("novelty", 6))
 
 
-@query("""WITH x AS (SELECT r, n, 1 + sin(2 * pi() * r * (n + 500) * 0.002) AS x, 0.5 - 0.5 * cos(2 * pi() * n / 1000) AS h FROM range(1, 17) a(r), range(1000) b(n)),
-m AS (SELECT r, avg(x) AS m, sum(h) AS hs FROM x GROUP BY 1),
-d AS (SELECT x.r, f, m, sqrt(sum((x - m) * h * cos(2 * pi() * f * n / 1000)) ^ 2 + sum((x - m) * h * sin(2 * pi() * f * n / 1000)) ^ 2) * 2 / hs AS d FROM x JOIN m ON m.r = x.r, range(1, 501) c(f) GROUP BY x.r, f, m, hs)
-SELECT r::DOUBLE AS modulation, round(2 * sqrt(sum((d / (m + 0.01) * 2 / (f / 2.0 / 4 + 4 / (f / 2.0))) ^ 2)) / 10.591, 5) AS fluctuation FROM d GROUP BY 1""")
+@query(f"""WITH {_SIGNAL}, c AS (SELECT signal, i // 64 AS chunk, i % 64 AS n, 10 * x + 1 AS x FROM x), z AS (SELECT signal, chunk, count(*) AS size, avg(x) AS m FROM c GROUP BY ALL),
+h AS (SELECT c.signal, c.chunk, n, size, m, x, 0.5 - 0.5 * cos(2 * pi() * n / size) AS h FROM c JOIN z USING (signal, chunk)),
+s AS (SELECT signal, chunk, sum(h) AS hs FROM h GROUP BY ALL),
+d AS (SELECT signal, chunk, f, size, m, sqrt(sum((x - m) * h * cos(2 * pi() * f * n / size)) ^ 2 + sum((x - m) * h * sin(2 * pi() * f * n / size)) ^ 2) * 2 / any_value(hs) AS d FROM h JOIN s USING (signal, chunk), range(1, 33) g(f) WHERE f <= size // 2 GROUP BY ALL)
+SELECT z.signal, z.chunk::INTEGER AS chunk, round(CASE WHEN z.size < 8 THEN 0.0 ELSE sqrt(sum((d / (d.m + 0.01) * 2 / (f * 32.0 / z.size / 4 + 4 / (f * 32.0 / z.size))) ^ 2)) / 10.591 END, 5) AS fluctuation
+FROM z LEFT JOIN d USING (signal, chunk) GROUP BY z.signal, z.chunk, z.size""")
 def fluctuation_estimate(spark, sf_dir):
-    """FRM11 over generated envelopes of several modulation rates."""
+    """FRM11: modulation of one band, whose loudness is a piece of 2 s of a signal."""
     import numpy as np
     import pyarrow as pa
 
     from .kernels.dsp import fluctuation
+    from .sources.chunks import chunk_samples
 
     def run(batches):
         for batch in batches:
-            rates = batch.column(0).to_pylist()
-            t = np.arange(0, 4, 0.002)
             out = []
-            for r in rates:
-                specific = np.zeros((240, len(t)))
-                specific[40:60] = 1 + np.sin(2 * np.pi * r * t)
-                out.append(float(fluctuation(specific, t)[len(t) // 2]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["modulation", "fluctuation"])
+            for i in range(batch.num_rows):
+                y = batch.column(2)[i].values.to_numpy().astype(np.float64)
+                found = fluctuation(np.tile(10 * y + 1, (10, 1)), np.arange(len(y)) / 32)
+                out.append(float(found[len(y) // 2]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["signal", "chunk", "fluctuation"])
 
-    return spark.range(1, 17).select(F.col("id").cast("double").alias("modulation")).mapInArrow(run, "modulation double, fluctuation double").withColumn("fluctuation", F.round("fluctuation", 5))
+    pieces = chunk_samples(signals(spark, sf_dir), "i", "x", 32, 64, 0).select("stimulus_id", "chunk", "samples")
+    return pieces.mapInArrow(run, "signal string, chunk int, fluctuation double").withColumn("fluctuation", F.round("fluctuation", 5))
 
 
 # --- beyond SQL -------------------------------------------------------------------------------------------------------
@@ -844,53 +852,84 @@ def fluctuation_estimate(spark, sf_dir):
 
 @query()
 def scene_frames(spark, sf_dir):
-    """FRM1-9 over synthetic scenes: decode-free path from samples to frames."""
+    """FRM1-9: every user's events of five days are a clip, each event a tone of 20 ms whose pitch is its value."""
     from .plans.score import kernel_frames
-    from .sources.synthetic import scenes
 
-    return kernel_frames(scenes(spark, seconds=4.0, sr=22_050), ["loudness", "pitch", "spectral", "onsets", "tonal", "rhythm", "timbre"])
+    tones = events(spark, sf_dir).select(F.concat_ws("-", "stimulus_id", F.floor(F.col("t") / (5 * DAY))).alias("stimulus_id"), "t", "event_id", F.coalesce("value", F.lit(0.0)).alias("v"))
+    heard = F.array_sort(F.collect_list(F.struct("t", "event_id", "v")))
+    tone = lambda e: F.transform(F.sequence(F.lit(0), F.lit(440)), lambda j: (F.lit(0.4) * F.sin(F.lit(6.283185307179586 / 22_050) * (110 + 2 * e["v"]) * j)).cast("float"))
+    clips = tones.groupBy("stimulus_id").agg(F.flatten(F.transform(heard, tone)).alias("samples"))
+    pcm = clips.select("stimulus_id", F.lit(22_050).alias("sr"), (F.size("samples") / 22_050).alias("duration"), "samples")
+    return kernel_frames(pcm, ["loudness", "pitch", "spectral", "onsets", "tonal", "rhythm", "timbre"])
 
 
-_CLIPS = """y AS (SELECT clip, i, CASE WHEN i >= 400 * clip THEN (0.1 + 0.05 * (i // 50 % 7))::DOUBLE ELSE 0.0 END AS x FROM (SELECT unnest([0, 1, 2]) AS clip) c, range(1200) r(i)),
-k AS (SELECT clip, k::INTEGER AS k, trunc(least(greatest((k + 0.5) * 0.5 - 1, 0.0), 10.0) * 100)::INTEGER AS s FROM (SELECT unnest([0, 1, 2]) AS clip) c, range(24) g(k)),
-p AS (SELECT k.clip, k.k, (i - s) // 25 AS d, sqrt(avg(x * x)) AS r, sum(x * x) AS e FROM k JOIN y ON y.clip = k.clip AND y.i >= s AND y.i < s + 200 GROUP BY ALL),
-t AS (SELECT clip, k, sqrt(sum(r * r)) AS norm, sqrt(sum(e) / 200) AS rms FROM p GROUP BY ALL)"""
+#: A user's events in order are half seconds of constant level at 100 Hz; views, errors and missing values are silence.
+_CLIPS = f"""{_EV}, ce AS (SELECT stimulus_id AS clip, row_number() OVER (PARTITION BY stimulus_id ORDER BY t, event_id) - 1 AS e, CASE WHEN event_type IN ('view', 'error') THEN 0 ELSE floor(coalesce(value, 0)) / 512 END AS x FROM ev),
+y AS (SELECT clip, e * 50 + o AS i, x FROM ce, range(50) r(o)), cn AS (SELECT clip, count(*) * 50 AS n FROM ce GROUP BY 1),
+k AS (SELECT clip, k::INTEGER AS k, n, trunc(least(greatest((k + 0.5) * 0.5 - 1, 0.0), greatest(n / 100.0 - 2, 0.0)) * 100)::BIGINT AS s, least(n, 200) AS len FROM (SELECT *, unnest(range(greatest(1, ceil(round(n / 100.0 / 0.5, 9))::BIGINT))) AS k FROM cn) q),
+o AS (SELECT k.clip, k.k, x, CASE WHEN i - s < (len % 8) * (len // 8 + 1) THEN (i - s) // (len // 8 + 1) ELSE len % 8 + (i - s - (len % 8) * (len // 8 + 1)) // (len // 8) END AS d FROM k JOIN y ON y.clip = k.clip AND y.i >= s AND y.i < s + len),
+p AS (SELECT clip, k, d, sqrt(avg(x * x)) AS r FROM o GROUP BY ALL),
+t AS (SELECT p.clip, p.k, sqrt(sum(r * r)) AS norm, any_value(q.rms) AS rms FROM p JOIN (SELECT clip, k, sqrt(avg(x * x)) AS rms FROM o GROUP BY ALL) q ON p.clip = q.clip AND p.k = q.k GROUP BY ALL)"""
 
 
-def _clips(spark) -> DataFrame:
-    """Three clips of 12 s at 100 Hz: steps of constant level after 0, 4 and 8 s of silence."""
-    level = "transform(sequence(0, 1199), i -> float(if(i >= 400 * id, 0.1D + 0.05D * (i div 50 % 7), 0D)))"
-    return spark.range(3).select(F.col("id").cast("string").alias("stimulus_id"), F.lit(100).alias("sr"), F.lit(12.0).alias("duration"), F.expr(level).alias("samples"))
+def _levels(spark, sf_dir, seconds: float | None = None) -> DataFrame:
+    """(stimulus_id, i, x) at 100 Hz, 50 samples an event."""
+    numbered = P.numbered(events(spark, sf_dir), "stimulus_id", ["t", "event_id"], DAY, "e")
+    level = F.when(F.col("event_type").isin("view", "error"), 0.0).otherwise(F.floor(F.coalesce("value", F.lit(0.0))) / 512)
+    return numbered.select(F.col("stimulus_id").cast("string").alias("stimulus_id"), level.alias("x"), F.explode(F.sequence(F.col("e") * 50, F.col("e") * 50 + 49)).alias("i"))
 
 
-@query(f"WITH {_CLIPS} SELECT clip::VARCHAR AS stimulus_id, k, d::INTEGER AS d, round(CASE WHEN norm > 0 THEN r / norm ELSE 0 END, 5) + 0.0 AS x FROM p JOIN t USING (clip, k)")
-def stub_embeddings(spark, sf_dir):
-    """EMB5, FRM13, FRM14, CTX2: contexts of 2 s through a provider; the stub's vector is the level of eight parts."""
-    from .providers.base import StubProvider, embed
+def _contexts(spark, sf_dir) -> DataFrame:
+    from .providers.base import StubProvider, embed_chunks
+    from .sources.chunks import chunk_samples
 
-    vectors = embed(_clips(spark), StubProvider(sr=100, window_sec=2.0), 0.5)
-    return vectors.select("stimulus_id", "k", F.posexplode("embedding").alias("d", "x")).withColumn("x", F.round(F.col("x").cast("double"), 5) + F.lit(0.0))
+    return embed_chunks(chunk_samples(_levels(spark, sf_dir), "i", "x", 100, 1000, 300), StubProvider(sr=100, window_sec=2.0), 0.5)
 
 
-@query(f"""WITH {_CLIPS}, g AS (SELECT clip, k, rms < 1e-4 AS silent FROM t), v AS (SELECT p.clip, p.k, round(least(greatest(sum((d + 1) * r / norm) / 10 - 1, -1), 1), 4) + 0.0 AS valence FROM p JOIN t USING (clip, k) WHERE norm > 0 GROUP BY ALL)
+@query(f"WITH {_CLIPS} SELECT clip::VARCHAR AS stimulus_id, k, d::INTEGER AS d, round((CASE WHEN norm > 0 THEN r / norm ELSE 0 END)::FLOAT::DOUBLE, 5) + 0.0 AS x FROM p JOIN t USING (clip, k)")
+def stub_embeddings(spark, sf_dir):
+    """EMB5, FRM13, FRM14, CTX2: contexts of 2 s, cut from chunks, through a provider; the stub's vector is the level of eight parts."""
+    return _contexts(spark, sf_dir).select("stimulus_id", "k", F.posexplode("embedding").alias("d", "x")).withColumn("x", F.round(F.col("x").cast("double"), 5) + F.lit(0.0))
+
+
+@query(f"""WITH {_CLIPS}, g AS (SELECT clip, k, rms < 1e-4 AS silent FROM t), v AS (SELECT p.clip, p.k, round(least(greatest(sum((d + 1) / 10.0 * (r / norm)::FLOAT::DOUBLE) - 1, -1), 1), 6) + 0.0 AS valence FROM p JOIN t USING (clip, k) WHERE norm > 0 GROUP BY ALL)
 SELECT g.clip::VARCHAR AS stimulus_id, g.k, CASE WHEN NOT silent THEN valence END AS valence, sum(silent::INTEGER) OVER (PARTITION BY g.clip)::BIGINT AS n_gated FROM g LEFT JOIN v ON g.clip = v.clip AND g.k = v.k""")
 def gated_provider_run(spark, sf_dir):
     """CTX3, CTX9, FRM15: one embedding pass, the silence gate from the contexts' own level, the linear read-out, and the gate's count."""
     from .providers import derived
-    from .providers.base import StubProvider, embed
 
-    marked = derived.silence_marked(embed(_clips(spark), StubProvider(sr=100, window_sec=2.0), 0.5))
+    marked = derived.silence_marked(_contexts(spark, sf_dir))
     read = derived.music_emotion(marked, {"valence": ([(d + 1) / 10 for d in range(8)], -1.0)})
     counts = C.gated_counts(marked, {"n_gated": F.col("silent")})
-    return read.join(counts, "stimulus_id").select("stimulus_id", "k", (F.round("music_emotion_valence", 4) + F.lit(0.0)).alias("valence"), "n_gated")
+    return read.join(counts, "stimulus_id").select("stimulus_id", "k", (F.round("music_emotion_valence", 6) + F.lit(0.0)).alias("valence"), "n_gated")
 
 
-@query("SELECT clip::VARCHAR AS stimulus_id, 0::INTEGER AS turn_idx, 'S0' AS speaker, (clip * 4)::DOUBLE AS onset, 12.0::DOUBLE AS \"offset\" FROM (SELECT unnest([0, 1, 2]) AS clip)")
+@query(f"""WITH {_CLIPS}, l AS (SELECT clip, e, x > 0.01 AS loud, e - row_number() OVER (PARTITION BY clip, x > 0.01 ORDER BY e) AS g FROM ce),
+r AS (SELECT clip, min(e) AS a, max(e) + 1 AS b, row_number() OVER (PARTITION BY clip ORDER BY min(e)) - 1 AS turn FROM l WHERE loud GROUP BY clip, g)
+SELECT clip::VARCHAR AS stimulus_id, turn::INTEGER AS turn_idx, 'S' || (turn % 2) AS speaker, a * 0.5::DOUBLE AS onset, b * 0.5::DOUBLE AS "offset" FROM r""")
 def provider_turns(spark, sf_dir):
-    """TXT8, UDF3: a provider as a table function; its rows become numbered turns."""
+    """TXT8, UDF3: a provider as a table function over whole clips; its rows become numbered turns."""
     from .providers.base import StubTurns, rows
+    from .sources.chunks import chunk_samples
+
+    pieces = chunk_samples(_levels(spark, sf_dir), "i", "x", 100, 5000, 0)
+    whole = pieces.groupBy("stimulus_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "samples"))), lambda s: s["samples"])).alias("samples"))
+    clips = whole.select("stimulus_id", F.lit(100).alias("sr"), (F.size("samples") / 100).alias("duration"), "samples")
+    return O.number_turns(rows(clips, StubTurns(sr=100))).select("stimulus_id", "turn_idx", "speaker", "onset", "offset")
+
 
-    return O.number_turns(rows(_clips(spark), StubTurns(sr=100))).select("stimulus_id", "turn_idx", "speaker", "onset", "offset")
+@query(f"""WITH {_SIGNAL}, fr AS (SELECT signal, unnest(range(n // 16 + 1)) AS f FROM nn)
+SELECT signal, f::INTEGER AS frame_idx, f * 16 / 100.0::DOUBLE AS t, round(sqrt(coalesce(sum(x * x), 0) / 64), 6) AS rms FROM fr LEFT JOIN x USING (signal) WHERE i >= 16 * f - 32 AND i < 16 * f + 32 GROUP BY ALL""")
+def chunked_rms(spark, sf_dir):
+    """SRC2, SRC4, FRM1: frames over chunks of 256 samples with halos of 48 equal those of the whole signal."""
+    import numpy as np
+
+    from .kernels.dsp import frames
+    from .sources.chunks import chunk_samples, series_of_chunks
+
+    chunks = chunk_samples(signals(spark, sf_dir), "i", "x", 100, 256, 48)
+    found = series_of_chunks(chunks, lambda y: [np.sqrt(np.mean(frames(y, 64, 16) ** 2, axis=1))], ["rms"], 16)
+    return found.select(F.col("stimulus_id").alias("signal"), "frame_idx", "t", F.round("rms", 6).alias("rms"))
 
 
 @query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase')
@@ -937,12 +976,62 @@ def ppca_missing(spark, sf_dir):
     return ppca(holes, columns, 2)[0].select("vec_id", "projection")
 
 
-@query()
+_MOMENTS = """pr AS (SELECT vec_id, (vec_id % 37) % 5 AS fold, label / 10.0::DOUBLE AS y, embedding FROM embeddings),
+vv AS (SELECT vec_id, fold, list_concat(list_transform(embedding, lambda x: x::DOUBLE), [y, 1.0::DOUBLE]) AS v FROM pr),
+xx AS (SELECT vec_id, fold, unnest(v) AS x, unnest(range(len(v))) AS i FROM vv),
+mo AS (SELECT a.fold, a.i, b.i AS j, sum(a.x * b.x) AS value FROM xx a JOIN xx b ON a.vec_id = b.vec_id GROUP BY ALL)"""
+#: Gauss-Jordan elimination, one pivot a step, on the centred moments of all folds but one and every penalty.
+_RIDGE = f"""{_MOMENTS}, al AS (SELECT 10.0::DOUBLE ^ (-2 + 0.5 * a) AS alpha FROM range(13) r(a)), fo AS (SELECT DISTINCT fold FROM mo), di AS (SELECT max(i) - 1 AS d FROM mo),
+tr AS (SELECT fo.fold, i, j, sum(value) AS value FROM mo JOIN fo ON mo.fold <> fo.fold GROUP BY ALL),
+nn AS (SELECT fold, value AS n FROM tr, di WHERE i = d + 1 AND j = d + 1), mi AS (SELECT fold, i, value AS m FROM tr, di WHERE j = d + 1),
+ce AS (SELECT tr.fold, tr.i, tr.j, tr.value - a.m * b.m / n AS c FROM tr JOIN nn USING (fold) JOIN mi a ON a.fold = tr.fold AND a.i = tr.i JOIN mi b ON b.fold = tr.fold AND b.i = tr.j, di WHERE tr.i < d AND tr.j <= d),
+ro AS (SELECT alpha, fold, i, list(c + CASE WHEN i = j THEN alpha ELSE 0 END ORDER BY j) AS row FROM ce, al GROUP BY alpha, fold, i),
+st AS (SELECT alpha, fold, list(row ORDER BY i) AS m FROM ro GROUP BY alpha, fold),
+el AS (SELECT alpha, fold, 1 AS s, m FROM st UNION ALL
+  SELECT alpha, fold, s + 1, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i = s THEN p ELSE list_transform(range(1, len(p) + 1), lambda j: m[i][j] - m[i][s] * p[j]) END)
+  FROM (SELECT *, list_transform(m[s], lambda x: x / m[s][s]) AS p FROM el WHERE s <= len(m)) q),
+so AS (SELECT alpha, fold, list_transform(m, lambda r: r[len(r)]) AS coef FROM el WHERE s = len(m) + 1),
+ic AS (SELECT so.alpha, so.fold, coef, my.m / n - list_sum(list_transform(range(1, len(coef) + 1), lambda i: coef[i] * ms[i])) / n AS b
+  FROM so JOIN nn USING (fold) JOIN (SELECT fold, list(m ORDER BY i) AS ms FROM mi, di WHERE i < d GROUP BY fold) x USING (fold) JOIN (SELECT fold, m FROM mi, di WHERE i = d) my USING (fold)),
+co AS (SELECT alpha, fold, unnest(list_concat(list_transform(coef, lambda c: -c), [1.0::DOUBLE, -b])) AS v, unnest(range(len(coef) + 2)) AS i FROM ic),
+er AS (SELECT a.alpha, a.fold, sum(a.v * b.v * value) AS sse FROM co a JOIN co b ON a.alpha = b.alpha AND a.fold = b.fold JOIN mo ON mo.fold = a.fold AND mo.i = a.i AND mo.j = b.i GROUP BY ALL),
+ch AS (SELECT alpha AS chosen FROM er GROUP BY alpha ORDER BY sum(sse), alpha LIMIT 1)"""
+
+
+def _probe_rows(spark, sf_dir) -> DataFrame:
+    """Vectors with a target and the fold of their song (songs are vec_id modulo 37)."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") / 10.0).alias("y"), (F.col("vec_id") % 37).alias("song"), (F.col("vec_id") % 37 % 5).cast("int").alias("fold"))
+
+
+_ALPHAS = [10.0 ** (-2 + 0.5 * i) for i in range(13)]
+
+
+@query(f"WITH {_MOMENTS} SELECT fold::INTEGER AS fold, i::INTEGER AS i, j::INTEGER AS j, round(value, 6) + 0.0 AS value FROM mo WHERE j >= i")
+def ridge_moments(spark, sf_dir):
+    """EMB7: sums of products of all pairs of dimensions, in tiles of 16."""
+    return E.ridge_moments(_probe_rows(spark, sf_dir), "embedding", "y", "fold", tile=16).withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
+@query(f"""WITH RECURSIVE {_RIDGE} SELECT round(log10(alpha), 1) + 0.0 AS log_alpha, fold::INTEGER AS fold, (SELECT round(value) FROM mo, di WHERE mo.fold = er.fold AND i = d + 1 AND j = d + 1)::BIGINT AS n, round(sse, 6) AS sse, alpha = chosen AS chosen FROM er, ch""")
 def ridge_probe(spark, sf_dir):
-    """EMB7-8: penalty by grouped cross-validation."""
-    rows = table(spark, sf_dir, "embeddings").select("embedding", "label", (F.col("label") / 10.0).alias("y"), (F.col("vec_id") % 37).alias("song"))
-    fit = E.ridge_fit(rows, "embedding", "y", [10.0 ** (-2 + 0.5 * i) for i in range(13)], "song")
-    return spark.createDataFrame([(fit["alpha"], fit["intercept"], fit["cv_rmse"], fit["n"], fit["coef"])], "alpha double, intercept double, cv_rmse double, n long, coef array<double>")
+    """EMB7-8: every penalty's error on every fold by the fit without it, and the penalty of least error."""
+    import math
+
+    fit = E.Ridge(E.gram_tiles(_probe_rows(spark, sf_dir), "embedding", "y", "fold"))
+    best = fit.choose(_ALPHAS)
+    rows = [(round(math.log10(a), 1) + 0.0, f, n, sse, a == best) for a, f, n, sse in fit.path(_ALPHAS)]
+    return spark.createDataFrame(rows, "log_alpha double, fold int, n long, sse double, chosen boolean").withColumn("sse", F.round("sse", 6))
+
+
+@query(f"""WITH RECURSIVE {_RIDGE}, gu AS (SELECT vec_id % 37 AS song, y, b + list_sum(list_transform(range(1, len(coef) + 1), lambda i: coef[i] * embedding[i]::DOUBLE)) AS g FROM pr JOIN ic ON pr.fold = ic.fold JOIN ch ON ic.alpha = ch.chosen),
+wi AS (SELECT song, corr(y, g) AS r FROM gu GROUP BY 1 HAVING count(*) > 3 AND stddev_pop(y) > 1e-9 AND stddev_pop(g) > 1e-9)
+SELECT (SELECT count(*) FROM gu) AS n, (SELECT round(corr(y, g), 6) FROM gu) AS pooled_r, (SELECT round(sqrt(avg((y - g) ^ 2)), 6) FROM gu) AS rmse, round(avg(r), 6) AS mean_within_r, count(*) AS n_groups FROM wi""")
+def probe_training(spark, sf_dir):
+    """EMB7-9: moments, penalty, out-of-fold predictions and their metrics, end to end."""
+    rows = _probe_rows(spark, sf_dir)
+    fit = E.Ridge(E.gram_tiles(rows, "embedding", "y", "fold"))
+    guessed = E.out_of_fold(rows, "embedding", "fold", fit, fit.choose(_ALPHAS))
+    return E.evaluation(guessed, "y", "guess", "song").select("n", F.round("pooled_r", 6).alias("pooled_r"), F.round("rmse", 6).alias("rmse"), F.round("mean_within_r", 6).alias("mean_within_r"), "n_groups")
 
 
 @query(f"""WITH {_TIMING}, a AS (SELECT stimulus_id, count(*) AS n_words, round_even(avg(gap), 3) AS mp FROM gp GROUP BY 1),
