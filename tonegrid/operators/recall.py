@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType
 
 from ..functions.scalars import half_even, normalise_word
+from .fuzzy import best_near, ratio
 from .grid import KEY
 from .ordered import WIDTH
 from .scan import LastBefore, scan
@@ -25,7 +23,7 @@ MAX_POOL = 10_000
 @F.pandas_udf(DoubleType())
 def fuzzy_ratio(spoken: pd.Series, item: pd.Series) -> pd.Series:
     """SCL4: Ratcliff-Obershelp similarity; the spoken word is the first sequence."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(spoken, item, strict=True)], dtype="float64")
+    return pd.Series([ratio(a, b) for a, b in zip(spoken, item, strict=True)], dtype="float64")
 
 
 def pool_table(items: DataFrame, item: str = "item", index: str = "pool_index") -> DataFrame:
@@ -45,7 +43,7 @@ class BestItem:
         items = sorted(items, key=lambda x: x[1])
         self.indices = [i for _, i in items]
         self.sizes = np.array([len(n) for n, _ in items])
-        self.matchers = [SequenceMatcher(None, "", n) for n, _ in items]  # the second sequence is indexed once
+        self.names = [n for n, _ in items]
         self.places: dict[tuple[str, int], int] = {}
         marks = [[self.places.setdefault(x, len(self.places)) for x in self._letters(n)] for n, _ in items]
         self.table = np.zeros((len(self.places), len(items)), dtype=np.float32)
@@ -81,50 +79,62 @@ class BestItem:
                     break
                 if bounds[k] == best and k > at:
                     continue
-                matcher = self.matchers[k]
-                matcher.set_seq1(word)
-                score = matcher.ratio()
+                score = ratio(word, self.names[k])
                 if score > best or score == best and k < at:
                     best, at = score, k
         return best, self.indices[at]
 
 
-def best_fuzzy(words: DataFrame, pool: DataFrame, norm: str = "norm") -> DataFrame:
-    """JON7: best pool item of every distinct unmatched word; ties to the first index.
+def best_any(words: DataFrame, pool: DataFrame, norm: str = "norm") -> DataFrame:
+    """(norm, score, pool_index): the best pool item of every distinct word, however far; ties to the first index.
 
-    Only distinct words meet the pool, never the occurrences, and the pool is
-    stated queries in blocks of at most ``MAX_POOL`` items: the best of every
-    block, then the best of the blocks.
+    Words are dealt to as many parts as a shuffle has, the pool to blocks of about
+    ``MAX_POOL`` items; every part meets every block in a task of its own, and
+    the best of the blocks is taken. Nothing passes through the driver but the
+    pool's count.
+    """
+    blocks = max(1, -(-pool.count() // MAX_POOL))
+    deals = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = words.select(norm).where(F.col(norm).isNotNull()).distinct().select(norm, F.pmod(F.xxhash64(norm), F.lit(deals)).cast("int").alias("deal"), spread(blocks).alias("block"))
+    items = pool.select("norm", "pool_index", F.pmod(F.col("pool_index"), F.lit(blocks)).cast("int").alias("block"), spread(deals).alias("deal")).where("norm is not null")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        scores, indices = [], []
+        if left.num_rows and right.num_rows:
+            search = BestItem(list(zip(right["norm"].to_pylist(), right["pool_index"].to_pylist(), strict=True)))
+            for start in range(0, left.num_rows, 512):
+                a, b = zip(*search.find(left[norm].slice(start, 512).to_pylist()), strict=True)
+                scores += a
+                indices += b
+        return pa.table({norm: left[norm].slice(0, len(scores)), "score": pa.array(scores, pa.float64()), "pool_index": pa.array(indices, pa.int32())})
+
+    each = asked.groupBy("block", "deal").cogroup(items.groupBy("block", "deal")).applyInArrow(meet, f"`{norm}` string, score double, pool_index int")
+    top = each.groupBy(norm).agg(F.max(F.struct("score", (-F.col("pool_index")).alias("i"))).alias("_b"))
+    return top.select(norm, F.col("_b.score").alias("score"), (-F.col("_b.i")).alias("pool_index"))
+
+
+def best_fuzzy(words: DataFrame, pool: DataFrame, norm: str = "norm", threshold: float = FUZZY_THRESHOLD, below: bool = True) -> DataFrame:
+    """JON7: (norm, score, pool_index, item) of every distinct word's best item; ties to the first index.
+
+    Items at or over ``threshold`` come from the index of grams (``fuzzy``); only
+    words that have none there meet the whole pool, and only if ``below`` asks for
+    the best of what is farther away.
     """
-    n_blocks = max(1, -(-pool.count() // MAX_POOL))
-    found = StructType([StructField(norm, StringType()), StructField("score", DoubleType()), StructField("pool_index", IntegerType())])
-    distinct = words.select(norm).where(F.col(norm).isNotNull()).distinct()
-    best = None
-    for block in range(n_blocks):
-        items = [tuple(r) for r in pool.where(F.pmod(F.col("pool_index"), F.lit(n_blocks)) == block).select("norm", "pool_index").collect()]
-
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            search = BestItem(items)
-            for batch in batches:
-                for start in range(0, batch.num_rows if items else 0, 512):
-                    part = batch.column(0).slice(start, 512)
-                    scores, indices = zip(*search.find(part.to_pylist()), strict=True)
-                    yield pa.RecordBatch.from_arrays([part, pa.array(scores, pa.float64()), pa.array(indices, pa.int32())], names=[norm, "score", "pool_index"])
-
-        mine = distinct.mapInArrow(run, found)
-        best = mine if best is None else best.unionAll(mine)
-    if n_blocks > 1:
-        top = F.max(F.struct("score", (-F.col("pool_index")).alias("i"))).alias("b")
-        best = best.groupBy(norm).agg(top).select(norm, F.col("b.score").alias("score"), (-F.col("b.i")).alias("pool_index"))
+    near = best_near(words, pool, threshold, norm)
+    best = near
+    if below:
+        best = near.unionByName(best_any(words.select(norm).join(near.select(norm), norm, "left_anti"), pool, norm))
     return best.join(pool.select("pool_index", "item"), "pool_index").select(norm, "score", "pool_index", "item")
 
 
-def annotate_recall(words: DataFrame, pool: DataFrame, threshold: float = FUZZY_THRESHOLD, pos: str = "pos", fuzzy: bool = True, key: str = KEY, width: float = WIDTH) -> DataFrame:
+def annotate_recall(words: DataFrame, pool: DataFrame, threshold: float = FUZZY_THRESHOLD, pos: str = "pos", fuzzy: bool = True, key: str = KEY, width: float = WIDTH, below: bool = True) -> DataFrame:
     """TXT5: matched item, score, intrusion, repetition and inter-response time of every word.
 
     ``words`` has key, ``pos`` (order of speech), word, onset, offset and
     possibly is_filler; fillers are left out. Exact matches are an equi-join;
-    the fuzzy search sees distinct unmatched words only.
+    the fuzzy search sees distinct unmatched words only. Without ``below``, words
+    that match nothing have a score of 0 instead of that of their best item.
     """
     spoken = words.where(~F.coalesce(F.col("is_filler"), F.lit(False))) if "is_filler" in words.columns else words
     spoken = spoken.withColumn("norm", normalise_word(F.col("word")))
@@ -132,7 +142,7 @@ def annotate_recall(words: DataFrame, pool: DataFrame, threshold: float = FUZZY_
     first = table.groupBy("norm").agg(F.min(F.struct("pool_index", "item")).alias("_p")).select("norm", F.col("_p.pool_index").alias("_exact"), F.col("_p.item").alias("_exact_item"))
     exact = spoken.join(first, "norm", "left")
     if fuzzy:
-        near = best_fuzzy(exact.where("_exact is null"), table).select("norm", F.col("score").alias("_score"), F.col("pool_index").alias("_near"), F.col("item").alias("_near_item"))
+        near = best_fuzzy(exact.where("_exact is null"), table, "norm", threshold, below).select("norm", F.col("score").alias("_score"), F.col("pool_index").alias("_near"), F.col("item").alias("_near_item"))
         exact = exact.join(near, "norm", "left")
     else:
         exact = exact.withColumn("_score", F.lit(None).cast("double")).withColumn("_near", F.lit(None).cast("int")).withColumn("_near_item", F.lit(None).cast("string"))

@@ -269,6 +269,30 @@ def recall_fuzzy(spark, sf_dir):
     return R.annotate_recall(words(spark, sf_dir).withColumnRenamed("word_idx", "pos"), word_pool(spark, sf_dir))
 
 
+#: Ratcliff-Obershelp in SQL: the longest common block of two words, then the same on both sides of it.
+_BLOCK = """list_max(flatten(list_transform(range(length({a})), lambda i: list_transform(range(length({b})), lambda j: {{'n': list_max(list_transform(range(least(length({a}) - i, length({b}) - j) + 1),
+  lambda n: CASE WHEN {a}[i + 1 : i + n] = {b}[j + 1 : j + n] THEN n ELSE 0 END)), 'i': -i, 'j': -j}}))))"""
+_NEAR = f"""{_WORDS}, {_POOL}, sw AS (SELECT *, regexp_replace(lower(word), '[^a-z'']', '', 'g') AS norm FROM wd),
+un AS (SELECT DISTINCT norm AS a FROM sw ANTI JOIN pn USING (norm) WHERE norm <> ''),
+ag AS (SELECT DISTINCT a, a[i + 1 : i + 2] AS g FROM (SELECT a, unnest(range(length(a) - 1)) AS i FROM un) q), bg AS (SELECT DISTINCT norm AS b, norm[i + 1 : i + 2] AS g FROM (SELECT norm, unnest(range(length(norm) - 1)) AS i FROM pn) q),
+pa AS (SELECT DISTINCT a, b FROM ag JOIN bg USING (g) UNION SELECT a, norm FROM un JOIN pn ON length(a) + length(norm) <= 6),
+sg AS (SELECT a AS wa, b AS wb, a, b, {_BLOCK.format(a="a", b="b")} AS m FROM pa WHERE b <> '' AND 2 * least(length(a), length(b)) >= 0.8 * (length(a) + length(b)) UNION ALL
+  SELECT wa, wb, x.a, x.b, {_BLOCK.format(a="x.a", b="x.b")} FROM (SELECT wa, wb, unnest([{{'a': a[1 : -m.i], 'b': b[1 : -m.j]}}, {{'a': a[m.n - m.i + 1 :], 'b': b[m.n - m.j + 1 :]}}]) AS x FROM sg WHERE m.n > 0) q WHERE length(x.a) > 0 AND length(x.b) > 0),
+ra AS (SELECT wa AS norm, wb, 2.0::DOUBLE * sum(m.n) / (length(wa) + length(wb)) AS score FROM sg GROUP BY wa, wb HAVING score >= 0.8),
+be AS (SELECT ra.norm, max({{'s': score, 'i': -pn.pool_index}}) AS b FROM ra JOIN pn ON pn.norm = ra.wb GROUP BY ra.norm)"""
+
+
+@query(f"""WITH RECURSIVE {_NEAR}, mt AS (SELECT sw.*, coalesce(pn.pool_index, -be.b.i) AS hit, CASE WHEN pn.pool_index IS NOT NULL THEN 1.0 ELSE be.b.s END AS score FROM sw LEFT JOIN pn ON sw.norm = pn.norm LEFT JOIN be ON sw.norm = be.norm)
+SELECT stimulus_id, word_idx, coalesce(pl.item, '') AS matched_item, coalesce(hit, -1)::INTEGER AS pool_index, round_even(coalesce(score, 0), 3) AS match_score, hit IS NULL AS intrusion,
+  hit IS NOT NULL AND row_number() OVER (PARTITION BY stimulus_id, hit ORDER BY word_idx) > 1 AS repetition,
+  CASE WHEN hit IS NOT NULL THEN round(onset - last_value(CASE WHEN hit IS NOT NULL THEN onset END IGNORE NULLS) OVER (PARTITION BY stimulus_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 3) END AS irt
+FROM mt LEFT JOIN pl ON pl.pool_index = mt.hit""")
+def recall_near(spark, sf_dir):
+    """JON7, SCL4, TXT5: exact and approximate matches of ratio 0.8 or more through the index of grams; others score 0."""
+    found = R.annotate_recall(words(spark, sf_dir).withColumnRenamed("word_idx", "pos"), word_pool(spark, sf_dir), below=False)
+    return found.select("stimulus_id", F.col("pos").alias("word_idx"), "matched_item", "pool_index", "match_score", "intrusion", "repetition", "irt")
+
+
 _TIMING = f"""{_WORDS}, gp AS (SELECT *, CASE WHEN onset - lag(offset_) OVER q >= 3 THEN onset - lag(offset_) OVER q END AS gap FROM wd WINDOW q AS (PARTITION BY stimulus_id ORDER BY word_idx))"""
 
 
