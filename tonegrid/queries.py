@@ -826,22 +826,23 @@ i AS (SELECT DISTINCT signal, b AS i, nb FROM u),
 s AS (SELECT i.signal, i.i, u.p, sum(g.w * u.u) AS s FROM i CROSS JOIN g JOIN u ON u.signal = i.signal AND u.b = least(greatest(i.i + g.o, 0), i.nb - 1) GROUP BY ALL)
 SELECT signal, i::INTEGER AS frame_idx, round(greatest(sum(s * s), 0) / (SELECT sum(abs(w)) ^ 2 FROM g), 6) AS novelty FROM s GROUP BY ALL""")
 def novelty_checkerboard(spark, sf_dir):
-    """FRM8, WIN11: the novelty kernel; every label is a clip, its vectors are the frames, two to a block.
+    """FRM8, WIN11: every label is a clip, its vectors are the frames, two to a block.
 
     The checkerboard is an outer product g·gᵀ, so the SQL is |Σ g(o)·v(i+o)|².
     """
-    import numpy as np
-    import pyarrow as pa
+    from .operators.novelty import novelty
+
+    clips = table(spark, sf_dir, "embeddings").select(F.col("label").alias("signal"), "vec_id", "embedding")
+    found = novelty(clips, "embedding", ["vec_id"], 2, 4, key="signal", width=100)
+    return found.select("signal", F.col("block").alias("frame_idx"), F.round("novelty", 6).alias("novelty"))
 
-    from .kernels.dsp import novelty
 
-    def run(clip: pa.Table) -> pa.Table:
-        rows = sorted(zip(clip.column("vec_id").to_pylist(), clip.column("embedding").to_pylist(), strict=True))
-        found = novelty(np.array([v for _, v in rows], dtype=np.float64), 10.0, 0.2, 1.6)["novelty"]
-        return pa.table({"signal": pa.array([clip.column("label")[0].as_py()] * len(found), pa.int32()), "frame_idx": pa.array(np.arange(len(found), dtype=np.int32)), "novelty": pa.array(found)})
+@query(f"WITH {_EV} SELECT event_type AS stimulus_id, median(value) AS median_value FROM ev GROUP BY 1")
+def hot_median(spark, sf_dir):
+    """AGG2: exact medians of few large groups, by radix selection."""
+    from .operators.quantile import median
 
-    clips = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
-    return clips.groupBy("label").applyInArrow(run, "signal int, frame_idx int, novelty double").withColumn("novelty", F.round("novelty", 6))
+    return median(events(spark, sf_dir, "event_type"), ["stimulus_id"], "value", "median_value")
 
 
 @query(f"""WITH {_SIGNAL}, c AS (SELECT signal, i // 64 AS chunk, i % 64 AS n, 10 * x + 1 AS x FROM x), z AS (SELECT signal, chunk, count(*) AS size, avg(x) AS m FROM c GROUP BY ALL),
