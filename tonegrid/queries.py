@@ -674,6 +674,31 @@ def published_tables(spark, sf_dir):
     return frames.groupBy("stimulus_id").agg(F.count("*").alias("n_windows"), F.round(F.sum("value_mean"), 4).alias("total"), F.lit(written["frames"]["rows"]).cast("long").alias("rows_observed"))
 
 
+@query(f"""WITH {_EV}, a AS (SELECT stimulus_id, 'frames' AS kind, count(*) AS n, round(sum(value), 4) AS total FROM ev WHERE event_type IN ('click', 'view') GROUP BY 1 UNION ALL SELECT stimulus_id, 'beats', count(*), round(sum(t), 4) FROM ev WHERE event_type IN ('click', 'view') GROUP BY 1),
+b AS (SELECT stimulus_id, 'frames' AS kind, count(*) AS n, round(sum(value * 2), 4) AS total FROM ev WHERE event_type = 'purchase' GROUP BY 1)
+SELECT stimulus_id::VARCHAR AS stimulus_id, kind, n, total FROM b UNION ALL SELECT stimulus_id::VARCHAR, kind, n, total FROM a WHERE stimulus_id NOT IN (SELECT stimulus_id FROM b)""")
+def published_together(spark, sf_dir):
+    """SNK1: a run of two tables, a run that fails between its tables, a run that replaces stimuli, the same run again, and a compaction."""
+    from .plans.store import TableStore
+
+    ev = events(spark, sf_dir).withColumn("stimulus_id", F.col("stimulus_id").cast("string"))
+    store = TableStore(spark, scratch(spark))
+    first, bought = ev.where("event_type in ('click', 'view')"), ev.where("event_type = 'purchase'").withColumn("value", F.col("value") * 2)
+    store.publish({"frames": first.select("stimulus_id", "t", "value"), "beats": first.select("stimulus_id", "t")}, "one")
+    try:
+        broken = ev.select("stimulus_id", F.when(F.col("t") >= 0, F.raise_error(F.lit("a run that fails"))).cast("double").alias("t"))
+        store.publish({"frames": ev.select("stimulus_id", "t", "value"), "beats": broken}, "two")
+    except Exception as e:  # the failure is part of the query
+        if "a run that fails" not in str(e):
+            raise
+    for _ in range(2):
+        store.publish({"frames": bought.select("stimulus_id", "t", "value")}, "three")
+    store.compact()
+    store.clean()
+    sums = [store.read(kind).groupBy("stimulus_id").agg(F.count("*").alias("n"), F.round(F.sum(column), 4).alias("total")).withColumn("kind", F.lit(kind)) for kind, column in (("frames", "value"), ("beats", "t"))]
+    return sums[0].unionByName(sums[1]).select("stimulus_id", "kind", "n", "total")
+
+
 # --- signals ----------------------------------------------------------------------------------------------------------
 
 #: The values of an event type in order are a signal: whole numbers over 512, which 32-bit floats hold; missing ones are 0.
