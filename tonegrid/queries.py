@@ -1150,15 +1150,15 @@ def online_pauses_replay(spark, sf_dir):
     return _replayed(spark, said, lambda s: online_pauses(s, 3.0), "stimulus_id long, onset double, pause double")
 
 
-def _in_any_order(spark, df: DataFrame, build, schema: str) -> DataFrame:
+def _in_any_order(spark, df: DataFrame, time: str, build, schema: str) -> DataFrame:
     """What ``build`` makes of ``df`` as a stream whose rows are dealt over four triggers by a hash; a last row moves the watermark past all others."""
     folder = scratch(spark)
-    at = F.timestamp_millis(((F.col("onset") + DAY) * 1000).cast("long"))
+    at = F.timestamp_millis(((F.col(time) + DAY) * 1000).cast("long"))
     timed = df.withColumn("ts", at)
-    deal = F.pmod(F.xxhash64("stimulus_id", "onset"), F.lit(4))
+    deal = F.pmod(F.xxhash64("stimulus_id", time), F.lit(4))
     for i in range(4):
         timed.where(deal == i).coalesce(1).write.parquet(f"{folder}/in/{i}")
-    timed.groupBy().agg(*[F.max(c).alias(c) for c in df.columns], F.timestamp_millis(((F.max("onset") + 9_000 * DAY) * 1000).cast("long")).alias("ts")).withColumn("stimulus_id", F.lit(-1).cast("long")).write.parquet(f"{folder}/in/end")
+    timed.groupBy().agg(*[F.max(c).alias(c) for c in df.columns], F.timestamp_millis(((F.max(time) + 9_000 * DAY) * 1000).cast("long")).alias("ts")).withColumn("stimulus_id", F.lit(-1).cast("long")).write.parquet(f"{folder}/in/end")
     stream = spark.readStream.schema(timed.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     q = build(stream).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -1171,16 +1171,16 @@ def timed_pauses_replay(spark, sf_dir):
     from .streaming.timed import timed_pauses
 
     said = words(spark, sf_dir).select("stimulus_id", "onset", "offset")
-    return _in_any_order(spark, said, lambda s: timed_pauses(s, 3.0, late="8000 days", keep_seconds=100 * DAY), "stimulus_id long, onset double, pause double")
+    return _in_any_order(spark, said, "onset", lambda s: timed_pauses(s, 3.0, late="8000 days", keep_seconds=100 * DAY), "stimulus_id long, onset double, pause double")
 
 
 @query(f"WITH {_RECALL} SELECT stimulus_id, word_idx::BIGINT AS word_idx, pool_index, repetition, irt FROM rc")
 def timed_recall_replay(spark, sf_dir):
-    """STR4, STR5: repetitions and response times of words that arrive in any order."""
+    """STR4, STR5: repetitions and response times of words that arrive in any order; the place of a word is its time (turns overlap)."""
     from .streaming.timed import timed_recall
 
     said, pool = words(spark, sf_dir).select("stimulus_id", F.col("word_idx").cast("long").alias("pos"), "word", "onset"), word_pool(spark, sf_dir)
-    found = _in_any_order(spark, said, lambda s: timed_recall(s, pool, late="8000 days", keep_seconds=100 * DAY), "stimulus_id long, pos long, pool_index int, repetition boolean, irt double")
+    found = _in_any_order(spark, said, "pos", lambda s: timed_recall(s, pool, late="8000 days", keep_seconds=100 * DAY), "stimulus_id long, pos long, pool_index int, repetition boolean, irt double")
     return found.where("stimulus_id >= 0").select("stimulus_id", F.col("pos").alias("word_idx"), "pool_index", "repetition", F.round("irt", 3).alias("irt"))
 
 

@@ -11,6 +11,7 @@ state ends with its stimulus.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -37,12 +38,12 @@ def use_rocksdb(spark: SparkSession) -> None:
 class Release(StatefulProcessor):
     """Rows (milliseconds, values…) of a key in order, and the memory between them."""
 
-    def __init__(self, names: list[str], held: str, memory: str, out: list[str], step: Step, keep_ms: int):
-        self.names, self.held_schema, self.memory_schema, self.out, self.step, self.keep_ms = names, held, memory, out, step, keep_ms
+    def __init__(self, names: list[str], memory: str, out: list[str], step: Step, keep_ms: int):
+        self.names, self.memory_schema, self.out, self.step, self.keep_ms = names, memory, out, step, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", f"ms long, {self.held_schema}")
+        self.held = handle.getListState("held", "rows string")  # one entry a trigger: every call to the store is a round trip
         self.memory = handle.getValueState("memory", f"ms long, {self.memory_schema}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -52,7 +53,7 @@ class Release(StatefulProcessor):
             values = zip(*[part[n].tolist() for n in ("event_ms", *self.names)], strict=True)
             fresh += [v for v in values if v[0] > passed]
         if fresh:
-            self.held.appendList(fresh)
+            self.held.appendValue((json.dumps(fresh),))
             self._arm(fresh)
         return iter(())
 
@@ -62,12 +63,12 @@ class Release(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        held = [tuple(r) for part in self.held.get() for r in json.loads(part[0])] if self.held.exists() else []
         due, rest = sorted(r for r in held if r[0] <= now), [r for r in held if r[0] > now]
         known = tuple(self.memory.get()) if self.memory.exists() else None
         if due:
             if rest:
-                self.held.put(rest)
+                self.held.put([(json.dumps(rest),)])
                 self._arm(rest)
             else:
                 self.held.clear()
@@ -88,7 +89,7 @@ def _released(stream: DataFrame, key: str, ts: str, late: str, names: list[str],
     kinds = dict(stream.dtypes)
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withColumn("event_ms", F.unix_millis(ts)).withWatermark(ts, late)
     schema = StructType.fromDDL(f"{out}, key_ {kinds[key]}")
-    processor = Release(names, ", ".join(f"{n} {kinds[n]}" for n in names), memory, [f.name for f in schema.fields[:-1]], step, int(keep_seconds * 1000))
+    processor = Release(names, memory, [f.name for f in schema.fields[:-1]], step, int(keep_seconds * 1000))
     return timed.groupBy(key).transformWithStateInPandas(processor, schema, "append", "eventTime").withColumnRenamed("key_", key)
 
 
