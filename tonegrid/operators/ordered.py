@@ -1,4 +1,8 @@
-"""Ordered-event analytics (WIN1-12, AGG5-8, AGG12, AGG16)."""
+"""Ordered-event analytics (WIN1-12, AGG5-8, AGG12, AGG16).
+
+``width``: how much of the first order column (seconds, words, rows) is one bucket of
+a scan (``scan``), for stimuli too long for one task; None: one window a stimulus.
+"""
 
 from __future__ import annotations
 
@@ -10,11 +14,9 @@ from .grid import KEY
 from .scan import BUCKET, Lag, Running, in_blocks, scan
 
 PAUSE_SECONDS, DOWNBEAT_SECONDS = 0.5, 0.03
-#: Of the first order column (seconds, words, rows): how much of it is one bucket of a scan.
-WIDTH = 3600.0
 
 
-def longest_run(words: DataFrame, word: str, order: list[str], key: str = KEY, width: float = WIDTH) -> DataFrame:
+def longest_run(words: DataFrame, word: str, order: list[str], key: str = KEY, width: float | None = None) -> DataFrame:
     """AGG12: length of the longest run of equal words, by islands; a run may span any number of buckets."""
     marked = words.select(key, *order, F.struct(F.col(word).alias("v")).alias("_w"))
     lagged = scan(marked, key, order, width, _before=Lag("_w"))
@@ -23,18 +25,18 @@ def longest_run(words: DataFrame, word: str, order: list[str], key: str = KEY, w
     return islands.groupBy(key, "_island").agg(F.count("*").alias("_n")).groupBy(key).agg(F.max("_n").alias("max_run"))
 
 
-def gaps(words: DataFrame, order: list[str] | None = None, key: str = KEY, width: float = WIDTH) -> DataFrame:
+def gaps(words: DataFrame, order: list[str] | None = None, key: str = KEY, width: float | None = None) -> DataFrame:
     """Every word with ``_gap``, from the offset of the word before to its onset."""
     lagged = scan(words, key, order or ["onset", "offset"], width, _end=Lag("offset"))
     return lagged.withColumn("_gap", F.col("onset") - F.col("_end")).drop("_end", BUCKET)
 
 
-def pauses(words: DataFrame, min_pause: float = PAUSE_SECONDS, order: list[str] | None = None, key: str = KEY, width: float = WIDTH) -> DataFrame:
+def pauses(words: DataFrame, min_pause: float = PAUSE_SECONDS, order: list[str] | None = None, key: str = KEY, width: float | None = None) -> DataFrame:
     """WIN3: gaps between a word's offset and the next onset of at least ``min_pause``."""
     return gaps(words, order, key, width).where(F.col("_gap") >= min_pause).withColumnRenamed("_gap", "pause")
 
 
-def speech_timing(words: DataFrame, min_pause: float = PAUSE_SECONDS, order: list[str] | None = None, key: str = KEY, width: float = WIDTH) -> DataFrame:
+def speech_timing(words: DataFrame, min_pause: float = PAUSE_SECONDS, order: list[str] | None = None, key: str = KEY, width: float | None = None) -> DataFrame:
     """AGG6: words, span, rates and pauses of each stimulus."""
     timed = gaps(words, order, key, width).withColumn("_gap", F.when(F.col("_gap") >= min_pause, F.col("_gap")))
     agg = timed.groupBy(key).agg(
@@ -62,19 +64,19 @@ def speech_timing(words: DataFrame, min_pause: float = PAUSE_SECONDS, order: lis
     )
 
 
-def beat_info(beats: DataFrame, t: str = "time", downbeat: str = "is_downbeat", key: str = KEY, width: float = WIDTH) -> DataFrame:
+def beat_info(beats: DataFrame, t: str = "time", downbeat: str = "is_downbeat", key: str = KEY, width: float | None = None) -> DataFrame:
     """AGG8: beats, downbeats, tempo from the median inter-beat interval (WIN4)."""
     ibi = scan(beats.select(key, t, downbeat), key, [t], width, _before=Lag(t)).withColumn("_ibi", F.col(t) - F.col("_before"))
     return ibi.groupBy(key).agg(F.count("*").alias("n_beats"), F.count_if(F.col(downbeat)).alias("n_downbeats"), half_even(F.try_divide(F.lit(60.0), F.median("_ibi")), 1).alias("tempo_bpm"))
 
 
-def rolling_mean(df: DataFrame, value: str, order: str, half: int, name: str = "rolling", key: str = KEY, width: float = WIDTH, block: int = 65_536) -> DataFrame:
+def rolling_mean(df: DataFrame, value: str, order: str, half: int, name: str = "rolling", key: str = KEY, width: float | None = None, block: int = 65_536) -> DataFrame:
     """WIN7: centred, truncated at the edges, NULL-skipping."""
     rows, w, mine = in_blocks(df, key, [order], width, half, half, block)
     return rows.withColumn(name, F.avg(value).over(w.rowsBetween(-half, half))).where(mine).select(*[c for c in df.columns if c != name], name)
 
 
-def uniform_filter(df: DataFrame, value: str, order: str, size: int, name: str = "smoothed", key: str = KEY, width: float = WIDTH, block: int = 65_536) -> DataFrame:
+def uniform_filter(df: DataFrame, value: str, order: str, size: int, name: str = "smoothed", key: str = KEY, width: float | None = None, block: int = 65_536) -> DataFrame:
     """WIN6: centred moving average with edge values repeated; even sizes lean left.
 
     The repeated edges are added as weights, so no padding rows are needed: with
@@ -125,7 +127,7 @@ def speaker_summary(turns: DataFrame, speaker: str = "speaker", key: str = KEY)
     )
 
 
-def infer_hop(frames: DataFrame, t: str = "time", default: float = 0.5, key: str = KEY, width: float = WIDTH) -> DataFrame:
+def infer_hop(frames: DataFrame, t: str = "time", default: float = 0.5, key: str = KEY, width: float | None = None) -> DataFrame:
     """AGG16: median positive step of the time column, else the default."""
     steps = scan(frames.select(key, t), key, [t], width, _before=Lag(t)).withColumn("_step", F.col(t) - F.col("_before"))
     return steps.groupBy(key).agg(F.coalesce(F.median(F.when(F.col("_step") > 0, F.col("_step"))), F.lit(default)).alias("hop"))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.scalars import half_even, normalise_word
 from .fuzzy import best_near, ratio
 from .grid import KEY
-from .ordered import WIDTH
 from .scan import LastBefore, scan
 
 FUZZY_THRESHOLD = 0.8
@@ -88,53 +89,51 @@ class BestItem:
 def best_any(words: DataFrame, pool: DataFrame, norm: str = "norm") -> DataFrame:
     """(norm, score, pool_index): the best pool item of every distinct word, however far; ties to the first index.
 
-    Words are dealt to as many parts as a shuffle has, the pool to blocks of about
-    ``MAX_POOL`` items; every part meets every block in a task of its own, and
-    the best of the blocks is taken. Nothing passes through the driver but the
-    pool's count.
+    The pool is stated queries in blocks of at most ``MAX_POOL`` items: the best of
+    every block, then the best of the blocks.
     """
     blocks = max(1, -(-pool.count() // MAX_POOL))
-    deals = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = words.select(norm).where(F.col(norm).isNotNull()).distinct().select(norm, F.pmod(F.xxhash64(norm), F.lit(deals)).cast("int").alias("deal"), spread(blocks).alias("block"))
-    items = pool.select("norm", "pool_index", F.pmod(F.col("pool_index"), F.lit(blocks)).cast("int").alias("block"), spread(deals).alias("deal")).where("norm is not null")
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        scores, indices = [], []
-        if left.num_rows and right.num_rows:
-            search = BestItem(list(zip(right["norm"].to_pylist(), right["pool_index"].to_pylist(), strict=True)))
-            for start in range(0, left.num_rows, 512):
-                a, b = zip(*search.find(left[norm].slice(start, 512).to_pylist()), strict=True)
-                scores += a
-                indices += b
-        return pa.table({norm: left[norm].slice(0, len(scores)), "score": pa.array(scores, pa.float64()), "pool_index": pa.array(indices, pa.int32())})
-
-    each = asked.groupBy("block", "deal").cogroup(items.groupBy("block", "deal")).applyInArrow(meet, f"`{norm}` string, score double, pool_index int")
-    top = each.groupBy(norm).agg(F.max(F.struct("score", (-F.col("pool_index")).alias("i"))).alias("_b"))
+    distinct = words.select(norm).where(F.col(norm).isNotNull()).distinct()
+    best = None
+    for block in range(blocks):
+        items = [tuple(r) for r in pool.where(F.pmod(F.col("pool_index"), F.lit(blocks)) == block).select("norm", "pool_index").collect()]
+
+        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            search = BestItem(items)
+            for batch in batches:
+                for start in range(0, batch.num_rows if items else 0, 512):
+                    part = batch.column(0).slice(start, 512)
+                    scores, indices = zip(*search.find(part.to_pylist()), strict=True)
+                    yield pa.RecordBatch.from_arrays([part, pa.array(scores, pa.float64()), pa.array(indices, pa.int32())], names=[norm, "score", "pool_index"])
+
+        mine = distinct.mapInArrow(run, f"`{norm}` string, score double, pool_index int")
+        best = mine if best is None else best.unionAll(mine)
+    if blocks == 1:
+        return best
+    top = best.groupBy(norm).agg(F.max(F.struct("score", (-F.col("pool_index")).alias("i"))).alias("_b"))
     return top.select(norm, F.col("_b.score").alias("score"), (-F.col("_b.i")).alias("pool_index"))
 
 
 def best_fuzzy(words: DataFrame, pool: DataFrame, norm: str = "norm", threshold: float = FUZZY_THRESHOLD, below: bool = True) -> DataFrame:
     """JON7: (norm, score, pool_index, item) of every distinct word's best item; ties to the first index.
 
-    Items at or over ``threshold`` come from the index of grams (``fuzzy``); only
-    words that have none there meet the whole pool, and only if ``below`` asks for
-    the best of what is farther away.
+    Where only items at or over ``threshold`` matter (``below`` false), they come
+    from the index of grams (``fuzzy``), and no word meets the whole pool. The best
+    of what is farther away has no such bound: then words and pool meet in blocks.
     """
-    near = best_near(words, pool, threshold, norm)
-    best = near
-    if below:
-        best = near.unionByName(best_any(words.select(norm).join(near.select(norm), norm, "left_anti"), pool, norm))
+    best = best_any(words, pool, norm) if below else best_near(words, pool, threshold, norm)
     return best.join(pool.select("pool_index", "item"), "pool_index").select(norm, "score", "pool_index", "item")
 
 
-def annotate_recall(words: DataFrame, pool: DataFrame, threshold: float = FUZZY_THRESHOLD, pos: str = "pos", fuzzy: bool = True, key: str = KEY, width: float = WIDTH, below: bool = True) -> DataFrame:
+def annotate_recall(words: DataFrame, pool: DataFrame, threshold: float = FUZZY_THRESHOLD, pos: str = "pos", fuzzy: bool = True, key: str = KEY, width: float | None = None, below: bool = True) -> DataFrame:
     """TXT5: matched item, score, intrusion, repetition and inter-response time of every word.
 
     ``words`` has key, ``pos`` (order of speech), word, onset, offset and
     possibly is_filler; fillers are left out. Exact matches are an equi-join;
     the fuzzy search sees distinct unmatched words only. Without ``below``, words
     that match nothing have a score of 0 instead of that of their best item.
+    ``width``: response times by a scan over buckets of so many places (two reads
+    of the words, for stimuli too long for one task); None: a window a stimulus.
     """
     spoken = words.where(~F.coalesce(F.col("is_filler"), F.lit(False))) if "is_filler" in words.columns else words
     spoken = spoken.withColumn("norm", normalise_word(F.col("word")))
@@ -149,9 +148,14 @@ def annotate_recall(words: DataFrame, pool: DataFrame, threshold: float = FUZZY_
     score = F.when(F.col("_exact").isNotNull(), 1.0).otherwise(F.coalesce("_score", F.lit(0.0)))
     marked = exact.withColumn("_s", score).withColumn("_matched", F.col("_s") >= threshold)
     marked = marked.withColumn("_index", F.when(F.col("_matched"), F.coalesce("_exact", "_near")))
-    first_said = marked.where("_matched").groupBy(F.col(key).alias("_k"), F.col("_index").alias("_i")).agg(F.min(pos).alias("_first"))
-    marked = marked.join(first_said, marked[key].eqNullSafe(first_said["_k"]) & (marked["_index"] == first_said["_i"]), "left").drop("_k", "_i")
-    marked = scan(marked.withColumn("_at", F.when(F.col("_matched"), F.col("onset"))), key, [pos], width, _last=LastBefore("_at"))
+    by_item = Window.partitionBy(key, "_index").orderBy(pos)
+    marked = marked.withColumn("_again", F.row_number().over(by_item) > 1)
+    marked = marked.withColumn("_at", F.when(F.col("_matched"), F.col("onset")))
+    if width is None:
+        before = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+        marked = marked.withColumn("_last", F.last("_at", ignorenulls=True).over(before))
+    else:
+        marked = scan(marked, key, [pos], width, _last=LastBefore("_at"))
     return marked.select(
         key,
         pos,
@@ -162,7 +166,7 @@ def annotate_recall(words: DataFrame, pool: DataFrame, threshold: float = FUZZY_
         F.coalesce("_index", F.lit(-1)).alias("pool_index"),
         half_even("_s", 3).alias("match_score"),
         (~F.col("_matched")).alias("intrusion"),
-        F.coalesce(F.col("_matched") & (F.col(pos) > F.col("_first")), F.lit(False)).alias("repetition"),
+        (F.col("_matched") & F.col("_again")).alias("repetition"),
         F.when(F.col("_matched"), half_even(F.col("onset") - F.col("_last"), 3)).alias("irt"),
     )
 

@@ -11,6 +11,9 @@ Frames of so many rows before and after (``in_blocks``) first number the rows of
 key by a running count, then cut by number, so that blocks are equal, and copy the
 few rows that a neighbour's frames reach.
 
+The scan reads its rows twice. Where stimuli are short, ``width`` None takes one
+window a key instead, which reads them once.
+
 The order must be total; NULL keys are a key of their own, and rows whose first
 order column is NULL come before all others of their key.
 """
@@ -58,9 +61,14 @@ def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return out
 
 
-def scan(df: DataFrame, key: str | list[str], order: list[str], width: float, **wanted: Lag | Running | LastBefore) -> DataFrame:
+def scan(df: DataFrame, key: str | list[str], order: list[str], width: float | None, **wanted: Lag | Running | LastBefore) -> DataFrame:
     """``df`` with a column for each of ``wanted``, computed in ``order`` inside ``key``."""
     keys = [key] if isinstance(key, str) else list(key)
+    if width is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+        whole = {Lag: lambda v: F.lag(v).over(w), Running: lambda v: F.sum(F.coalesce(v, F.lit(0))).over(upto), LastBefore: lambda v: F.last(v, ignorenulls=True).over(before)}
+        return df.select(*[c for c in df.columns if c not in wanted], *[whole[type(op)](F.col(op.value)).alias(n) for n, op in wanted.items()])
     parts = [*keys, BUCKET]
     rows = df if BUCKET in df.columns else df.withColumn(BUCKET, bucket(order[0], width))
     inside = Window.partitionBy(*parts).orderBy(*order)
@@ -96,13 +104,13 @@ def scan(df: DataFrame, key: str | list[str], order: list[str], width: float, **
     return ranked.join(table, match, "left").select(*[c for c in rows.columns if c not in wanted], *[e.alias(n) for n, e in final.items()])
 
 
-def numbered(df: DataFrame, key: str | list[str], order: list[str], width: float, name: str = "_n") -> DataFrame:
+def numbered(df: DataFrame, key: str | list[str], order: list[str], width: float | None, name: str = "_n") -> DataFrame:
     """Rows of each key numbered from 0."""
     one = scan(df.withColumn("_one", F.lit(1)), key, order, width, **{name: Running("_one")})
     return one.withColumn(name, F.col(name) - 1).drop("_one")
 
 
-def in_blocks(df: DataFrame, key: str, order: list[str], width: float, before: int, after: int, size: int = 65_536) -> tuple[DataFrame, Window, Column]:
+def in_blocks(df: DataFrame, key: str, order: list[str], width: float | None, before: int, after: int, size: int = 65_536) -> tuple[DataFrame, Window, Column]:
     """(rows, window, mine): rows numbered as ``_n`` in equal blocks with copies at the seams.
 
     Frames of at most ``before`` rows before and ``after`` rows after, over

@@ -232,7 +232,7 @@ def word_pool(spark, sf_dir) -> DataFrame:
 
 
 def _recall(spark, sf_dir):
-    return R.annotate_recall(words(spark, sf_dir).withColumnRenamed("word_idx", "pos"), word_pool(spark, sf_dir), fuzzy=False)
+    return R.annotate_recall(words(spark, sf_dir).withColumnRenamed("word_idx", "pos"), word_pool(spark, sf_dir), fuzzy=False, width=10_000)
 
 
 @query(f"WITH {_RECALL} SELECT stimulus_id, word_idx, word, matched_item, pool_index, intrusion FROM rc")
@@ -305,7 +305,7 @@ def speech_timing(spark, sf_dir):
 
 @query(f"WITH {_TIMING} SELECT stimulus_id, word_idx, gap AS pause FROM gp WHERE gap IS NOT NULL")
 def pauses(spark, sf_dir):
-    return O.pauses(words(spark, sf_dir), 3.0, ["word_idx"]).select("stimulus_id", "word_idx", "pause")
+    return O.pauses(words(spark, sf_dir), 3.0, ["word_idx"], width=10_000).select("stimulus_id", "word_idx", "pause")
 
 
 @query("""WITH e AS (SELECT user_id AS stimulus_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events),
@@ -345,7 +345,7 @@ SELECT stimulus_id, k, round(avg(v) OVER (PARTITION BY stimulus_id ORDER BY k RO
 def rolling_mean(spark, sf_dir):
     native = events(spark, sf_dir)
     grid = G.to_grid(native, fixed_durations(native), HOP, means=("value",))
-    return O.rolling_mean(grid, "value_mean", "k", 3).select("stimulus_id", "k", F.round("rolling", 6).alias("rolling"))
+    return O.rolling_mean(grid, "value_mean", "k", 3, width=65_536).select("stimulus_id", "k", F.round("rolling", 6).alias("rolling"))
 
 
 @query(f"""WITH {_GRID}, m AS (SELECT sp.stimulus_id, sp.k, count(bn.t)::DOUBLE AS v FROM sp LEFT JOIN bn ON sp.stimulus_id = bn.stimulus_id AND sp.k = bn.k GROUP BY ALL),
@@ -354,7 +354,7 @@ SELECT x.stimulus_id, x.k, round(sum(m.v) / 6, 6) AS smoothed FROM x JOIN m ON x
 def uniform_filter_nearest(spark, sf_dir):
     native = events(spark, sf_dir)
     grid = G.to_grid(native, fixed_durations(native), HOP, rate="rate").withColumn("n", F.round(F.col("rate") * HOP))
-    return O.uniform_filter(grid, "n", "k", 6).select("stimulus_id", "k", F.round("smoothed", 6).alias("smoothed"))
+    return O.uniform_filter(grid, "n", "k", 6, width=65_536).select("stimulus_id", "k", F.round("smoothed", 6).alias("smoothed"))
 
 
 @query(f"WITH {_EV}, s AS (SELECT stimulus_id, lead(t) OVER (PARTITION BY stimulus_id ORDER BY t) - t AS d FROM ev) SELECT stimulus_id, round(coalesce(median(d) FILTER (WHERE d > 0), 0.5), 6) AS hop FROM s GROUP BY 1")
