@@ -2,7 +2,8 @@
 
 PCA runs as Spark ML over all rows. PPCA with missing entries iterates on the
 driver over sufficient statistics that executors sum; MDS is a driver routine
-for at most ``MDS_MAX`` rows, which the method choice respects.
+for at most ``MDS_MAX`` rows, which the method choice respects; ``landmarks`` scales
+any number of rows.
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ def ppca(df: DataFrame, columns: list[str], k: int = 2, iterations: int = 100, t
 def mds(x: np.ndarray, k: int = 2, metric: bool = True, iterations: int = 300, tolerance: float = 1e-4, seed: int = 0) -> tuple[np.ndarray, float]:
     """VIZ3: SMACOF from one seeded start; non-metric stress uses isotonic disparities."""
     if len(x) > MDS_MAX:
-        raise ValueError(f"MDS takes at most {MDS_MAX} rows; use PCA")
+        raise ValueError(f"MDS takes at most {MDS_MAX} rows; use landmarks or PCA")
     validate(len(x), x.shape[1])
     n = len(x)
     target = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0))
@@ -192,6 +193,10 @@ def project(df: DataFrame, columns: list[str], method: str = "pca", k: int = 2)
         return pca(df, columns, k)[0]
     if method == "ppca":
         return ppca(df, columns, k)[0]
+    if method == "landmarks":
+        from .landmarks import landmark_mds
+
+        return landmark_mds(df, columns, k)[0]
     if method in ("mds", "nmds"):
         rows = impute_mean(df, columns).limit(MDS_MAX + 1).toPandas()
         y, _ = mds(rows[columns].to_numpy(dtype=float), k, method == "mds")

@@ -1026,6 +1026,33 @@ def ppca_missing(spark, sf_dir):
     return ppca(holes, columns, 2)[0].select("vec_id", "projection")
 
 
+@query("""WITH RECURSIVE v AS (SELECT list_transform(embedding, lambda c: c::DOUBLE) AS x, min(vec_id) AS vec_id FROM embeddings GROUP BY ALL),
+u AS (SELECT unnest(list_transform(embedding, lambda c: c::DOUBLE)) AS c, unnest(range(len(embedding))) AS i FROM embeddings),
+me AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(c) AS m FROM u GROUP BY i)),
+pick(place, seen, vec_id, d) AS (
+  SELECT * FROM (SELECT 1 AS place, [x] AS seen, vec_id, list_distance(m, x) AS d FROM v, me ORDER BY d DESC, x LIMIT 1)
+  UNION ALL SELECT * FROM (SELECT place + 1, list_append(seen, x) AS seen, v.vec_id, list_min(list_transform(seen, lambda l: list_distance(l, x))) AS d FROM pick, v WHERE place < 12 ORDER BY d DESC, x LIMIT 1))
+SELECT place, vec_id, round(d, 6) AS distance FROM pick""")
+def landmark_traversal(spark, sf_dir):
+    """VIZ3: the rows that a farthest-point traversal takes, and how far each was from those before it."""
+    from .explore.landmarks import farthest_points
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    chosen = farthest_points(vectors, 12, "x")
+    listed = [(i + 1, list(map(float, p)), float(d)) for i, (p, d) in enumerate(zip(chosen.points, chosen.reach, strict=True))]
+    taken = F.broadcast(spark.createDataFrame(listed, "place int, x array<double>, distance double"))
+    return vectors.join(taken, "x").groupBy("place").agg(F.min("vec_id").alias("vec_id"), F.round(F.first("distance"), 6).alias("distance"))
+
+
+@query()
+def landmark_projection(spark, sf_dir):
+    """VIZ3: every row placed by its distances to 32 landmarks; tests hold it against scaling of all rows."""
+    from .explore.landmarks import landmark_mds
+
+    wide = table(spark, sf_dir, "embeddings").select("vec_id", *V.flatten_columns("embedding", "e", 64))
+    return landmark_mds(wide, [c for c in wide.columns if c != "vec_id"], 3)[0].select("vec_id", "projection")
+
+
 _MOMENTS = """pr AS (SELECT vec_id, (vec_id % 37) % 5 AS fold, label / 10.0::DOUBLE AS y, embedding FROM embeddings),
 vv AS (SELECT vec_id, fold, list_concat(list_transform(embedding, lambda x: x::DOUBLE), [y, 1.0::DOUBLE]) AS v FROM pr),
 xx AS (SELECT vec_id, fold, unnest(v) AS x, unnest(range(len(v))) AS i FROM vv),
