@@ -174,8 +174,9 @@ def _on_grid(native: DataFrame, durations: DataFrame, models: list[Model], hop:
 class _Run:
     """What the models of one run share: a waveform per rate, an embedding pass per family, the speech series."""
 
-    def __init__(self, stimuli: DataFrame | None, hop: float, providers: dict, out: ScoreResult, chunks: Callable[[int, float], DataFrame] | None = None):
+    def __init__(self, stimuli: DataFrame | None, hop: float, providers: dict, out: ScoreResult, chunks: Callable[[int, float], DataFrame] | None = None, profiles: dict | None = None):
         self.stimuli, self.hop, self.providers, self.out, self.chunks = stimuli, hop, providers, out, chunks
+        self.profile = (profiles or {}).get
         self._pcm: dict[int, DataFrame] = {}
         self._passes: dict[str, DataFrame] = {}
 
@@ -200,7 +201,7 @@ class _Run:
         if name not in self._passes:
             model = self.providers[name]
             sr = getattr(model, "sr", m.sr)
-            vectors = embed(self.pcm(sr), model, self.hop) if self.chunks is None else embed_chunks(self.chunks(sr, (getattr(model, "window_sec", None) or self.hop) + 0.1), model, self.hop)
+            vectors = embed(self.pcm(sr), model, self.hop, profile=self.profile(name)) if self.chunks is None else embed_chunks(self.chunks(sr, (getattr(model, "window_sec", None) or self.hop) + 0.1), model, self.hop, profile=self.profile(name))
             self._passes[name] = vectors.persist()
             self.out.held.append(self._passes[name])
         return self._passes[name]
@@ -211,7 +212,7 @@ class _Run:
         key = f"series {name}"
         if key not in self._passes:
             model = self.providers[name]
-            self._passes[key] = series(self.pcm(getattr(model, "sr", MODELS[name].sr)), model).persist()
+            self._passes[key] = series(self.pcm(getattr(model, "sr", MODELS[name].sr)), model, self.profile(name)).persist()
             self.out.held.append(self._passes[key])
         return self._passes[key]
 
@@ -268,10 +269,10 @@ def _rows(run: _Run, m: Model) -> DataFrame:
 
     model = run.providers[m.name]
     pcm = run.pcm(getattr(model, "sr", m.sr))
-    told = base.info(pcm, model)
+    told = base.info(pcm, model, run.profile(m.name))
     if told is not None:
         run.out.meta["models"][m.name]["info"] = told
-    return base.rows(pcm, model)
+    return base.rows(pcm, model, run.profile(m.name))
 
 
 def _decoded(run: _Run, m: Model) -> DataFrame:
@@ -284,7 +285,7 @@ def _decoded(run: _Run, m: Model) -> DataFrame:
     run.out.held.append(decoded)
     if not hasattr(model, "penalised"):
         return decoded
-    again = lambda bad, penalty: base.rows(run.pcm(model.sr).join(bad, KEY, "left_semi"), model.penalised(penalty))
+    again = lambda bad, penalty: base.rows(run.pcm(model.sr).join(bad, KEY, "left_semi"), model.penalised(penalty), run.profile(m.name))
     return transcripts.retry(decoded, again)
 
 
@@ -306,6 +307,7 @@ def score(
     bank: DataFrame | None = None,
     verbatim: bool = False,
     chunks: Callable[[int, float], DataFrame] | None = None,
+    profiles: dict | None = None,
 ) -> ScoreResult:
     """Score a corpus of stimuli with the named models.
 
@@ -319,7 +321,8 @@ def score(
     of chunks by (rate, seconds of halo), for instance ``recordings(spark, path)``;
     what is local (``LOCAL`` kernels and embeddings) then reads chunks of
     recordings of any length, and only other models read ``stimuli``, which may be
-    None without them. Steps run in a fixed
+    None without them. ``profiles``: resource profiles of provider passes by the
+    provider's name (``providers.base.device_profile``). Steps run in a fixed
     order: frames, beats, speakers, transcript, then recall, voice and speaker
     joins.
     """
@@ -343,7 +346,7 @@ def score(
     if missing:
         raise ModelError(f"no provider for {', '.join(dict.fromkeys(missing))}")
     out = ScoreResult(meta={"models": {m.name: {"columns": list(m.columns), "window_sec": m.window_sec, "sr": m.sr} for m in models}, "hop": hop})
-    run = _Run(stimuli, hop, providers, out, chunks)
+    run = _Run(stimuli, hop, providers, out, chunks, profiles)
     asked = {m.name: m for m in models}
     framed = [m for m in models if m.level == "frame"]
     if framed:

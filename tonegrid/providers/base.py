@@ -11,6 +11,9 @@ the gates. There are three shapes of output:
 
 A provider may also tell about a clip (``info``): pairs that end up beside the
 model's entry in the provenance document.
+
+Where a pass runs is a resource profile (``device_profile``): its stage, and only
+it, asks for executors with devices, where the cluster schedules by stage.
 """
 
 from __future__ import annotations
@@ -164,6 +167,24 @@ def provider(name: str, **options):
     return _REGISTRY[name](**{k: v for k, v in options.items() if v is not None})
 
 
+def device_profile(devices: float = 1, executor_devices: int | None = None, cpus: int = 1, memory: str | None = None, script: str | None = None, resource: str = "gpu"):
+    """UDF4: what a provider's pass asks of its tasks, a share of a device included.
+
+    With ``executor_devices`` the stage also gets executors of its own (dynamic
+    allocation), which ``script`` discovers devices on; without, tasks are fitted
+    into the executors that run.
+    """
+    from pyspark.resource import ExecutorResourceRequests, ResourceProfileBuilder, TaskResourceRequests
+
+    builder = ResourceProfileBuilder().require(TaskResourceRequests().cpus(cpus).resource(resource, devices))
+    if executor_devices is not None:
+        asked = ExecutorResourceRequests().resource(resource, executor_devices, script or "")
+        builder = builder.require(asked.memory(memory) if memory else asked)
+    elif memory or script:
+        raise ModelError("memory and script are of executors: give executor_devices")
+    return builder.build
+
+
 def context_windows(y: np.ndarray, sr: int, hop: float, n: int, seconds: float) -> Iterator[np.ndarray]:
     """CTX1-2: the clamped context of every grid window; a short clip is its own context."""
     duration, size = len(y) / sr, int(seconds * sr)
@@ -210,7 +231,7 @@ def _embedded(kind: str) -> str:
     return f"{KEY} {kind}, k int, time double, embedding array<float>, context_rms double"
 
 
-def embed(pcm: DataFrame, model: Provider, hop: float, batch: int = 8) -> DataFrame:
+def embed(pcm: DataFrame, model: Provider, hop: float, batch: int = 8, profile=None) -> DataFrame:
     """EMB5, FRM13-14: (stimulus_id, k, time, embedding, context_rms), one pass shared by all models of a family; persist the result.
 
     The level of the context that the silence gate asks for is taken in the same pass.
@@ -227,10 +248,10 @@ def embed(pcm: DataFrame, model: Provider, hop: float, batch: int = 8) -> DataFr
         for part in batches:
             yield from _batched(contexts([part], ready.window_sec or hop), ready, hop, batch, part.schema.field(0).type)
 
-    return pcm.select(KEY, "sr", "samples").mapInArrow(run, _embedded(dict(pcm.dtypes)[KEY]))
+    return pcm.select(KEY, "sr", "samples").mapInArrow(run, _embedded(dict(pcm.dtypes)[KEY]), profile=profile)
 
 
-def embed_chunks(chunks: DataFrame, model: Provider, hop: float, batch: int = 8) -> DataFrame:
+def embed_chunks(chunks: DataFrame, model: Provider, hop: float, batch: int = 8, profile=None) -> DataFrame:
     """``embed`` over chunks (``sources.chunks``), whose halos must be a context or longer.
 
     A context belongs to the chunk in which it starts, so every one is cut from one
@@ -256,10 +277,10 @@ def embed_chunks(chunks: DataFrame, model: Provider, hop: float, batch: int = 8)
         if first is not None:
             yield from _batched(contexts(itertools.chain([first], batches), ready.window_sec or hop), ready, hop, batch, first.schema.field(0).type)
 
-    return chunks.select(KEY, "sr", "n_samples", "start", "lead", "core", "samples").mapInArrow(run, _embedded(dict(chunks.dtypes)[KEY]))
+    return chunks.select(KEY, "sr", "n_samples", "start", "lead", "core", "samples").mapInArrow(run, _embedded(dict(chunks.dtypes)[KEY]), profile=profile)
 
 
-def series(pcm: DataFrame, model: Provider) -> DataFrame:
+def series(pcm: DataFrame, model: Provider, profile=None) -> DataFrame:
     """FRM10, FRM12, FRM18: (stimulus_id, t, columns…) at the provider's own rate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,10 +289,10 @@ def series(pcm: DataFrame, model: Provider) -> DataFrame:
             names = ["t", *model.columns]
             yield pa.RecordBatch.from_arrays([pa.array([stimulus] * len(found["t"]), pa.string()), *[pa.array(np.asarray(found[c], dtype=np.float64)) for c in names]], names=[KEY, *names])
 
-    return pcm.select(KEY, "sr", "samples").mapInArrow(run, f"{KEY} string, t double" + "".join(f", `{c}` double" for c in model.columns))
+    return pcm.select(KEY, "sr", "samples").mapInArrow(run, f"{KEY} string, t double" + "".join(f", `{c}` double" for c in model.columns), profile=profile)
 
 
-def rows(pcm: DataFrame, model: Provider) -> DataFrame:
+def rows(pcm: DataFrame, model: Provider, profile=None) -> DataFrame:
     """TXT1, TXT8, UDF3: a table function, any number of rows of ``model.schema`` per clip."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -282,10 +303,10 @@ def rows(pcm: DataFrame, model: Provider) -> DataFrame:
         for stimulus, sr, y in _clips(batches):
             yield pa.RecordBatch.from_pylist([{KEY: stimulus, **r} for r in _loaded(model).clip(y, sr)], schema=arrow)
 
-    return pcm.select(KEY, "sr", "samples").mapInArrow(run, kinds)
+    return pcm.select(KEY, "sr", "samples").mapInArrow(run, kinds, profile=profile)
 
 
-def info(pcm: DataFrame, model: Provider) -> DataFrame | None:
+def info(pcm: DataFrame, model: Provider, profile=None) -> DataFrame | None:
     """UDF2: (stimulus_id, info as JSON) of a provider that tells about clips."""
     if not hasattr(model, "info"):
         return None
@@ -294,4 +315,4 @@ def info(pcm: DataFrame, model: Provider) -> DataFrame | None:
         for stimulus, sr, y in _clips(batches):
             yield pa.RecordBatch.from_arrays([pa.array([stimulus]), pa.array([json.dumps(_loaded(model).info(y, sr))])], names=[KEY, "info"])
 
-    return pcm.select(KEY, "sr", "samples").mapInArrow(run, f"{KEY} string, info string")
+    return pcm.select(KEY, "sr", "samples").mapInArrow(run, f"{KEY} string, info string", profile=profile)

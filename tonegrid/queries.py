@@ -929,6 +929,15 @@ def _levels(spark, sf_dir, seconds: float | None = None) -> DataFrame:
     return numbered.select(F.col("stimulus_id").cast("string").alias("stimulus_id"), level.alias("x"), F.explode(F.sequence(F.col("e") * 50, F.col("e") * 50 + 49)).alias("i"))
 
 
+def _whole_clips(spark, sf_dir) -> DataFrame:
+    """(stimulus_id, sr, duration, samples) of the same levels."""
+    from .sources.chunks import chunk_samples
+
+    pieces = chunk_samples(_levels(spark, sf_dir), "i", "x", 100, 5000, 0)
+    whole = pieces.groupBy("stimulus_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "samples"))), lambda s: s["samples"])).alias("samples"))
+    return whole.select("stimulus_id", F.lit(100).alias("sr"), (F.size("samples") / 100).alias("duration"), "samples")
+
+
 def _contexts(spark, sf_dir) -> DataFrame:
     from .providers.base import StubProvider, embed_chunks
     from .sources.chunks import chunk_samples
@@ -960,12 +969,31 @@ SELECT clip::VARCHAR AS stimulus_id, turn::INTEGER AS turn_idx, 'S' || (turn % 2
 def provider_turns(spark, sf_dir):
     """TXT8, UDF3: a provider as a table function over whole clips; its rows become numbered turns."""
     from .providers.base import StubTurns, rows
-    from .sources.chunks import chunk_samples
 
-    pieces = chunk_samples(_levels(spark, sf_dir), "i", "x", 100, 5000, 0)
-    whole = pieces.groupBy("stimulus_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "samples"))), lambda s: s["samples"])).alias("samples"))
-    clips = whole.select("stimulus_id", F.lit(100).alias("sr"), (F.size("samples") / 100).alias("duration"), "samples")
-    return O.number_turns(rows(clips, StubTurns(sr=100))).select("stimulus_id", "turn_idx", "speaker", "onset", "offset")
+    return O.number_turns(rows(_whole_clips(spark, sf_dir), StubTurns(sr=100))).select("stimulus_id", "turn_idx", "speaker", "onset", "offset")
+
+
+@query(f"""WITH {_CLIPS}, l AS (SELECT clip, e, x > 0.01 AS loud, e - row_number() OVER (PARTITION BY clip, x > 0.01 ORDER BY e) AS g, count(*) OVER (PARTITION BY clip) * 0.5::DOUBLE AS duration FROM ce),
+r AS (SELECT clip, duration, min(e) AS a, max(e) + 1 AS b, row_number() OVER (PARTITION BY clip ORDER BY min(e)) - 1 AS turn FROM l WHERE loud GROUP BY clip, duration, g)
+SELECT clip::VARCHAR AS stimulus_id, duration, 'S' || (turn % 2) AS speaker, a * 0.5::DOUBLE AS onset, b * 0.5::DOUBLE AS "offset" FROM r""")
+def lateral_provider_turns(spark, sf_dir):
+    """UDF3: a provider as a table function in a lateral join of SQL."""
+    from .providers.base import StubTurns
+    from .providers.tables import register_provider
+
+    register_provider(spark, "stub_turns", StubTurns(sr=100))
+    clips = _whole_clips(spark, sf_dir)
+    return spark.sql("SELECT c.stimulus_id, c.duration, r.speaker, r.onset, r.`offset` FROM {clips} c, LATERAL stub_turns(c.sr, c.samples) r", clips=clips)
+
+
+@query(f"WITH {_WORDS} SELECT stimulus_id, word_idx::BIGINT AS word_idx, round(onset - lag(offset_) OVER (PARTITION BY stimulus_id ORDER BY word_idx), 6) AS gap FROM wd")
+def table_word_gaps(spark, sf_dir):
+    """UDF3, WIN3: an Arrow table function over a partitioned and ordered table; the place of a word is its order."""
+    from .providers.tables import register_gaps
+
+    register_gaps(spark, "word_gaps", "bigint", order="word_idx")
+    said = words(spark, sf_dir).select("stimulus_id", F.col("word_idx").cast("long").alias("word_idx"), "onset", "offset")
+    return spark.sql("SELECT stimulus_id, word_idx, round(gap, 6) AS gap FROM word_gaps(TABLE(SELECT * FROM {said}) PARTITION BY stimulus_id ORDER BY word_idx)", said=said)
 
 
 @query(f"""WITH {_SIGNAL}, fr AS (SELECT signal, unnest(range(n // 16 + 1)) AS f FROM nn)
