@@ -35,10 +35,22 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 SAMPLES, RATE = "samples", "sr"
 
 
+#: Bytes of an Arrow batch on its way to a table function, which turns all samples of a batch into Python numbers at once.
+BATCH_BYTES = 1 << 22
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes in this session, unless its own bound is lower."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def register_provider(spark: SparkSession, name: str, model) -> None:
-    """``model`` (a provider of rows) as the table function ``name``."""
+    """``model`` (a provider of rows) as the table function ``name``; Arrow batches of the session are bounded to ``BATCH_BYTES``."""
     from pyspark.sql.functions import AnalyzeResult, udtf
 
+    small_batches(spark)
     own: StructType = _parse_datatype_string(model.schema)
     found = [f.name for f in own.fields]
 

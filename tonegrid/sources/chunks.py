@@ -9,7 +9,8 @@ clip would give.
 
 Chunks come from WAV files by byte range (``wav_chunks``, a data source: tasks
 read a header and their own range, nothing is listed but names and sizes), from
-tables of samples (``chunk_samples``), or from clips in rows (``chunk_clips``).
+tables of samples (``chunk_samples``) or of runs of equal samples (``chunk_runs``), or
+from clips in rows (``chunk_clips``).
 A row holds at most ``MAX_BYTES`` of samples.
 """
 
@@ -172,6 +173,19 @@ def chunk_samples(samples: DataFrame, position: str, value: str, sr: int, core:
     )
 
 
+def chunk_runs(runs: DataFrame, position: str, value: str, each: int, sr: int, core: int, halo: int, key: str = KEY) -> DataFrame:
+    """``chunk_samples`` of signals given as runs of ``each`` equal samples: run r is the samples from r * each on.
+
+    Runs are shuffled, samples are not: they are written out inside the chunk.
+    """
+    if each <= 0 or core % each or halo % each:
+        raise InputError("chunks and halos are whole runs")
+    _checked(core, halo)
+    short = chunk_samples(runs, position, value, sr, core // each, halo // each, key)
+    whole = lambda c: (F.col(c) * each).alias(c)
+    return short.select(KEY, "sr", whole("n_samples"), "chunk", whole("start"), whole("lead"), whole("core"), F.flatten(F.transform("samples", lambda x: F.array_repeat(x, each))).alias("samples"))
+
+
 def chunk_clips(pcm: DataFrame, core: int, halo: int) -> DataFrame:
     """Chunks of clips that are one row each (``decode_stimuli``): slices, in the JVM."""
     _checked(core, halo)
