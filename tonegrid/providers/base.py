@@ -75,9 +75,14 @@ class StubProvider:
 
     def run(self, windows: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(windows), self.dims))
-        for k, w in enumerate(windows):
-            parts = np.array_split(np.asarray(w, dtype=np.float64), self.dims)
-            out[k] = [np.sqrt(np.mean(p**2)) if len(p) else 0.0 for p in parts]
+        lengths = np.array([len(w) for w in windows])
+        for n in set(lengths[lengths >= self.dims].tolist()):
+            same = np.flatnonzero(lengths == n)
+            squares = np.square(np.stack([windows[k] for k in same]), dtype=np.float64)
+            sizes = n // self.dims + (np.arange(self.dims) < n % self.dims)
+            out[same] = np.sqrt(np.add.reduceat(squares, np.cumsum(sizes) - sizes, axis=1) / sizes)
+        for k in np.flatnonzero(lengths < self.dims):
+            out[k, : lengths[k]] = np.abs(windows[k])
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms > 0, norms, 1)
 
@@ -207,23 +212,37 @@ def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.nda
             yield batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].values.to_numpy()
 
 
+#: Vectors of an Arrow batch on its way back; a model still gets ``size`` contexts a call.
+OUT_ROWS = 2048
+
+
+def _levels(windows: list[np.ndarray]) -> list[float]:
+    """RMS of every window; windows of one length at once."""
+    if len(windows[0]) and len({len(w) for w in windows}) == 1:
+        return np.sqrt(np.mean(np.square(np.stack(windows), dtype=np.float64), axis=1)).tolist()
+    return [float(np.sqrt(np.mean(np.square(x, dtype=np.float64)))) if len(x) else 0.0 for x in windows]
+
+
 def _batched(contexts: Iterator[tuple[str, int, np.ndarray]], model: Provider, hop: float, size: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Vectors of (stimulus, k, context), ``size`` contexts at a time, whatever stimuli they are of."""
-    held: list[tuple[str, int, np.ndarray]] = []
+    """Vectors of (stimulus, k, context), ``size`` contexts a call of the model, whatever stimuli they are of."""
+    stimuli, ks, vectors, levels = [], [], [], []
 
     def out() -> pa.RecordBatch:
-        stimuli, ks, windows = zip(*held, strict=True)
-        found = model.run(list(windows))
-        level = [float(np.sqrt(np.mean(np.square(x, dtype=np.float64)))) if len(x) else 0.0 for x in windows]
         k = np.array(ks, dtype=np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(stimuli, kind), pa.array(k), pa.array((k + 0.5) * hop), pa.array([v.astype(np.float32) for v in found], pa.list_(pa.float32())), pa.array(level)], names=[KEY, "k", "time", "embedding", "context_rms"])
-
-    for item in contexts:
-        held.append(item)
-        if len(held) == size:
+        ends = np.cumsum([0, *map(len, vectors)], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(vectors), pa.float32()))
+        return pa.RecordBatch.from_arrays([pa.array(stimuli, kind), pa.array(k), pa.array((k + 0.5) * hop), lists, pa.array(levels, pa.float64())], names=[KEY, "k", "time", "embedding", "context_rms"])
+
+    while held := list(itertools.islice(contexts, size)):
+        named, at, windows = map(list, zip(*held, strict=True))
+        stimuli += named
+        ks += at
+        vectors += [np.asarray(v, dtype=np.float32) for v in model.run(windows)]
+        levels += _levels(windows)
+        if len(ks) >= OUT_ROWS:
             yield out()
-            held = []
-    if held:
+            stimuli, ks, vectors, levels = [], [], [], []
+    if ks:
         yield out()
 
 
@@ -263,11 +282,14 @@ def embed_chunks(chunks: DataFrame, model: Provider, hop: float, batch: int = 8,
             for i in range(part.num_rows):
                 stimulus, sr, n, start, lead, core = (part.column(c)[i].as_py() for c in range(6))
                 y, size = part.column(6)[i].values.to_numpy(), int(seconds * sr)
-                k = np.arange(max(1, int(np.ceil(round(n / sr / hop, 9)))))
+                last, count = int(max(n / sr - seconds, 0.0) * sr), max(1, int(np.ceil(round(n / sr / hop, 9))))
+                near = lambda sample: int((sample / sr + seconds / 2) / hop)
+                k = np.arange(max(near(start) - 2, 0) if start else 0, count if last < start + core else min(near(start + core) + 2, count))
                 at = (np.minimum(np.maximum((k + 0.5) * hop - seconds / 2, 0.0), max(n / sr - seconds, 0.0)) * sr).astype(np.int64)
-                for mine in k[(at >= start) & (at < start + max(core, 1))].tolist():
-                    own = y[at[mine] - start + lead :][: min(n, size)]
-                    if len(own) < min(n - at[mine], size):
+                owned = (at >= start) & (at < start + max(core, 1))
+                for mine, begin in zip(k[owned].tolist(), at[owned].tolist(), strict=True):
+                    own = y[begin - start + lead :][: min(n, size)]
+                    if len(own) < min(n - begin, size):
                         raise ModelError(f"contexts of {seconds} s need halos as long")
                     yield stimulus, mine, own
 

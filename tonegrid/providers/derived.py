@@ -49,10 +49,10 @@ def prompt_bank(spark: SparkSession, model) -> DataFrame:
     return E.ensemble_bank(table, "category", "embedding")
 
 
-def music_emotion(embeddings: DataFrame, probe: dict[str, tuple[list[float], float]], vector: str = "embedding") -> DataFrame:
-    """FRM15: clipped linear read-outs; silent windows are missing."""
+def music_emotion(embeddings: DataFrame, probe: dict[str, tuple[list[float], float]], vector: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
+    """FRM15: clipped linear read-outs; silent windows are missing. ``keep``: columns to carry along."""
     out = E.linear_probe(embeddings, vector, {f"music_emotion_{k}": v for k, v in probe.items()})
-    return out.select(KEY, "k", *[C.gate(F.col(f"music_emotion_{k}"), ~F.col("silent")).alias(f"music_emotion_{k}") for k in probe])
+    return out.select(KEY, "k", *keep, *[C.gate(F.col(f"music_emotion_{k}"), ~F.col("silent")).alias(f"music_emotion_{k}") for k in probe])
 
 
 def sound_events(embeddings: DataFrame, bank: DataFrame, names: list[str], vector: str = "embedding") -> DataFrame:
