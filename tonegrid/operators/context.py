@@ -16,6 +16,16 @@ def context_start(centre: Column, width: float, duration: Column) -> Column:
     return F.least(F.greatest(centre - width / 2, F.lit(0.0)), F.greatest(duration - width, F.lit(0.0)))
 
 
+#: Values under ``_EXACT_BELOW`` are summed as whole multiples of 1 / ``_PARTS`` and a rest.
+_PARTS, _EXACT_BELOW = float(1 << 24), 1e9
+
+
+def _split(v: Column) -> tuple[Column, Column]:
+    """(whole, rest): whole / _PARTS + rest is the value; sums of the first are exact, and differences of such sums too."""
+    whole = F.when(F.abs(v) < _EXACT_BELOW, F.floor(v * _PARTS)).otherwise(F.lit(0).cast("long"))
+    return F.when(v.isNotNull(), whole).cast("decimal(18,0)"), v - whole.cast("double") / _PARTS
+
+
 def context_stats(native: DataFrame, spine_df: DataFrame, durations: DataFrame, width: float, value: str, key: str = KEY, t: str = "t") -> DataFrame:
     """CTX2-4: count, mean and RMS of ``value`` over the clamped context of every grid row.
 
@@ -23,7 +33,9 @@ def context_stats(native: DataFrame, spine_df: DataFrame, durations: DataFrame,
     bounds of a context are rows among them. A running sum inside a bucket is
     known at each bound, and a context reaches from one bucket into the next at
     most, so its sums are differences of two bounds. Every value is shuffled
-    once, however many contexts it lies in.
+    once, however many contexts it lies in. Differences of sums of doubles would
+    keep the rounding of all values before; sums are exact down to 2^-24, so a mean
+    that is a gate's threshold is that threshold.
     """
     rows = spine_df.join(durations.select(key, F.col("duration").alias("_duration")), key)
     rows = rows.withColumn("_from", context_start(F.col("time"), width, F.col("_duration"))).withColumn("_to", F.col("_from") + width)
@@ -35,9 +47,11 @@ def context_stats(native: DataFrame, spine_df: DataFrame, durations: DataFrame,
     values = native.select(F.col(key), F.lit(None).cast("int").alias("k"), F.col(t).cast("double").alias("_t"), bucket(F.col(t)).alias("_bucket"), F.lit(0).alias("_sign"), F.lit(0).alias("_whole"), F.col(value).cast("double").alias("_v"))
     part = Window.partitionBy(key, "_bucket")
     upto = part.orderBy("_t", F.abs("_sign").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a bound stands before the values at its own time
-    columns = {"_n": F.count("_v"), "_s": F.sum("_v"), "_q": F.sum(F.col("_v") * F.col("_v"))}
+    halves = {n: _split(v) for n, v in (("_s", F.col("_v")), ("_q", F.col("_v") * F.col("_v")))}
+    columns = {"_n": F.count("_v")} | {f"{n}{i}": F.sum(half) for n, both in halves.items() for i, half in enumerate(both)}
     summed = bounds.unionByName(values).select(key, "k", "_sign", "_whole", *[(F.col("_sign") * F.coalesce(f.over(upto), F.lit(0)) + F.col("_whole") * F.coalesce(f.over(part), F.lit(0))).alias(n) for n, f in columns.items()])
     stats = summed.where("k is not null").groupBy(key, "k").agg(*[F.sum(n).alias(n) for n in columns])
+    stats = stats.select(key, "k", "_n", *[(F.col(f"{n}0").cast("double") / _PARTS + F.col(f"{n}1")).alias(n) for n in halves])
     some = F.col("_n") > 0
     stats = stats.select(key, "k", F.col("_n").alias("n_values"), F.when(some, F.col("_s") / F.col("_n")).alias("context_mean"), F.when(some, F.sqrt(F.greatest(F.col("_q"), F.lit(0.0)) / F.col("_n"))).alias("context_rms"))
     return spine_df.select(key, "k", "time").join(stats, [key, "k"], "left").withColumn("n_values", F.coalesce("n_values", F.lit(0)))
