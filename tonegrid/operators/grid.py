@@ -72,21 +72,34 @@ def to_grid(
     key: str = KEY,
     t: str = "t",
     duration: str = "duration",
+    spread: bool = False,
 ) -> DataFrame:
     """GRD4-6: missing-aware means, maxima and event rates on a dense grid.
 
-    A feature with no value in a window is NULL there; a rate is 0.
+    A feature with no value in a window is NULL there; a rate is 0. ``spread``: the
+    grid in stated partitions, for a family that ``assemble`` joins.
     """
     copies = native.select(key, t, *[F.col(c).alias(f"{c}_mean") for c in means], *[F.col(c).alias(f"{c}_max") for c in maxes])
     reduced = reduce_windows(copies, durations, hop, tuple(f"{c}_mean" for c in means), tuple(f"{c}_max" for c in maxes), (), key, t, duration)
-    dense = spine(durations, hop, key, duration).join(reduced, [key, "k"], "left")
+    windows = spine(durations, hop, key, duration)
+    dense = (stated(windows, key) if spread else windows).join(reduced, [key, "k"], "left")
     rated = dense.withColumn(rate, F.coalesce(F.col("_events"), F.lit(0)) / hop) if rate else dense
     return rated.select(key, "k", "time", *[f"{c}_mean" for c in means], *[f"{c}_max" for c in maxes], *([rate] if rate else []))
 
 
+def stated(grid: DataFrame, key: str = KEY) -> DataFrame:
+    """``grid`` by window in ``spark.sql.shuffle.partitions`` partitions, which adaptive execution leaves alone."""
+    return grid.repartition(int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "k")
+
+
 def assemble(spine_df: DataFrame, families: list[DataFrame], key: str = KEY) -> DataFrame:
-    """GRD7: features of several families on one grid, in request order."""
-    frames = spine_df.select(key, "k", "time")
+    """GRD7: features of several families on one grid, in request order.
+
+    All joins run in one stage, with a sort or more a family in every task. Grids
+    compress so well that adaptive execution, which goes by bytes, would make that
+    stage a few tasks however many rows there are, so its partitions are stated.
+    """
+    frames = stated(spine_df.select(key, "k", "time"), key)
     for family in families:
         frames = frames.join(family.drop("time"), [key, "k"], "left")
     return frames
