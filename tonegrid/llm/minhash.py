@@ -1,20 +1,26 @@
-"""Near-duplicate texts by the Jaccard similarity of their word-shingle sets (the pipeline's stage).
+"""Near-duplicate texts by SimHash and the Jaccard similarity of their word-shingle sets (the pipeline's stage).
 
 Two texts are linked where the sets of their five-word shingles are similar by
-0.8 or more; groups are what the links connect. Such texts differ in about ten
-bits of a SimHash, too many for Hamming balls, so candidates meet by MinHash
-bands (32 bands of 5 minima: a pair at exactly 0.8 misses all of them with
-probability 3e-6) and the exact similarity of the sets decides.
+0.8 or more; groups are what the links connect. Candidates are texts whose
+SimHash fingerprints, those of operator 8, are within three bits; the exact
+similarity of the sets decides. A pair at 0.8 differs in about ten bits, beyond
+the Hamming balls, so groups that fingerprints leave apart meet by MinHash bands
+as well (32 bands of 5 minima: a pair at exactly 0.8 misses all of them with
+probability 3e-6), under the same exact similarity.
 
 Plan
-    1. signatures in one pass (numpy); copies of a text are one node, the hash
-       of the text, so they add neither members nor pairs.
-    2. band keys that two nodes or more share give the members; the shingle sets
-       of members only are written once.
-    3. in ``STARS`` rounds, the member of every band key that has the most
+    1. fingerprints and signatures in one pass (numpy); copies of a text are one
+       node, the hash of the text, so they add neither members nor pairs.
+    2. all fingerprints meet in half-radius balls (``simhash.links``). A link of
+       two fingerprints pairs their smallest nodes, and the other nodes of a
+       fingerprint pair with its smallest: a star, never all pairs. Pairs that
+       are similar enough make the first groups.
+    3. band keys that nodes of two groups or more share give the members; the
+       shingle sets of members and of the pairs of 2 only are written once.
+    4. in ``STARS`` rounds, the member of every band key that has the most
        company meets the others whose group is not its own yet. It has met
        everyone and leaves; keys whose members are all in one group are done.
-    4. what is left is bounded before it is compared. Only shingles that a second
+    5. what is left is bounded before it is compared. Only shingles that a second
        text among them holds can be shared: with c of them among n, two texts
        cannot be more similar than min(c) / (n + n' - min(c)). Members that
        cannot reach 0.8 with anyone of their key leave. The others meet in
@@ -43,9 +49,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower_words, cut, parts, release, small_batches, texts
-from .simhash import SEED, components
+from .simhash import SEED, _majority, components, links
 
 SHINGLE = 5
+#: Words in a shingle of a fingerprint, as in operator 8.
+PRINT_SHINGLE = 3
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 5
@@ -67,7 +75,10 @@ def text_node(text):
 
 def shingle_set(text: str) -> np.ndarray:
     """Sorted distinct hashes of the shingles of ``text``; never empty."""
-    words = ascii_lower_words(text)
+    return _set_of(ascii_lower_words(text))
+
+
+def _set_of(words: list[bytes]) -> np.ndarray:
     joined = [b" ".join(words)] if len(words) < SHINGLE else map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)), strict=False))
     return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in joined], dtype="<u8"))
 
@@ -88,9 +99,13 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in parts(batches, 1):
-        sets = [shingle_set(t) for t in texts(batch.column(1))]
+        sets, prints = [], []
+        for words in map(ascii_lower_words, texts(batch.column(1))):
+            sets.append(_set_of(words))
+            prints.append(_majority(words, PRINT_SHINGLE))
         keys = [band_keys(s).view(np.int64) for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "n", "keys"])
+        columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["node", "n", "keys", "fp"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +177,7 @@ def _regrouped(members: DataFrame, groups: DataFrame | None) -> DataFrame:
 
 
 def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members (key, node, n, root) that step 4 of the plan finds."""
+    """Links between members (key, node, n, root) that step 5 of the plan finds."""
     left = members.select("node", "n").distinct()
     held = sets.join(left, "node", "left_semi")
     each = held.select("node", F.explode("shingles").alias("shingle"))
@@ -179,36 +194,63 @@ def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
     return placed.join(sets.select("node", "keys", "shingles"), "node").groupBy("key", "i", "j").applyInArrow(_meet, "a long, b long")
 
 
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b, a_n, b_n) of ``nodes`` (node, n, fp) that step 2 of the plan compares, the smaller node first."""
+    first = F.min(F.struct("node", "n")).alias("top")
+    tops = cut(nodes.groupBy("fp").agg(first, F.count("*").alias("_nodes")), "fingerprint-tops")
+    shared = nodes.join(tops.where("_nodes > 1"), "fp").where("node <> top.node").select("top", F.struct("node", "n").alias("other"))
+    left, right = (tops.select(F.col("fp").alias(side), F.col("top").alias(name)) for side, name in (("a", "top"), ("b", "other")))
+    met = shared.unionByName(links(tops).join(left, "a").join(right, "b").select("top", "other"))
+    low, high = F.least("top", "other"), F.greatest("top", "other")
+    return met.select(low["node"].alias("a"), high["node"].alias("b"), low["n"].alias("a_n"), high["n"].alias("b_n"))
+
+
+def band_members(nodes: DataFrame) -> DataFrame:
+    """(key, node, n, _members) of the band keys that two nodes or more share."""
+    banded = nodes.select(F.explode("keys").alias("key"), "node", "n")
+    return banded.join(banded.groupBy("key").agg(F.count("*").alias("_members")).where("_members > 1"), "key")
+
+
+def _able(a_n, b_n):
+    """Sets whose sizes differ by more cannot be similar."""
+    return F.least(a_n, b_n) >= SIMILARITY * F.greatest(a_n, b_n) - 1e-6
+
+
+def _judge(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+    left, right = (sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_shingles")) for side in ("a", "b"))
+    judged = pairs.join(left, "a").join(right, "b").select("a", "b", "a_shingles", "b_shingles")
+    return judged.mapInArrow(_similar, "a long, b long")
+
+
 def similar_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(node, root) of every text of ``docs`` that is in a group of two texts or more; root is the group's smallest node."""
     small_batches(docs.sparkSession)
     source = docs.select(text_node(docs[text]).alias("node"), docs[text].cast("string").alias("_text"))
-    signed = source.mapInArrow(_sign, "node long, n long, keys array<long>")
-    nodes = cut(signed.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "signatures")
-    banded = nodes.select(F.explode("keys").alias("key"), "node", "n")
-    shared = banded.groupBy("key").agg(F.count("*").alias("_members")).where("_members > 1")
-    members = cut(banded.join(shared, "key").withColumn("root", F.col("node")), "members")
+    signed = source.mapInArrow(_sign, "node long, n long, keys array<long>, fp long")
+    nodes = cut(signed.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "signatures")
+    near = cut(print_pairs(nodes.select("node", "n", "fp")).where(_able(F.col("a_n"), F.col("b_n"))).select("a", "b").distinct(), "fingerprint-pairs")
+    members = cut(band_members(nodes), "members")
     company = members.groupBy("node").agg(F.sum("_members").alias("company"))
     members = cut(members.drop("_members").join(company, "node"), "members")
-    each = source.groupBy("node").agg(F.first("_text").alias("_text")).join(company.select("node"), "node", "left_semi")
+    compared = members.select("node").unionAll(near.select("a")).unionAll(near.select("b")).distinct()
+    each = source.groupBy("node").agg(F.first("_text").alias("_text")).join(compared, "node", "left_semi")
     hashed = each.mapInArrow(_sets, "node long, shingles array<long>")
     sets = cut(hashed.join(nodes.select("node", "keys"), "node"), "shingle-sets")
-    links = groups = None
+    found = cut(_judge(near, sets), "similar")
+    groups = cut(components(found), "groups") if found.head(1) else None
+    members = cut(_mixed(_regrouped(members.withColumn("root", F.col("node")), groups)), "members")
     for _ in range(STARS):
+        if not members.head(1):
+            break
         order = F.struct("company", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
         met = members.join(members.groupBy("key").agg(F.max(order).alias("m")), "key").select("key", "node", "n", "root", "company", "m.b", "m.b_n", "m.b_root").where("node <> b")
-        # sets whose sizes differ by more cannot be similar
-        open_pairs = met.where("root <> b_root").where(F.least("n", "b_n") >= SIMILARITY * F.greatest("n", "b_n") - 1e-6)
+        open_pairs = met.where("root <> b_root").where(_able(F.col("n"), F.col("b_n")))
         pairs = open_pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        left, right = (sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_shingles")) for side in ("a", "b"))
-        judged = pairs.join(left, "a").join(right, "b").select("a", "b", "a_shingles", "b_shingles")
-        found = judged.mapInArrow(_similar, "a long, b long")
-        links = cut(found if links is None else links.unionAll(found), "similar")
-        groups = cut(components(links), "groups") if links.head(1) else None
+        found = cut(found.unionAll(_judge(pairs, sets)), "similar")
+        groups = cut(components(found), "groups") if found.head(1) else None
         members = cut(_mixed(_regrouped(met.select("key", "node", "n", "root", "company"), groups)), "members")
-        if not members.head(1):
-            break
-    else:
-        links = cut(links.unionAll(_in_blocks(members.select("key", "node", "n", "root"), sets)), "similar")
-        groups = cut(components(links), "groups")
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root")) if groups is None else groups
+    if members.head(1):
+        found = cut(found.unionAll(_in_blocks(members.select("key", "node", "n", "root"), sets)), "similar")
+        groups = cut(components(found), "groups")
+    return found.select(F.col("a").alias("node"), F.col("b").alias("root")) if groups is None else groups
