@@ -62,46 +62,87 @@ def native_columns(models: list[Model]) -> list[str]:
     return out
 
 
+#: Frames that clips are put together for (16 kB each); a longer clip is on its own.
+GROUP_FRAMES = 512
+
+
 def _layer(y: np.ndarray, families: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """(frame times, native series): the magnitude spectrum is computed once for all families."""
+    """(frame times, native series) of one clip."""
+    _, t, out = _layers([y], families)
+    return t, out
+
+
+def _layers(ys: list[np.ndarray], families: list[str]) -> tuple[list[int], np.ndarray, dict[str, np.ndarray]]:
+    """(first rows, frame times, native series) of clips, one after the other: frames, magnitudes and mel bands are computed once for all families."""
     from ..kernels import dsp
 
-    magnitudes = dsp.stft(y) if {"spectral", "onsets", "tonal", "rhythm", "timbre"} & {*families} else None
-    n = len(magnitudes) if magnitudes is not None else len(dsp.rms(y))
-    t, out = dsp.frame_times(n), {}
+    views = [dsp.frames(y) for y in ys]
+    sizes = [len(v) for v in views]
+    starts = [0, *np.cumsum(sizes)[:-1].tolist()]
+    f = np.concatenate(views) if len(views) > 1 else views[0]
+    magnitudes = dsp.magnitudes_of(f) if {"spectral", "onsets", "tonal", "rhythm", "timbre"} & {*families} else None
+    db = dsp.mel_db(magnitudes, starts=starts) if {"onsets", "rhythm", "timbre"} & {*families} else None
+    env = dsp.onset_envelope(None, db, starts) if {"onsets", "rhythm"} & {*families} else None
+    n, spans, out = len(f), dsp.clips(starts, len(f)), {}
+    t = np.concatenate([dsp.frame_times(k) for k in sizes])
     for family in families:
         if family == "loudness":
-            out["loudness_rms"] = dsp.rms(y)
+            out["loudness_rms"] = dsp.levels(f)
         elif family == "pitch":
-            out |= {f"pitch_{k}": v for k, v in dsp.pitch(y).items()}
+            out |= {f"pitch_{k}": v for k, v in dsp.pitches(f, starts).items()}
         elif family == "onsets":
-            found = dsp.onsets(y, magnitudes)
             flag = np.full(n, np.nan)
-            flag[np.searchsorted(t, found["times"])] = 1.0
-            out |= {"onsets_strength": found["strength"], "onsets_tempo": found["tempo"], "onsets_flag": flag}
+            for a, b in spans:
+                flag[a + dsp.pick_peaks(env[a:b])] = 1.0
+            out |= {"onsets_strength": env, "onsets_tempo": dsp.tempo(env, starts=starts), "onsets_flag": flag}
         elif family == "rhythm":
-            found = dsp.rhythm(y, magnitudes)
-            series = np.full(n, np.nan)
-            series[np.minimum((found["novelty_times"] * SR / dsp.HOP).astype(int), n - 1)] = found["novelty"]
-            out |= {"rhythm_pulse_clarity": found["pulse_clarity"], "rhythm_beat_strength": found["beat_strength"], "rhythm_novelty": series}
+            rate, series, cepstra = SR / dsp.HOP, np.full(n, np.nan), (db @ dsp.dct(14, 128).T)[:, :13]
+            for a, b in spans:
+                found = dsp.novelty(cepstra[a:b], rate)
+                series[a + np.minimum((found["novelty_times"] * SR / dsp.HOP).astype(int), b - a - 1)] = found["novelty"]
+            pulse = dsp.by_clip(lambda e: dsp.local_pulse(e, SR / dsp.HOP), env, starts)
+            out |= {"rhythm_pulse_clarity": dsp.pulse_clarity(env, rate, starts), "rhythm_beat_strength": pulse, "rhythm_novelty": series}
+        elif family == "spectral":
+            out |= {f"spectral_{k}": v for k, v in dsp.spectral(None, magnitudes, starts=starts, zcr=np.concatenate([dsp.crossings(y) for y in ys])).items()}
+        elif family == "tonal":
+            out |= {f"tonal_{k}": v for k, v in dsp.tonal(None, magnitudes, starts=starts).items()}
         else:
-            out |= {f"{family}_{k}": v for k, v in getattr(dsp, family)(y, magnitudes).items()}
-    return t, out
+            out |= {f"timbre_{k}": v for k, v in dsp.timbre(None, magnitudes, db=db).items()}
+    return starts, t, out
+
+
+def _grouped(column: pa.ListArray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, clips) of neighbouring rows that together have at most ``GROUP_FRAMES`` frames, one clip at least."""
+    from ..kernels import dsp
+
+    start, held, ys = 0, 0, []
+    for k in range(len(column)):
+        y = column[k].values.to_numpy()
+        size = len(y) // dsp.HOP + 1
+        if ys and held + size > GROUP_FRAMES:
+            yield start, ys
+            start, held, ys = k, 0, []
+        ys.append(y)
+        held += size
+    if ys:
+        yield start, ys
 
 
 def native_layer(pcm: DataFrame, models: list[Model]) -> DataFrame:
-    """(stimulus_id, frame_idx, t, features…): one Arrow pass, a clip at a time, only the kernels that were asked for."""
+    """(stimulus_id, frame_idx, t, features…): one Arrow pass, some clips at a time, only the kernels that were asked for."""
     families, columns = [m.name for m in models], native_columns(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                y = batch.column(1)[k].values.to_numpy()
-                t, series = _layer(y, families)
+            for first, ys in _grouped(batch.column(1)):
+                starts, t, series = _layers(ys, families)
+                sizes = np.diff([*starts, len(t)])
+                keys = pa.array(np.repeat(np.arange(first, first + len(ys)), sizes))
+                index = np.arange(len(t)) - np.repeat(starts, sizes)
                 for start in range(0, len(t), 8192):
                     part = slice(start, start + 8192)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([batch.column(0)[k].as_py()] * len(t[part])), pa.array(np.arange(len(t), dtype=np.int32)[part]), pa.array(t[part]), *[pa.array(np.asarray(series[c], dtype=np.float64)[part]) for c in columns]],
+                        [batch.column(0).take(keys[start : start + 8192]), pa.array(index[part].astype(np.int32)), pa.array(t[part]), *[pa.array(np.asarray(series[c], dtype=np.float64)[part]) for c in columns]],
                         names=[KEY, "frame_idx", "t", *columns],
                     )
 
