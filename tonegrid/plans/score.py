@@ -194,8 +194,13 @@ def chunk_frames(chunks: DataFrame, names: list[str], hop: float = DEFAULT_HOP)
 
 def kernel_frames(pcm: DataFrame, names: list[str], hop: float = DEFAULT_HOP) -> DataFrame:
     """Frames of the kernel models on the grid, columns in request order."""
+    return layer_frames(pcm, pcm.select(KEY, "duration"), names, hop)
+
+
+def layer_frames(sounds: DataFrame, durations: DataFrame, names: list[str], hop: float = DEFAULT_HOP) -> DataFrame:
+    """``kernel_frames`` of (stimulus_id, samples), where durations are known without samples."""
     models = resolve(names)
-    return _on_grid(native_layer(pcm, models), pcm.select(KEY, "duration"), models, hop)
+    return _on_grid(native_layer(sounds, models), durations, models, hop)
 
 
 def _on_grid(native: DataFrame, durations: DataFrame, models: list[Model], hop: float) -> DataFrame:
