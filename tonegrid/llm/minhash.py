@@ -223,6 +223,15 @@ def _judge(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return judged.mapInArrow(_similar, "a long, b long")
 
 
+def _united(groups: DataFrame | None, found: DataFrame) -> DataFrame | None:
+    """The groups with the links ``found``; the stars of earlier groups stand for their links. None while there is no link."""
+    if not found.head(1):
+        return groups
+    if groups is not None:
+        found = found.unionAll(groups.select(F.col("root").alias("a"), F.col("node").alias("b")))
+    return cut(components(found), "groups")
+
+
 def similar_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(node, root) of every text of ``docs`` that is in a group of two texts or more; root is the group's smallest node."""
     small_batches(docs.sparkSession)
@@ -238,7 +247,7 @@ def similar_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     hashed = each.mapInArrow(_sets, "node long, shingles array<long>")
     sets = cut(hashed.join(nodes.select("node", "keys"), "node"), "shingle-sets")
     found = cut(_judge(near, sets), "similar")
-    groups = cut(components(found), "groups") if found.head(1) else None
+    groups = _united(None, found)
     members = cut(_mixed(_regrouped(members.withColumn("root", F.col("node")), groups)), "members")
     for _ in range(STARS):
         if not members.head(1):
@@ -247,10 +256,8 @@ def similar_texts(docs: DataFrame, text: str = "text") -> DataFrame:
         met = members.join(members.groupBy("key").agg(F.max(order).alias("m")), "key").select("key", "node", "n", "root", "company", "m.b", "m.b_n", "m.b_root").where("node <> b")
         open_pairs = met.where("root <> b_root").where(_able(F.col("n"), F.col("b_n")))
         pairs = open_pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        found = cut(found.unionAll(_judge(pairs, sets)), "similar")
-        groups = cut(components(found), "groups") if found.head(1) else None
+        groups = _united(groups, cut(_judge(pairs, sets), "similar"))
         members = cut(_mixed(_regrouped(met.select("key", "node", "n", "root", "company"), groups)), "members")
     if members.head(1):
-        found = cut(found.unionAll(_in_blocks(members.select("key", "node", "n", "root"), sets)), "similar")
-        groups = cut(components(found), "groups")
+        groups = _united(groups, cut(_in_blocks(members.select("key", "node", "n", "root"), sets), "similar"))
     return found.select(F.col("a").alias("node"), F.col("b").alias("root")) if groups is None else groups

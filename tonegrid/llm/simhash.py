@@ -20,7 +20,7 @@ Plan
        tied to the smallest light member: a star of true links, never all pairs,
        that keeps every component whole. Links are verified by bit count.
     4. components by alternating large-star and small-star rounds over the
-       links, each cut by a written table, until a round changes nothing.
+       links, each cut by a written table, until the links are stars.
     5. rows meet the component of their fingerprint; fingerprints that more than
        ``HOT_ROWS`` rows (and more than a thousandth of all) have are at most a
        thousand, and their rows meet them by a broadcast instead of a shuffle.
@@ -189,32 +189,31 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating star contraction: large-star ties a node's larger neighbours to
     its smallest neighbour, small-star its smaller ones; both only regroup
-    links, with map-side minima, and end when a round changes nothing.
+    links, with map-side minima, and end when the links are stars. Each half of a
+    round is a plan of its own: what a plan's stages hold on the driver grows
+    with their number.
     """
 
-    def least(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    def either(first, second, names: tuple[str, str]):
+        """Two rows of a row."""
+        pair = [F.struct(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True))) for columns in (first, second)]
+        return F.explode(F.array(*pair)).alias("_pair")
 
-    def both(e: DataFrame) -> DataFrame:
-        return e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-
-    def signature(e: DataFrame):
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def stars(e: DataFrame) -> bool:
+        """Whether every larger end has one link, and none where it is the smaller end."""
+        ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("up")), F.struct(F.col("b").alias("node"), F.lit(1).alias("up")))).alias("_end")).select("_end.*")
+        odd = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 or (ups = 1 and least = 0)")
+        return not odd.count()
 
     edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    before = None
     while True:
-        around = both(edges)
-        large = around.join(least(around), "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        lows = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(lows, "u")
-        small = joined.select(F.col("m").alias("a"), F.col("v").alias("b")).unionAll(joined.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct()
-        edges = cut(small.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
-        after = signature(edges)
-        if after == before:
+        around = edges.select(either(("a", "b"), ("b", "a"), ("u", "v"))).select("_pair.*")
+        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = cut(around.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "large-stars")
+        joined = large.join(large.groupBy("b").agg(F.min("a").alias("m")), "b")
+        edges = cut(joined.select(either(("m", "a"), ("m", "b"), ("a", "b"))).select("_pair.*").where("a <> b").distinct(), "stars")
+        if stars(edges):
             break
-        before = after
     roots = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return roots.unionAll(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 

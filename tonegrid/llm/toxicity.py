@@ -2,10 +2,12 @@
 
 A text is the mean of the embeddings of its subwords (every word as a whole and
 its character 3- to 5-grams with word marks); a linear softmax reads that mean.
-Embeddings and softmax are trained jointly in numpy on the driver, over a
-bounded sample of labelled rows: at most ``max_positive`` toxic and
-``max_negative`` other documents, the first by a hash of their id. An unseen
-misspelling shares most character n-grams with the word it hides.
+Embeddings and softmax are trained jointly in numpy, over a bounded sample of
+labelled rows: at most ``max_positive`` toxic and ``max_negative`` other
+documents, the first by a hash of their id. The tasks that read a sampled text
+turn it into a bag of words; one task trains on these bags, and only the model
+comes to the driver. An unseen misspelling shares most character n-grams with
+the word it hides.
 
 Scoring is one pass without a shuffle. The model (``buckets`` floats, 1 MB at
 the default) is the only thing sent to executors and does not grow with the
@@ -21,8 +23,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, small_batches, texts, with_field
+from .common import parts, release, small_batches, texts, with_field
 
 _WORD = re.compile(r"\w+")
 _MEMO_WORDS = 250_000
@@ -92,7 +94,18 @@ def _in_parts(words: list[str], buckets: int):
         yield start, *subwords(words[start : start + _PART], buckets)
 
 
+def bag(text: str) -> tuple[list[str], list[int]]:
+    """The distinct words of ``text`` in order of appearance, and how often each occurs."""
+    found = Counter(_WORD.findall(text.lower()))
+    return list(found), list(found.values())
+
+
 def fit(sample: list[str], labels: list[int], params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
+    """``fit_bags`` of texts."""
+    return fit_bags(map(bag, sample), labels, params)
+
+
+def fit_bags(bags: Iterable[tuple[list[str], list[int]]], labels: list[int], params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """Joint training of embeddings and softmax by Adam over the whole sample."""
     p = params
     y = np.asarray(labels, dtype=np.int64)
@@ -102,14 +115,14 @@ def fit(sample: list[str], labels: list[int], params: ToxicityParams = ToxicityP
     ids: defaultdict = defaultdict()
     ids.default_factory = ids.__len__
     rows, cols, counts = [], [], []
-    for k, text in enumerate(sample):
-        found = _WORD.findall(text.lower())
-        distinct, times = np.unique(np.fromiter(map(ids.__getitem__, found), dtype=np.int32, count=len(found)), return_counts=True)
+    for k, (found, times) in enumerate(bags):
+        distinct = np.fromiter(map(ids.__getitem__, found), dtype=np.int32, count=len(found))
+        order = np.argsort(distinct)
         rows.append(np.full(len(distinct), k, dtype=np.int32))
-        cols.append(distinct)
-        counts.append(times)
+        cols.append(distinct[order])
+        counts.append(np.array(times, dtype=np.int64)[order])
     row, col, counts = np.concatenate(rows), np.concatenate(cols), np.concatenate(counts)
-    del rows, cols, sample
+    del rows, cols
     vocabulary, n_words = list(ids), len(ids)
     docs_of = np.bincount(col, minlength=n_words)
     features, seen = np.zeros(n_words), np.zeros(p.buckets)
@@ -161,7 +174,7 @@ def fit(sample: list[str], labels: list[int], params: ToxicityParams = ToxicityP
 
 
 def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams(), key: str = "doc_id", text: str = "text", label: str = "toxic", usable=None) -> ToxicityModel:
-    """Fit on a bounded sample of ``labels`` joined to their texts.
+    """Fit, in a task, on a bounded sample of ``labels`` joined to their texts.
 
     ``usable``: a condition on the label rows' key column, e.g. a fold. Labels
     are sampled before the join, so the texts are filtered by a small broadcast
@@ -181,10 +194,28 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
     spark = docs.sparkSession
     listed = spark.createDataFrame(picked, "k long, y int")
     found = docs.select(docs[key].cast("long").alias("k"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t")).join(F.broadcast(listed), "k")
-    got = found.groupBy("k").agg(F.min("t").alias("t"), F.max("y").alias("y")).toArrow().sort_by("k")
-    labels, texts_ = got.column("y").to_pylist(), got.column("t").to_pylist()
-    del got
-    return fit(texts_, labels, params)
+    small_batches(spark)
+    sample = found.groupBy("k").agg(F.min("t").alias("t"), F.max("y").alias("y")).select("k", "y", "t")
+    bags = sample.mapInArrow(_bags, "k long, y int, words array<string>, times array<long>")
+    got = bags.groupBy().applyInArrow(_learn(params), "weights binary, bias double, fitted boolean").collect()
+    return ToxicityModel(np.frombuffer(got[0].weights), got[0].bias, got[0].fitted) if got else fit([], [], params)
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in parts(batches, 2):
+        words, times = zip(*map(bag, texts(batch.column(2))), strict=True)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))], names=["k", "y", "words", "times"])
+
+
+def _learn(params: ToxicityParams):
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("k").to_numpy())
+        words, times = table.column("words"), table.column("times")
+        model = fit_bags(((words[k].as_py(), times[k].as_py()) for k in order.tolist()), table.column("y").to_numpy()[order], params)
+        release()
+        return pa.table({"weights": pa.array([model.weights.tobytes()], pa.binary()), "bias": [model.bias], "fitted": [model.fitted]})
+
+    return run
 
 
 class _Scorer:
